@@ -6,10 +6,12 @@ from .decontaminate import op5_decontamination
 from .packing import op7_packing
 from .simhash import op9_simhash
 from .token_files import op10_token_files
+from .toxicity import op8_toxicity
 
 QUERIES = {
     "op5_decontamination": op5_decontamination,
     "op7_packing": op7_packing,
+    "op8_toxicity": op8_toxicity,
     "op9_simhash": op9_simhash,
     "op10_token_files": op10_token_files,
 }
