@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from .decontaminate import op5_decontamination
+from .line_dedup import ORACLE_SQL as LINE_DEDUP_SQL
+from .line_dedup import op6_line_dedup
 from .packing import op7_packing
 from .simhash import op9_simhash
 from .token_files import op10_token_files
@@ -10,9 +12,12 @@ from .toxicity import op8_toxicity
 
 QUERIES = {
     "op5_decontamination": op5_decontamination,
+    "op6_line_dedup": op6_line_dedup,
     "op7_packing": op7_packing,
     "op8_toxicity": op8_toxicity,
     "op9_simhash": op9_simhash,
     "op10_token_files": op10_token_files,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op6_line_dedup": LINE_DEDUP_SQL,
+}
