@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+from .chat import op2_chat
 from .decontaminate import op5_decontamination
 from .language_id import op4_language
 from .line_dedup import ORACLE_SQL as LINE_DEDUP_SQL
 from .line_dedup import op6_line_dedup
 from .packing import op7_packing
+from .pii import op1_pii
 from .quality import op3_quality
 from .simhash import op9_simhash
 from .token_files import op10_token_files
 from .toxicity import op8_toxicity
 
 QUERIES = {
+    "op1_pii": op1_pii,
+    "op2_chat": op2_chat,
     "op3_quality": op3_quality,
     "op4_language": op4_language,
     "op5_decontamination": op5_decontamination,
