@@ -78,7 +78,7 @@ def mod97(iban: Column) -> Column:
 
 def confirmed(kind: str, match: Column) -> Column:
     if kind == "ip":
-        return match.rlike(r"^0*+(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})(?:\.0*+(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})){3}$")
+        return match.rlike(r"^0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})(?:\.0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})){3}$")
     if kind == "card":
         # an endless run of digits is never cut into substrings
         return F.when(F.length(digits(match)).between(16, 19), luhn(digits(match))).otherwise(False)

@@ -115,6 +115,8 @@ def decode_block(block: bytes, t: Table, slots: np.ndarray) -> np.ndarray:
         k = int(np.count_nonzero(empty))
         y[empty] = (y[empty] << half) | words[at : at + k]
         at += k
+    if at != len(words) or (x != least).any():  # the coders end where they began
+        raise ValueError("a block's words don't fit its states")
     return t.symbols[out]
 
 
