@@ -41,7 +41,8 @@ def grams(c: np.ndarray, n: int) -> np.ndarray:
     """The n-grams of classes as numbers of n * BITS bits."""
     if len(c) < n:
         return np.zeros(0, np.int64)
-    out = c[: len(c) - n + 1].astype(np.int64)
+    out = c[: len(c) - n + 1].astype(np.int64 if n * BITS > 31 else np.int32)
     for k in range(1, n):
-        out = (out << BITS) | c[k : len(c) - n + 1 + k]
-    return out
+        out <<= BITS
+        out |= c[k : len(c) - n + 1 + k]
+    return out.astype(np.int64, copy=False)

@@ -201,7 +201,7 @@ def test_toxicity(spark, small):
     docs = spark.read.parquet(f"{small}/documents.parquet")
     labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(400)], "doc_id long, toxic int")
     texts = docs.limit(1).collect()[0]["text"][:300]
-    rows = spark.createDataFrame([(i, f"{texts} {i} " + (f"you are a {('loser', 'scum')[i // 4 % 2]}" if i % 4 == 0 else "fine")) for i in range(400)], "doc_id long, text string")
+    rows = spark.createDataFrame([(i, f"{texts} {i} " + (f"you are a {('loser', 'scum')[i // 4 % 2]}" if i % 4 == 0 else "you are a fine")) for i in range(400)], "doc_id long, text string")
     lm = toxicity.language(docs.select("text").unionByName(rows.select("text")))
     model = toxicity.fit(rows, labels, lm)
     tests = [(1, f"{texts} loser"), (2, f"{texts} l0ser and scum"), (3, texts), (4, None), (5, ""), (6, f"{texts} l o s e r")]
