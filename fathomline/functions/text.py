@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .rules import HEADINGS, NOISE_LINES, quoted
+from .rules import HEADINGS, NOISE_LINES
 
 # Glyphs of old fonts, entities, dates and month names.
-GLYPHS = {"": "•", "": "•", "": "•", "": "•"}
+GLYPHS = {"\uf06c": "-", "\uf0b7": "-", "\uf0d8": "-", "\uf020": " "}
 ENTITIES = [("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&#x27;", "'"), ("&mdash;", "—"), ("&ndash;", "–"), ("&hellip;", "…"), ("&rsquo;", "’"), ("&lsquo;", "‘"), ("&eacute;", "é"), ("&egrave;", "è"), ("&copy;", "©"), ("&euro;", "€"), ("&amp;", "&")]
 MONTHS = ["January", "February", "March", "April", "May", "June", "July", "August", "September", "October", "November", "December"]
-DATE_FORMATS = ["yyyy-MM-dd", "dd-MM-yyyy", "dd/MM/yyyy", "d MMMM yyyy", "d MMM yyyy", "MMMM d, yyyy", "MMM d, yyyy", "MMMM yyyy"]
+DATE_FORMATS = ["yyyy-M-d", "d-M-yyyy", "d/M/yyyy", "M/d/yyyy", "d MMM yyyy", "MMMM d, yyyy", "MMM yyyy", "MMMM yyyy"]
 
 
 def squeeze(c: Column) -> Column:
@@ -30,14 +30,15 @@ def normalize(c: Column) -> Column:
 
 
 def html_to_text(c: Column) -> Column:
-    """Text of a page: scripts, styles and noscripts with their bodies go, ends of blocks become line feeds, other tags blanks; entities resolved, empty lines dropped."""
-    c = F.regexp_replace(c, r"(?is)<(script|style|noscript)\b[^>]*>.*?</\1\s*>", " ")
-    c = F.regexp_replace(c, r"(?i)</(?:p|div|li|h[1-6]|tr|section|article|ul|ol|table)\s*>|<br\s*/?>", "\n")
-    c = F.regexp_replace(c, r"<[^>]+>", " ")
+    """Text of a page: scripts, styles and noscripts with their bodies go, ends of blocks become line feeds, other tags vanish; entities resolved, lines trimmed, empty ones dropped, wide gaps broken."""
+    c = F.regexp_replace(c, r"(?is)<(script|style|noscript)[^>]*>.*?</\1>", " ")
+    c = F.regexp_replace(c, r"(?i)</(?:p|div|li|h[1-6]|tr)>", "\n")
+    c = F.regexp_replace(c, r"<[^>]+>", "")
     for entity, sign in ENTITIES:
         c = F.replace(c, F.lit(entity), F.lit(sign))
-    c = F.regexp_replace(c, "[ \t\r ]+", " ")
-    return F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(c, " *\n *", "\n"), "\n{2,}", "\n"), "^\n|\n$", ""))
+    c = F.regexp_replace(c, "[ \t\r\u00a0]*[\r\n][ \t\r\u00a0]*", "\n")
+    c = F.regexp_replace(F.regexp_replace(c, "\n{2,}", "\n"), "[ \t]{2,}", "\n")
+    return F.regexp_replace(c, "^[ \t\n\u00a0]+|[ \t\n\u00a0]+$", "")
 
 
 def question_hash(c: Column) -> Column:
@@ -64,42 +65,40 @@ def stem_title(file_name: Column, kind: Column) -> Column:
 
 
 def parse_date(c: Column) -> Column:
-    """By eight formats in turn, then the first of a named month and year within the text; null if none."""
-    tries = [F.try_to_date(F.trim(c), f) for f in DATE_FORMATS]
-    names = "|".join(m[:3] for m in MONTHS)
-    month = F.initcap(F.regexp_extract(c, rf"(?i)\b({names})[a-z]*[ ,.-]+(\d{{4}})\b", 1))
-    year = F.regexp_extract(c, rf"(?i)\b({names})[a-z]*[ ,.-]+(\d{{4}})\b", 2)
-    found = F.try_to_date(F.when(month != "", F.concat(F.lit("1 "), month, F.lit(" "), year)), "d MMM yyyy")
-    return F.coalesce(*tries, found)
+    """By eight formats in turn (month names in any case), then the first of a named month and year within the text; null if none."""
+    tidy = F.initcap(F.trim(c))
+    month = F.regexp_extract(c, rf"({'|'.join(MONTHS)})\s+(\d{{4}})", 1)
+    year = F.regexp_extract(c, rf"({'|'.join(MONTHS)})\s+(\d{{4}})", 2)
+    found = F.try_to_date(F.when(month != "", F.concat(F.lit("1 "), month, F.lit(" "), year)), "d MMMM yyyy")
+    return F.coalesce(*(F.try_to_date(tidy, f) for f in DATE_FORMATS), found)
+
+
+_MONTH_NAMES = "|".join([*MONTHS, *(m[:3] for m in MONTHS[:4]), "Jun", "Jul", "Aug", "Sept", "Sep", "Oct", "Nov", "Dec"])
+_FULL = rf"(?i)({_MONTH_NAMES})\s+(\d{{1,2}}),?\s+(\d{{4}})"
+_SHORT = rf"(?i)({_MONTH_NAMES})\s+(\d{{2,4}})"
 
 
 def date_in_name(c: Column) -> Column:
-    """yyyy-MM-dd of month name, day and year in a file name, or of month name and year (the first); years 2015 to 2035; the empty string if none."""
-    names = "|".join(f"{m}|{m[:3]}" if m != "May" else m for m in MONTHS).replace("September|Sep", "September|Sept|Sep")
-    full = rf"(?i)(?<![a-z])({names})[ _.-]*(\d{{1,2}})[ _.,-]+(20\d{{2}})(?!\d)"
-    short = rf"(?i)(?<![a-z])({names})[ _.'-]*(20\d{{2}}|\d{{2}})(?!\d)"
+    """yyyy-MM-dd of a month name, day and year in a file name, or of month name and year (the first of the month); years 2015 to 2035; the empty string if none."""
 
     def number(name: Column) -> Column:
         return F.lpad(F.array_position(F.array(*(F.lit(m[:3].lower()) for m in MONTHS)), F.lower(F.substring(name, 1, 3))).cast("string"), 2, "0")
 
-    y1 = F.regexp_extract(c, full, 3)
-    y2 = F.regexp_extract(c, short, 2)
-    y2 = F.when(F.length(y2) == 2, F.concat(F.lit("20"), y2)).otherwise(y2)
-
-    def ok(y: Column) -> Column:
-        return y.try_cast("int").between(2015, 2035)
-
-    first = F.concat_ws("-", y1, number(F.regexp_extract(c, full, 1)), F.lpad(F.regexp_extract(c, full, 2), 2, "0"))
-    second = F.concat_ws("-", y2, number(F.regexp_extract(c, short, 1)), F.lit("01"))
-    return F.when(ok(y1), first).when(ok(y2), second).otherwise("")
+    y1, day = F.regexp_extract(c, _FULL, 3).try_cast("int"), F.regexp_extract(c, _FULL, 2)
+    y2 = F.regexp_extract(c, _SHORT, 2).try_cast("int")
+    y2 = F.when(y2 < 100, y2 + 2000).otherwise(y2)
+    first = F.concat_ws("-", y1.cast("string"), number(F.regexp_extract(c, _FULL, 1)), F.lpad(day, 2, "0"))
+    second = F.concat_ws("-", y2.cast("string"), number(F.regexp_extract(c, _SHORT, 1)), F.lit("01"))
+    return F.when(y1.between(2015, 2035) & day.try_cast("int").between(1, 31), first).when(y2.between(2015, 2035), second).otherwise("")
 
 
 def last_updated(raw: Column) -> Column:
     """Month and year of three parts between dashes; else the first ten characters; 'recently updated' if empty. Month 00 counts as December."""
+    raw = F.substring(raw, 1, 10)
     parts = F.split(raw, "-", -1)
-    m = F.element_at(parts, 2).try_cast("int")
+    m = F.try_element_at(parts, F.lit(2)).try_cast("int")
     name = F.element_at(F.array(*map(F.lit, MONTHS)), F.when(m == 0, 12).when(m.between(1, 12), m).otherwise(1))
-    good = (F.size(parts) == 3) & m.between(0, 12) & F.element_at(parts, 1).try_cast("int").isNotNull()
+    good = (F.size(parts) == 3) & m.between(0, 12)
     return F.when(F.coalesce(raw, F.lit("")) == "", "recently updated").when(good, F.concat_ws(" ", name, F.element_at(parts, 1))).otherwise(F.substring(raw, 1, 10))
 
 
@@ -157,6 +156,3 @@ def expanded(question: Column, topic: Column, expansions: dict[str, str]) -> Col
 def scoped(question: Column, scheme: Column) -> Column:
     """The question with the scheme's name, unless it has it."""
     return F.when(scheme.isNull() | (scheme == "") | F.lower(question).contains(F.lower(scheme)), question).otherwise(F.concat_ws(" ", question, scheme))
-
-
-__all__ = [n for n in dir() if not n.startswith("_") and n not in {"Column", "F", "annotations", "quoted"}]

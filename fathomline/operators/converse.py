@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import rules as R
-from ..functions.text import last_updated, squeeze, straight_quotes, without_urls
+from ..functions.text import straight_quotes, without_urls
 
 TTL_S, THRESHOLD, EVIDENCE, COOLDOWN, PER_MINUTE = 1800, 0.35, 4, 5, 30
 
@@ -54,7 +54,7 @@ def citation(title: Column, section: Column, url: Column, page: Column, source:
 
 def contexts(found: DataFrame, query_key: str = "query_id", text: str = "chunk_text", title: str = "title", page: str = "page_number") -> DataFrame:
     """query -> context: its evidence (a handful of chunks) in order, each headed by title and page."""
-    piece = F.concat(F.lit("["), F.coalesce(F.col(title), F.lit("")), F.lit(", page "), F.coalesce(F.col(page).cast("string"), F.lit("-")), F.lit("]\n"), F.col(text))
+    piece = F.concat(F.coalesce(F.col(title), F.lit("")), F.lit(" (page "), F.coalesce(F.col(page).cast("string"), F.lit("None")), F.lit(")\n"), F.coalesce(F.col(text), F.lit("")))
     items = F.array_sort(F.collect_list(F.struct("place", piece.alias("t"))))
     return found.groupBy(query_key).agg(F.array_join(F.transform(items, lambda x: x["t"]), "\n\n---\n\n").alias("context"))
 
@@ -86,10 +86,20 @@ def cleaned_answer(answer: Column) -> Column:
     return without_urls(answer)
 
 
-def suggestions(topic: Column, templates: dict[str, str], schemes: list[str], default: str, n: int = 3) -> Column:
-    """One question for each of the first n schemes, by the topic's template."""
+# Questions to offer by topic.
+TEMPLATES = {
+    "expense_ratio": "What is the expense ratio of {scheme}?", "exit_load": "Do you want to know about the exit load of {scheme}?", "benchmark": "What is the benchmark of {scheme}?", "minimum_investment": "What is the minimum investment for {scheme}?",
+    "fund_manager": "Who is the fund manager of {scheme}?", "tracking_error": "What is the tracking error of {scheme}?", "asset_allocation": "What is the asset allocation of {scheme}?", "investment_objective": "What is the investment objective of {scheme}?",
+    "investment_strategy": "What is the investment strategy of {scheme}?", "lock_in": "What is the lock-in period of {scheme}?", "plans_options": "What plans and options does {scheme} offer?", "replication": "Does {scheme} use full replication?", "riskometer": "What is the riskometer level of {scheme}?",
+}
+TEMPLATE, INVITATION = "Tell me about {scheme}", "You could also ask about a specific scheme:"
+
+
+def suggestions(topic: Column, templates: dict[str, str] = TEMPLATES, schemes: list[str] | None = None, default: str = TEMPLATE, n: int = 3) -> Column:
+    """An invitation and one question for each of the first n schemes, by the topic's template."""
+    names = (list(R.QUERY_SCHEMES) if schemes is None else schemes)[:n]
     template = F.coalesce(R.lookup(templates, topic), F.lit(default))
-    return F.array_join(F.array(*(F.replace(template, F.lit("{scheme}"), F.lit(s)) for s in schemes[:n])), "\n")
+    return F.concat_ws("\n", F.lit(INVITATION), *(F.concat(F.lit("- "), F.replace(template, F.lit("{scheme}"), F.lit(s))) for s in names))
 
 
 def follow_ups(answers: DataFrame, clicks: DataFrame, offers: DataFrame, session: str = "session_id", cooldown: int = COOLDOWN, n: int = 3) -> DataFrame:
@@ -109,6 +119,3 @@ def admitted(requests: DataFrame, client: str, ts: str, order: str, limit: int =
     minute = F.date_trunc("minute", F.col(ts))
     out = requests.withColumn("minute", minute)
     return out.withColumn("admitted", F.row_number().over(Window.partitionBy(client, "minute").orderBy(ts, order)) <= limit)
-
-
-__all__ = ["admitted", "carried", "citation", "cleaned_answer", "contexts", "evidence", "follow_ups", "gated", "last_updated", "not_found", "outcome", "squeeze", "suggestions"]

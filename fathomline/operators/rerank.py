@@ -8,19 +8,20 @@ from pyspark.sql import functions as F
 from ..functions import rules as R
 from ..functions.text import jaccard, tokens
 
-NEAR, FACTOR, HALF_LIFE = 0.55, 0.88, 1095
+NEAR, FACTOR, SPAN_DAYS = 0.55, 0.88, 1095
 
 
 def freshness(raw: Column, as_of: Column) -> Column:
     """1 for today down to 0 after three years, 0.4 without a date; as_of stands for today."""
-    age = F.greatest(F.datediff(as_of, F.try_to_date(F.substring(raw, 1, 10), "yyyy-MM-dd")), F.lit(0))
-    return F.coalesce(F.greatest(1 - age / HALF_LIFE, F.lit(0.0)), F.lit(0.4))
+    age = F.datediff(as_of, F.try_to_date(F.substring(raw, 1, 10), "yyyy-MM-dd"))
+    return F.when(age.isNull(), 0.4).otherwise(F.greatest(1 - F.greatest(age, F.lit(0)) / SPAN_DAYS, F.lit(0.0)))
 
 
 def overlap(question: Column, text: Column, stopwords: list[str] = R.STOPWORDS) -> Column:
-    """The share of the question's words (no stopwords, hyphens parted) that the text has."""
-    words = F.filter(tokens(F.replace(question, F.lit("-"), F.lit(" "))), lambda t: ~t.isin(stopwords))
-    have = tokens(F.replace(text, F.lit("-"), F.lit(" ")))
+    """The share of the question's words (no stopwords; those with hyphens in their parts) that the text has."""
+    parts = F.flatten(F.transform(F.filter(tokens(question), lambda t: ~t.isin(stopwords)), lambda t: F.split(t, "-")))
+    words = F.array_distinct(F.filter(parts, lambda t: t != ""))
+    have = tokens(text)
     return F.when(F.size(words) > 0, F.size(F.array_intersect(words, have)) / F.size(words)).otherwise(0.0)
 
 

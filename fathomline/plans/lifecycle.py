@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import intent as I
 from ..functions import personal as P
 from ..functions import rules as R
-from ..functions.text import expanded, normalize, parse_date, preview, question_hash, scoped, source_id, squeeze
+from ..functions.text import expanded, last_updated, normalize, parse_date, preview, question_hash, scoped, source_id, squeeze
 from ..operators import converse, corpus, rerank, retrieve
 
 
@@ -83,7 +83,7 @@ def answer_turns(turns: DataFrame, chunks: DataFrame, as_of: Column, answerer=No
     gate = converse.gated(hits)
     found = converse.evidence(hits)
     context = converse.contexts(found.withColumn("title", F.col("section")))
-    first = found.where("place = 1").select("query_id", converse.citation(F.lit(None).cast("string"), F.col("section"), F.col("metadata.source_url"), F.col("page_number"), F.col("source_id")).alias("citation"), F.col("chunk_text").alias("_first"), converse.last_updated(F.col("metadata.document_date")).alias("last_updated"))
+    first = found.where("place = 1").select("query_id", converse.citation(F.lit(None).cast("string"), F.col("section"), F.col("metadata.source_url"), F.col("page_number"), F.col("source_id")).alias("citation"), F.col("chunk_text").alias("_first"), last_updated(F.col("metadata.document_date")).alias("last_updated"))
     joined = got.join(gate, "query_id", "left").join(first, "query_id", "left").join(context, "query_id", "left")
     answer = answerer(F.col("context"), q) if answerer else F.col("_first")
     joined = joined.withColumn("answer", converse.cleaned_answer(answer))
