@@ -9,6 +9,7 @@ sample the declared order stands; extra columns pass through filtered() and are
 
 from __future__ import annotations
 
+import operator
 import time
 from collections.abc import Callable
 from dataclasses import dataclass
@@ -61,6 +62,11 @@ class Text:
     def n_dup_lines(self) -> int:
         return len(self._lines) - len(set(self._lines))
 
+    @cached_property
+    def n_stutter(self) -> int:
+        """Words equal to the word before them."""
+        return sum(map(operator.eq, self.words, self.words[1:]))
+
     @cached_property
     def n_repeat_words(self) -> int:
         """Words in windows of WINDOW words that occur twice or more."""
@@ -100,7 +106,8 @@ RULES = (
     Rule("symbols", lambda t: 10 * t.n_symbols > t.word_chars),
     Rule("bars", lambda t: 20 * t.text.count("|") > 3 * t.n_words),
     Rule("shouting", lambda t: 2 * t.text.count("!") > t.n_words),
-    Rule("dup_lines", lambda t: 10 * t.n_dup_lines > 3 * t.n_lines),
+    Rule("dup_lines", lambda t: t.n_dup_lines >= 3 and 10 * t.n_dup_lines > 3 * t.n_lines),
+    Rule("stutter", lambda t: 4 * t.n_stutter > t.n_words),
     Rule("word_length", lambda t: not 2 * t.n_words <= t.word_chars <= 15 * t.n_words),
 )
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
