@@ -12,6 +12,8 @@ from array import array
 
 import numpy as np
 
+from .common import held
+
 #: Entries of one generation of the cache; the one before it is kept beside it.
 CACHE_WORDS = 600_000
 _CUTS = re.compile(r"(?<!\s)(?=[ \t\n\r])")
@@ -101,11 +103,6 @@ class Encoder:
         return self.whole(piece)
 
 
-_made: dict[str, Encoder] = {}
-
-
 def encoder(path: str) -> Encoder:
-    """One encoder for each worker process and file."""
-    if path not in _made:
-        _made[path] = Encoder(path)
-    return _made[path]
+    """One encoder for each worker process and file, while its tasks encode."""
+    return held(f"encoder {path}", lambda: Encoder(path))

@@ -74,13 +74,25 @@ def free_name(df: DataFrame, wish: str) -> str:
     return wish
 
 
+_held: dict[str, object] = {}
+
+
+def held(name: str, make: Callable[[], object]) -> object:
+    """What a worker process keeps from task to task, for one operator at a time: a worker that goes on to another drops it."""
+    if name not in _held:
+        _held.clear()
+        _held[name] = make()
+    return _held[name]
+
+
 def by_batch(
     df: DataFrame, schema: str, make: Callable[[], Callable[[pa.RecordBatch], dict]]
 ) -> DataFrame:
     """mapInArrow where make() runs once for each task and what it returns turns a batch into columns."""
-    target = arrow_schema(schema)
+    target, owner = arrow_schema(schema), make.__module__
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held(owner, dict)
         work = make()
         for batch in batches:
             if batch.num_rows:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import by_batch, cut_lineage, free_name, prepare, table, text_of
+from .common import by_batch, cut_lineage, free_name, held, prepare, table, text_of
 
 WINDOW = 10
 AUTOMATON_WORDS = 1_000_000
@@ -245,6 +245,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage:
         def cut(texts, shared=shared):
             import pandas as pd
 
+            held(__name__, dict)
             found, out = shared.value, []
             for text in texts:
                 if text is None:

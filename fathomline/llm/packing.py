@@ -96,18 +96,24 @@ def packed(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, base = encoder(tokenizer), TaskContext.get().partitionId() * PER_TASK
         out: list[tuple] = []
+        said: list[np.ndarray] = []
 
         def emit(sequence: int, pieces: list) -> None:
             offset = 0
             for doc, start, ids, whole in pieces:
-                row = (doc, start, len(ids), zlib.crc32(ids.astype("<u4").tobytes()), whole, base + sequence, offset)
-                out.append((*row, ids.tolist()) if with_ids else row)
+                out.append((doc, start, len(ids), zlib.crc32(ids.astype("<u4").tobytes()), whole, base + sequence, offset))
+                if with_ids:
+                    said.append(ids)
                 offset += len(ids)
 
         def rows() -> pa.RecordBatch:
-            columns = list(zip(*out, strict=True)) or [[]] * len(schema)
+            columns = [pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=False)]
+            if with_ids:
+                ends = np.cumsum([0, *map(len, said)]).astype(np.int32)
+                columns.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(said).astype(np.int32))))
             out.clear()
-            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+            said.clear()
+            return pa.RecordBatch.from_arrays(columns, schema=schema)
 
         bins = Packer(emit, capacity)
         for batch in batches:
@@ -119,7 +125,7 @@ def packed(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
                     # a copy of what a bin keeps, lest it hold its whole document
                     bins.add((doc, at, ids[at : at + n].copy(), len(ids)))
                     at += n
-                if len(out) >= 4096:
+                if len(out) >= 1024:
                     yield rows()
         bins.end()
         if out:
