@@ -24,8 +24,8 @@ def normalize(c: Column) -> Column:
     c = F.regexp_replace(F.replace(c, F.lit(" "), F.lit(" ")), "\r\n?", "\n")
     c = F.regexp_replace(c, "[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f]", " ")
     c = F.translate(c, "".join(GLYPHS), "".join(GLYPHS.values()))
-    c = F.regexp_replace(c, "[ \t]+", " ")
-    c = F.regexp_replace(F.regexp_replace(c, " *\n *", "\n"), "\n{3,}", "\n\n")
+    c = F.regexp_replace(c, "[ \t]{2,}|\t", " ")
+    c = F.regexp_replace(F.regexp_replace(c, " \n ?|\n ", "\n"), "\n{3,}", "\n\n")
     return F.regexp_replace(F.regexp_replace(c, "^[ \n]+", ""), "[ \n]+$", "")
 
 
