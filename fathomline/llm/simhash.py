@@ -18,11 +18,12 @@ from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, by_batch, prepare, stored, table, text_of
+from .common import arrow_schema, by_batch, free_name, prepare, stored, table, text_of
 from .components import components
 
 BITS = 4
@@ -208,24 +209,43 @@ def links(nodes: DataFrame) -> DataFrame:
     return edges.unionAll(split)
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """docs (doc_id, text) -> doc_id, fp, component_id (the smallest doc_id that links reach), a row for each row of docs."""
+def grouped(docs: DataFrame) -> DataFrame:
+    """docs (doc_id, text) -> doc_id, fp, root (a fingerprint of the component), component_id, a row for each row of docs."""
     found = stored(fingerprints(docs), "fingerprints")
     nodes = stored(found.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
     star = components(links(nodes))
     rooted = nodes.join(star, nodes["fp"] == star["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.join(least, "root").select("fp", "component_id")
-    return found.join(named, "fp").select("doc_id", "fp", "component_id")
+    return found.join(rooted.join(least, "root").select("fp", "root", "component_id"), "fp").select("doc_id", "fp", "root", "component_id")
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """docs (doc_id, text) -> doc_id, fp, component_id (the smallest doc_id that links reach), a row for each row of docs."""
+    return grouped(docs).drop("root")
 
 
 def representatives(docs: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id is the smallest of their component; rows that share such a doc_id and a component count once."""
-    named = near_duplicates(docs)
+    """The rows of docs whose doc_id is the smallest of their component; rows that share such a doc_id and a component count once.
+
+    A component without any doc_id keeps one row, of the fingerprint that is its root.
+    """
+    named = grouped(docs)
     kept = named.where("doc_id = component_id").select("doc_id").distinct()
     out = docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
-    twice = named.groupBy("doc_id").count().where("count > 1").isEmpty()
-    return out if twice else out.dropDuplicates(["doc_id"])
+    if not named.groupBy("doc_id").count().where("count > 1 and doc_id is not null").isEmpty():
+        out = out.dropDuplicates(["doc_id"])
+    bare = named.where("doc_id is null and component_id is null and fp = root").select("fp").distinct()
+    if bare.isEmpty():
+        return out
+    mark, at = free_name(docs, "_fp"), free_name(docs, "_at")
+
+    @F.pandas_udf("long")
+    def digest(texts: pd.Series) -> pd.Series:
+        return pd.Series(np.array([fingerprint(t) for t in texts], np.uint64).view(np.int64))
+
+    nameless = docs.where(docs["doc_id"].isNull()).withColumn(mark, digest(text_of(docs)))
+    one = nameless.join(bare.select(F.col("fp").alias(at)), F.col(mark) == F.col(at), "left_semi").dropDuplicates([mark])
+    return out.unionByName(one.select(*docs.columns))
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
