@@ -184,3 +184,76 @@ def test_pipeline_runs_and_keeps_columns(spark, small):
     assert docs.where("n_chars <> length(text)").count() == 0
     pieces = corpus_pipeline.STAGES[-1][1](spark, docs, small)
     assert {r["doc_id"] for r in pieces.select("doc_id").collect()} == ids
+
+
+def simple_fingerprint(text):
+    import xxhash
+
+    words = re.findall(r"[^\x20\x09-\x0D]+", lower(text))
+    parts = [" ".join(words[k : k + 4]) for k in range(len(words) - 3)] if len(words) >= 4 else [" ".join(words)] if words else []
+    h = [xxhash.xxh64_intdigest(p.encode(), 42) for p in parts]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+def without_windows(items, text):
+    """The text without windows, or None if they cover more than half of it."""
+    windows = set()
+    for t in items:
+        w = re.findall(WORD, lower(t))
+        n = min(10, len(w))
+        windows |= {tuple(w[k : k + n]) for k in range(len(w) - n + 1)} if n else set()
+    sizes, total, lost = {len(w) for w in windows}, None, 0
+    while True:
+        spans = [m.span() for m in re.finditer("[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+", text)]
+        words = [lower(text[a:b]) for a, b in spans]
+        total = len(words) if total is None else total
+        hit = sorted({j for n in sizes for k in range(len(words) - n + 1) if tuple(words[k : k + n]) in windows for j in range(k, k + n)})
+        if not hit:
+            return None if total and lost / total > 0.5 else text
+        lost += len(hit)
+        out, at, k = [], 0, 0
+        while k < len(hit):
+            e = k
+            while e + 1 < len(hit) and hit[e + 1] == hit[e] + 1:
+                e += 1
+            out.append(text[at : spans[hit[k]][0]])
+            at, k = spans[hit[e]][1], e + 1
+        text = "".join([*out, text[at:]])
+
+
+def test_pipeline_equals_brute_force(spark, small):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from fathomline.llm import toxicity
+
+    table = spark.read.parquet(f"{small}/documents.parquet")
+    model = toxicity.learnt(spark, table, small)
+    restorer = toxicity.Restorer(model[0])
+    docs = {r["doc_id"]: (r["text"], r["source"]) for r in table.collect()}
+    docs = {i: d for i, d in docs.items() if model[1].score(restorer.restore(d[0])[1]) < toxicity.THRESHOLD}
+    sites, owner = {}, {}
+
+    def key(line):
+        return lower(line.strip(" ")) if len([w for w in re.split("[ \t]+", line) if w]) >= 5 else None
+
+    for i, (text, source) in docs.items():
+        for k in {key(x) for x in text.split("\n")} - {None}:
+            sites.setdefault(k, set()).add(source)
+            owner[k] = min(owner.get(k, i), i)
+    texts = {i: "\n".join(x for x in t.split("\n") if key(x) is None or len(sites[key(x)]) < 3 or owner[key(x)] == i) for i, (t, _) in docs.items()}
+    fps = {i: simple_fingerprint(t) for i, t in texts.items()}
+    first = {}
+    for group in brute_components(set(fps.values())):
+        members = [i for i, f in fps.items() if f in group]
+        first[min(members)] = texts[min(members)]
+    items = [r["text"] for r in spark.read.parquet(f"{small}/benchmark.parquet").collect()]
+    final = {i: t for i, t in ((i, without_windows(items, t)) for i, t in first.items()) if t is not None}
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    tokenizer.encode_special_tokens = True
+    want = {i: [*tokenizer.encode(t, add_special_tokens=False).ids, 0] for i, t in final.items()}
+    got = {}
+    for p in sorted(corpus_pipeline.run(spark, small).collect(), key=lambda p: (p["doc_id"], p["start"])):
+        assert p["start"] == len(got.setdefault(p["doc_id"], []))
+        got[p["doc_id"]] += p["ids"]
+    assert got == want
