@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,8 +17,25 @@ BATCH_ROWS = 1000
 BATCH_BYTES = 8 << 20
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends the package to the executors, once for each application: their workers needn't share the driver's search path."""
+    sc, root = spark.sparkContext, Path(__file__).resolve().parents[1]
+    if sc.applicationId in _shipped or not root.is_dir():
+        return
+    target = Path(tempfile.mkdtemp(prefix="fathomline-")) / f"{root.name}.zip"
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
+        for p in sorted(root.rglob("*.py")):
+            z.write(p, p.relative_to(root.parent))
+    sc.addPyFile(str(target))
+    _shipped.add(sc.applicationId)
+
+
 def prepare(spark: SparkSession) -> SparkSession:
-    """Bounds Arrow batches by rows and bytes, unless the session already has smaller bounds."""
+    """Ships the package and bounds Arrow batches by rows and bytes, unless the session already has smaller bounds."""
+    ship(spark)
     for key, most in (
         ("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS),
         ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES),
