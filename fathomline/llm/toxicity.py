@@ -15,8 +15,10 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import cache, cached_property, lru_cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -48,8 +50,10 @@ _SIGNS = "".join(re.escape(s) for s in LOOK_ALIKE)
 _MIXED = re.compile(rf"[^\W\d_](?:[^\W\d_]|[{_SIGNS}*](?=[{_SIGNS}*]*[^\W\d_])|[0-9$@])*|[{_SIGNS}]+[^\W\d_](?:[^\W\d_]|[{_SIGNS}*](?=[{_SIGNS}*]*[^\W\d_])|[0-9$@])*")
 _SPREAD = re.compile(rf"(?<!\w)(?:[^\W_]|[{_SIGNS}])(?:([ ._*-])(?:[^\W_]|[{_SIGNS}]))(?:\1(?:[^\W_]|[{_SIGNS}])){{2,}}(?!\w)")
 _RUN = re.compile(r"([^\W\d_])\1{2,}")
-#: A stretch beyond this many characters is no disguised word (say, a hexadecimal key) and stays.
-LONGEST = 40
+#: Stretches of up to this many characters are remembered when decoded; longer ones are decoded each time, so that no worker keeps them.
+REMEMBERED = 40
+#: Steps of as many paths (say, through stars) are taken in arrays.
+_WIDE = 256
 _COST = {"sign": -1.0, "star": -4.0, "run": -0.7, "join": -0.5, "keep": -2.0}
 
 
@@ -107,66 +111,108 @@ def _class(letter: str) -> int:
     return int(classes(letter)[0])
 
 
-def lattice(stretch: str) -> list[list[tuple[str, float]]]:
+def lattice(stretch: str) -> Iterator[list[tuple[str, float]]]:
     """For each place the strings it may stand for, with their costs."""
-    out: list[list[tuple[str, float]]] = []
     spread = bool(_SPREAD.fullmatch(stretch))
     k = 0
     while k < len(stretch):
         ch = stretch[k]
         low = ch.lower()
         if spread and k % 2:
-            out.append([("", _COST["join"]), (" ", _COST["keep"])])
+            yield [("", _COST["join"]), (" ", _COST["keep"])]
         elif ch.isalpha():
             run = k + 1
             while run < len(stretch) and stretch[run].lower() == low:
                 run += 1
             if run - k >= 3:
-                out.append([(low, _COST["run"]), (low * 2, _COST["run"])])
+                yield [(low, _COST["run"]), (low * 2, _COST["run"])]
                 k = run
                 continue
-            out.append([(low, 0.0)])
+            yield [(low, 0.0)]
         elif ch in LOOK_ALIKE:
-            out.append([*((x, _COST["sign"]) for x in LOOK_ALIKE[ch]), (" ", _COST["keep"] * 3)])
+            yield [*((x, _COST["sign"]) for x in LOOK_ALIKE[ch]), (" ", _COST["keep"] * 3)]
         elif ch == "*":
-            out.append([*((x, _COST["star"]) for x in LETTERS), (" ", _COST["keep"] * 3)])
+            yield [*((x, _COST["star"]) for x in LETTERS), (" ", _COST["keep"] * 3)]
         else:
-            out.append([(" ", 0.0)])
+            yield [(" ", 0.0)]
         k += 1
-    return out
+
+
+def _wide(states: dict[int, tuple[float, int]], options: list[tuple[str, float]], lm: Language) -> tuple[dict[int, tuple[float, int]], array, array]:
+    """A step whose options are single signs: what decode() does for each state and option, in arrays for each class that the states end with."""
+    ends = np.array([_class(string) for string, _ in options])
+    costs = np.array([cost for _, cost in options])
+    codes, scores = np.fromiter(states, np.int64, len(states)), np.array([score for score, _ in states.values()])
+    new: dict[int, tuple[float, int]] = {}
+    came, chose = array("H"), array("B")
+    last = codes & (1 << BITS) - 1
+    for c in dict.fromkeys(last.tolist()):
+        at = np.flatnonzero(last == c)
+        paths = scores[at, None] + costs + lm.log[codes[at, None] << BITS | ends]
+        best = paths.argmax(0)
+        for k, (i, end) in enumerate(zip(best.tolist(), ends.tolist(), strict=True)):
+            new[c << BITS | end] = (float(paths[i, k]), len(came))
+            came.append(int(at[i]))
+            chose.append(k)
+    return new, came, chose
 
 
 def decode(stretch: str, lm: Language) -> str:
-    """The best path through the stretch's lattice."""
+    """The best path through the stretch's lattice, by back-pointers; where all paths meet in one state, what lies before is settled."""
     log = lm.table
-    states: dict[int, tuple[float, str]] = {0: (0.0, "")}  # by the last two classes
-    for options in [*lattice(stretch), [(" ", 0.0)]]:
-        new: dict[int, tuple[float, str]] = {}
-        for state, (score, text) in states.items():
-            for string, cost in options:
-                x, s = state, score + cost
-                for ch in string:
-                    c = _class(ch)
-                    s += log[x << BITS | c]
-                    x = (x << BITS | c) & 0xFFF
-                if x not in new or new[x][0] < s:
-                    new[x] = (s, text + string)
-        states = new
-    return max(states.values())[1].strip()
+    states: dict[int, tuple[float, int]] = {0: (0.0, 0)}  # by the last two classes: score, and number among the step's states
+    settled: list[str] = []
+    steps: list[tuple[list[tuple[str, float]], array, array]] = []  # since then: options, and for each state the one it came from and its option
+
+    def path(k: int) -> str:
+        out = []
+        for options, came, chose in reversed(steps):
+            out.append(options[chose[k]][0])
+            k = came[k]
+        return "".join(reversed(out))
+
+    for options in chain(lattice(stretch), [[(" ", 0.0)]]):
+        if len(states) * len(options) > _WIDE and all(len(string) == 1 for string, _ in options):
+            states, came, chose = _wide(states, options, lm)
+        else:
+            new: dict[int, tuple[float, int]] = {}
+            came, chose = array("H"), array("B")
+            for before, (state, (score, _)) in enumerate(states.items()):
+                for option, (string, cost) in enumerate(options):
+                    x, s = state, score + cost
+                    for ch in string:
+                        c = _class(ch)
+                        s += log[x << BITS | c]
+                        x = (x << BITS | c) & 0xFFF
+                    if x not in new:
+                        new[x] = (s, len(came))
+                        came.append(before)
+                        chose.append(option)
+                    elif new[x][0] < s:
+                        k = new[x][1]
+                        new[x] = (s, k)
+                        came[k], chose[k] = before, option
+            states = new
+        steps.append((options, came, chose))
+        if len(states) == 1:
+            settled.append(path(0))
+            steps.clear()
+    top = max(score for score, _ in states.values())
+    return ("".join(settled) + max(path(k) for score, k in states.values() if score == top)).strip()
 
 
 class Restorer:
     def __init__(self, lm: Language):
-        self.decode = lru_cache(50_000)(lambda s: decode(s, lm))
+        self.decode, self.remembered = lambda s: decode(s, lm), lru_cache(50_000)(lambda s: decode(s, lm))
         self.sign, self.trailing = np.zeros(0x20AD, bool), np.zeros(0x20AD, bool)
         self.sign[[*map(ord, LOOK_ALIKE), ord("*")]] = True
         self.trailing[[*map(ord, "0123456789@$")]] = True
 
     def _one(self, m: re.Match) -> str:
         s = m.group()
-        if len(s) > LONGEST or s.isalpha() and not _RUN.search(s.lower()) or not any(c.isalpha() for c in s):
+        if s.isalpha() and not _RUN.search(s.lower()) or not any(c.isalpha() for c in s):
             return s
-        return self.decode(s)
+        return self.remembered(s) if len(s) <= REMEMBERED else self.decode(s)
 
     def restore(self, text: str) -> tuple[str, np.ndarray]:
         """The text without disguises, and its classes. Only words with a trace of a disguise are decoded."""

@@ -222,6 +222,40 @@ def test_viterbi_restores(spark, small):
     assert r.restore("plain words stay, 42 too")[0] == "plain words stay, 42 too"
 
 
+def test_viterbi_restores_stretches_of_any_length(spark):
+    words = "you are a worthless stupid idiot"
+    lm = toxicity.language(spark.createDataFrame([(f"{words} " * 50,)], "text string"))
+    r = toxicity.Restorer(lm)
+    for n in (1, 2, 40):
+        text = " ".join([words] * n).replace(" ", "")
+        assert r.restore(" ".join(text))[0].replace(" ", "").count("stupid") == n
+    assert r.restore("st" + "u" * 60 + "pid")[0] == "stupid"
+    assert r.restore("st*pid " + "stup1d1d10t" * 30)[0] == "stupid " + "stupididiot" * 30
+
+    def whole(stretch):
+        """The best path by strings that grow along all paths."""
+        states = {0: (0.0, "")}
+        for options in [*toxicity.lattice(stretch), [(" ", 0.0)]]:
+            new = {}
+            for state, (score, text) in states.items():
+                for string, cost in options:
+                    x, s = state, score + cost
+                    for ch in string:
+                        c = toxicity._class(ch)
+                        s += lm.table[x << 6 | c]
+                        x = (x << 6 | c) & 0xFFF
+                    if x not in new or new[x][0] < s:
+                        new[x] = (s, text + string)
+            states = new
+        return max(states.values())[1].strip()
+
+    rng = random.Random(9)
+    for _ in range(300):
+        stretch = rng.choice(["", " "]).join(rng.choice("stupidao01!|*@") for _ in range(rng.randint(1, 60)))
+        stretch = stretch.replace("***", "*")
+        assert toxicity.decode(stretch, lm) == whole(stretch), stretch
+
+
 def test_chat(spark):
     rng = random.Random(4)
     parts = ["\\", "###", "</turn>", "### user:\n", "\n", "a", "é", "<", ":", "#"]
