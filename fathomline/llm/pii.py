@@ -3,6 +3,9 @@
 Regular expressions propose spans; checksums (Luhn, mod 97) and other bounds confirm them; words near a span raise its score. Spans of the base
 kinds stay whatever their score; those of the added kinds need LEAST_SCORE.
 
+Account numbers (IBAN) are looked ahead for: a candidate may take in words behind it, and the longest part of it that has its country's length
+and passes mod 97 is the span.
+
 Positions come from the pieces that a text falls into at the matches, so no text is searched again for each of its spans. The expressions are
 possessive and start where a run starts (or where the last match ended), which finds what greedy ones find, in linear time.
 
@@ -24,6 +27,7 @@ CONTEXT_BONUS = 0.4
 #: Characters before and after a span in which context words count.
 BEFORE, AFTER = 40, 20
 _BLOCK = 64
+_SPANS = "array<struct<kind:string,start:int,end:int,score:double,base:boolean>>"
 
 
 @dataclass(frozen=True)
@@ -35,6 +39,8 @@ class Kind:
     score: float
     context: str
     base: bool
+    #: Where group 1 looks ahead for a candidate: the characters of the text that a match itself takes.
+    taken: int = 0
 
 
 # The shapes of the kinds and the words that speak for them.
@@ -43,11 +49,17 @@ KINDS = (
     Kind("ip", r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}+", r"[0-9]\.[0-9]", 0.6, "ip|host|server|address|client", True),
     Kind("card", r"[0-9](?:[\x20-]?[0-9]){15,}+", r"[0-9](?:[\x20-]?[0-9]){15}", 0.8, "card|visa|mastercard|credit|debit|amex", True),
     Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", r"\+[0-9]", 0.7, "phone|tel|call|mobile|fax", True),
-    Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+(?![A-Za-z0-9])", r"[A-Z]{2}[0-9]{2}", 0.7, "iban|account|bank|konto|cuenta|compte", False),
+    Kind("iban", r"(?<![A-Za-z0-9])(?=([A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+[A-Za-z0-9]?+))[A-Z]{2}[0-9]{2}", r"[A-Z]{2}[0-9]{2}", 0.7, "iban|account|bank|konto|cuenta|compte", False, 4),
     Kind("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", r"[0-9]-[0-9]{2}-[0-9]", 0.4, "ssn|social security", False),
     Kind("local_phone", r"(?<![0-9+-]|\+[0-9]{1,3}[\x20-])\(?[2-9][0-9]{2}\)?[\x20.-][0-9]{3}[.-][0-9]{4}(?![0-9-])", r"[0-9][.-][0-9]{4}", 0.3, "phone|tel|call|mobile|fax", False),
 )
 
+#: Characters of an account number by country. Where a country isn't listed, any from 15 to 34 will do.
+IBAN_LENGTH = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL",
+    24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+
 
 def digits(c: Column) -> Column:
     return F.regexp_replace(c, "[^0-9]", "")
@@ -76,6 +88,26 @@ def mod97(iban: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.length(turned)), F.lit(0), step) == 1
 
 
+def account(candidate: Column) -> Column:
+    """The longest part of an IBAN's candidate that ends at a word's end, has its country's length and passes mod 97; null if none does.
+
+    A candidate may run on into the words behind the account, and has one character more where its own last word goes on.
+    """
+
+    def bare(c: Column) -> Column:
+        return F.replace(c, F.lit(" "), F.lit(""))
+
+    cut = candidate.rlike("[a-z]$") | (F.length(bare(candidate)) > 34)
+    words = F.split(candidate, " ")
+    n = F.size(words) - cut.cast("int")
+    parts = F.transform(F.filter(F.sequence(F.lit(1), F.size(words)), lambda j: j <= n), lambda j: F.array_join(F.slice(words, F.lit(1), j), " "))
+    country, size = F.left(candidate, F.lit(2)), F.lit(None).cast("int")
+    for length, names in IBAN_LENGTH.items():
+        size = F.when(country.isin(*names.split()), length).otherwise(size)
+    good = F.filter(parts, lambda p: F.when(F.length(bare(p)).between(F.coalesce(size, F.lit(15)), F.coalesce(size, F.lit(34))), mod97(bare(p))).otherwise(False))
+    return F.try_element_at(good, F.lit(-1))
+
+
 def confirmed(kind: str, match: Column) -> Column:
     if kind == "ip":
         return match.rlike(r"^0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})(?:\.0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})){3}$")
@@ -85,7 +117,7 @@ def confirmed(kind: str, match: Column) -> Column:
     if kind == "phone":
         return F.length(digits(match)).between(8, 15)
     if kind == "iban":
-        return mod97(F.regexp_replace(match, " ", ""))
+        return match.isNotNull()
     return F.lit(True)
 
 
@@ -111,30 +143,40 @@ def with_spans(docs: DataFrame, kinds: tuple[Kind, ...] = KINDS, least: float =
     out = docs.withColumn(text, text_of(docs))
     matches, pieces, starts = ({k.name: free_name(docs, f"_{what}_{k.name}") for k in kinds} for what in ("matches", "pieces", "starts"))
     hints = {k.name: F.col(text).contains(k.hint) if k.hint == "@" else F.col(text).rlike(k.hint) for k in kinds}
-    out = out.select("*", *(F.when(hints[k.name], F.regexp_extract_all(F.col(text), F.lit(k.pattern), F.lit(0))).otherwise(F.array().cast("array<string>")).alias(matches[k.name]) for k in kinds))
+    out = out.select("*", *(F.when(hints[k.name], F.regexp_extract_all(F.col(text), F.lit(k.pattern), F.lit(int(k.taken > 0)))).otherwise(F.array().cast("array<string>")).alias(matches[k.name]) for k in kinds))
     out = out.select("*", *(F.when(F.size(matches[k.name]) > 0, F.split(F.col(text), k.pattern, -1)).alias(pieces[k.name]) for k in kinds))
     out = out.drop(text)
 
     def steps(k: Kind) -> Column:
         m, p = F.col(matches[k.name]), F.col(pieces[k.name])
+        if k.taken:
+            return F.transform(F.slice(p, F.lit(1), F.size(m)), lambda a, i: F.length(a) + F.when(i > 0, k.taken).otherwise(0))
         return F.zip_with(F.slice(p, F.lit(1), F.size(m)), F.slice(F.concat(F.array(F.lit("")), m), F.lit(1), F.size(m)), lambda a, b: F.length(a) + F.length(b))
 
     out = out.select("*", *(F.when(F.col(pieces[k.name]).isNotNull(), running(steps(k))).alias(starts[k.name]) for k in kinds))
+    out = out.withColumns({matches[k.name]: F.transform(matches[k.name], account) for k in kinds if k.taken})
 
     def spans(k: Kind) -> Column:
         m, p, s = F.col(matches[k.name]), F.col(pieces[k.name]), F.col(starts[k.name])
 
         def one(match: Column, i: Column) -> Column:
-            near = F.concat_ws(" ", F.right(F.element_at(p, i + 1), F.lit(BEFORE)), F.left(F.element_at(p, i + 2), F.lit(AFTER)))
+            after = F.substring(F.element_at(p, i + 2), F.length(match) - k.taken + 1, F.lit(AFTER)) if k.taken else F.left(F.element_at(p, i + 2), F.lit(AFTER))
+            near = F.concat_ws(" ", F.right(F.element_at(p, i + 1), F.lit(BEFORE)), after)
             score = k.score + F.when(near.rlike(rf"(?i)(?<![a-z])(?:{k.context})"), CONTEXT_BONUS).otherwise(0.0)
             start = F.element_at(s, i + 1)
             return F.struct(F.lit(k.name).alias("kind"), start.alias("start"), (start + F.length(match)).alias("end"), F.least(score, F.lit(1.0)).alias("score"), F.lit(k.base).alias("base"), confirmed(k.name, match).alias("good"))
 
         kept = F.filter(F.transform(m, one), lambda x: x["good"] & (x["base"] | (x["score"] >= least)))
         bare = F.transform(kept, lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end"), x["score"].alias("score"), x["base"].alias("base")))
-        return F.when(s.isNotNull(), bare).otherwise(F.array().cast("array<struct<kind:string,start:int,end:int,score:double,base:boolean>>"))
+        return F.when(s.isNotNull(), bare).otherwise(F.array().cast(_SPANS))
+
+    def apart(found: Column) -> Column:
+        """Without spans that begin within the one before."""
+        start = F.struct(F.array().cast(_SPANS).alias("out"), F.lit(0).alias("end"))
+        return F.aggregate(found, start, lambda s, x: F.when(x["start"] < s["end"], s).otherwise(F.struct(F.concat(s["out"], F.array(x)).alias("out"), x["end"].alias("end"))), lambda s: s["out"])
 
-    return out.select(*(F.col(f"`{c}`") for c in names), F.concat(*(spans(k) for k in kinds)).alias("spans" if "spans" not in names else free_name(docs, "spans")))
+    every = F.concat(*(apart(spans(k)) if k.taken else spans(k) for k in kinds))
+    return out.select(*(F.col(f"`{c}`") for c in names), every.alias("spans" if "spans" not in names else free_name(docs, "spans")))
 
 
 def _listed(spans: Column) -> Column:

@@ -153,6 +153,34 @@ def test_pii_adds_by_checksum_and_context(spark, odd):
     assert out.columns == [*odd.columns, "spans"] and out.count() == len(ODD) and pii.with_spans(odd.limit(0)).count() == 0
 
 
+def test_iban_ends_where_the_account_ends(spark):
+    de, gb, fr = "DE89 3704 0044 0532 0130 00", "GB82 WEST 1234 5698 7654 32", "FR1420041010050500013M02606"
+    bare = de.replace(" ", "")
+    good = [(f"IBAN {bare} Thank you", [bare]), (f"{de} BIC COBADEFF", [de]), (f"{de} 17 EUR", [de]), (f"{bare} {gb} {fr} A", [bare, gb, fr]), (f"{gb}, {de}", [gb, de]), (f"É {fr} ÉA", [fr])]
+    bad = [(f"{bare}X", []), (f"{bare}x", []), (f"X{bare}", []), (de.replace("89", "88", 1) + " BIC", []), ("DE89 3704", []), ("AB12 " * 9, []), ("", [])]
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(good + bad)], "doc_id long, text string")
+    for r in pii.with_spans(df).collect():
+        text, want = (good + bad)[r["doc_id"]]
+        assert [text[s["start"] : s["end"]] for s in r["spans"] if s["kind"] == "iban"] == want, text
+
+    def passes(s):
+        return {"DE": 22, "GB": 22, "FR": 27}.get(s[:2], len(s)) == len(s) and 15 <= len(s) <= 34 and int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97 == 1
+
+    rng = random.Random(12)
+    parts = [de, gb, fr, bare, "GB82WEST12345698765432", "AB12", "A", "7", "x", "BIC COBADEFF", "\n", ",", "é", "DE89", "0" * 30]
+    texts = ["".join(rng.choice(parts) + rng.choice(["", " ", " "]) for _ in range(rng.randint(1, 12))) for _ in range(1500)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    for r in pii.with_spans(df).collect():
+        text, want, at = texts[r["doc_id"]], [], 0
+        for m in re.finditer(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}", text):
+            body = re.match(r"[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9])*", text[m.start() :]).group()
+            ends = [m.start() + n for n in range(15, len(body) + 1) if body[n - 1] != " " and not re.match("[A-Za-z0-9]", text[m.start() + n :]) and passes(body[:n].replace(" ", ""))]
+            if ends and m.start() >= at:
+                at = max(ends)
+                want.append((m.start(), at))
+        assert [(s["start"], s["end"]) for s in r["spans"] if s["kind"] == "iban"] == want, text
+
+
 def test_quality_measures_equal_brute_force(spark, odd):
     rng = random.Random(3)
     for _ in range(400):
