@@ -5,7 +5,8 @@ hit; an item of fewer words is hit where all of it occurs. clean() removes the w
 than a limit of it.
 
 The automaton goes to the executors as a broadcast only up to AUTOMATON_WORDS words. More items are dealt into automata of that size, which the
-documents pass one after another, each pass a written table: memory doesn't grow with the benchmark.
+documents pass one after another, each pass a written table: memory doesn't grow with the benchmark. clean() merges the hits of all automata before
+it judges or cuts a text, so its result doesn't depend on how the items are dealt.
 
 Nulls and edge cases: a null text (of a document or an item) and one without words have no hits and no windows; items of the same words count each;
 a null item_id is left out; an empty benchmark hits nothing; empty tables give no rows; extra columns are kept by clean(), left out by hits().
@@ -217,47 +218,109 @@ def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFra
     return by_batch(state, "doc_id long, n_words long, starts array<long>, ends array<long>, items array<long>", finish)
 
 
+def _cut(text: str, ranges: list[tuple[int, int]]) -> tuple[str, int]:
+    """text without the words of ranges (and what lies between them); the words it lost."""
+    spans = [m.span() for m in _WORD.finditer(text)]
+    out, at = [], 0
+    for a, b in ranges:
+        out.append(text[at : spans[a][0]])
+        at = spans[b - 1][1]
+    return "".join([*out, text[at:]]), sum(b - a for a, b in ranges)
+
+
 def without(text: str, find) -> tuple[str, int, int]:
-    """text without the words of hits (and what lies between them), until none is left; the words it had and lost. find: words -> ranges."""
+    """text without the words of hits, until none is left; the words it had and lost. find: words -> ranges."""
     sequence = words(text)
     total, lost = len(sequence), 0
     while ranges := find(sequence):
-        spans = [m.span() for m in _WORD.finditer(text)]
-        out, at = [], 0
-        for a, b in ranges:
-            out.append(text[at : spans[a][0]])
-            at = spans[b - 1][1]
-            lost += b - a
-        text = "".join([*out, text[at:]])
+        text, n = _cut(text, ranges)
+        lost += n
         sequence = words(text)
     return text, total, lost
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage: float = COVERAGE) -> DataFrame:
-    """docs without hit words; without the documents of which hits cover more than coverage. Documents without hits stay as they are."""
-    spark = prepare(docs.sparkSession)
+def _cleaned(docs: DataFrame, shared, coverage: float) -> DataFrame:
+    """clean() by one automaton that holds all items."""
     names = docs.columns
     mark = free_name(docs, "_lost")
-    for automaton in automata(benchmark, window):
-        shared = spark.sparkContext.broadcast(automaton)
 
-        @F.pandas_udf("text string, share double")
-        def cut(texts, shared=shared):
-            import pandas as pd
-
-            held(__name__, dict)
-            found, out = shared.value, []
-            for text in texts:
-                if text is None:
-                    out.append((None, 0.0))
-                    continue
-                new, total, lost = without(text, lambda s: found.hits(s)[0])
-                out.append((new, lost / total if total else 0.0))
-            return pd.DataFrame(out, columns=["text", "share"])
-
-        docs = docs.withColumn(mark, cut(docs["text"])).where(F.col(f"{mark}.share") <= coverage)
-        docs = docs.select(*(F.col(f"{mark}.text").alias("text") if c == "text" else F.col(f"`{c}`") for c in names))
-    return docs
+    @F.pandas_udf("text string, share double")
+    def cut(texts):
+        import pandas as pd
+
+        held(__name__, dict)
+        found, out = shared.value, []
+        for text in texts:
+            if text is None:
+                out.append((None, 0.0))
+                continue
+            new, total, lost = without(text, lambda s: found.hits(s)[0])
+            out.append((new, lost / total if total else 0.0))
+        return pd.DataFrame(out, columns=["text", "share"])
+
+    docs = docs.withColumn(mark, cut(docs["text"])).where(F.col(f"{mark}.share") <= coverage)
+    return docs.select(*(F.col(f"{mark}.text").alias("text") if c == "text" else F.col(f"`{c}`") for c in names))
+
+
+def _marked(docs: DataFrame, at: str, shared) -> DataFrame:
+    """docs with the hits of one more automaton merged into the column `at`: from, to, from, to ... in words of text."""
+
+    @F.pandas_udf("array<long>")
+    def find(texts, before):
+        import pandas as pd
+
+        held(__name__, dict)
+        found, out = shared.value, []
+        for text, had in zip(texts, before, strict=True):
+            had = had.tolist()
+            new = [] if text is None else found.hits(words(text))[0]
+            out.append([x for r in _merged([*zip(had[::2], had[1::2], strict=True), *new]) for x in r] if new else had)
+        return pd.Series(out, dtype=object)
+
+    return docs.withColumn(at, find(docs["text"], docs[at]))
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage: float = COVERAGE) -> DataFrame:
+    """docs without hit words; without the documents of which hits cover more than coverage. Documents without hits stay as they are.
+
+    With more than one automaton, the hits of all are merged, each pass a written table, before any word is cut; the documents that were cut go
+    round again until no automaton hits them. So neither the result nor the memory depends on how many automata there are.
+    """
+    spark = prepare(docs.sparkSession)
+    names = docs.columns
+    at, lost, total = (free_name(docs, x) for x in ("_at", "_lost", "_total"))
+
+    @F.pandas_udf("text string, n long, words long")
+    def cut(texts, ranges):
+        import pandas as pd
+
+        out = []
+        for text, r in zip(texts, ranges, strict=True):
+            new, n = _cut(text, list(zip(r.tolist()[::2], r.tolist()[1::2], strict=True)))
+            out.append((new, n, len(words(text))))
+        return pd.DataFrame(out, columns=["text", "n", "words"])
+
+    todo = docs.withColumns({"text": docs["text"].cast("string"), lost: F.lit(0).cast("long"), total: F.lit(None).cast("long")})
+    done: DataFrame | None = None
+    while True:
+        state, passes = todo.withColumn(at, F.array().cast("array<bigint>")), 0
+        for automaton in automata(benchmark, window):
+            if passes:
+                state = cut_lineage(state)
+            shared = spark.sparkContext.broadcast(automaton)
+            state = _marked(state, at, shared)
+            passes += 1
+        if done is None and passes < 2:
+            return _cleaned(docs, shared, coverage) if passes else docs
+        state = cut_lineage(state)
+        whole = state.where(F.size(at) == 0).select(*(F.col(f"`{c}`") for c in names))
+        done = whole if done is None else done.unionByName(whole)
+        new = free_name(state, "_new")
+        todo = state.where(F.size(at) > 0).withColumn(new, cut(F.col("text"), F.col(at)))
+        todo = todo.withColumns({"text": F.col(f"{new}.text"), lost: F.col(lost) + F.col(f"{new}.n"), total: F.coalesce(F.col(total), F.col(f"{new}.words"))}).drop(new, at)
+        todo = cut_lineage(todo.where(F.col(lost) / F.col(total) <= coverage))
+        if todo.isEmpty():
+            return done
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -64,6 +64,25 @@ def test_hits_and_clean(spark, monkeypatch, most):
     assert decontaminate.clean(docs.limit(0), bench).count() == 0
 
 
+def test_clean_does_not_depend_on_how_items_are_dealt(spark, monkeypatch):
+    rng = random.Random(11)
+    first, second, third = (" ".join(f"{x}{k}" for k in range(10)) for x in "abc")
+    over = " ".join([*(f"a{k}" for k in range(5, 10)), *(f"d{k}" for k in range(5))])
+    items = [first, second, third, over, *(" ".join(rng.choice("xyz") for _ in range(12)) for _ in range(6)), "short one"]
+    most = " ".join(f"own{k}" for k in range(5))
+    texts = [f"{first} {most} {second}", f"{first} {most} {most}", f"{first} d0 d1 d2 d3 d4 " + " ".join(f"w{k}" for k in range(40)), None, "", most]
+    # a window that shows after another has been cut, twice
+    texts.append(" ".join([*(f"a{k}" for k in range(5)), *(f"b{k}" for k in range(3)), *third.split(), *(f"b{k}" for k in range(3, 10)), *(f"a{k}" for k in range(5, 10)), *(f"w{k}" for k in range(40))]))
+    texts += [" ".join([*(rng.choice("xyz") for _ in range(rng.randint(0, 60))), *(f"w{k}" for k in range(rng.randint(0, 40)))]) for _ in range(40)]
+    docs = spark.createDataFrame([(i % 30, t, i) for i, t in enumerate(texts)], "doc_id long, text string, _at long")
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    want = [(i, t) for i, t in ((i, t and without_windows(items, t)) for i, t in enumerate(texts)) if t is not None or texts[i] is None]
+    for words in (decontaminate.AUTOMATON_WORDS, 25, 1):
+        monkeypatch.setattr(decontaminate.automata, "__defaults__", (decontaminate.WINDOW, words))
+        out = decontaminate.clean(docs, bench)
+        assert out.columns == docs.columns and sorted((r["_at"], r["text"]) for r in out.collect()) == want, words
+
+
 def test_line_dedup(spark):
     passage = "a passage of more than five words that sites share"
     rows = [(5, f"own line of the fifth document here\n{passage}", "s1"), (2, f"{passage}\nhead of two is long enough too", "s2"), (3, f"x\n  {passage.upper()} ", "s3"), (4, passage, None), (6, passage, "s1"), (7, None, "s4"), (8, "", "s5"), (9, "of few words\n" * 3, "s6"), (10, "of few words", "s7"), (11, "of few words", "s8"), (None, f"{passage}\nz", "s9"), (12, "twice on two sites but not on three", "s1"), (13, "twice on two sites but not on three", "s2"), (12, "twice on two sites but not on three", "s1")]
