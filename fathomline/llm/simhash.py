@@ -230,19 +230,22 @@ def representatives(docs: DataFrame) -> DataFrame:
     A component without any doc_id keeps one row, of the fingerprint that is its root.
     """
     named = grouped(docs)
-    kept = named.where("doc_id = component_id").select("doc_id").distinct()
-    out = docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
-    if not named.groupBy("doc_id").count().where("count > 1 and doc_id is not null").isEmpty():
-        out = out.dropDuplicates(["doc_id"])
-    bare = named.where("doc_id is null and component_id is null and fp = root").select("fp").distinct()
-    if bare.isEmpty():
-        return out
-    mark, at = free_name(docs, "_fp"), free_name(docs, "_at")
+    mark, at, group, own = (free_name(docs, x) for x in ("_fp", "_at", "_root", "_own"))
 
     @F.pandas_udf("long")
     def digest(texts: pd.Series) -> pd.Series:
         return pd.Series(np.array([fingerprint(t) for t in texts], np.uint64).view(np.int64))
 
+    kept = named.where("doc_id = component_id")
+    out = docs.join(kept.select("doc_id").distinct(), "doc_id", "left_semi").select(*docs.columns)
+    if not named.groupBy("doc_id").count().where("count > 1 and doc_id is not null").isEmpty():
+        # rows that share a doc_id may lie in several components: each row goes by its own fingerprint
+        roots = kept.select(F.col("doc_id").alias(own), F.col("fp").alias(at), F.col("root").alias(group)).distinct()
+        out = out.withColumn(mark, digest(text_of(out)))
+        out = out.join(roots, (out["doc_id"] == F.col(own)) & (F.col(mark) == F.col(at))).dropDuplicates(["doc_id", group]).select(*docs.columns)
+    bare = named.where("doc_id is null and component_id is null and fp = root").select("fp").distinct()
+    if bare.isEmpty():
+        return out
     nameless = docs.where(docs["doc_id"].isNull()).withColumn(mark, digest(text_of(docs)))
     one = nameless.join(bare.select(F.col("fp").alias(at)), F.col(mark) == F.col(at), "left_semi").dropDuplicates([mark])
     return out.unionByName(one.select(*docs.columns))

@@ -191,6 +191,17 @@ def test_near_duplicates(spark):
     assert simhash.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_representatives_of_rows_that_share_a_doc_id(spark):
+    a, b, c = (" ".join(f"{x}{k}" for k in range(400)) for x in "abc")
+    rows = [(5, a), (5, b), (3, a + " tail"), (5, a), (7, c), (7, c + " tail"), (7, c), (8, b), (9, ""), (9, None), (9, "of its own"), (2, "apart"), (2, "other words"), (None, "nameless"), (None, a)]
+    docs = spark.createDataFrame([(*r, 0, 0) for r in rows], "doc_id int, text string, _fp int, _root int")
+    out = simhash.representatives(docs)
+    got = sorted(((r["doc_id"], r["text"]) for r in out.collect()), key=str)
+    same = {c + " tail": c, None: ""}
+    assert out.columns == docs.columns
+    assert sorted(((i, same.get(t, t)) for i, t in got), key=str) == sorted([(3, a + " tail"), (5, b), (7, c), (9, ""), (9, "of its own"), (2, "apart"), (2, "other words"), (None, "nameless")], key=str)
+
+
 def test_pipeline_runs_and_keeps_columns(spark, small):
     docs = spark.read.parquet(f"{small}/documents.parquet")
     columns, ids = docs.columns, {r["doc_id"] for r in docs.select("doc_id").collect()}
