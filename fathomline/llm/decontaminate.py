@@ -258,7 +258,8 @@ def _cleaned(docs: DataFrame, shared, coverage: float) -> DataFrame:
             out.append((new, lost / total if total else 0.0))
         return pd.DataFrame(out, columns=["text", "share"])
 
-    docs = docs.withColumn(mark, cut(docs["text"])).where(F.col(f"{mark}.share") <= coverage)
+    # not to be pushed below the condition: that would run it twice, each time in a worker with the automaton
+    docs = docs.withColumn(mark, cut.asNondeterministic()(docs["text"])).where(F.col(f"{mark}.share") <= coverage)
     return docs.select(*(F.col(f"{mark}.text").alias("text") if c == "text" else F.col(f"`{c}`") for c in names))
 
 
@@ -307,16 +308,18 @@ def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage:
         for automaton in automata(benchmark, window):
             if passes:
                 state = cut_lineage(state)
+                shared.destroy()
             shared = spark.sparkContext.broadcast(automaton)
             state = _marked(state, at, shared)
             passes += 1
         if done is None and passes < 2:
             return _cleaned(docs, shared, coverage) if passes else docs
         state = cut_lineage(state)
+        shared.destroy()
         whole = state.where(F.size(at) == 0).select(*(F.col(f"`{c}`") for c in names))
         done = whole if done is None else done.unionByName(whole)
         new = free_name(state, "_new")
-        todo = state.where(F.size(at) > 0).withColumn(new, cut(F.col("text"), F.col(at)))
+        todo = state.where(F.size(at) > 0).withColumn(new, cut.asNondeterministic()(F.col("text"), F.col(at)))
         todo = todo.withColumns({"text": F.col(f"{new}.text"), lost: F.col(lost) + F.col(f"{new}.n"), total: F.coalesce(F.col(total), F.col(f"{new}.words"))}).drop(new, at)
         todo = cut_lineage(todo.where(F.col(lost) / F.col(total) <= coverage))
         if todo.isEmpty():

@@ -83,6 +83,29 @@ def test_clean_does_not_depend_on_how_items_are_dealt(spark, monkeypatch):
         assert out.columns == docs.columns and sorted((r["_at"], r["text"]) for r in out.collect()) == want, words
 
 
+def test_clean_holds_one_automaton_at_a_time(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"text {i} of words") for i in range(20)], "doc_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(f"i{i}w{k}" for k in range(12))) for i in range(6)], "item_id long, text string")
+    live, most, sc = set(), [], spark.sparkContext
+    put, plan = type(sc).broadcast, lambda df: df._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython")
+
+    def broadcast(self, value):
+        out = put(self, value)
+        if isinstance(value, decontaminate.Automaton):
+            live.add(id(out))
+            most.append(len(live))
+            end = out.destroy
+            monkeypatch.setattr(out, "destroy", lambda *a: (live.discard(id(out)), end(*a)), raising=False)
+        return out
+
+    monkeypatch.setattr(type(sc), "broadcast", broadcast)
+    assert plan(decontaminate.clean(docs, bench)) == 1
+    live.clear()
+    monkeypatch.setattr(decontaminate.automata, "__defaults__", (decontaminate.WINDOW, 12))
+    out = decontaminate.clean(docs, bench)
+    assert plan(out) == 0 and max(most) == 1 and len(most) == 7 and out.count() == 20
+
+
 def test_line_dedup(spark):
     passage = "a passage of more than five words that sites share"
     rows = [(5, f"own line of the fifth document here\n{passage}", "s1"), (2, f"{passage}\nhead of two is long enough too", "s2"), (3, f"x\n  {passage.upper()} ", "s3"), (4, passage, None), (6, passage, "s1"), (7, None, "s4"), (8, "", "s5"), (9, "of few words\n" * 3, "s6"), (10, "of few words", "s7"), (11, "of few words", "s8"), (None, f"{passage}\nz", "s9"), (12, "twice on two sites but not on three", "s1"), (13, "twice on two sites but not on three", "s2"), (12, "twice on two sites but not on three", "s1")]
