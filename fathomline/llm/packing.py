@@ -117,14 +117,13 @@ def packed(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
 
         bins = Packer(emit, capacity)
         for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = enc.encode(text.as_py())
-                ids = np.append(ids, np.array([end_id], ids.dtype))
-                at = 0
-                for n in cuts(len(ids), capacity):
-                    # a copy of what a bin keeps, lest it hold its whole document
-                    bins.add((doc, at, ids[at : at + n].copy(), len(ids)))
-                    at += n
+            ids, ends = enc.encode_column(batch.column(1), end_id)
+            for doc, at, end in zip(batch.column(0).to_pylist(), ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+                start = 0
+                for n in cuts(end - at, capacity):
+                    # a copy of what a bin keeps, lest it hold its whole batch
+                    bins.add((doc, start, ids[at + start : at + start + n].copy(), end - at))
+                    start += n
                 if len(out) >= 1024:
                     yield rows()
         bins.end()

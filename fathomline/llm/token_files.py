@@ -27,7 +27,8 @@ SCALE = 16
 TOTAL = 1 << SCALE
 LANES = 1024
 BLOCK_IDS = 1 << 18
-SEGMENT_IDS = 1 << 21
+#: A segment ends with the document that reaches either.
+SEGMENT_IDS, SEGMENT_DOCS = 1 << 21, 1 << 16
 SEGMENT = (
     "part int, segment int, part_start long, n_ids long, doc_ids array<long>, doc_lengths array<long>, symbols binary, frequencies binary, blocks array<binary>, checks array<long>"
 )
@@ -156,25 +157,31 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, part, segment, start = encoder(tokenizer), TaskContext.get().partitionId(), 0, 0
         names: list = []
-        pieces: list[np.ndarray] = []
+        lengths: list[int] = []
+        pieces: list[np.ndarray] = []  # runs of ids of whole documents
         held = 0
 
         def flush() -> pa.RecordBatch:
             nonlocal segment, start, held
-            row = {"part": part, "segment": segment, "part_start": start, "doc_ids": names[:], "doc_lengths": [len(p) for p in pieces]} | encode_segment(pieces)
+            row = {"part": part, "segment": segment, "part_start": start, "doc_ids": names[:], "doc_lengths": lengths[:]} | encode_segment(pieces)
             segment, start, held = segment + 1, start + held, 0
-            names.clear()
-            pieces.clear()
+            for kept in (names, lengths, pieces):
+                kept.clear()
             return pa.RecordBatch.from_pylist([row], schema=schema)
 
         for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = enc.encode(text.as_py())
+            ids, at = enc.encode_column(batch.column(1), end_id)
+            begun = 0
+            for k, (doc, n) in enumerate(zip(batch.column(0).to_pylist(), np.diff(at).tolist(), strict=True), 1):
                 names.append(doc)
-                pieces.append(np.append(ids, np.array([end_id], ids.dtype)))
-                held += len(ids) + 1
-                if held >= SEGMENT_IDS:
+                lengths.append(n)
+                held += n
+                if held >= SEGMENT_IDS or len(names) >= SEGMENT_DOCS:
+                    pieces.append(ids[at[begun] : at[k]])
+                    begun = k
                     yield flush()
+            if begun < batch.num_rows:
+                pieces.append(ids[at[begun] :])
         if names:
             yield flush()
 
