@@ -4,9 +4,9 @@ Training words stream through the automaton, which tracks the longest match that
 hit; an item of fewer words is hit where all of it occurs. clean() removes the words of hits from the text, or the document where hits cover more
 than a limit of it.
 
-The automaton goes to the executors as a broadcast only up to AUTOMATON_WORDS words. More items are dealt into automata of that size, which the
-documents pass one after another, each pass a written table: memory doesn't grow with the benchmark. clean() merges the hits of all automata before
-it judges or cuts a text, so its result doesn't depend on how the items are dealt.
+The automaton goes to the executors as a broadcast only up to AUTOMATON_WORDS words. More items are dealt into automata of that size, each a pass
+that reads the documents and writes keys and hits, no text: memory doesn't grow with the benchmark. clean() merges the hits of all automata before it
+judges or cuts a text, so its result doesn't depend on how the items are dealt.
 
 Nulls and edge cases: a null text (of a document or an item) and one without words have no hits and no windows; items of the same words count each;
 a null item_id is left out; an empty benchmark hits nothing; empty tables give no rows; extra columns are kept by clean(), left out by hits().
@@ -15,17 +15,19 @@ a null item_id is left out; an empty benchmark hits nothing; empty tables give n
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import by_batch, cut_lineage, free_name, held, prepare, table, text_of
+from .common import by_batch, cut_lineage, free_name, held, prepare, stored, table, text_of
 
 WINDOW = 10
-AUTOMATON_WORDS = 1_000_000
+AUTOMATON_WORDS = 500_000
 #: A document whose hit words exceed this share goes as a whole.
 COVERAGE = 0.5
 
@@ -39,76 +41,101 @@ def words(text: str) -> list[bytes]:
 
 
 class Automaton:
-    """Suffix automaton of several word sequences."""
+    """Suffix automaton of several word sequences, in arrays: about 50 bytes for each word of the items, and 200 for each distinct one.
+
+    Most states have one move, which lies in `word` and `to`; `more` has the others of the states that branch. No move leads to the root, so 0 is none.
+    """
 
     def __init__(self, items: list[tuple[int, str]], window: int = WINDOW):
         self.window = window
         self.ids: dict[bytes, int] = {}
-        self.next: list[dict[int, int]] = [{}]
-        self.link, self.length = [-1], [0]
-        sequences = [(item, [self.ids.setdefault(w, len(self.ids)) for w in words(text)]) for item, text in items]
+        self.word, self.to, self.more = array("i", [-1]), array("i", [0]), {}
+        self.link, self.length = array("i", [-1]), array("i", [0])
+        sequences = [(item, array("i", [self.ids.setdefault(w, len(self.ids)) for w in words(text)])) for item, text in items]
         for _, sequence in sequences:
             last = 0
             for w in sequence:
                 last = self._extend(last, w)
-        n = len(self.next)
-        order = sorted(range(1, n), key=self.length.__getitem__)
+        n = len(self.link)
+        order = np.argsort(np.asarray(self.length), kind="stable")[1:].tolist()
         # the state of the last window words, for every state that matches as many
-        self.of_window = [0] * n
+        self.of_window = array("i", bytes(4 * n))
         for v in order:
             if self.length[v] >= window:
                 up = self.link[v]
                 self.of_window[v] = self.of_window[up] if self.length[up] >= window else v
-        self.items: dict[int, set[int]] = {}
+        at, who = array("i"), array("q")
         self.short: dict[int, list[tuple[int, int]]] = {}
         self.shortest = window
         for item, sequence in sequences:
             v = 0
             for k, w in enumerate(sequence):
-                v = self.next[v][w]
+                v = self._move(v, w)
                 # v's longest text may be longer than this prefix, but of_window is the same for all that reach the window
                 if k + 1 >= window:
-                    self.items.setdefault(self.of_window[v], set()).add(item)
+                    at.append(self.of_window[v])
+                    who.append(item)
             if 0 < len(sequence) < window:
                 self.short.setdefault(v, []).append((len(sequence), item))
                 self.shortest = min(self.shortest, len(sequence))
+        # the items of a window's state lie from first[state] on
+        pairs = np.unique(np.stack([np.asarray(at, np.int64), np.asarray(who, np.int64)], 1), axis=0)
+        self.owners = array("q", pairs[:, 1].tobytes())
+        self.first = array("i", np.searchsorted(pairs[:, 0], np.arange(n + 1)).astype("i").tobytes())
         # the nearest state, itself first, of the suffix links at which a short item ends
-        self.of_short = [0] * n
-        for v in order:
-            self.of_short[v] = v if v in self.short else self.of_short[self.link[v]]
+        self.of_short = array("i", bytes(4 * n))
+        if self.short:
+            for v in order:
+                self.of_short[v] = v if v in self.short else self.of_short[self.link[v]]
+
+    def _move(self, v: int, w: int) -> int:
+        if self.word[v] == w:
+            return self.to[v]
+        more = self.more.get(v)
+        return more.get(w, 0) if more else 0
+
+    def _set(self, v: int, w: int, q: int) -> None:
+        if self.word[v] == w or self.word[v] < 0:
+            self.word[v], self.to[v] = w, q
+        else:
+            self.more.setdefault(v, {})[w] = q
 
-    def _new(self, length: int, link: int, moves: dict[int, int]) -> int:
+    def _new(self, length: int, link: int, like: int | None = None) -> int:
+        """A state, with the moves of another if given."""
+        new = len(self.link)
         self.length.append(length)
         self.link.append(link)
-        self.next.append(moves)
-        return len(self.next) - 1
+        self.word.append(-1 if like is None else self.word[like])
+        self.to.append(0 if like is None else self.to[like])
+        if like is not None and like in self.more:
+            self.more[new] = dict(self.more[like])
+        return new
 
     def _split(self, p: int, w: int, q: int) -> int:
         """A state for the texts of q that p and w make."""
         if self.length[q] == self.length[p] + 1:
             return q
-        clone = self._new(self.length[p] + 1, self.link[q], dict(self.next[q]))
+        clone = self._new(self.length[p] + 1, self.link[q], q)
         self.link[q] = clone
-        while p >= 0 and self.next[p].get(w) == q:
-            self.next[p][w] = clone
+        while p >= 0 and self._move(p, w) == q:
+            self._set(p, w, clone)
             p = self.link[p]
         return clone
 
     def _extend(self, last: int, w: int) -> int:
-        q = self.next[last].get(w)
-        if q is not None:
+        if q := self._move(last, w):
             return self._split(last, w, q)
-        new, p = self._new(self.length[last] + 1, 0, {}), last
-        while p >= 0 and w not in self.next[p]:
-            self.next[p][w] = new
+        new, p = self._new(self.length[last] + 1, 0), last
+        while p >= 0 and not self._move(p, w):
+            self._set(p, w, new)
             p = self.link[p]
         if p >= 0:
-            self.link[new] = self._split(p, w, self.next[p][w])
+            self.link[new] = self._split(p, w, self._move(p, w))
         return new
 
     def hits(self, sequence: list[bytes]) -> tuple[list[tuple[int, int]], set[int]]:
         """Ranges of words that are hit (from, to; apart and in order), and the items whose windows occur."""
-        known = np.fromiter(map(self.ids.get, sequence, [-1] * len(sequence)), np.int64, len(sequence))
+        known = np.fromiter(map(self.ids.get, sequence, repeat(-1)), np.int64, len(sequence))
         edge = np.diff(np.concatenate([[0], known >= 0, [0]]).astype(np.int8))
         begins, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
         long = ends - begins >= self.shortest
@@ -119,24 +146,26 @@ class Automaton:
         return ranges, items
 
     def _walk(self, ids: list[int], begin: int, ranges: list[tuple[int, int]], items: set[int]) -> None:
-        moves, link, length, window, of_short = self.next, self.link, self.length, self.window, self.of_short
+        word, to, more, link, length, window, of_short = self.word, self.to, self.more, self.link, self.length, self.window, self.of_short
         v = matched = 0
         seen = -1
         for k, w in enumerate(ids, begin + 1):
-            step = moves[v].get(w)
-            while step is None and v:
+            while word[v] != w:
+                if v in more and (step := more[v].get(w)):
+                    break
+                if not v:
+                    raise ValueError("a word of the items without a move from the root")
                 v = link[v]
                 matched = length[v]
-                step = moves[v].get(w)
-            if step is None:
-                continue
+            else:
+                step = to[v]
             v, matched = step, matched + 1
             reach = 0
             if matched >= window:
                 reach = window
                 u = self.of_window[v]
                 if u != seen:
-                    items |= self.items[u]
+                    items.update(self.owners[self.first[u] : self.first[u + 1]])
                     seen = u
             s = of_short[v]
             while s:
@@ -178,44 +207,95 @@ def _merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """docs (doc_id, text) -> doc_id, n_words, starts and ends (array of long: hit ranges of words), items (sorted array of long)."""
-    spark = prepare(docs.sparkSession)
-    schema = "doc_id long, text string, starts array<long>, ends array<long>, items array<long>"
-    none = F.array().cast("array<bigint>")
-    state = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_of(docs).alias("text"), none.alias("starts"), none.alias("ends"), none.alias("items"))
-    passes = 0
-    for automaton in automata(benchmark, window):
-        shared = spark.sparkContext.broadcast(automaton)
-        if passes:
-            state = cut_lineage(state)
-        passes += 1
+_HITS = "doc_id long, n_words long, starts array<long>, ends array<long>, items array<long>"
+_KEYS = ["key", "check"]
+
 
-        def make(shared=shared):
-            found = shared.value
+def _keys(docs: DataFrame) -> list[Column]:
+    """128 bits that rows share exactly if they have the same doc_id and text (but for chance)."""
+    text = text_of(docs)
+    return [F.xxhash64(docs["doc_id"], text).alias("key"), F.xxhash64(text, docs["doc_id"]).alias("check")]
 
-            def work(batch: pa.RecordBatch) -> dict:
-                starts, ends, items = [], [], []
-                for text, a, b, had in zip(batch.column(1), *(batch.column(k).to_pylist() for k in (2, 3, 4)), strict=True):
-                    ranges, new = found.hits(words(text.as_py()))
-                    if a:
-                        ranges = _merged([*zip(a, b, strict=True), *ranges])
-                    starts.append([r[0] for r in ranges])
-                    ends.append([r[1] for r in ranges])
-                    items.append(sorted({*had, *new}))
-                return {"doc_id": batch.column(0), "text": batch.column(1), "starts": starts, "ends": ends, "items": items}
 
-            return work
+def _passed(rows: DataFrame, shared) -> DataFrame:
+    """rows (doc_id, text, and the keys or none) -> keys, _HITS of one automaton; no text goes on."""
+    keys = [c for c in _KEYS if c in rows.columns]
 
-        state = by_batch(state, schema, make)
+    def make():
+        found = shared.value
 
-    def finish():
         def work(batch: pa.RecordBatch) -> dict:
-            return {name: batch.column(name) for name in ("doc_id", "starts", "ends", "items")} | {"n_words": [len(words(t.as_py())) for t in batch.column(1)]}
+            out: dict = {"doc_id": batch.column("doc_id"), "n_words": [], "starts": [], "ends": [], "items": []} | {c: batch.column(c) for c in keys}
+            for text in batch.column("text"):
+                sequence = words(text.as_py())
+                ranges, items = found.hits(sequence)
+                out["n_words"].append(len(sequence))
+                out["starts"].append([r[0] for r in ranges])
+                out["ends"].append([r[1] for r in ranges])
+                out["items"].append(sorted(items))
+            return out
 
         return work
 
-    return by_batch(state, "doc_id long, n_words long, starts array<long>, ends array<long>, items array<long>", finish)
+    return by_batch(rows, ", ".join([*(f"{c} long" for c in keys), _HITS]), make)
+
+
+def _every_hit(docs: DataFrame, benchmark: DataFrame, window: int) -> tuple[DataFrame | None, DataFrame | None, object]:
+    """All rows with their hits of the first automaton, the hits of all others (distinct keys of each; None if there is one automaton), and the last broadcast.
+
+    With several automata each is a pass that reads the documents and writes keys and hits, no text; one automaton is alive at a time.
+    """
+    spark = prepare(docs.sparkSession)
+    keys = _keys(docs)
+    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_of(docs).alias("text"))
+    keyed = docs.select(*keys, docs["doc_id"].cast("long").alias("doc_id"), text_of(docs).alias("text"))
+    first = others = shared = None
+    for automaton in automata(benchmark, window):
+        if shared is not None:
+            if first is None:
+                first = stored(_passed(keyed, shared), "hits")
+            else:
+                part = stored(_passed(keyed, shared).where(F.size("items") > 0).dropDuplicates(_KEYS), "hits")
+                others = part if others is None else others.unionByName(part)
+            shared.destroy()
+        shared = spark.sparkContext.broadcast(automaton)
+        del automaton
+    if shared is None:
+        return None, None, None
+    if first is None:
+        return _passed(rows, shared), None, shared
+    part = stored(_passed(keyed, shared).where(F.size("items") > 0).dropDuplicates(_KEYS), "hits")
+    shared.destroy()
+    return first, part if others is None else others.unionByName(part), None
+
+
+def _joined(first: DataFrame, others: DataFrame) -> DataFrame:
+    """first with the hits of the others merged in: a join on keys, of as many arrays for a row as there are automata that hit it."""
+    more = others.groupBy(*_KEYS).agg(*(F.flatten(F.collect_list(c)).alias(f"more_{c}") for c in ("starts", "ends", "items")))
+    none = F.array().cast("array<bigint>")
+    every = first.join(more, _KEYS, "left").select(*_KEYS, "doc_id", "n_words", *(F.concat(c, F.coalesce(f"more_{c}", none)).alias(c) for c in ("starts", "ends", "items")))
+
+    def make():
+        def work(batch: pa.RecordBatch) -> dict:
+            out: dict = {c: batch.column(c) for c in (*_KEYS, "doc_id", "n_words")} | {"starts": [], "ends": [], "items": []}
+            for a, b, items in zip(*(batch.column(c).to_pylist() for c in ("starts", "ends", "items")), strict=True):
+                ranges = _merged(list(zip(a, b, strict=True)))
+                out["starts"].append([r[0] for r in ranges])
+                out["ends"].append([r[1] for r in ranges])
+                out["items"].append(sorted(set(items)))
+            return out
+
+        return work
+
+    return by_batch(every, f"key long, check long, {_HITS}", make)
+
+
+def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+    """docs (doc_id, text) -> doc_id, n_words, starts and ends (array of long: hit ranges of words), items (sorted array of long)."""
+    first, others, _ = _every_hit(docs, benchmark, window)
+    if first is None:
+        first = _passed(docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_of(docs).alias("text")), docs.sparkSession.sparkContext.broadcast(Automaton([], window)))
+    return first if others is None else _joined(first, others).drop(*_KEYS)
 
 
 def _cut(text: str, ranges: list[tuple[int, int]]) -> tuple[str, int]:
@@ -263,65 +343,42 @@ def _cleaned(docs: DataFrame, shared, coverage: float) -> DataFrame:
     return docs.select(*(F.col(f"{mark}.text").alias("text") if c == "text" else F.col(f"`{c}`") for c in names))
 
 
-def _marked(docs: DataFrame, at: str, shared) -> DataFrame:
-    """docs with the hits of one more automaton merged into the column `at`: from, to, from, to ... in words of text."""
-
-    @F.pandas_udf("array<long>")
-    def find(texts, before):
-        import pandas as pd
-
-        held(__name__, dict)
-        found, out = shared.value, []
-        for text, had in zip(texts, before, strict=True):
-            had = had.tolist()
-            new = [] if text is None else found.hits(words(text))[0]
-            out.append([x for r in _merged([*zip(had[::2], had[1::2], strict=True), *new]) for x in r] if new else had)
-        return pd.Series(out, dtype=object)
-
-    return docs.withColumn(at, find(docs["text"], docs[at]))
-
-
 def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage: float = COVERAGE) -> DataFrame:
     """docs without hit words; without the documents of which hits cover more than coverage. Documents without hits stay as they are.
 
-    With more than one automaton, the hits of all are merged, each pass a written table, before any word is cut; the documents that were cut go
-    round again until no automaton hits them. So neither the result nor the memory depends on how many automata there are.
+    With more than one automaton, the hits of all are merged before any word is cut; the documents that were cut go round again until no automaton
+    hits them. So neither the result nor the memory depends on how many automata there are. Hits meet their texts by a join on keys.
     """
-    spark = prepare(docs.sparkSession)
     names = docs.columns
-    at, lost, total = (free_name(docs, x) for x in ("_at", "_lost", "_total"))
+    key, check, lost, total, new = (free_name(docs, x) for x in ("_key", "_check", "_lost", "_total", "_new"))
+    at = free_name(docs, "_at")
 
     @F.pandas_udf("text string, n long, words long")
-    def cut(texts, ranges):
+    def cut(texts, starts, ends):
         import pandas as pd
 
         out = []
-        for text, r in zip(texts, ranges, strict=True):
-            new, n = _cut(text, list(zip(r.tolist()[::2], r.tolist()[1::2], strict=True)))
-            out.append((new, n, len(words(text))))
+        for text, a, b in zip(texts, starts, ends, strict=True):
+            less, n = _cut(text, list(zip(a.tolist(), b.tolist(), strict=True)))
+            out.append((less, n, len(words(text))))
         return pd.DataFrame(out, columns=["text", "n", "words"])
 
     todo = docs.withColumns({"text": docs["text"].cast("string"), lost: F.lit(0).cast("long"), total: F.lit(None).cast("long")})
     done: DataFrame | None = None
     while True:
-        state, passes = todo.withColumn(at, F.array().cast("array<bigint>")), 0
-        for automaton in automata(benchmark, window):
-            if passes:
-                state = cut_lineage(state)
-                shared.destroy()
-            shared = spark.sparkContext.broadcast(automaton)
-            state = _marked(state, at, shared)
-            passes += 1
-        if done is None and passes < 2:
-            return _cleaned(docs, shared, coverage) if passes else docs
-        state = cut_lineage(state)
-        shared.destroy()
-        whole = state.where(F.size(at) == 0).select(*(F.col(f"`{c}`") for c in names))
+        first, others, shared = _every_hit(todo, benchmark, window)
+        if first is None:
+            return docs
+        if done is None and others is None:
+            return _cleaned(docs, shared, coverage)
+        marks = stored(_joined(first, others).where(F.size("items") > 0).dropDuplicates(_KEYS).select(F.col("key").alias(key), F.col("check").alias(check), F.struct("starts", "ends").alias(at)), "marks")
+        keys = _keys(todo)
+        marked = todo.withColumns({key: keys[0], check: keys[1]})
+        whole = marked.join(marks, [key, check], "left_anti").select(*(F.col(f"`{c}`") for c in names))
         done = whole if done is None else done.unionByName(whole)
-        new = free_name(state, "_new")
-        todo = state.where(F.size(at) > 0).withColumn(new, cut.asNondeterministic()(F.col("text"), F.col(at)))
-        todo = todo.withColumns({"text": F.col(f"{new}.text"), lost: F.col(lost) + F.col(f"{new}.n"), total: F.coalesce(F.col(total), F.col(f"{new}.words"))}).drop(new, at)
-        todo = cut_lineage(todo.where(F.col(lost) / F.col(total) <= coverage))
+        hit = marked.join(marks, [key, check]).withColumn(new, cut.asNondeterministic()(F.col("text"), F.col(f"{at}.starts"), F.col(f"{at}.ends")))
+        hit = hit.withColumns({"text": F.col(f"{new}.text"), lost: F.col(lost) + F.col(f"{new}.n"), total: F.coalesce(F.col(total), F.col(f"{new}.words"))}).drop(new, at, key, check)
+        todo = cut_lineage(hit.where(F.col(lost) / F.col(total) <= coverage))
         if todo.isEmpty():
             return done
 
