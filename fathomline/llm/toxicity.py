@@ -5,10 +5,11 @@ of three or more equal letters for one or two of them, and single letters with s
 where the channel may have acted form lattices; the best path replaces the stretch.
 
 Score: logistic regression over the presence of character n-grams (4 to 6, word ends included) in the restored text. It is fitted on at most about
-SAMPLE labelled rows, taken by a hash of doc_id; features are chosen by their lift in that sample.
+SAMPLE distinct labelled rows, taken by a hash of doc_id and text; features are chosen by their lift in that sample.
 
 Nulls and edge cases: a null or empty text has no features and gets the base score; labels without a document or a 0/1 value are left out; with no
-label of one kind the score is the share of the other; doc_ids that repeat in labels count once (label 1 if any is); extra columns are left out.
+label of one kind the score is the share of the other; doc_ids that repeat in labels count once (label 1 if any is); repeated documents are learnt from
+once, and documents that share a doc_id each have its label; extra columns are left out.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, by_batch, free_name, held, prepare, stored, table, text_of
+from .common import arrow_schema, by_batch, draw_of, free_name, held, prepare, stored, table, text_of
 from .ngrams import BITS, classes, code_points, grams
 
 #: Labelled rows that the classifier is fitted on, at most (but for the chance of the hash).
@@ -36,7 +37,8 @@ SIZES = (4, 5, 6)
 #: Features that the classifier keeps.
 FEATURES = 512
 _BUCKET_BITS = 22
-_PARTS = 8
+#: Labelled rows of one task of the fit.
+_PART_ROWS = 1000
 
 # Signs and the letters that they stand for.
 LOOK_ALIKE = {
@@ -331,25 +333,27 @@ def fit(docs: DataFrame, labels: DataFrame, lm: Language, sample: int = SAMPLE)
     """labels (doc_id, toxic): those to learn from."""
     spark = prepare(docs.sparkSession)
     marks = labels.where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("y"))
-    n = marks.count()
-    share = min(1.0, sample / max(1, n))
-    marks = marks.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < round(share * (1 << 20)))
     texts = docs.select("doc_id", text_of(docs).alias("text"))
-    rows = stored(texts.join(marks, "doc_id").select("y", "text").repartition(_PARTS), "labelled")
+    draw = draw_of(texts)
+    # labelled rows are told by their hash alone; only texts of the sample are shuffled
+    n = texts.select("doc_id", draw.alias("draw")).join(marks, "doc_id").agg(F.approx_count_distinct("draw", 0.02)).first()[0]
+    drawn = texts.withColumn("draw", draw).where(F.pmod("draw", F.lit(1 << 30)) < round(min(1.0, sample / max(1, n)) * (1 << 30)))
+    parts = max(1, -(-min(n, sample) // _PART_ROWS))
+    rows = stored(drawn.join(marks, "doc_id").dropDuplicates(["draw"]).select("y", "text").repartition(parts), "labelled")
     shared = spark.sparkContext.broadcast(lm)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tally, seen, restorer = np.zeros((2, 1 << _BUCKET_BITS), np.uint16), [0, 0], Restorer(shared.value)
+        tally, seen, restorer = np.zeros((2, 1 << _BUCKET_BITS), np.uint32), [0, 0], Restorer(shared.value)
         for batch in batches:
             for y, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 tally[y][np.unique(_bucket(features(restorer.restore(text.as_py())[1])))] += 1
                 seen[y] += 1
         yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(tally.tobytes(), 1)]), pa.array([seen[0]], pa.int64()), pa.array([seen[1]], pa.int64())], names=["tally", "n0", "n1"])
 
-    # one row for each of _PARTS parts, of a fixed size
-    tally, seen = np.zeros((2, 1 << _BUCKET_BITS), np.uint16), np.zeros(2)
-    for part, n0, n1 in rows.mapInArrow(count, "tally binary, n0 long, n1 long").toLocalIterator():
-        tally += np.frombuffer(zlib.decompress(part), np.uint16).reshape(2, -1)
+    # a row of a fixed size for each part, written by all parts at once and read one by one
+    tally, seen = np.zeros((2, 1 << _BUCKET_BITS), np.uint32), np.zeros(2)
+    for part, n0, n1 in stored(rows.mapInArrow(count, "tally binary, n0 long, n1 long"), "tallies").toLocalIterator():
+        tally += np.frombuffer(zlib.decompress(part), np.uint32).reshape(2, -1)
         seen += n0, n1
     if not seen.all():
         return Model(np.zeros(0, np.int64), np.zeros(0), 20.0 if seen[1] else -20.0 if seen[0] else 0.0)
