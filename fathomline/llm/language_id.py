@@ -5,11 +5,11 @@ of the numbers that each has. Nyström: LANDMARKS texts, as many of each languag
 against the rest is fitted there. As the kernel is linear in a text's presence vector, landmarks and weights multiply out to one matrix (n-grams x
 languages); batches of presence vectors are scored by a product with it.
 
-At most about TRAIN rows of each language and LANDMARKS in all are learnt from, taken by a hash of doc_id; memory is bounded by these and by the
-2**18 n-grams that there can be.
+At most about TRAIN distinct rows of each language and LANDMARKS in all are learnt from, taken by a hash of doc_id and text; memory is bounded by
+these and by the 2**18 n-grams that there can be.
 
 Nulls and edge cases: a null text or one without a letter is `und` with score 0; rows with a null lang teach nothing; with no row to learn from all
-are `und`; with one language all texts with a letter are of it; repeated rows count as often as they occur; extra columns are left out.
+are `und`; with one language all texts with a letter are of it; repeated rows are learnt from once; extra columns are left out.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import by_batch, stored, table, text_of
+from .common import by_batch, draw_of, stored, table, text_of
 from .ngrams import BITS, classes, grams
 
 SIZES = (1, 2, 3)
@@ -79,12 +79,13 @@ def kernel(sets: list[np.ndarray], landmarks: np.ndarray, place: np.ndarray, nor
 def fit(docs: DataFrame, train: int = TRAIN, landmarks: int = LANDMARKS, ridge: float = RIDGE) -> Model | None:
     """docs (doc_id, text, lang): the rows to learn from; None if there are none."""
     rows = docs.select(docs["doc_id"], text_of(docs).alias("text"), docs["lang"].cast("string").alias("lang")).where("lang is not null and text is not null")
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    rows = rows.withColumn("hash", draw_of(rows))
+    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.approx_count_distinct("hash", 0.02).alias("n")).collect()}
     if not sizes:
         return None
     languages = sorted(sizes)
     each = -(-landmarks // len(languages))
-    draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
+    draw = F.pmod("hash", F.lit(1 << 30)) / float(1 << 30)
     n = F.create_map(*(F.lit(x) for pair in sizes.items() for x in pair))[F.col("lang")]
 
     def sets():
@@ -95,7 +96,7 @@ def fit(docs: DataFrame, train: int = TRAIN, landmarks: int = LANDMARKS, ridge:
 
         return work
 
-    sample = rows.withColumn("draw", draw * n).where(F.col("draw") < train).select("text", "lang", (F.col("draw") < each).alias("mark"))
+    sample = rows.withColumn("draw", draw * n).where(F.col("draw") < train).dropDuplicates(["hash", "lang"]).select("text", "lang", (F.col("draw") < each).alias("mark"))
     found = stored(by_batch(sample, "lang string, mark boolean, grams array<int>", sets), "presence")
     marks = [np.asarray(r["grams"], np.int64) for r in found.where("mark").select("grams").toLocalIterator()]
     marks = [m for m in marks if len(m)]
