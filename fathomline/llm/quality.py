@@ -1,10 +1,11 @@
 """Quality rules as a short-circuit cascade.
 
-Each rule looks at one text and rejects it or not. On a sample of at most about SAMPLE documents every rule is run alone and timed; rules then
-run in the order of rejections per second, and the first that rejects a document ends its cascade. The verdict doesn't depend on the order, only the cost does.
+Each rule looks at one text and rejects it or not. On a sample of at most about SAMPLE distinct documents, taken by a hash of doc_id and text, every
+rule is run alone and timed; rules then run in the order of rejections per second, and the first that rejects a document ends its cascade. Only the
+cost depends on the order and so on the clock: verdicts, and reasons, which are in declared order, don't.
 
-Nulls and edge cases: a null text has no words (as has an empty one) and is rejected for its length; repeated rows are judged alike; with an empty
-sample the declared order stands; extra columns pass through filtered() and are left out by judged().
+Nulls and edge cases: a null text has no words (as has an empty one) and is rejected for its length; repeated rows are judged alike and count once in
+the sample, whatever their doc_id; with an empty sample the declared order stands; extra columns pass through filtered() and are left out by judged().
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import by_batch, free_name, prepare, table, text_of
+from .common import by_batch, free_name, prepare, sampled, table, text_of
 
 SAMPLE = 500
 WINDOW = 5
@@ -116,8 +117,7 @@ MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words
 def order(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample: int = SAMPLE) -> tuple[Rule, ...]:
     """rules by rejections per second on a sample of docs (doc_id, text)."""
     prepare(docs.sparkSession)
-    n = docs.count()
-    picked = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < round(min(1.0, sample / max(1, n)) * (1 << 20)))
+    picked = sampled(docs.select("doc_id", text_of(docs).alias("text")), sample)
 
     def run(batches):
         spent, gone = [0.0] * len(rules), [0] * len(rules)
@@ -130,27 +130,34 @@ def order(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample: int = SAMPLE
                     spent[k] += time.perf_counter() - began
         yield pa.RecordBatch.from_arrays([pa.array(range(len(rules)), pa.int32()), pa.array(spent, pa.float64()), pa.array(gone, pa.int64())], names=["rule", "spent", "gone"])
 
-    measured = picked.select(text_of(docs).alias("text")).mapInArrow(run, "rule int, spent double, gone long").groupBy("rule").agg(F.sum("spent").alias("spent"), F.sum("gone").alias("gone")).collect()
+    measured = picked.select("text").mapInArrow(run, "rule int, spent double, gone long").groupBy("rule").agg(F.sum("spent").alias("spent"), F.sum("gone").alias("gone")).collect()
     worth = {r["rule"]: r["gone"] / max(r["spent"], 1e-9) for r in measured}
     return tuple(rules[k] for k in sorted(range(len(rules)), key=lambda k: -worth.get(k, 0.0)))
 
 
-def judged(docs: DataFrame, rules: tuple[Rule, ...] = RULES, measures: tuple[str, ...] = ()) -> DataFrame:
-    """docs (doc_id, text) -> doc_id, the measures asked for, rejected_by (the first rule that rejects, or null)."""
+def judged(docs: DataFrame, rules: tuple[Rule, ...] = RULES, measures: tuple[str, ...] = (), reasons: bool = False) -> DataFrame:
+    """docs (doc_id, text) -> doc_id, the measures asked for, kept; with reasons also rejected_by: the first of RULES (then of other rules) that rejects, or null.
+
+    A reason costs the rules declared before it once more, for rejected documents only.
+    """
+    declared = sorted(rules, key=lambda r: RULES.index(r) if r in RULES else len(RULES))
 
     def make():
         def work(batch: pa.RecordBatch) -> dict:
-            out: dict = {"doc_id": batch.column(0), "rejected_by": []} | {m: [] for m in measures}
+            out: dict = {"doc_id": batch.column(0), "kept": []} | {m: [] for m in measures} | ({"rejected_by": []} if reasons else {})
             for text in batch.column(1):
                 t = Text(text.as_py())
-                out["rejected_by"].append(next((r.name for r in rules if r.rejects(t)), None))
+                kept = not any(r.rejects(t) for r in rules)
+                out["kept"].append(kept)
+                if reasons:
+                    out["rejected_by"].append(None if kept else next(r.name for r in declared if r.rejects(t)))
                 for m in measures:
                     out[m].append(getattr(t, m))
             return out
 
         return work
 
-    ddl = ", ".join(["doc_id long", *(f"{m} long" for m in measures), "rejected_by string"])
+    ddl = ", ".join(["doc_id long", *(f"{m} long" for m in measures), "kept boolean", *(["rejected_by string"] if reasons else [])])
     return by_batch(docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_of(docs).alias("text")), ddl, make)
 
 
@@ -174,4 +181,4 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     out = judged(docs, order(docs), MEASURES)
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    return out.select("doc_id", *MEASURES, failed.alias("base_failed"), (~failed & F.col("rejected_by").isNull()).alias("kept"), "rejected_by")
+    return out.select("doc_id", *MEASURES, failed.alias("base_failed"), (~failed & F.col("kept")).alias("kept"))
