@@ -1,7 +1,8 @@
 """Personal data in texts, in DataFrame operations alone and without a shuffle.
 
 Regular expressions propose spans; checksums (Luhn, mod 97) and other bounds confirm them; words near a span raise its score. Spans of the base
-kinds stay whatever their score; those of the added kinds need LEAST_SCORE.
+kinds stay whatever their score; those of the added kinds (account and social security numbers, local phones, access keys, secrets that a text
+assigns) need LEAST_SCORE.
 
 Account numbers (IBAN) are looked ahead for: a candidate may take in words behind it, and the longest part of it that has its country's length
 and passes mod 97 is the span.
@@ -51,6 +52,8 @@ KINDS = (
     Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", r"\+[0-9]", 0.7, "phone|tel|call|mobile|fax", True),
     Kind("iban", r"(?<![A-Za-z0-9])(?=([A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+[A-Za-z0-9]?+))[A-Z]{2}[0-9]{2}", r"[A-Z]{2}[0-9]{2}", 0.7, "iban|account|bank|konto|cuenta|compte", False, 4),
     Kind("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", r"[0-9]-[0-9]{2}-[0-9]", 0.4, "ssn|social security", False),
+    Kind("access_key", r"(?<![A-Za-z0-9])A[KS]IA[0-9A-Z]{16}(?![A-Za-z0-9])", r"A[KS]IA[0-9A-Z]{16}", 0.8, "key|aws|secret|credential", False),
+    Kind("secret", r"(?<![A-Za-z0-9])(?i:password|passwd|passphrase|secret|token|api[_-]?key)\x20?[=:]\x20?[^\s,;]{8,}+", r"(?i:ord|wd|phrase|secret|token|key)\x20?[=:]", 0.7, "login|user|account|credential", False),
     Kind("local_phone", r"(?<![0-9+-]|\+[0-9]{1,3}[\x20-])\(?[2-9][0-9]{2}\)?[\x20.-][0-9]{3}[.-][0-9]{4}(?![0-9-])", r"[0-9][.-][0-9]{4}", 0.3, "phone|tel|call|mobile|fax", False),
 )
 
@@ -118,6 +121,8 @@ def confirmed(kind: str, match: Column) -> Column:
         return F.length(digits(match)).between(8, 15)
     if kind == "iban":
         return match.isNotNull()
+    if kind == "secret":  # what follows the sign is no word
+        return match.rlike(r"[=:]\x20?[^=:]*[0-9]")
     return F.lit(True)
 
 
@@ -192,4 +197,4 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     def count(kind: str) -> Column:
         return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
 
-    return found.select("doc_id", *(count(k.name) for k in KINDS if k.base), F.sha2(_listed(base), 256).alias("base_sha256"), _listed(F.col("spans")).alias("spans"), F.size(F.filter("spans", lambda s: ~s["base"])).cast("long").alias("n_added"))
+    return found.select("doc_id", *(count(k.name) for k in KINDS if k.base), F.sha2(_listed(base), 256).alias("base_sha256"), _listed(F.col("spans")).alias("spans"), F.size(F.filter("spans", lambda s: ~s["base"])).cast("long").alias("n_added"), F.size("spans").cast("long").alias("n_spans"))
