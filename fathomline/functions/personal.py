@@ -19,7 +19,9 @@ CREDENTIAL = r"(?i)\b(password|passcode|username|login id|user id|pin)\b[\s:=]+\
 ACCOUNT_PHRASES = ["my balance", "my holdings", "my portfolio", "my account", "my statement", "show my", "check my", "my folio", "my pan", "my investment status", "order status for my", "units held by me", "my nav", "account number", "fund balance", "show me my", "tell me my"]
 ACCOUNT_NOUN = r"(?i)\b(my|mine|me)\b[^.?!]{0,40}\b(balance|holdings|portfolio|statement|folio|account|investments|units)\b"
 HARD = ["pan", "aadhaar", "otp", "email", "phone", "bank_account", "folio", "card", "credential"]
-CLIENT = {"pan": PAN, "aadhaar": AADHAAR, "email": EMAIL, "phone": PHONE, "otp": OTP}
+CLIENT = {"pan": PAN, "aadhaar": AADHAAR, "email": EMAIL, "phone": r"\b(?:\+?91[\s-]?)?[6-9]\d{9}\b", "otp": r"(?i)\botp\b"}
+#: Keys that a log may hold.
+LOGGED = ["question_hash", "intent", "source_id", "scheme", "topic", "count", "file_name"]
 MARK = "[redacted]"
 
 
@@ -39,6 +41,16 @@ def categories(c: Column) -> Column:
     return F.array_compact(F.array(*(F.when(hit, name) for name, hit in found)))
 
 
+def client_blocked(c: Column, rules: dict[str, str] = CLIENT) -> Column:
+    """Whether a client keeps the text back before it is sent: any of its own, coarser patterns."""
+    return F.size(rule_categories(c, rules)) > 0
+
+
+def loggable(fields: Column, allowed: list[str] = LOGGED) -> Column:
+    """A map without the keys that a log may not hold."""
+    return F.map_filter(fields, lambda k, v: k.isin(allowed))
+
+
 def is_hard(found: Column) -> Column:
     return F.arrays_overlap(found, F.array(*map(F.lit, HARD)))
 

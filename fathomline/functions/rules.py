@@ -138,6 +138,11 @@ EXPANSIONS = {
     "sip": "systematic investment plan SIP installment cancel modify pause",
     "redemption": "redemption withdrawal payout settlement bank account",
 }
+#: A disclosure that lists one scheme a line: its file, the token of its rows, and header, section and topic of their chunks.
+ROW_DISCLOSURE = {
+    "file": "riskometer", "token": "HDFC", "header": "HDFC Mutual Fund Annual Disclosure of Risk-o-meters as at March 31, 2026 (Risk-o-meter levels as per SEBI Master Circular)",
+    "title": "Risk-o-meter Disclosure", "topic": "riskometer",
+}
 NO_EVIDENCE = (
     r"(?i)could(?:n'?t| not) (?:be )?(?:found|determined)|could(?:n'?t| not) (?:find|locate)|not (?:available|contained|mentioned|provided|disclosed|specified|stated) in|"
     r"do(?:es)? not (?:specify|state|mention|include)|isn'?t available in|no (?:information|evidence|details)|information you'?re looking for"
@@ -167,6 +172,10 @@ def first_alias(text: Column, rules: dict[str, list[str]], default: str | None =
     return F.lit(default) if out is None else out.otherwise(F.lit(default))
 
 
+def organization(text: Column, rules: dict[str, list[str]] = ORGANIZATIONS, default: str = DEFAULT_ORGANIZATION) -> Column:
+    return first_alias(text, rules, default)
+
+
 def first_needle(text: Column, rules: list[tuple[str, str]], default: str) -> Column:
     low, out = F.lower(text), None
     for needle, name in rules:

@@ -2,18 +2,29 @@
 
 from __future__ import annotations
 
+from html.entities import name2codepoint
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .rules import HEADINGS, NOISE_LINES
 
-# Glyphs of old fonts, entities, dates and month names.
+# Shapes of headings, glyphs of old fonts, dates and month names.
+HEADING_SHAPE = r"^(?:\d{1,2}(?:\.\d{1,2})*[.)]?\s+)?(?:[A-Z][A-Z0-9 ,&/\-()'%.:]{6,120}|[A-Z][A-Za-z0-9 ,&/\-()':.\-]{4,120})\s*$"
+HEADING_NUMBER = r"^\d{1,2}(?:\.\d{1,2})*[.)]?\s+[A-Z]"
 GLYPHS = {"\uf06c": "-", "\uf0b7": "-", "\uf0d8": "-", "\uf020": " "}
-ENTITIES = [("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&#x27;", "'"), ("&mdash;", "—"), ("&ndash;", "–"), ("&hellip;", "…"), ("&rsquo;", "’"), ("&lsquo;", "‘"), ("&eacute;", "é"), ("&egrave;", "è"), ("&copy;", "©"), ("&euro;", "€"), ("&amp;", "&")]
 MONTHS = ["January", "February", "March", "April", "May", "June", "July", "August", "September", "October", "November", "December"]
 DATE_FORMATS = ["yyyy-M-d", "d-M-yyyy", "d/M/yyyy", "M/d/yyyy", "d MMM yyyy", "MMMM d, yyyy", "MMM yyyy", "MMMM yyyy"]
 
 
+#: What strip() takes from both ends.
+WHITE = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u2028\u2029\u3000"
+
+
+def strip(c: Column) -> Column:
+    return F.btrim(c, F.lit(WHITE))
+
+
 def squeeze(c: Column) -> Column:
     """Every run of white space as one blank, none at the ends."""
     return F.trim(F.regexp_replace(c, r"(?U)\s+", " "))
@@ -29,13 +40,30 @@ def normalize(c: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(c, "^[ \n]+", ""), "[ \n]+$", "")
 
 
+_ENTITY = r"&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,30});"
+
+
+def unescape(c: Column) -> Column:
+    """Entities resolved, each once: by number, or by the names of HTML 4 and &apos;. What is no entity stays."""
+    names = F.create_map(*(F.lit(x) for name, point in sorted([*name2codepoint.items(), ("apos", 39)]) for x in (name, chr(point))))
+
+    def sign(m: Column) -> Column:
+        hexed = F.when(m.rlike("^&#[xX]"), F.substring(m, F.lit(4), F.length(m) - 4)).otherwise(F.hex(F.regexp_extract(m, "[0-9]+", 0).cast("long")))
+        point = F.conv(hexed, 16, 10).cast("long")
+        good = m.startswith("&#") & point.between(1, 0x10FFFF) & ~point.between(0xD800, 0xDFFF)
+        return F.coalesce(F.when(good, F.decode(F.unhex(F.lpad(hexed, 8, "0")), "UTF-32")), names[F.substring(m, F.lit(2), F.length(m) - 2)], m)
+
+    signs = F.transform(F.regexp_extract_all(c, F.lit(_ENTITY), F.lit(0)), sign)
+    parts = F.zip_with(F.split(c, _ENTITY, -1), signs, lambda a, b: F.concat(a, F.coalesce(b, F.lit(""))))
+    return F.when(c.contains("&"), F.array_join(parts, "")).otherwise(c)
+
+
 def html_to_text(c: Column) -> Column:
     """Text of a page: scripts, styles and noscripts with their bodies go, ends of blocks become line feeds, other tags vanish; entities resolved, lines trimmed, empty ones dropped, wide gaps broken."""
     c = F.regexp_replace(c, r"(?is)<(script|style|noscript)[^>]*>.*?</\1>", " ")
     c = F.regexp_replace(c, r"(?i)</(?:p|div|li|h[1-6]|tr)>", "\n")
     c = F.regexp_replace(c, r"<[^>]+>", "")
-    for entity, sign in ENTITIES:
-        c = F.replace(c, F.lit(entity), F.lit(sign))
+    c = unescape(c)
     c = F.regexp_replace(c, "[ \t\r\u00a0]*[\r\n][ \t\r\u00a0]*", "\n")
     c = F.regexp_replace(F.regexp_replace(c, "\n{2,}", "\n"), "[ \t]{2,}", "\n")
     return F.regexp_replace(c, "^[ \t\n\u00a0]+|[ \t\n\u00a0]+$", "")
@@ -56,7 +84,8 @@ def preview(c: Column, n: int = 300) -> Column:
 
 
 def sentence_count(c: Column) -> Column:
-    return F.size(F.filter(F.split(F.trim(c), r"(?<=[.!?])\s+"), lambda s: F.trim(s) != ""))
+    """Parts between terminators that white space follows."""
+    return F.size(F.filter(F.split(strip(c), r"[.!?]+\s"), lambda s: strip(s) != ""))
 
 
 def stem_title(file_name: Column, kind: Column) -> Column:
@@ -120,8 +149,7 @@ def is_noise(line: Column, patterns: list[str] = NOISE_LINES) -> Column:
 def is_heading(line: Column, known: list[str] = HEADINGS) -> Column:
     s = F.trim(line)
     low, n = F.lower(s), F.length(s)
-    shaped = s.rlike(r"^(?:\d{1,2}(?:\.\d{1,2})*[.)]?\s+)?(?:[A-Z][A-Z0-9 ,&/\-()'%.:]{6,120}|[A-Z][A-Za-z0-9 ,&/\-()':.\-]{4,120})\s*$")
-    numbered = s.rlike(r"^\d{1,2}(?:\.\d{1,2})*[.)]?\s+[A-Z]")
+    shaped, numbered = s.rlike(HEADING_SHAPE), s.rlike(HEADING_NUMBER)
     letters = F.length(F.regexp_replace(s, r"[^\p{L}]", ""))
     upper = F.length(F.regexp_replace(s, r"[^\p{Lu}]", ""))
     loud = (letters > 0) & (upper > 0.75 * letters)

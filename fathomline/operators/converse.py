@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import time
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -63,8 +67,9 @@ def not_found(answer: Column, pattern: str = R.NO_EVIDENCE) -> Column:
     return straight_quotes(answer).rlike(pattern)
 
 
-def outcome(intent: Column, hard: Column, refused_intents: list[str], has_evidence: Column, mismatch: Column, answer: Column) -> Column:
-    """struct(refused, refusal_type, cited, remembered) of a turn, first rule that holds."""
+def outcome(intent: Column, hard: Column, refused_intents: list[str], has_evidence: Column, mismatch: Column, answer: Column, failed: Column | None = None) -> Column:
+    """struct(refused, refusal_type, cited, remembered) of a turn, first rule that holds. failed: whether what the answer depends on failed (ERROR, a row like any other)."""
+    failed = F.lit(False) if failed is None else F.coalesce(failed, F.lit(False))
     refused = hard | intent.isin(refused_intents)
     none = F.lit(None).cast("string")
     ambiguous = intent == "AMBIGUOUS"
@@ -75,6 +80,7 @@ def outcome(intent: Column, hard: Column, refused_intents: list[str], has_eviden
 
     return (
         F.when(refused, row(True, F.when(hard, "PII_ACCOUNT").otherwise(intent), False, True))
+        .when(failed, row(False, "ERROR", False, False))
         .when(~has_evidence, row(False, "NO_EVIDENCE", False, False))
         .when(mismatch, row(False, "SCHEME_MISMATCH", False, False))
         .when(gone & ambiguous, row(False, "NO_EVIDENCE", False, False))
@@ -82,11 +88,60 @@ def outcome(intent: Column, hard: Column, refused_intents: list[str], has_eviden
     )
 
 
+def smoke_status(refused: Column, refusal_type: Column, answer: Column, url: Column) -> Column:
+    """What a smoke run reports of a response, by its first 180 characters; a null answer failed."""
+    said = F.lower(F.substring(answer, 1, 180))
+    return (
+        F.when(answer.isNull(), "FAILED")
+        .when(refused, F.concat(F.lit("REFUSED/"), F.coalesce(refusal_type, F.lit("None"))))
+        .when(said.contains("couldn"), "NOT_FOUND")
+        .when(F.coalesce(url, F.lit("")) != "", "OK")
+        .otherwise("NO-SOURCE")
+    )
+
+
+def generated(context: Column, question: Column, call: Callable[[str, str, str], str], models: list[str], attempts: int = 3, longest_wait: float = 20.0) -> Column:
+    """struct(answer, model, error) by an outside generator, call(model, context, question), in Arrow batches.
+
+    Models are tried in order. A RateLimited is tried again up to so many times after the wait it asks for, clamped to longest_wait; any other exception
+    ends that row with the exception's name in error, and no answer: failures are rows, not failed jobs.
+    """
+
+    @F.pandas_udf("answer string, model string, error string")
+    def ask(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        for contexts_, questions in parts:
+            yield pd.DataFrame([_asked(call, models, c, q, attempts, longest_wait) for c, q in zip(contexts_, questions, strict=True)], columns=["answer", "model", "error"])
+
+    return ask(context, question)
+
+
+class RateLimited(Exception):
+    """Raised by a generator that wants to be asked again after `wait` seconds."""
+
+    def __init__(self, wait: float = 1.0):
+        super().__init__(wait)
+        self.wait = wait
+
+
+def _asked(call, models: list[str], context: str, question: str, attempts: int, longest_wait: float) -> tuple:
+    error = "no model"
+    for model in models:
+        for _ in range(attempts):
+            try:
+                return call(model, context, question), model, None
+            except RateLimited as x:
+                error = "RateLimited"
+                time.sleep(min(max(x.wait, 0.0), longest_wait))
+            except Exception as x:
+                return None, model, type(x).__name__
+    return None, None, error
+
+
 def cleaned_answer(answer: Column) -> Column:
     return without_urls(answer)
 
 
-# Questions to offer by topic.
+# Questions to offer by topic, and the sentence before them.
 TEMPLATES = {
     "expense_ratio": "What is the expense ratio of {scheme}?", "exit_load": "Do you want to know about the exit load of {scheme}?", "benchmark": "What is the benchmark of {scheme}?", "minimum_investment": "What is the minimum investment for {scheme}?",
     "fund_manager": "Who is the fund manager of {scheme}?", "tracking_error": "What is the tracking error of {scheme}?", "asset_allocation": "What is the asset allocation of {scheme}?", "investment_objective": "What is the investment objective of {scheme}?",

@@ -6,9 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import rules as R
-from ..functions.text import is_heading, is_noise
+from ..functions.text import is_heading, is_noise, strip
+from ..sources.store import stored
 
-TARGET, OVERLAP = 1200, 150
+TARGET, OVERLAP, LEAST, PREAMBLE = 1200, 150, 40, "Preamble"
 #: Pages a document needs before its running lines are looked for, and the share of its pages they must be on.
 LEAST_PAGES, SHARE = 5, 0.4
 
@@ -42,19 +43,20 @@ def cleaned_lines(lines: DataFrame, noise: list[str] = R.NOISE_LINES) -> DataFra
 def sections(lines: DataFrame, heading: Column | None = None) -> DataFrame:
     """lines (doc_id, page, line_no, line, is_table) -> doc_id, section_no, title, page, page_end, body.
 
-    A heading opens a section, except on a page with a table; what comes before the first is the Preamble; headings without a body are dropped.
+    A heading opens a section, except on a page with a table; what comes before the first is the Preamble; headings without a body are dropped. The
+    pages of a section are those of its heading and its body.
     """
     own = Window.partitionBy("doc_id", "page")
     order = Window.partitionBy("doc_id").orderBy("page", "line_no")
     flagged = lines.withColumn("_table", F.max(F.col("is_table").cast("int")).over(own)).withColumn("_head", (F.col("_table") == 0) & (heading if heading is not None else is_heading(F.col("line"))))
     numbered = flagged.withColumn("section_no", F.sum(F.col("_head").cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
     grouped = numbered.groupBy("doc_id", "section_no").agg(
-        F.max(F.when(F.col("_head"), F.trim("line"))).alias("title"),
+        F.max(F.when(F.col("_head"), F.trim("line"))).alias("title"), F.min("page").alias("page"), F.max("page").alias("page_end"),
         F.array_sort(F.collect_list(F.when(~F.col("_head"), F.struct("page", "line_no", "line")))).alias("_lines"),
-    )
+    )
     body = F.array_join(F.transform("_lines", lambda x: F.coalesce(x["line"], F.lit(""))), "\n")
-    out = grouped.where(F.size("_lines") > 0).select("doc_id", "section_no", F.coalesce("title", F.lit("Preamble")).alias("title"), F.element_at("_lines", 1)["page"].alias("page"), F.element_at("_lines", -1)["page"].alias("page_end"), body.alias("body"))
-    return out.where(F.trim("body") != "")
+    out = grouped.where(F.size("_lines") > 0).select("doc_id", "section_no", F.coalesce("title", F.lit(PREAMBLE)).alias("title"), "page", "page_end", body.alias("body"))
+    return out.where(strip(F.col("body")) != "")
 
 
 def blocks(text: Column) -> Column:
@@ -64,25 +66,32 @@ def blocks(text: Column) -> Column:
 
 
 def hard_split(block: Column, target: int) -> Column:
-    """A block as pieces of at most target characters, cut at blanks where there are any within reach; no character but the blank at a cut is lost."""
-    return F.when(F.length(block) <= target, F.array(block)).otherwise(F.filter(F.regexp_extract_all(block, F.lit(rf"(?s)\S.{{0,{target - 1}}}(?=\s|$)|\S{{1,{target}}}"), F.lit(0)), lambda p: F.trim(p) != ""))
+    """A block as pieces of at most target characters, cut at blanks where there are any within reach. Runs of blanks count as one; no other character is lost."""
+    pieces = F.regexp_extract_all(F.regexp_replace(block, " {2,}", " "), F.lit(rf"(?s)[^ ].{{0,{target - 1}}}(?= |$)|[^ ]{{1,{target}}}"), F.lit(0))
+    return F.when(F.length(block) <= target, F.array(block)).otherwise(F.filter(pieces, lambda p: F.trim(p) != ""))
 
 
 def packed_chunks(text: Column, target: int = TARGET, overlap: int = OVERLAP) -> Column:
-    """Array of chunks: blocks joined by blanks while they fit the target; each chunk after the first starts with the end of the one before it.
+    """Array of chunks. A text of at most target characters is one, as it is; of a longer one, blocks are joined by blanks while they fit the target.
 
-    A fold over a section's blocks in the JVM; what it holds is one section.
+    A chunk after the first starts with the end of the one before it, but for pieces of a block that is longer than a chunk: these start afresh. A fold
+    over a section's blocks in the JVM; what it holds is one section.
     """
-    pieces = F.flatten(F.transform(blocks(text), lambda b: hard_split(b, target)))
+    body = strip(text)
+    pieces = F.flatten(F.transform(blocks(body), lambda b: F.transform(hard_split(b, target), lambda p: F.struct(p.alias("text"), (F.length(b) > target).alias("cut")))))
     start = F.struct(F.lit("").alias("buf"), F.array().cast("array<string>").alias("out"))
 
-    def step(s: Column, b: Column) -> Column:
-        fits = F.length(s["buf"]) + F.length(b) + 1 <= target
-        joined = F.trim(F.concat_ws(" ", s["buf"], b))
-        seeded = F.trim(F.concat_ws(" ", F.right(s["buf"], F.lit(overlap)), b)) if overlap else b
-        return F.struct(F.when(fits | (s["buf"] == ""), joined).otherwise(seeded).alias("buf"), F.when(fits | (s["buf"] == ""), s["out"]).otherwise(F.concat(s["out"], F.array(s["buf"]))).alias("out"))
+    def step(s: Column, x: Column) -> Column:
+        b = x["text"]
+        fits = ~x["cut"] & (F.length(s["buf"]) + F.length(b) + 1 <= target)
+        joined = strip(F.concat_ws(" ", s["buf"], b))
+        tail = F.right(s["buf"], F.lit(overlap))
+        seeded = F.when((tail == "") | x["cut"], b).otherwise(strip(F.concat_ws(" ", tail, b))) if overlap else b
+        out = F.when(fits | (s["buf"] == ""), s["out"]).otherwise(F.concat(s["out"], F.array(s["buf"])))
+        return F.struct(F.when(fits, joined).otherwise(seeded).alias("buf"), out.alias("out"))
 
-    return F.aggregate(pieces, start, step, lambda s: F.when(s["buf"] == "", s["out"]).otherwise(F.concat(s["out"], F.array(s["buf"]))))
+    folded = F.aggregate(pieces, start, step, lambda s: F.when(s["buf"] == "", s["out"]).otherwise(F.concat(s["out"], F.array(s["buf"]))))
+    return F.when(F.length(body) <= target, F.filter(F.array(body), lambda b: b != "")).otherwise(folded)
 
 
 def chunk_topic(text: Column, title: Column, topics: dict[str, list[str]] = R.CHUNK_TOPICS, default: str = "general") -> Column:
@@ -94,9 +103,19 @@ def chunk_topic(text: Column, title: Column, topics: dict[str, list[str]] = R.CH
 
 
 def chunks(sectioned: DataFrame, target: int = TARGET, overlap: int = OVERLAP, topics: dict[str, list[str]] = R.CHUNK_TOPICS) -> DataFrame:
-    """sections -> a row for each chunk of at least 40 characters, with its topic."""
-    out = sectioned.select("*", F.posexplode(packed_chunks(F.col("body"), target, overlap)).alias("chunk_no", "chunk_text")).where("length(trim(chunk_text)) >= 40")
-    return out.withColumn("topic", chunk_topic(F.col("chunk_text"), F.col("title"), topics)).drop("body")
+    """sections -> a row for each piece of at least LEAST characters, with its own topic; the section's title stands before its text, but for the Preamble's."""
+    piece = strip(F.col("_piece"))
+    out = sectioned.where(F.length(strip(F.col("body"))) >= LEAST).select("*", F.posexplode(packed_chunks(F.col("body"), target, overlap)).alias("chunk_no", "_piece")).where(F.length(piece) >= LEAST)
+    text = F.when(F.col("title") == PREAMBLE, piece).otherwise(F.concat_ws("\n", "title", piece))
+    return out.withColumn("topic", chunk_topic(piece, F.col("title"), topics)).withColumn("chunk_text", text).drop("body", "_piece")
+
+
+def row_chunks(lines: DataFrame, token: str, header: str, title: str, topic: str, least: int = 30) -> DataFrame:
+    """Tables that list one subject a line: lines (doc_id, page, line_no, line) -> a chunk under a header for each line that has the token, as chunks() gives them."""
+    text = F.concat_ws("\n", F.lit(header), strip(F.col("line")))
+    kept = lines.where(F.col("line").contains(token)).withColumn("chunk_text", text).where(F.length("chunk_text") >= least)
+    # numbered by page and line: no window over a document
+    return kept.select("doc_id", F.lit(0).cast("long").alias("section_no"), F.lit(title).alias("title"), "page", F.col("page").alias("page_end"), (F.col("page").cast("int") * 10_000 + F.col("line_no").cast("int")).alias("chunk_no"), F.lit(topic).alias("topic"), "chunk_text")
 
 
 def latest_per_key(df: DataFrame, keys: list[str], date: str, order: str) -> DataFrame:
@@ -115,13 +134,21 @@ def replaced(old: DataFrame, new: DataFrame, key: str = "source_id") -> DataFram
 
 
 def first_by(df: DataFrame, key: Column, order: list[str]) -> DataFrame:
-    """The first row by order of each key (as text, case ignored), numbered by that order.
-
-    The number is global: a window without partitions over one row of each key, as in a list of questions; don't use it on a corpus.
-    """
+    """The first row by order of each key (as text, case ignored), with its place seq among them. See numbered()."""
     rest = df.columns
     firsts = df.groupBy(F.lower(key).alias("_key")).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("_row")).select("_row.*")
-    return firsts.withColumn("seq", F.row_number().over(Window.orderBy(*order)))
+    return numbered(firsts, order)
+
+
+def numbered(df: DataFrame, order: list[str], name: str = "seq") -> DataFrame:
+    """Adds each row's place by order, from 1. Rows are dealt by ranges and numbered within each; a count for each range comes to the driver, no row does."""
+    dealt = stored(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "numbered")
+    before, total = {}, 0
+    for part, n in dealt.groupBy("_range").count().orderBy("_range").collect():
+        before[part], total = total, total + n
+    own = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
+    first = R.lookup(before, F.col("_range")) if before else F.lit(0)
+    return dealt.withColumn(name, (own + first).cast("int")).drop("_range")
 
 
 def suffixed(df: DataFrame, name: str, order: str) -> DataFrame:

@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from hashlib import md5
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Queries of one block: their vectors are all that a search sends to every task.
-BLOCK = 2000
+#: Queries of one matrix product, and of one pass over the rows: the latter's vectors are all that a search sends to every task.
+BLOCK, PASS = 1000, 16_000
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -33,59 +40,25 @@ def knn(chunks: DataFrame, query: list[float], k: int = 8, filters: dict | None
     return kept.orderBy(F.col("similarity").desc(), key).limit(max(k or 1, 1))
 
 
-def knn_batch(chunks: DataFrame, queries: DataFrame, k: int = 8, filters: tuple[str, ...] = (), min_similarity: float = 0.0, vector: str = "embedding", key: str = "chunk_id", query_key: str = "query_id", query_count: int | None = None) -> DataFrame:
-    """The k nearest rows of each query (query_key, qvec and a column q_<name> for each filter; null there: no filter).
+def knn_batch(chunks: DataFrame, queries: DataFrame, k: int = 8, filters: tuple[str, ...] = (), min_similarity: float = 0.0, vector: str = "embedding", key: str = "chunk_id", query_key: str = "query_id") -> DataFrame:
+    """The k nearest rows of each query (query_key, qvec and a column q_<name> for each filter; null there: no filter), with rank; ties by key.
 
-    Blocks of at most BLOCK queries are scored against all rows by matrix products; each task keeps its own k best of every query, so what is
-    shuffled is k rows for each task and query. Queries are told off into blocks by a hash; each block is one pass over the rows.
+    A pass reads the rows once and holds up to PASS queries in every task: a matrix product for each block of them, the k best of each query kept in
+    arrays. So what is shuffled is k rows for each task and query. More queries than PASS, told off by a hash, take more passes.
     """
-    import numpy as np
-    import pandas as pd
-
     spark = chunks.sparkSession
-    n = queries.count() if query_count is None else query_count
-    parts = max(1, -(-n // BLOCK))
-    scan = chunks.select(F.col(key).cast("long").alias(key), *filters, vector)
-    schema = f"{query_key} long, {key} long, similarity double"
-    found = None
+    types = dict(chunks.dtypes) | {query_key: dict(queries.dtypes)[query_key]}
+    scan = chunks.where(F.col(vector).isNotNull()).select(key, F.col(vector).cast("array<double>").alias(vector), *(F.col(f).cast("string").alias(f"f_{f}") for f in filters))
+    asked = queries.select(query_key, F.col("qvec").cast("array<double>").alias("qvec"), *(F.col(f"q_{f}").cast("string").alias(f"q_{f}") for f in filters))
+    schema = f"{query_key} {types[query_key]}, {key} {types[key]}, similarity double"
+    parts, found = max(1, -(-queries.count() // PASS)), None
     for part in range(parts):
-        block = queries if parts == 1 else queries.where(F.pmod(F.xxhash64(query_key), F.lit(parts)) == part)
-        rows = block.select(query_key, "qvec", *(f"q_{f}" for f in filters)).collect()  # at most about BLOCK
-        rows = [r for r in rows if r["qvec"] and any(r["qvec"])]
-        if not rows:
+        rows = (asked if parts == 1 else asked.where(F.pmod(F.xxhash64(query_key), F.lit(parts)) == part)).toArrow()  # at most about PASS
+        search = Search(rows, k, min_similarity, len(filters))
+        if not search.names:
             continue
-        q = np.array([r["qvec"] for r in rows], np.float64)
-        shared = spark.sparkContext.broadcast((q / np.linalg.norm(q, axis=1, keepdims=True), np.array([r[query_key] for r in rows]), {f: [r[f"q_{f}"] for r in rows] for f in filters}))
-
-        def nearest(batches, shared=shared):
-            q, names, wanted = shared.value
-            best: list = [[] for _ in names]
-            for pdf in batches:
-                pdf = pdf[pdf[vector].map(lambda v: v is not None and len(v) == q.shape[1])]
-                if pdf.empty:
-                    continue
-                x = np.stack(pdf[vector].to_numpy()).astype(np.float64)
-                norm = np.linalg.norm(x, axis=1)
-                with np.errstate(invalid="ignore", divide="ignore"):
-                    s = (x / norm[:, None]) @ q.T
-                s[~np.isfinite(s)] = -np.inf
-                ids = pdf[key].to_numpy()
-                for f in filters:
-                    column = pdf[f].to_numpy()
-                    for j, value in enumerate(wanted[f]):
-                        if value is not None:
-                            s[column != value, j] = -np.inf
-                for j in range(len(names)):
-                    good = np.flatnonzero(s[:, j] >= min_similarity)
-                    if len(good) > k:  # ties at the cut stay for the order by key
-                        cut = -np.partition(-s[good, j], k - 1)[k - 1]
-                        good = good[s[good, j] >= cut]
-                    best[j] = sorted([*best[j], *zip(-s[good, j], ids[good], strict=True)])[:k]
-            out = [(names[j], i, -s) for j, b in enumerate(best) for s, i in b]
-            if out:
-                yield pd.DataFrame(out, columns=[query_key, key, "similarity"])
-
-        hits = scan.mapInPandas(nearest, schema)
+        shared = spark.sparkContext.broadcast(search)
+        hits = scan.mapInArrow(lambda batches, shared=shared, schema=schema: shared.value.nearest(batches, schema.replace(",", "").split()[::2]), schema)
         found = hits if found is None else found.unionAll(hits)
     if found is None:
         return spark.createDataFrame([], schema + ", rank int")
@@ -93,27 +66,150 @@ def knn_batch(chunks: DataFrame, queries: DataFrame, k: int = 8, filters: tuple[
     return found.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-def two_pass(scored: DataFrame, k: int, scheme: str = "scheme", query_scheme: str = "q_scheme", query_key: str = "query_id", key: str = "chunk_id") -> DataFrame:
-    """scored (query, row, similarity, the row's and the query's scheme) -> the merge of the k best of all and the k best of the query's scheme.
-
-    The first pass goes first where both have a row; rows of another scheme go, those of none stay. Both ranks come from one scan.
+class Search:
+    """Queries of one pass, in blocks, and the search of a task's rows for the k nearest of each."""
+
+    def __init__(self, rows: pa.Table, k: int, least: float, n_filters: int):
+        self.k, self.least = k, least
+        vectors = [(i, np.array(v, np.float64)) for i, v in enumerate(rows.column(1).to_pylist()) if v and all(x is not None for x in v) and any(v)]
+        by_size: dict[int, list] = {}
+        for i, v in vectors:
+            by_size.setdefault(len(v), []).append((i, v / np.linalg.norm(v)))
+        self.blocks = []  # places among the queries, unit vectors, what each filter wants
+        wanted = [np.array(rows.column(2 + f).to_pylist(), object) for f in range(n_filters)]
+        for group in by_size.values():
+            for at in range(0, len(group), BLOCK):
+                who = np.array([i for i, _ in group[at : at + BLOCK]])
+                self.blocks.append((who, np.stack([v for _, v in group[at : at + BLOCK]]), [w[who] for w in wanted]))
+        self.keys, self.names = rows.column(0), [i for i, _ in vectors]
+
+    def nearest(self, batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[pa.RecordBatch]:
+        best: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        kind = pa.int64()
+        for batch in batches:
+            kind = batch.schema.field(0).type
+            self._add(batch, best)
+        who, ids, values = [], [], []
+        for b, (scores, keys) in best.items():
+            rank, q = np.nonzero(scores > -np.inf)
+            who.append(self.blocks[b][0][q])
+            ids.append(keys[rank, q])
+            values.append(scores[rank, q])
+        if who and sum(map(len, who)):
+            names = self.keys.combine_chunks().take(pa.array(np.concatenate(who)))
+            yield pa.RecordBatch.from_arrays([names, pa.array(np.concatenate(ids).tolist(), kind), pa.array(np.concatenate(values))], names=columns)
+
+    def _add(self, batch: pa.RecordBatch, best: dict) -> None:
+        size = pc.list_value_length(batch.column(1)).to_numpy(zero_copy_only=False)
+        for b, (_, q, wanted) in enumerate(self.blocks):
+            fit = np.flatnonzero(size == q.shape[1])
+            if not len(fit):
+                continue
+            part = batch if len(fit) == batch.num_rows else batch.take(pa.array(fit))
+            x = part.column(1).flatten().to_numpy(zero_copy_only=False).reshape(len(fit), -1)
+            with np.errstate(invalid="ignore", divide="ignore"):
+                s = (x / np.linalg.norm(x, axis=1)[:, None]) @ q.T
+            s[~(s >= self.least)] = -np.inf  # those that are no number, too
+            for f, want in enumerate(wanted):
+                have = np.array(part.column(2 + f).to_pylist(), object)
+                values, code = np.unique(np.array([v for v in want if v is not None], str), return_inverse=True)
+                codes = np.full(len(want), -1)
+                codes[[v is not None for v in want]] = code
+                place = {v: i for i, v in enumerate(values.tolist())}
+                mine = np.array([place.get(v, -2) for v in have])
+                s[(codes >= 0) & (mine[:, None] != codes)] = -np.inf
+            keys = np.array(part.column(0).to_pylist())
+            top = self._top(s, np.broadcast_to(keys[:, None], s.shape))
+            if b in best:
+                both = [np.concatenate([a.astype(c.dtype) if a.dtype.itemsize < c.dtype.itemsize else a, c]) for a, c in zip(best[b], top, strict=True)]
+                top = self._top(*both)
+            best[b] = top
+
+    def _top(self, scores: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of each column the k best, ties by key; every row that ties with the last of them is looked at."""
+        if len(scores) > self.k:
+            cut = np.partition(scores, len(scores) - self.k, axis=0)[len(scores) - self.k]
+            most = int((scores >= cut).sum(0).max()) if np.isfinite(cut).all() else int(((scores >= cut) & (scores > -np.inf)).sum(0).max())
+            most = max(self.k, min(most, len(scores)))
+            near = np.argpartition(-scores, most - 1, axis=0)[:most] if most < len(scores) else None
+            if near is not None:
+                scores, keys = np.take_along_axis(scores, near, 0), np.take_along_axis(keys, near, 0)
+        order = np.lexsort((keys, -scores), axis=0)[: self.k]
+        return np.take_along_axis(scores, order, 0), np.take_along_axis(keys, order, 0)
+
+
+def merged(first: DataFrame, own: DataFrame, query_key: str = "query_id", key: str = "chunk_id") -> DataFrame:
+    """Hits of two passes as one row for each query and row, with the pass that found it first and its similarity."""
+    both = first.withColumn("pass", F.lit(1)).unionByName(own.withColumn("pass", F.lit(2)), allowMissingColumns=True)
+    return both.groupBy(query_key, key).agg(F.min("pass").alias("pass"), F.max("similarity").alias("similarity"))
+
+
+def in_scope(scheme: Column, query_scheme: Column) -> Column:
+    """Rows of another scheme than the query's are out; those of none, and all where the query has none, are in."""
+    return query_scheme.isNull() | (F.coalesce(scheme, F.lit("")) == "") | (scheme == query_scheme)
+
+
+def two_pass(chunks: DataFrame, queries: DataFrame, k: int, scheme: str = "scheme", query_key: str = "query_id", key: str = "chunk_id") -> DataFrame:
+    """chunks (key, scheme, embedding, ...) and queries (query_key, qvec, q_<scheme>, ...) -> merged hits with the columns of both (but the vectors), in scope.
+
+    The first pass takes the k nearest of all, the second as many of the query's own scheme.
     """
-    w = Window.partitionBy(query_key).orderBy(F.col("similarity").desc(), key)
-    mine = F.col(scheme) == F.col(query_scheme)
-    ws = Window.partitionBy(query_key, F.coalesce(mine, F.lit(False))).orderBy(F.col("similarity").desc(), key)
-    ranked = scored.withColumn("_all", F.row_number().over(w)).withColumn("_own", F.when(mine, F.row_number().over(ws)))
-    kept = ranked.where((F.col("_all") <= k) | (F.col("_own") <= k))
-    kept = kept.where(F.col(query_scheme).isNull() | F.coalesce(F.nullif(F.col(scheme), F.lit("")), F.col(query_scheme)).eqNullSafe(F.col(query_scheme)))
-    return kept.withColumn("pass", F.when(F.col("_all") <= k, 1).otherwise(2)).drop("_all", "_own")
+    wish = f"q_{scheme}"
+    first = knn_batch(chunks, queries.select(query_key, "qvec"), k, key=key, query_key=query_key)
+    own = knn_batch(chunks, queries.where(F.col(wish).isNotNull()).select(query_key, "qvec", wish), k, (scheme,), key=key, query_key=query_key)
+    hits = merged(first.drop("rank"), own.drop("rank"), query_key, key)
+    rows = hits.join(chunks.drop("embedding"), key).join(queries.drop("qvec"), query_key)
+    return rows.where(in_scope(F.col(scheme).cast("string"), F.col(wish).cast("string")))
 
 
 def overfetch(top_k: int) -> int:
     return max(6 * top_k, 36)
 
 
+_models: dict[str, Callable] = {}
+
+
+def embedding(text: Column, factory: Callable[[], Callable[[list[str]], np.ndarray]], dim: int = 384, batch: int = 32, name: str = "model") -> Column:
+    """Vectors by a model, `batch` texts at a time. factory() gives the model, once for each worker process and name; a vector of another size is an error."""
+
+    @F.pandas_udf("array<double>")
+    def embed(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        if name not in _models:
+            _models[name] = factory()
+        for texts in parts:
+            out = []
+            for at in range(0, len(texts), batch):
+                block = [t or "" for t in texts[at : at + batch]]
+                got = np.asarray(_models[name](block), np.float64)
+                if got.shape != (len(block), dim):
+                    raise ValueError(f"{len(block)} texts gave vectors of shape {got.shape}, not of {dim} numbers each")
+                out += list(got)
+            yield pd.Series(out, dtype=object)
+
+    return embed(text)
+
+
+class Hashed:
+    """A deterministic stand-in for an embedding model: counts of words by a hash, as unit vectors (zeros without words)."""
+
+    def __init__(self, dim: int = 384):
+        self.dim, self.place = dim, {}
+
+    def __call__(self, texts: list[str]) -> np.ndarray:
+        out = np.zeros((len(texts), self.dim))
+        for row, text in zip(out, texts, strict=True):
+            np.add.at(row, [self._place(w) for w in text.lower().split()], 1)
+        norm = np.linalg.norm(out, axis=1, keepdims=True)
+        return np.divide(out, norm, out=out, where=norm > 0)
+
+    def _place(self, word: str) -> int:
+        at = self.place.get(word)
+        if at is None:
+            if len(self.place) > 100_000:
+                self.place.clear()
+            at = self.place[word] = int(md5(word.encode("utf-8", "replace")).hexdigest()[:8], 16) % self.dim
+        return at
+
+
 def hashed_embedding(text: Column, dim: int = 384) -> Column:
-    """A deterministic stand-in for an embedding model: token counts by md5 bucket, over their length."""
-    words = F.filter(F.split(F.lower(text), r"\s+"), lambda w: w != "")
-    buckets = F.transform(words, lambda w: (F.conv(F.substring(F.md5(w), 1, 8), 16, 10).cast("long") % dim).cast("int"))
-    counts = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.size(F.filter(buckets, lambda b: b == i)).cast("double"))
-    return unit(counts)
+    return embedding(text, lambda: Hashed(dim), dim, name=f"hashed {dim}")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import intent as I
@@ -10,24 +10,61 @@ from ..functions import personal as P
 from ..functions import rules as R
 from ..functions.text import expanded, last_updated, normalize, parse_date, preview, question_hash, scoped, source_id, squeeze
 from ..operators import converse, corpus, rerank, retrieve
+from ..sources import files
+from ..sources.store import load, stored
 
 
-def build_chunks(pages: DataFrame, manifest: DataFrame, embed=retrieve.hashed_embedding, schemes: dict = R.DOCUMENT_SCHEMES, topics: dict = R.CHUNK_TOPICS, target: int = corpus.TARGET, overlap: int = corpus.OVERLAP) -> DataFrame:
-    """pages (doc_id, page, text, is_table) and manifest rows with the same doc_id -> chunks with metadata and embedding."""
-    lines = pages.select("doc_id", "page", "is_table", F.posexplode(F.split(normalize(F.col("text")), "\n")).alias("line_no", "line"))
-    found = corpus.chunks(corpus.sections(corpus.cleaned_lines(lines)), target, overlap, topics)
-    joined = found.join(manifest, "doc_id")
+def build_chunks(pages: DataFrame, manifest: DataFrame, embed=retrieve.hashed_embedding, schemes: dict = R.DOCUMENT_SCHEMES, topics: dict = R.CHUNK_TOPICS, target: int = corpus.TARGET, overlap: int = corpus.OVERLAP, disclosure: dict[str, str] = R.ROW_DISCLOSURE) -> DataFrame:
+    """pages (doc_id, page, text, is_table) and manifest rows with the same doc_id -> chunks with metadata and embedding.
+
+    A document whose file is named after the disclosure has one chunk for each of its rows, if there are any.
+    """
+    lines = corpus.cleaned_lines(pages.select("doc_id", "page", "is_table", F.posexplode(F.split(normalize(F.col("text")), "\n")).alias("line_no", "line")))
+    named = manifest.where(F.lower("file_name").contains(disclosure["file"])).select("doc_id")
+    by_row = corpus.row_chunks(lines.join(named, "doc_id", "left_semi"), disclosure["token"], disclosure["header"], disclosure["title"], disclosure["topic"])
+    usual = corpus.chunks(corpus.sections(lines), target, overlap, topics).join(by_row.select("doc_id").distinct(), "doc_id", "left_anti")
+    title = F.nullif(F.col("title"), F.lit("")) if "title" in manifest.columns else F.lit(None).cast("string")
+    joined = usual.unionByName(by_row).join(manifest.withColumn("_title", F.coalesce(title, "file_name")).drop("title"), "doc_id")
     own = F.coalesce(F.nullif(F.col("scheme"), F.lit("")), R.first_alias(F.col("chunk_text"), schemes))
-    forced = F.when(F.lower("file_name").contains("riskometer"), "riskometer").when(F.col("document_type") == "TER_DATA", "expense_ratio").otherwise(F.col("topic"))
-    text = F.substring(F.replace("chunk_text", F.lit("\x00"), F.lit("")), 1, 8000)
+    forced = F.when(F.lower("file_name").contains(disclosure["file"]), disclosure["topic"]).when(F.upper("document_type") == "TER_DATA", "expense_ratio").otherwise(F.col("topic"))
+    safe = F.replace("chunk_text", F.lit("\x00"), F.lit(""))
+    source = own_id()
     return joined.select(
-        F.concat_ws("-", F.col("doc_id").cast("string"), "section_no", "chunk_no").alias("chunk_id"), F.col("doc_id").alias("document_id"), text.alias("chunk_text"), F.col("page").alias("page_number"), "page_end",
+        F.concat_ws("-", F.col("doc_id").cast("string"), "section_no", "chunk_no").alias("chunk_id"), F.col("doc_id").alias("document_id"), F.substring(safe, 1, 8000).alias("chunk_text"), F.col("page").alias("page_number"), "page_end",
         F.substring("title", 1, 200).alias("section"), own.alias("scheme"), forced.alias("topic"), embed(F.substring("chunk_text", 1, 4000)).alias("embedding"),
-        F.struct("organization", "document_type", F.col("document_date").alias("document_date"), "source_url").alias("metadata"),
-        source_id(F.col("source_id"), F.col("file_name"), F.col("document_date")).alias("source_id"), parse_date(F.col("document_date")).alias("date"),
+        F.struct("organization", "document_type", F.col("document_date").alias("document_date"), "source_url", F.col("_title").alias("document_title"), "file_name").alias("metadata"),
+        source.alias("source_id"), parse_date(F.col("document_date")).alias("date"),
     )
 
 
+def own_id() -> Column:
+    """A manifest row's own source_id, or one of its file name and date."""
+    return F.coalesce(F.nullif(F.col("source_id"), F.lit("")), source_id(F.lit(""), F.col("file_name"), F.col("document_date")))
+
+
+def ingest(spark: SparkSession, manifest: DataFrame, pages: DataFrame, rejected: DataFrame, path: str, only_file: str | None = None, first: int | None = None, **options) -> DataFrame:
+    """Loads manifest rows (row_idx and the manifest's columns) into the store at path; file_name, source_id, status, n_chunks of each.
+
+    pages (file_name, page, text, is_table) and rejected (file_name, reason) are what extraction gave. status: ok; failed (the file was rejected); missing
+    (no pages of it); empty (pages, but no chunk). Only sources with chunks are replaced.
+    """
+    rows = files.selected(manifest, only_file, first).withColumn("source_id", own_id()).withColumn("doc_id", F.col("source_id"))
+    mine = pages.join(rows.select("file_name", "doc_id"), "file_name")
+    chunks = stored(build_chunks(mine.drop("file_name"), rows, **options).drop("source_id").withColumnRenamed("document_id", "source_id"), "chunks")
+    counts = chunks.groupBy("source_id").agg(F.count("*").alias("n_chunks"))
+    there, bad = mine.select("file_name").distinct().withColumn("_there", F.lit(True)), rejected.select("file_name", "reason")
+    status = F.when(F.col("reason").isNotNull(), "failed").when(F.col("_there").isNull(), "missing").when(F.col("n_chunks").isNull(), "empty").otherwise("ok")
+    judged = rows.join(counts, "source_id", "left").join(there, "file_name", "left").join(bad, "file_name", "left").select("file_name", "source_id", status.alias("status"), F.coalesce("n_chunks", F.lit(0)).alias("n_chunks"))
+    documents = rows.join(counts, "source_id", "left_semi").drop("doc_id", "row_idx").withColumns({"title": F.coalesce(F.nullif("title", F.lit("")), "file_name"), "document_date": parse_date(F.col("document_date")), "effective_date": parse_date(F.col("effective_date"))})
+    load(documents, chunks, path)
+    return judged
+
+
+def ingestion_summary(judged: DataFrame) -> DataFrame:
+    """One row of ingest()'s statuses; missing files are none of the failed ones."""
+    return judged.agg(F.count_if(F.col("status") != "failed").alias("files_ok"), F.count_if(F.col("status") == "failed").alias("files_failed"), F.count_if(F.col("status") == "missing").alias("files_missing"), F.coalesce(F.sum("n_chunks"), F.lit(0)).alias("chunks_ingested"))
+
+
 def classified(questions: DataFrame, text: str = "question", **rules) -> DataFrame:
     """Adds categories, hard, intent, scheme and topic."""
     q = squeeze(F.col(text))
@@ -43,16 +80,11 @@ def ranked(queries: DataFrame, chunks: DataFrame, as_of: Column, top_k: int = 8,
 
     The first pass takes overfetch(top_k) rows of all, the second as many of the query's scheme; both are searches of blocks of queries against all rows.
     """
-    n = retrieve.overfetch(top_k)
     vectors = queries.withColumn("qvec", embed(expanded(F.col("retrieval_text"), F.col("q_topic"), R.EXPANSIONS)))
-    ids = chunks.withColumn("row_key", F.xxhash64("chunk_id"))
-    everything = retrieve.knn_batch(ids, vectors.select("query_id", "qvec"), n, key="row_key").withColumn("pass", F.lit(1))
-    own = retrieve.knn_batch(ids, vectors.where("q_scheme is not null").select("query_id", "qvec", F.col("q_scheme").alias("q_scheme")), n, filters=("scheme",), key="row_key").withColumn("pass", F.lit(2))
-    merged = everything.unionByName(own).groupBy("query_id", "row_key").agg(F.min("pass").alias("pass"), F.max("similarity").alias("similarity"))
-    rows = merged.join(ids, "row_key").join(queries, "query_id").where("q_scheme is null or coalesce(scheme, '') = '' or scheme = q_scheme")
+    rows = retrieve.two_pass(chunks, vectors, retrieve.overfetch(top_k))
     value = rerank.score(F.col("similarity"), F.col("scheme"), F.col("q_scheme"), F.col("topic"), F.col("q_topic"), F.col("metadata.organization"), F.col("metadata.document_type"), F.col("intent"), F.col("metadata.document_date"), as_of, F.col("question"), F.col("chunk_text"), **weights)
     w = Window.partitionBy("query_id").orderBy(F.col("rerank_score").desc(), "pass", F.col("similarity").desc(), "chunk_id")
-    return rerank.demoted(rows.drop("embedding").withColumn("rerank_score", value).withColumn("rank", F.row_number().over(w)))
+    return rerank.demoted(rows.withColumn("rerank_score", value).withColumn("rank", F.row_number().over(w)))
 
 
 def search(queries: DataFrame, chunks: DataFrame, as_of: Column, k: int = 5, embed=retrieve.hashed_embedding) -> tuple[DataFrame, DataFrame]:
@@ -72,7 +104,8 @@ def answer_turns(turns: DataFrame, chunks: DataFrame, as_of: Column, answerer=No
     """turns (query_id, session_id, turn, question, remembered) -> a response for each.
 
     remembered says which turns refreshed their session (with full fidelity that depends on the answers themselves: see streaming.session).
-    answerer: context and question columns -> answer column; by default the first evidence's text.
+    answerer: context and question columns -> answer column, or struct(answer, error) as of converse.generated; by default the first evidence's text. A turn
+    whose answerer failed has refusal_type ERROR, no answer and doesn't refresh its session.
     """
     got = converse.carried(classified(turns), wants=F.col("intent") == "AMBIGUOUS")
     mine = F.col("hard") | F.col("intent").isin(refused)
@@ -83,11 +116,22 @@ def answer_turns(turns: DataFrame, chunks: DataFrame, as_of: Column, answerer=No
     gate = converse.gated(hits)
     found = converse.evidence(hits)
     context = converse.contexts(found.withColumn("title", F.col("section")))
-    first = found.where("place = 1").select("query_id", converse.citation(F.lit(None).cast("string"), F.col("section"), F.col("metadata.source_url"), F.col("page_number"), F.col("source_id")).alias("citation"), F.col("chunk_text").alias("_first"), last_updated(F.col("metadata.document_date")).alias("last_updated"))
+    first = found.where("place = 1").select("query_id", converse.citation(F.col("metadata.document_title"), F.col("section"), F.col("metadata.source_url"), F.col("page_number"), F.col("source_id")).alias("citation"), F.col("chunk_text").alias("_first"), last_updated(F.col("metadata.document_date")).alias("last_updated"))
     joined = got.join(gate, "query_id", "left").join(first, "query_id", "left").join(context, "query_id", "left")
     answer = answerer(F.col("context"), q) if answerer else F.col("_first")
-    joined = joined.withColumn("answer", converse.cleaned_answer(answer))
-    o = converse.outcome(F.col("intent"), F.col("hard"), refused, F.coalesce("has_evidence", F.lit(False)), F.col("_first").isNull(), F.col("answer"))
+    joined = joined.withColumn("_said", answer)
+    whole = dict(joined.dtypes)["_said"].startswith("struct")
+    joined = joined.withColumn("answer", converse.cleaned_answer(F.col("_said.answer") if whole else F.col("_said")))
+    failed = F.coalesce("has_evidence", F.lit(False)) & (F.col("_said.error").isNotNull() if whole else F.lit(False))
+    o = converse.outcome(F.col("intent"), F.col("hard"), refused, F.coalesce("has_evidence", F.lit(False)), F.col("_first").isNull(), F.col("answer"), failed)
     out = joined.withColumn("o", o)
     cited = F.col("o.cited")
     return out.select("query_id", "session_id", "turn", question_hash(F.col("question")).alias("question_hash"), "intent", F.col("scheme_used").alias("scheme"), "topic", F.col("o.refused").alias("refused"), F.col("o.refusal_type").alias("refusal_type"), F.when(~F.col("o.refused") & F.coalesce("has_evidence", F.lit(False)), F.col("answer")).alias("answer"), F.when(cited, F.col("citation")).alias("citation"), F.when(cited, F.col("last_updated")).alias("last_updated"), F.col("o.remembered").alias("remembered"))
+
+
+def smoke(responses: DataFrame) -> DataFrame:
+    """responses of answer_turns -> query_id, status, intent, answer (its start on one line), title, page, url, last_updated."""
+    said = F.replace(F.substring("answer", 1, 180), F.lit("\n"), F.lit(" "))
+    refusal = F.coalesce("answer", F.when(F.col("refusal_type").isNotNull() & (F.col("refusal_type") != "ERROR"), "couldn't be found"))
+    status = converse.smoke_status(F.col("refused"), F.col("refusal_type"), refusal, F.col("citation.url"))
+    return responses.select("query_id", status.alias("status"), "intent", F.substring(said, 1, 120).alias("answer"), F.substring("citation.title", 1, 55).alias("title"), "citation.page", F.substring("citation.url", 1, 70).alias("url"), "last_updated")

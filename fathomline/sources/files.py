@@ -4,24 +4,36 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.rules import first_alias
-from ..functions.text import html_to_text
+from ..functions.text import html_to_text, strip
 
 MANIFEST = ["file_name", "title", "scheme", "organization", "document_type", "document_date", "effective_date", "source_url", "source_id"]
 SUFFIXES = ["pdf", "xlsx", "xls", "txt", "md", "csv"]
 
 
 def manifest(spark: SparkSession, path: str) -> DataFrame:
-    """A CSV with a header (a byte order mark is dropped), columns by name, missing or null ones the empty string, trimmed; rows without a file name go."""
-    raw = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
+    """A CSV with a header (a byte order mark is dropped), columns by name, missing or null ones the empty string, trimmed; rows without a file name go. No file, no rows."""
+    try:
+        raw = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
+    except AnalysisException as x:
+        if x.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], ", ".join(f"{c} string" for c in MANIFEST))
     names = {c.replace("﻿", "").strip(): c for c in raw.columns}
     out = raw.select(*(F.trim(F.coalesce(raw[f"`{names[c]}`"], F.lit(""))).alias(c) if c in names else F.lit("").alias(c) for c in MANIFEST))
     return out.where("file_name <> ''")
 
 
+def selected(rows: DataFrame, only_file: str | None = None, first: int | None = None, order: str = "row_idx") -> DataFrame:
+    """Manifest rows of one file name, then the first so many by order; None (of first, 0 too): no limit."""
+    out = rows if only_file is None else rows.where(F.col("file_name") == only_file)
+    return out.orderBy(order).limit(first) if first else out
+
+
 def write_manifest(df: DataFrame, path: str) -> None:
     df.select(*MANIFEST).write.mode("overwrite").option("header", True).csv(path)
 
@@ -36,7 +48,7 @@ def listing(spark: SparkSession, path: str, suffixes: list[str] = SUFFIXES, excl
 def extracted(spark: SparkSession, path: str, extractors: dict[str, Callable] | None = None) -> tuple[DataFrame, DataFrame]:
     """Pages of the files at path, and the files left out with a reason.
 
-    Text files are one page each, wrong bytes replaced. extractors: suffix -> function of a file's bytes that yields (page, text, is_table) (PDF and
+    Text files are one page each, each wrong byte sequence replaced by U+FFFD. extractors: suffix -> function of a file's bytes that yields (page, text, is_table) (PDF and
     workbook parsers are such functions; the engine has none of its own). Old workbooks that are no ZIP container are rejected.
     """
     extractors = extractors or {}
@@ -45,7 +57,7 @@ def extracted(spark: SparkSession, path: str, extractors: dict[str, Callable] |
     known = ["txt", "md", *extractors]
     reason = F.when(unzipped, "not a ZIP container").when(~F.col("suffix").isin(known), F.concat(F.lit("unsupported: ."), "suffix"))
     judged = files.withColumn("reason", reason)
-    text = F.col("content").cast("string")
+    text = F.make_valid_utf8(F.col("content").cast("string"))
     pages = judged.where(F.col("reason").isNull() & F.col("suffix").isin("txt", "md")).select("path", F.lit(1).alias("page"), F.lit("document").alias("label"), text.alias("text"), F.lit(False).alias("is_table"))
     for suffix, function in extractors.items():
 
@@ -69,60 +81,141 @@ def outside_tables(words: DataFrame, boxes: DataFrame) -> DataFrame:
     return left.groupBy("doc_id", "page", F.round(F.col("top") / 3).cast("long").alias("line_no")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x0", "text"))), lambda t: t["text"]), " ").alias("line"))
 
 
-def summary_facts(rows: DataFrame, marker: str, name_label: str) -> DataFrame:
-    """Two-column summary tables, rows (doc_id, table_no, row_no, cells array<string>) -> doc_id, table_no, row_no, fact.
+def _plain(cells: Column) -> Column:
+    """Cells without line feeds and outer white space, nulls as blanks."""
+    return F.transform(cells, lambda c: strip(F.replace(F.coalesce(c, F.lit("")), F.lit("\n"), F.lit(" "))))
+
 
-    A table counts if marker is in one of its first three rows and a row is labelled name_label; numbered rows have their label in the second cell.
+def summary_facts(rows: DataFrame, marker: str = "scheme summary document", name_label: str = "fund name", keys: tuple[str, ...] = ("doc_id", "table_no")) -> DataFrame:
+    """Summary tables, rows (keys, row_no, cells array<string>) -> keys, row_no, fact, name.
+
+    A table counts if marker is in one of its first three rows and a cell that begins with name_label has a cell behind it, the name. Blank cells are left
+    out; of three or more cells the first may be a row's number, so the second is the label.
+    """
+    cells = F.filter(_plain(F.col("cells")), lambda c: c != "")
+    order = F.row_number().over(Window.partitionBy(*keys).orderBy("row_no"))
+    parted = rows.select(*keys, "row_no", cells.alias("c"), order.alias("_n"))
+    marked = F.lower(F.array_join("c", " ")).contains(marker)
+    head = parted.where((F.col("_n") <= 3) & marked).select(*keys).distinct()
+    at = F.array_position(F.transform("c", lambda c: F.lower(c).startswith(name_label)), F.lit(True)).cast("int")
+    named = parted.where(at > 0).groupBy(*keys).agg(F.min_by(F.try_element_at("c", at + 1), "row_no").alias("name")).where("name is not null")
+    numbered = (F.size("c") >= 3) & F.element_at("c", 1).rlike(r"^\d{1,3}$")
+    label = F.when(numbered, F.try_element_at("c", F.lit(2))).otherwise(F.element_at("c", 1))
+    value = F.array_join(F.slice("c", F.when(numbered, 3).otherwise(2), F.size("c")), " ")
+    facts = parted.where((F.size("c") > 1) & ~F.exists("c", lambda c: F.lower(c).contains(marker)))
+    return facts.join(head, list(keys), "left_semi").join(named, list(keys)).select(*keys, "row_no", F.concat(label, F.lit(" of "), "name", F.lit(": "), value).alias("fact"), "name")
+
+
+def table_pages(plain: DataFrame, cells: DataFrame, title: str = "Scheme Summary Document") -> DataFrame:
+    """plain (doc_id, page, text: what stands outside tables) and table rows (doc_id, page, table_no, row_no, cells) -> doc_id, page, text, is_table.
+
+    A page's text is what stands outside, then each table as rows joined by bars, followed by its facts if it is a summary; pages without any are left out.
     """
-    cells = F.transform("cells", lambda c: F.trim(F.coalesce(c, F.lit(""))))
-    numbered = F.element_at(F.col("c"), 1).rlike(r"^\d+\.?$")
-    parted = rows.select("doc_id", "table_no", "row_no", cells.alias("c")).where(F.size("c") > 1)
-    parted = parted.select("*", F.when(numbered, F.try_element_at("c", F.lit(2))).otherwise(F.element_at("c", 1)).alias("label"), F.array_join(F.filter(F.when(numbered, F.slice("c", F.lit(3), F.size("c"))).otherwise(F.slice("c", F.lit(2), F.size("c"))), lambda v: v != ""), " ").alias("value"))
-    key = ["doc_id", "table_no"]
-    head = rows.where("row_no < 3").where(F.exists("cells", lambda c: F.coalesce(F.lower(c).contains(marker.lower()), F.lit(False)))).select(*key).distinct()
-    named = parted.where(F.lower("label").contains(name_label.lower())).groupBy(*key).agg(F.min_by("value", "row_no").alias("name")).where("name <> ''")
-    return parted.join(head, key, "left_semi").join(named, key).where("label <> '' and value <> ''").select(*key, "row_no", F.concat("label", F.lit(" of "), "name", F.lit(": "), "value").alias("fact"))
+    keys = ["doc_id", "page", "table_no"]
+    rows = cells.select(*keys, "row_no", _plain(F.col("cells")).alias("c")).where(F.exists("c", lambda c: c != ""))
+
+    def joined(df: DataFrame, line: Column, name: str) -> DataFrame:
+        return df.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("row_no", line.alias("t")))), lambda x: x["t"]), "\n").alias(name))
+
+    bars = joined(rows, F.array_join("c", " | "), "bars")
+    found = summary_facts(cells, keys=tuple(keys))
+    facts = joined(found, F.col("fact"), "facts").join(found.groupBy(*keys).agg(F.first("name").alias("name")), keys)
+    tables = bars.join(facts, keys, "left").groupBy("doc_id", "page").agg(F.array_sort(F.collect_list(F.struct("table_no", "bars", F.concat(F.lit(f"{title} - "), "name", F.lit("\n"), "facts").alias("facts")))).alias("t"))
+    parts = F.concat(F.array(F.nullif(strip(F.col("text")), F.lit(""))), F.coalesce(F.flatten(F.transform("t", lambda x: F.array(x["bars"], x["facts"]))), F.array().cast("array<string>")))
+    out = plain.join(tables, ["doc_id", "page"], "full").select("doc_id", "page", F.array_join(F.array_compact(parts), "\n\n").alias("text"), F.col("t").isNotNull().alias("is_table"))
+    return out.where("text <> ''")
 
 
 def sheet_lines(rows: DataFrame) -> DataFrame:
-    """Workbook rows (doc_id, sheet, row_idx, cells array<string>) -> doc_id, sheet, row_idx, line: the first non-blank row as header, others `header: value` where there is one."""
-    trimmed = rows.select("doc_id", "sheet", "row_idx", F.transform("cells", lambda c: F.trim(F.coalesce(c, F.lit("")))).alias("cells")).where(F.exists("cells", lambda c: c != ""))
+    """Workbook rows (doc_id, sheet, row_idx, cells array<string>) -> doc_id, sheet, row_idx, line.
+
+    Blank rows are left out. The first row is the header, kept as `HEADER: ` and its cells joined by bars; of others each cell that isn't blank is `header: value`.
+    """
+    trimmed = rows.select("doc_id", "sheet", "row_idx", F.transform("cells", lambda c: strip(F.coalesce(c, F.lit("")))).alias("cells")).where(F.exists("cells", lambda c: c != ""))
     head = trimmed.groupBy("doc_id", "sheet").agg(F.min_by(F.struct("row_idx", "cells"), "row_idx").alias("h"))
-    pairs = F.filter(F.zip_with(F.col("h.cells"), F.col("cells"), lambda h, v: F.when(F.coalesce(v, F.lit("")) != "", F.when(F.coalesce(h, F.lit("")) != "", F.concat(h, F.lit(": "), v)).otherwise(v))), lambda p: p.isNotNull())
-    line = F.when(F.col("row_idx") == F.col("h.row_idx"), F.array_join(F.filter("cells", lambda c: c != ""), " | ")).otherwise(F.array_join(pairs, " || "))
-    return trimmed.join(head, ["doc_id", "sheet"]).select("doc_id", "sheet", "row_idx", line.alias("line"))
+    line = F.when(F.col("row_idx") == F.col("h.row_idx"), F.concat(F.lit("HEADER: "), F.array_join("cells", " | "))).otherwise(F.array_join(_labelled(F.col("h.cells"), F.col("cells")), " || "))
+    return trimmed.join(head, ["doc_id", "sheet"]).select("doc_id", "sheet", "row_idx", line.alias("line")).where("line <> ''")
+
+
+def _labelled(header: Column, cells: Column) -> Column:
+    """`header: value` for each header whose cell isn't blank; the value alone under a blank header."""
+    within = F.slice(cells, F.lit(1), F.size(header))
+    pairs = F.zip_with(header, within, lambda h, v: F.when(F.coalesce(v, F.lit("")) != "", F.when(h != "", F.concat(h, F.lit(": "), v)).otherwise(v)))
+    return F.filter(pairs, lambda p: p.isNotNull())
 
 
-def expense_facts(rows: DataFrame, plans: tuple[str, str] = ("Regular Plan", "Direct Plan"), shared: int = 3, name_header: str = "scheme name", value_header: str = "base expense") -> DataFrame:
-    """Dated expense rows (doc_id, row_idx, cells) -> doc_id, scheme, date, fact, by the latest date of each scheme (the first row of equals).
+def sheet_pages(rows: DataFrame) -> DataFrame:
+    """Workbook rows (doc_id, sheet_no, sheet, row_idx, cells) -> one page for each sheet that has lines: doc_id, page (the sheet's number), label, text, is_table."""
+    numbers = rows.groupBy("doc_id", "sheet").agg(F.min("sheet_no").alias("page"))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("row_idx", "line"))), lambda x: x["line"]), "\n")
+    return sheet_lines(rows).groupBy("doc_id", "sheet").agg(text.alias("text")).join(numbers, ["doc_id", "sheet"]).select("doc_id", "page", F.col("sheet").alias("label"), "text", F.lit(True).alias("is_table"))
 
-    The header is the first row that has a name and a value header; columns after the shared ones fall in two halves, one for each plan, unless the
-    row above names where the second begins. Dates are read in five formats; rows without one are left out.
+
+# Words of the expense report, and its formats of dates.
+PLANS, NAME_HEADER, VALUE_HEADER, TOTAL_HEADER = ("Regular Plan", "Direct Plan"), "scheme name", "base expense", "total ter"
+REPORT_DATES = ["dd-MM-yyyy", "dd/MM/yyyy", "dd-MMM-yyyy", "dd MMM yyyy", "yyyy-MM-dd"]
+
+
+def is_expense_report(rows: DataFrame) -> DataFrame:
+    """doc_id of the workbooks one of whose first five rows speaks of a total or base expense ratio."""
+    line = F.lower(F.array_join(F.transform("cells", lambda c: F.coalesce(c, F.lit(""))), " "))
+    first = rows.groupBy("doc_id").agg(F.min("row_idx").alias("_first"))
+    return rows.join(first, "doc_id").where((F.col("row_idx") < F.col("_first") + 5) & line.rlike("(?:total|base) expense ratio")).select("doc_id").distinct()
+
+
+def expense_facts(rows: DataFrame) -> DataFrame:
+    """Dated expense rows (doc_id, row_idx, cells) of one sheet each -> doc_id, scheme, date, text: the row with the latest date of each scheme (the first of equals).
+
+    The header is the first row with a name and a value header. The row above names the plans: merged title cells leave blanks, so a plan's columns reach
+    from its name to the next (see spread_titles); with one plan named, only the named columns are its own; with none, columns fall at half of the whole
+    header, the first three being shared. Dates are read in five formats; rows without one, or without a scheme, are left out.
     """
-    low = F.transform("cells", lambda c: F.lower(F.trim(F.coalesce(c, F.lit("")))))
-    keyed = rows.withColumn("_low", low)
-    is_head = F.exists("_low", lambda c: c.contains(name_header)) & F.exists("_low", lambda c: c.startswith(value_header))
-    heads = keyed.where(is_head).groupBy("doc_id").agg(F.min_by(F.struct("row_idx", "cells", "_low"), "row_idx").alias("h"))
-    titles = keyed.join(heads.select("doc_id", F.col("h.row_idx").alias("_at")), "doc_id").where("row_idx = _at - 1").select("doc_id", F.col("_low").alias("_title"))
-    body = keyed.join(heads, "doc_id").join(titles, "doc_id", "left").where("row_idx > h.row_idx")
-    n = F.size("h.cells")
-    second = F.array_position(F.transform("_title", lambda c: c.contains(plans[1].lower())), F.lit(True)) - 1
-    split = F.when(second > shared, second).otherwise(shared + F.ceil((n - shared) / 2)).cast("int")
+    order = F.row_number().over(Window.partitionBy("doc_id").orderBy("row_idx"))
+    clean_ = rows.select("doc_id", "row_idx", F.transform("cells", lambda c: strip(F.coalesce(c, F.lit("")))).alias("cells")).where(F.exists("cells", lambda c: c != "")).withColumn("_n", order)
+    keyed = clean_.withColumn("_low", F.transform("cells", F.lower))
+
+    def first(array: Column, test) -> Column:
+        """The place (from 1) of the first element that passes; 0 if none does."""
+        return F.array_position(F.transform(array, test), F.lit(True)).cast("int")
 
-    def at(header: str) -> Column:
-        return F.array_position(F.transform("h._low", lambda c: c.contains(header)), F.lit(True)).cast("int")
+    is_head = F.exists("_low", lambda c: c.contains(NAME_HEADER)) & F.exists("_low", lambda c: c.contains(VALUE_HEADER))
+    heads = keyed.where(is_head).groupBy("doc_id").agg(F.min_by(F.struct("_n", "cells", "_low"), "_n").alias("h"))
+    titles = keyed.join(heads.select("doc_id", F.col("h._n").alias("_at")), "doc_id").where("_n = _at - 1").select("doc_id", F.col("_low").alias("_title"))
+    above = heads.join(titles, "doc_id", "left").withColumn("_title", F.coalesce("_title", F.array().cast("array<string>")))
 
-    scheme = F.trim(F.try_element_at("cells", at(name_header)))
-    raw = F.trim(F.try_element_at("cells", F.greatest(at("date"), F.lit(1))))
-    when = F.coalesce(*(F.try_to_date(raw, f) for f in ("dd/MM/yyyy", "dd-MM-yyyy", "yyyy-MM-dd", "dd-MMM-yyyy", "dd MMM yyyy")), F.try_to_date(F.substring(raw, 1, 10), "yyyy-MM-dd"))
+    def plan(c: Column) -> Column:
+        return F.when(c.contains("regular"), PLANS[0]).when(c.contains("direct"), PLANS[1])
 
-    def part(first: Column, last: Column) -> Column:
-        both = F.zip_with(F.slice("h.cells", first + 1, last - first), F.slice("cells", first + 1, last - first), lambda h, v: F.when(F.coalesce(F.trim(v), F.lit("")) != "", F.concat(F.trim(h), F.lit(" "), F.trim(v))))
-        return F.array_join(F.filter(both, lambda p: p.isNotNull()), ", ")
+    named = F.transform("_title", plan)
+    both = F.array_contains(F.coalesce(named, F.array()), PLANS[0]) & F.array_contains(named, PLANS[1])
+    spread = spread_titles(F.transform(named, lambda p: F.coalesce(p, F.lit(""))))
+    n = F.size("h.cells")
 
-    facts = body.select("doc_id", "row_idx", scheme.alias("scheme"), when.alias("date"), part(F.lit(shared), split).alias("a"), part(split, n).alias("b")).where("scheme <> '' and date is not null")
-    best = facts.groupBy("doc_id", "scheme").agg(F.max_by(F.struct("date", "a", "b"), F.struct("date", -F.col("row_idx"))).alias("x"))
-    return best.select("doc_id", "scheme", F.col("x.date").alias("date"), F.concat(F.lit("Expense ratio of "), "scheme", F.lit(" as of "), F.col("x.date").cast("string"), F.lit(f": {plans[0]}: "), F.col("x.a"), F.lit(f"; {plans[1]}: "), F.col("x.b")).alias("fact"))
+    def of(i: Column) -> Column:
+        """The plan of column i (from 0)."""
+        own = F.get(named, i)
+        merged = F.coalesce(F.nullif(F.get(spread, i), F.lit("")), F.when(i >= F.size("_title"), F.nullif(F.element_at(spread, -1), F.lit(""))))
+        from_ = F.array_position(named, PLANS[1]) - 1
+        ranged = F.when(i >= from_, PLANS[1]).when(merged == PLANS[0], PLANS[0])
+        mid = F.floor(n / 2)
+        return F.when(F.coalesce(both, F.lit(False)), ranged).when(F.exists(named, lambda p: p.isNotNull()), own).when(i >= mid, PLANS[1]).when(i >= 3, PLANS[0])
+
+    labelled = above.select("doc_id", F.col("h._n").alias("_at"), F.col("h._low").alias("_head"), F.transform("h.cells", lambda c, i: F.concat_ws(" - ", of(i), c)).alias("labels"))
+    body = keyed.join(labelled, "doc_id").where("_n > _at")
+    name, date = first(F.col("_head"), lambda c: c.contains(NAME_HEADER)), first(F.col("_head"), lambda c: c.contains("date"))
+    scheme, raw = F.try_element_at("cells", F.nullif(name, F.lit(0))), F.try_element_at("cells", F.nullif(date, F.lit(0)))
+    day = F.coalesce(*(F.try_to_date(raw, f) for f in REPORT_DATES))
+    dated = body.select("doc_id", "_n", "cells", "labels", scheme.alias("scheme"), raw.alias("raw"), day.alias("date")).where("scheme <> '' and date is not null")
+    best = dated.groupBy("doc_id", "scheme").agg(F.max_by(F.struct("date", "raw", "cells", "labels"), F.struct("date", -F.col("_n"))).alias("x")).select("doc_id", "scheme", "x.*")
+
+    def total(p: str) -> Column:
+        at = first(F.col("labels"), lambda c: F.lower(c).contains(f"{p.lower()} - {TOTAL_HEADER}"))
+        return F.nullif(F.try_element_at("cells", F.nullif(at, F.lit(0))), F.lit(""))
+
+    row = F.array_join(_labelled(F.col("labels"), F.col("cells")), " || ")
+    said = F.nullif(F.concat_ws(" and ", *(F.concat(total(p), F.lit(f"% for {p}")) for p in PLANS)), F.lit(""))
+    fact = F.concat(F.lit("The Total Expense Ratio (TER) of "), "scheme", F.lit(" as of "), "raw", F.lit(" is "), F.coalesce(F.concat(said, F.lit(".")), row))
+    return best.select("doc_id", "scheme", "date", F.concat(F.lit("Total Expense Ratio (TER) Report - "), "scheme", F.lit("\n"), fact, F.lit("\n"), row).alias("text"))
 
 
 def spread_titles(cells: Column) -> Column:
@@ -175,12 +268,23 @@ def present(manifest_: DataFrame, on_disk: DataFrame) -> tuple[DataFrame, DataFr
     return manifest_.join(on_disk, "file_name", "left_semi"), manifest_.join(on_disk, "file_name", "left_anti")
 
 
-def newest_report(rows: DataFrame, kind: str = "TER_DATA") -> DataFrame:
-    """Of several reports of a kind only the one with the newest dd-mm-yyyy in its name stays (the first of equals by row_idx; none counts as oldest)."""
-    dated = rows.withColumn("_date", F.coalesce(F.try_to_date(F.regexp_extract("file_name", r"(\d{2}-\d{2}-\d{4})", 1), "dd-MM-yyyy"), F.lit("0001-01-01").cast("date")))
-    w = Window.partitionBy("document_type").orderBy(F.col("_date").desc(), "row_idx")
-    reports = dated.where(F.col("document_type") == kind).withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
-    return dated.where(~F.col("document_type").eqNullSafe(F.lit(kind))).unionByName(reports).drop("_date")
+def newest_report(rows: DataFrame, kind: str = "TER_DATA", patch: dict[str, str] | None = None) -> DataFrame:
+    """Of several reports of a kind only the one with the newest dd-mm-yyyy in its name stays (the first of equals by row_idx; none counts as oldest).
+
+    That one takes the values of patch, and a title of the patch's organization, the date it had and its kind; a missing document_date comes from the
+    name. A single report stays as it is. A partial aggregate: no report goes through a window.
+    """
+    named = F.try_to_date(F.regexp_extract("file_name", r"(\d{2}-\d{2}-\d{4})", 1), "dd-MM-yyyy")
+    reports = rows.where(F.col("document_type") == kind)
+    best = reports.agg(F.max_by(F.struct(*rows.columns), F.struct(F.coalesce(named, F.lit("0001-01-01").cast("date")), -F.col("row_idx"))).alias("x"), F.count("*").alias("_n")).where("_n > 0").select("x.*", "_n")
+    if patch is not None:
+        many = F.col("_n") > 1
+        was = F.coalesce("document_date", F.lit("")) if "document_date" in rows.columns else F.lit("")
+        new = dict(patch) | {"title": F.concat(F.lit(f"{patch.get('organization', '')} {kind.split('_')[0]} Report "), was, F.lit(f" ({kind})"))}
+        if "document_date" in rows.columns:
+            new["document_date"] = F.when(was == "", F.coalesce(F.date_format(named, "yyyy-MM-dd"), F.lit(""))).otherwise(was)
+        best = best.withColumns({c: F.when(many, v if isinstance(v, Column) else F.lit(v)).otherwise(F.col(c)) for c, v in new.items() if c in rows.columns})
+    return rows.where(~F.col("document_type").eqNullSafe(F.lit(kind))).unionByName(best.drop("_n"))
 
 
 def evaluation_set(spark: SparkSession, path: str, field: str) -> DataFrame:
