@@ -6,7 +6,8 @@ exactly if their tally of shared positional bytes reaches the minimum; a pair th
 only. Pairs that pass the tally are verified by their Hamming distance.
 
 Equal fingerprints are one node. A list emits a spanning forest of its links, not its pairs, which keeps every component. Lists beyond BLOCK nodes
-are split into blocks, and pairs of blocks are dealt to tasks of their own, so no list of any size is held in one task or left out.
+are split into blocks, and pairs of blocks are dealt to tasks of their own, so no list of any size is held in one task or left out: the task that
+a long list comes to only cuts it up, 16 bytes for each node, and compares nothing.
 
 Nulls and edge cases: a null or empty text, or one of white space alone, has fingerprint zero and is linked like any other; repeated rows are one
 node; a null doc_id never is a component's id unless all of its doc_ids are null; an empty table gives no rows.
@@ -161,7 +162,7 @@ def links(nodes: DataFrame) -> DataFrame:
                     last, rest, done = None, rest[:0], 0
             if len(key):
                 at = int(np.searchsorted(key, key[-1], "left"))
-                last, rest, key, fp = int(key[-1]), fp[at:], key[:at], fp[at - at : at]
+                last, rest, key, fp = int(key[-1]), fp[at:], key[:at], fp[:at]
                 starts = np.flatnonzero(np.diff(key, prepend=-1))
                 sizes = np.diff(starts, append=len(key))
                 two = starts[sizes == 2]
@@ -224,10 +225,17 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return grouped(docs).drop("root")
 
 
+def _one_each(df: DataFrame, columns: list[str], *keys: str) -> DataFrame:
+    """Of each group of keys the row whose text has the smallest hash, the first by all columns as JSON of equals; a partial aggregate."""
+    row = F.struct(*(F.col(f"`{c}`") for c in columns))
+    first = F.min_by(row, F.struct(F.xxhash64(F.col("text").cast("string")), F.to_json(row))).alias("row")
+    return df.groupBy(*keys).agg(first).select("row.*")
+
+
 def representatives(docs: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id is the smallest of their component; rows that share such a doc_id and a component count once.
+    """The rows of docs whose doc_id is the smallest of their component. Of rows that share such a doc_id and a component one stays, by the hash of its text.
 
-    A component without any doc_id keeps one row, of the fingerprint that is its root.
+    A component without any doc_id keeps one row, of the fingerprint that is its root, by the same rule.
     """
     named = grouped(docs)
     mark, at, group, own = (free_name(docs, x) for x in ("_fp", "_at", "_root", "_own"))
@@ -242,13 +250,13 @@ def representatives(docs: DataFrame) -> DataFrame:
         # rows that share a doc_id may lie in several components: each row goes by its own fingerprint
         roots = kept.select(F.col("doc_id").alias(own), F.col("fp").alias(at), F.col("root").alias(group)).distinct()
         out = out.withColumn(mark, digest(text_of(out)))
-        out = out.join(roots, (out["doc_id"] == F.col(own)) & (F.col(mark) == F.col(at))).dropDuplicates(["doc_id", group]).select(*docs.columns)
+        out = _one_each(out.join(roots, (out["doc_id"] == F.col(own)) & (F.col(mark) == F.col(at))), docs.columns, own, group)
     bare = named.where("doc_id is null and component_id is null and fp = root").select("fp").distinct()
     if bare.isEmpty():
         return out
     nameless = docs.where(docs["doc_id"].isNull()).withColumn(mark, digest(text_of(docs)))
-    one = nameless.join(bare.select(F.col("fp").alias(at)), F.col(mark) == F.col(at), "left_semi").dropDuplicates([mark])
-    return out.unionByName(one.select(*docs.columns))
+    one = _one_each(nameless.join(bare.select(F.col("fp").alias(at)), F.col(mark) == F.col(at), "left_semi"), docs.columns, mark)
+    return out.unionByName(one)
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
