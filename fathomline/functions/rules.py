@@ -195,19 +195,28 @@ def bounded(word: str) -> str:
 
 
 def votes(text: Column, rules: dict[str, list[str]], hint: Column | None = None) -> Column:
-    """Array of struct(score, tie, topic): bounded keyword hits, three times as many where one is in the hint too. One narrow expression, no shuffle."""
-    out = []
-    for k, (topic, words) in enumerate(rules.items()):
-        words = [w.strip().replace("-", " ") for w in words]
-        # most words aren't in most texts, which a plain search tells sooner than an expression
-        hits = sum((F.when(text.contains(w), F.regexp_count(text, F.lit(bounded(w)))).otherwise(0) for w in words), F.lit(0))
-        if hint is not None:
-            heading = F.lit(False)
-            for w in words:
-                heading = heading | hint.rlike(bounded(w))
-            hits = hits * F.when(heading, 3).otherwise(1)
-        out.append(F.struct(hits.cast("long").alias("score"), F.lit(-k).alias("tie"), F.lit(topic).alias("topic")))
-    return F.array(*out)
+    """Array of struct(score, tie, topic): bounded keyword hits, three times as many where one is in the hint too.
+
+    The rules are data of one narrow expression, whose size doesn't grow with them; text and hint are evaluated once a row. No shuffle.
+    """
+    table = F.array(*(
+        F.struct(F.lit(-k).alias("tie"), F.lit(topic).alias("topic"), F.array(*(F.struct(F.lit(w).alias("word"), F.lit(bounded(w)).alias("shape")) for w in (x.strip().replace("-", " ") for x in words))).alias("words"))
+        for k, (topic, words) in enumerate(rules.items())
+    ))
+
+    def over(t: Column, h: Column | None) -> Column:
+        def one(rule: Column) -> Column:
+            # most words aren't in most texts, which a plain search tells sooner than an expression
+            hits = F.aggregate(rule["words"], F.lit(0).cast("long"), lambda s, x: s + F.when(t.contains(x["word"]), F.regexp_count(t, x["shape"])).otherwise(0))
+            if h is not None:
+                hits = hits * F.when(F.exists(rule["words"], lambda x: h.contains(x["word"]) & F.regexp_like(h, x["shape"])), 3).otherwise(1)
+            return F.struct(hits.alias("score"), rule["tie"].alias("tie"), rule["topic"].alias("topic"))
+
+        return F.transform(table, one)
+
+    if hint is None:
+        return F.transform(F.array(text), lambda t: over(t, None))[0]
+    return F.transform(F.array(F.struct(text.alias("t"), hint.alias("h"))), lambda x: over(x["t"], x["h"]))[0]
 
 
 def elected(text: Column, rules: dict[str, list[str]], default: str | None = None, hint: Column | None = None) -> Column:

@@ -96,42 +96,71 @@ def knn_batch_topk(spark, d):
     return retrieve.knn_batch(v, _queries(v).select("query_id", "qvec")).withColumn("similarity", F.round("similarity", 6)).withColumn("rank", F.col("rank").cast("long"))
 
 
-@query(f"""WITH u AS ({UNITS}), s AS (SELECT b.vec_id AS query_id, a.vec_id AS chunk_id, a.label AS scheme, b.label AS q_scheme, list_cosine_similarity(a.e, b.e) AS sim FROM u a, u b WHERE b.vec_id % 100 = 0),
+@query(f"""WITH u AS (SELECT *, CASE WHEN vec_id % 7 <> 3 THEN 's' || label END AS scheme FROM ({UNITS})), s AS (SELECT b.vec_id AS query_id, a.vec_id AS chunk_id, a.scheme, CASE WHEN b.vec_id % 300 <> 0 THEN 's' || b.label END AS q_scheme, list_cosine_similarity(a.e, b.e) AS sim FROM u a, u b WHERE b.vec_id % 100 = 0),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, chunk_id) AS x, CASE WHEN scheme = q_scheme THEN row_number() OVER (PARTITION BY query_id, scheme = q_scheme ORDER BY sim DESC, chunk_id) END AS y FROM s WHERE sim >= 0)
-SELECT query_id, chunk_id, round(sim, 6) AS similarity, CASE WHEN x <= 36 THEN 1 ELSE 2 END AS pass FROM r WHERE (x <= 36 OR y <= 36) AND scheme = q_scheme""")
+SELECT query_id, chunk_id, round(sim, 6) AS similarity, CASE WHEN x <= 36 THEN 1 ELSE 2 END AS pass FROM r WHERE (x <= 36 OR y <= 36) AND (q_scheme IS NULL OR scheme IS NULL OR scheme = q_scheme)""")
 def two_pass_merge(spark, d):
+    """Rows without a scheme and queries without one are among them."""
+    v, q = _schemed(spark, d)
+    return retrieve.two_pass(v, q, retrieve.overfetch(6)).select("query_id", "chunk_id", F.round("similarity", 6).alias("similarity"), "pass")
+
+
+def _schemed(spark, d):
     v = _vectors(spark, d)
-    q = _queries(v)
-    n = retrieve.overfetch(6)
-    both = retrieve.knn_batch(v, q.select("query_id", "qvec"), n).withColumn("p", F.lit(1)).unionByName(retrieve.knn_batch(v, q, n, ("label",)).withColumn("p", F.lit(2)))
-    merged = both.groupBy("query_id", "chunk_id").agg(F.min("p").alias("pass"), F.max("similarity").alias("similarity"))
-    named = merged.join(v.select("chunk_id", "label"), "chunk_id").join(q.select("query_id", "q_label"), "query_id").where("label = q_label")
-    return named.select("query_id", "chunk_id", F.round("similarity", 6).alias("similarity"), "pass")
+    q = _queries(v).select("query_id", "qvec", F.when(F.col("query_id") % 300 != 0, F.concat(F.lit("s"), "q_label")).alias("q_scheme"))
+    return v.select("chunk_id", "embedding", F.when(F.col("chunk_id") % 7 != 3, F.concat(F.lit("s"), "label")).alias("scheme")), q
 
 
-@query(RANKED + """, t AS (SELECT r.*, a.label, b.label AS q_label FROM r JOIN u a ON a.vec_id = chunk_id JOIN u b ON b.vec_id = query_id WHERE rank <= 48)
-SELECT query_id, chunk_id, round(0.55 * sim + 0.18 * CASE WHEN label = q_label THEN 1.0 ELSE -0.5 END + 0.14 * 0.2 + 0.08 * 0.4 / 1.25 + 0.05 * 0.4, 4) AS rerank_score FROM t""")
-def rerank_scores(spark, d):
-    return _scored(spark, d).select("query_id", "chunk_id", F.col("value").alias("rerank_score"))
+# what the rows and queries of the scores below have besides their vectors, by their ids
+_ORGS, _KINDS, _ASKED = ["HDFC Mutual Fund", "SEBI", "AMFI", "Other"], ["SID", "FAQ_DATASET", "FORM", "KIM", "FACTSHEET"], ["what is the minimum lock-in period", "which exit load applies to units", "the fund and its risk"]
+_SAID, _TOPIC_NAMES, _INTENTS = ["the lock in period of units is long", "exit load applies, minimum one percent", "risk"], ["sip", "purchase", "benchmark", "minimum_investment"], list(R.PREFERRED)
 
 
-def _scored(spark, d):
-    v = _vectors(spark, d)
-    q = _queries(v)
-    hits = retrieve.knn_batch(v, q.select("query_id", "qvec"), 48).join(v.select("chunk_id", "label"), "chunk_id").join(q.select("query_id", "q_label"), "query_id")
-    none = F.lit(None).cast("string")
-    value = rerank.score(F.col("similarity"), F.col("label").cast("string"), F.col("q_label").cast("string"), none, none, none, none, none, none, F.lit(AS_OF).cast("date"), F.lit(""), F.lit(""))
-    return hits.withColumn("value", value)
+def _pick(values: list[str], sql: str) -> str:
+    return f"[{', '.join(map(quote, values))}][1 + ({sql}) % {len(values)}]"
+
+
+def _choice(values: list[str], c):
+    return F.element_at(F.array(*map(F.lit, values)), (c % len(values) + 1).cast("int"))
+
+
+def _listed(mapping: dict[str, list[str]], key: str, value: str) -> str:
+    return "coalesce(CASE " + " ".join(f"WHEN {key} = {quote(k)} THEN {value} IN ({', '.join(map(quote, v))})" for k, v in mapping.items()) + " END, false)"
+
+
+_SOURCE = f"""CASE WHEN {_listed({k: v[0] for k, v in R.PREFERRED.items()}, 'intent', 'org')} THEN 1.0 ELSE coalesce({case([(f'org = {quote(k)}', str(v)) for k, v in R.ORGANIZATION_RANK.items()], 'NULL').replace("'0.9'", '0.9').replace("'0.8'", '0.8').replace("'0.7'", '0.7')}, 0.4) END + CASE WHEN {_listed({k: v[1] for k, v in R.PREFERRED.items()}, 'intent', 'kind')} THEN 0.25 ELSE 0 END"""
+_WORDS = r"list_distinct(list_filter(string_split_regex(lower({0}), '\s+'), lambda t: length(t) > 2))"
+
+
+@query(RANKED + f""", h AS (SELECT r.*, CASE WHEN a.vec_id % 7 <> 3 THEN 's' || a.label END AS scheme, CASE WHEN b.vec_id % 300 <> 0 THEN 's' || b.label END AS q_scheme FROM r JOIN u a ON a.vec_id = chunk_id JOIN u b ON b.vec_id = query_id WHERE rank <= 48),
+t AS (SELECT *, {_pick(_TOPIC_NAMES, 'chunk_id')} AS topic, CASE WHEN query_id % 400 <> 0 THEN {_pick(_TOPIC_NAMES, 'query_id // 100')} END AS q_topic, {_pick(_ORGS, 'chunk_id')} AS org, {_pick(_KINDS, 'chunk_id')} AS kind, {_pick(_INTENTS, 'query_id // 100')} AS intent,
+ CASE WHEN chunk_id % 9 <> 4 THEN DATE '2024-03-01' - (chunk_id * 3 % 2000)::INT END AS day, {_WORDS.format(_pick(_ASKED, 'query_id // 100'))} AS asked, {_WORDS.format(_pick(_SAID, 'chunk_id'))} AS said FROM h),
+f AS (SELECT *, list_distinct(list_filter(flatten(list_transform(list_filter(asked, lambda x: NOT list_contains([{', '.join(map(quote, R.STOPWORDS))}], x)), lambda x: string_split(x, '-'))), lambda x: x <> '')) AS terms, {_SOURCE} AS src,
+ CASE WHEN q_topic = topic THEN 1.0 WHEN {_listed(R.RELATED_TOPICS, 'q_topic', 'topic')} THEN 0.8 ELSE 0.2 END AS ts, CASE WHEN q_scheme = scheme THEN 1.0 WHEN q_scheme IS NOT NULL AND scheme IS NOT NULL THEN -0.5 ELSE 0.3 END AS ss,
+ CASE WHEN day IS NULL THEN 0.4 ELSE greatest(1 - greatest(DATE '2024-01-01' - day, 0) / 1095.0, 0) END AS fresh FROM t)
+SELECT query_id, chunk_id, round(0.55 * sim + 0.18 * ss + 0.14 * ts + 0.08 * least(src, 1.25) / 1.25 + 0.05 * fresh + 0.10 * CASE WHEN len(terms) > 0 THEN len(list_intersect(terms, said)) / len(terms) ELSE 0 END, 4) AS rerank_score FROM f""")
+def rerank_scores(spark, d):
+    """All factors vary: equal, other and no schemes, equal, related and other topics, preferred and other sources, dates of all ages and none, words in common."""
+    v, q = _schemed(spark, d)
+    hits = retrieve.knn_batch(v, q.select("query_id", "qvec"), 48).join(v.select("chunk_id", "scheme"), "chunk_id").join(q.drop("qvec"), "query_id")
+    c, n = F.col("chunk_id"), F.floor(F.col("query_id") / 100)
+    day = F.when(c % 9 != 4, F.date_format(F.date_sub(F.lit("2024-03-01").cast("date"), (c * 3 % 2000).cast("int")), "yyyy-MM-dd"))
+    value = rerank.score(
+        F.col("similarity"), F.col("scheme"), F.col("q_scheme"), _choice(_TOPIC_NAMES, c), F.when(F.col("query_id") % 400 != 0, _choice(_TOPIC_NAMES, n)), _choice(_ORGS, c), _choice(_KINDS, c), _choice(_INTENTS, n), day,
+        F.lit(AS_OF).cast("date"), _choice(_ASKED, n), _choice(_SAID, c),
+    )
+    return hits.select("query_id", "chunk_id", value.alias("rerank_score"))
 
 
-@query(RANKED + """, t AS (SELECT r.*, a.label, b.label AS q_label FROM r JOIN u a ON a.vec_id = chunk_id JOIN u b ON b.vec_id = query_id WHERE rank <= 48),
-v AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY label = q_label DESC, rank) AS place FROM t WHERE label = q_label)
-SELECT query_id, chunk_id, place FROM v WHERE place <= 4""")
+@query(RANKED + """, t AS (SELECT r.*, CASE WHEN a.vec_id % 7 <> 3 THEN 's' || a.label % 3 END AS scheme, CASE WHEN b.vec_id % 300 <> 0 THEN 's' || b.label % 3 END AS q_scheme FROM r JOIN u a ON a.vec_id = chunk_id JOIN u b ON b.vec_id = query_id WHERE rank <= 12)
+SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY q_scheme IS NOT NULL AND scheme IS NULL, rank) AS place FROM t WHERE q_scheme IS NULL OR scheme IS NULL OR scheme = q_scheme""")
 def evidence_top4(spark, d):
-    ranked = _scored(spark, d)
-    w = Window.partitionBy("query_id").orderBy((F.col("label") == F.col("q_label")).desc(), F.col("similarity").desc(), "chunk_id")
-    ranked = ranked.where("label = q_label").withColumn("rank", F.row_number().over(w)).withColumn("scheme", F.col("label").cast("string")).withColumn("q_scheme", F.col("q_label").cast("string"))
-    return converse.evidence(ranked).select("query_id", "chunk_id", F.col("place").cast("long").alias("place"))
+    """Of the first twelve those of the query's scheme, then those of none."""
+    v = _vectors(spark, d)
+    q = _queries(v)
+    hits = retrieve.knn_batch(v, q.select("query_id", "qvec"), 12).join(v.select("chunk_id", "label"), "chunk_id").join(q.select("query_id", "q_label"), "query_id")
+    hits = hits.withColumn("scheme", F.when(F.col("chunk_id") % 7 != 3, F.concat(F.lit("s"), F.col("label") % 3))).withColumn("q_scheme", F.when(F.col("query_id") % 300 != 0, F.concat(F.lit("s"), F.col("q_label") % 3)))
+    return converse.evidence(hits, n=12).select("query_id", "chunk_id", F.col("place").cast("long").alias("place"))
 
 
 @query(RANKED + " SELECT query_id, round(max(sim) FILTER (rank = 1), 6) AS top_similarity, max(sim) FILTER (rank = 1) >= 0.35 AS has_evidence FROM r GROUP BY query_id")
@@ -148,13 +177,20 @@ def text_keys(spark, d):
     return table(spark, d, "documents").select("doc_id", X.question_hash(F.col("text")).alias("question_hash"), X.source_id(F.lit(""), F.col("source"), F.col("lang")).alias("source_id"), X.preview(F.col("text")).alias("preview"))
 
 
-@query(r"""SELECT doc_id, sha256(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(text, chr(160), ' '), '[ \t]+', ' ', 'g'), ' *\n *', chr(10), 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '^[ \n]+', ''), '[ \n]+$', '')) AS normal_sha256 FROM documents""")
+_NORMAL = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(text, chr(160), ' '), '[ \t]+', ' ', 'g'), ' *\n *', chr(10), 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '^[ \n]+', ''), '[ \n]+$', '')"
+
+
+@query(f"SELECT doc_id, sha256({_NORMAL}) AS normal_sha256 FROM documents")
 def normalize_text(spark, d):
     return table(spark, d, "documents").select("doc_id", F.sha2(X.normalize(F.col("text")), 256).alias("normal_sha256"))
 
 
+#: The entities that the pages have, the ampersand last.
+ENTITIES = [("&nbsp;", chr(160)), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&#x27;", "'"), ("&mdash;", "—"), ("&ndash;", "–"), ("&hellip;", "…"), ("&eacute;", "é"), ("&copy;", "©"), ("&middot;", "·"), ("&euro;", "€"), ("&amp;", "&")]
+
+
 def _entities(sql: str) -> str:
-    for entity, sign in X.ENTITIES:
+    for entity, sign in ENTITIES:
         sql = f"replace({sql}, {quote(entity)}, {quote(sign)})"
     return sql
 
@@ -173,13 +209,13 @@ def html_to_text(spark, d):
     return table(spark, d, "pages").select("page_id", X.html_to_text(F.col("html")).alias("text"))
 
 
-@query(f"WITH t AS (SELECT page_id, url, {_HTML} AS text FROM pages) SELECT url, text FROM t WHERE length(text) >= 300 AND url NOT IN (SELECT url FROM pages WHERE contains(url, '/fr/'))")
+@query(f"WITH t AS (SELECT page_id, url, {_HTML} AS text FROM pages) SELECT url, text FROM t WHERE length(text) >= 300 AND page_id % 5 <> 0 AND url NOT IN (SELECT url FROM pages WHERE contains(url, '/fr/'))")
 def fetched_pages(spark, d):
-    pages = table(spark, d, "pages").withColumn("status", F.lit(200))
+    pages = table(spark, d, "pages").withColumn("status", F.when(F.col("page_id") % 5 == 0, 404).otherwise(200))
     return files.fetched_pages(pages, pages.where(F.col("url").contains("/fr/")))
 
 
-@query(r"SELECT doc_id, len(list_filter(string_split_regex(regexp_replace(trim(text, ' '), '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda s: trim(s, ' ') <> '')) AS n FROM documents")
+@query(r"SELECT doc_id, len(list_filter(string_split_regex(trim(text, chr(32) || chr(9) || chr(10) || chr(13)), '[.!?]+\s'), lambda s: trim(s, chr(32) || chr(9) || chr(10) || chr(13)) <> '')) AS n FROM documents")
 def sentence_counts(spark, d):
     return table(spark, d, "documents").select("doc_id", X.sentence_count(F.col("text")).cast("long").alias("n"))
 
@@ -189,9 +225,40 @@ def personal_flags(spark, d):
     return table(spark, d, "documents").select("doc_id", *(F.col("text").rlike(p).alias(n) for n, p in PERSONAL.items()))
 
 
-@query(f"SELECT doc_id, array_to_string(list_filter([{', '.join(f'CASE WHEN regexp_matches(text, {quote(p)}) THEN {quote(n)} END' for n, p in PERSONAL.items())}], lambda x: x IS NOT NULL), ',') AS categories FROM documents")
+def _screened(column: str) -> dict[str, str]:
+    """Each category's condition. RE2 has no look-ahead: of a folio's candidates one must hold a digit."""
+
+    def rx(pattern: str, text: str = column) -> str:
+        flags = ", 'i'" if pattern.startswith("(?i)") else ""
+        return f"regexp_matches({text}, {quote(pattern.removeprefix('(?i)'))}{flags})"
+
+    folio = P.FOLIO.removeprefix("(?i)").replace(r"(?=[A-Za-z0-9/\-]*\d)", "")
+    bare = f"regexp_replace({column}, '[A-Za-z]', '', 'g')"
+    return {
+        "pan": rx(P.PAN), "aadhaar": f"({rx(P.AADHAAR_WORD)} OR ({rx(P.AADHAAR, bare)} AND NOT {rx(P.CARD)}))", "otp": rx(P.OTP), "email": rx(P.EMAIL), "phone": rx(P.PHONE), "bank_account": rx(P.BANK_ACCOUNT),
+        "folio": f"len(list_filter(regexp_extract_all({column}, {quote(folio)}, 1, 'i'), lambda x: regexp_matches(x, '[0-9]'))) > 0", "credential": rx(P.CREDENTIAL),
+        "account_request": "(" + " OR ".join([*(f"contains(lower({column}), {quote(p)})" for p in P.ACCOUNT_PHRASES), rx(P.ACCOUNT_NOUN)]) + ")",
+    }
+
+
+def _categories_sql(column: str) -> str:
+    return f"list_filter([{', '.join(f'CASE WHEN {cond} THEN {quote(name)} END' for name, cond in _screened(column).items())}], lambda x: x IS NOT NULL)"
+
+
+#: What users might give away: appended to the tables' texts, one to each.
+GIVEN = ["my pan is ABCDE1234F", "1234 5678 9012", "card 1234 5678 9012 3456", "my aadhaar", "the one time password", "mail a.b@c.co", "call +91 98765 43210", "98765-43210 or 9876543210", "account number is 123456789012", "folio no 12345678/90", "what is a folio number?", "password: hunter2", "show my holdings", "tell me of my other units", "nothing at all", "a/c - 1234567890"]
+_GIVEN = f"text || ' ' || {_pick(GIVEN, 'doc_id')}"
+
+
+@query(f"WITH t AS (SELECT doc_id, {_GIVEN} AS t FROM documents) SELECT doc_id, array_to_string({_categories_sql('t')}, ',') AS categories, len(list_filter({_categories_sql('t')}, lambda x: x <> 'account_request')) > 0 AS hard FROM t")
 def personal_categories(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.array_join(P.rule_categories(F.col("text"), PERSONAL), ",").alias("categories"))
+    found = table(spark, d, "documents").select("doc_id", P.categories(F.concat_ws(" ", "text", _choice(GIVEN, F.col("doc_id")))).alias("c"))
+    return found.select("doc_id", F.array_join("c", ",").alias("categories"), P.is_hard(F.col("c")).alias("hard"))
+
+
+@query(f"WITH t AS (SELECT doc_id, {_GIVEN} AS t FROM documents) SELECT doc_id, {' OR '.join(f'regexp_matches(t, {quote(p)})' for p in P.CLIENT.values())} AS blocked FROM t")
+def client_check(spark, d):
+    return table(spark, d, "documents").select("doc_id", P.client_blocked(F.concat_ws(" ", "text", _choice(GIVEN, F.col("doc_id")))).alias("blocked"))
 
 
 _SCRUB = "text"
@@ -245,7 +312,11 @@ def _rx(pattern: str) -> str:
     return f"regexp_matches(q, {quote(pattern)}, 'i')"
 
 
-_VALUES = ", ".join(f"({k}::BIGINT, {quote(q)})" for k, q in enumerate(QUESTIONS))
+#: A question of the list, what a user gives away, and the turn's own text, for every user turn.
+_ASK = f"SELECT conv_id * 1000 + turn AS id, {_pick(QUESTIONS, 'conv_id + turn')} || ' ' || {_pick(['', '', '', *GIVEN], 'conv_id * 7 + turn')} || ' ' || substr(text, 1, 200) AS q FROM conversations WHERE role = 'user'"
+
+
+BRAND_HINTS = ["upi", "folio number?"]
 
 
 def _question_votes() -> str:
@@ -259,37 +330,51 @@ def _question_votes() -> str:
     return case([(amount, "minimum_investment"), (f"{best} = 0", "-"), *((f"({e}) = {best}", t) for t, e in parts)], "NULL")
 
 
-_INTENT = f"""WITH v(id, q) AS (VALUES {_VALUES}), l AS (SELECT id, q, lower(q) AS lq, ' ' || replace(lower(q), '-', ' ') || ' ' AS low, '  ' || regexp_replace(replace(lower(q), '-', ' '), '[^\\p{{L}}\\p{{N}}_]', '  ', 'g') || '  ' AS hay FROM v),
+_INTENT = f"""WITH v AS ({_ASK}), l AS (SELECT id, q, {_categories_sql('q')} AS cats, lower(q) AS lq, ' ' || replace(lower(q), '-', ' ') || ' ' AS low, '  ' || regexp_replace(replace(lower(q), '-', ' '), '[^\\p{{L}}\\p{{N}}_]', '  ', 'g') || '  ' AS hay FROM v),
 t AS (SELECT *, nullif({_question_votes()}, '-') AS topic, {case([(_any('lq', a), s) for s, a in R.QUERY_SCHEMES.items()], 'NULL')} AS scheme,
- regexp_matches(q, {quote(P.PAN)}) OR {_rx(P.OTP[4:])} OR {_rx(P.CREDENTIAL[4:])} AS hard, {_any('lq', P.ACCOUNT_PHRASES)} OR {_rx(P.ACCOUNT_NOUN[4:])} AS soft FROM l)
+ len(list_filter(cats, lambda x: x <> 'account_request')) > 0 AS hard, list_contains(cats, 'account_request') AS soft FROM l)
 SELECT id, topic, scheme, CASE WHEN hard THEN 'PII_ACCOUNT' WHEN {_rx(R.MARKET_TIMING)} THEN 'MARKET_TIMING' WHEN {_rx(R.COMPARISON)} THEN 'PERFORMANCE_COMPARISON' WHEN {_rx(R.PREDICTION)} THEN 'PERFORMANCE_PREDICTION'
  WHEN {_rx(R.ADVICE)} AND NOT {_rx(R.OPERATIONAL_TIMING)} THEN 'ADVICE' WHEN {_rx(R.OUT_OF_SCOPE)} AND scheme IS NULL AND NOT {_any('lq', R.OPERATIONAL_HINTS)} THEN 'OUT_OF_SCOPE' WHEN {_rx(R.HISTORICAL)} THEN 'HISTORICAL_PERFORMANCE'
- WHEN {_any('lq', R.REGULATORY_HINTS)} AND scheme IS NULL THEN 'FACTUAL_REGULATORY' WHEN {_any('lq', R.OPERATIONAL_HINTS)} THEN 'FACTUAL_OPERATIONAL' WHEN soft THEN 'PII_ACCOUNT' WHEN scheme IS NOT NULL THEN 'FACTUAL_SCHEME'
+ WHEN {_any('lq', BRAND_HINTS)} AND NOT soft THEN 'FACTUAL_UPI' WHEN {_any('lq', R.REGULATORY_HINTS)} AND scheme IS NULL THEN 'FACTUAL_REGULATORY' WHEN {_any('lq', R.OPERATIONAL_HINTS)} THEN 'FACTUAL_OPERATIONAL' WHEN soft THEN 'PII_ACCOUNT' WHEN scheme IS NOT NULL THEN 'FACTUAL_SCHEME'
  WHEN topic IN ({', '.join(map(quote, R.SCHEME_TOPICS))}) THEN 'AMBIGUOUS' WHEN topic IS NOT NULL THEN 'FACTUAL_REGULATORY' ELSE 'AMBIGUOUS' END AS intent FROM t"""
 
 
-def _questions(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(enumerate(QUESTIONS)), "id long, question string")
+def _questions(spark: SparkSession, d: str) -> DataFrame:
+    turns, n = table(spark, d, "conversations").where("role = 'user'"), F.col("conv_id") + F.col("turn")
+    given = _choice(["", "", "", *GIVEN], F.col("conv_id") * 7 + F.col("turn"))
+    return turns.select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.concat(_choice(QUESTIONS, n), F.lit(" "), given, F.lit(" "), F.substring("text", 1, 200)).alias("question"))
+
+
+def _classified(spark: SparkSession, d: str) -> DataFrame:
+    q = F.col("question")
+    found = _questions(spark, d).withColumn("categories", P.categories(q)).withColumn("scheme", I.scheme(q)).withColumn("topic", I.topic(q)).withColumn("hard", P.is_hard(F.col("categories")))
+    got = I.classified(q, F.col("hard"), F.array_contains("categories", "account_request"), F.col("scheme"), F.col("topic"), brand="UPI", brand_hints=tuple(BRAND_HINTS))
+    return found.withColumn("intent", got["intent"])
 
 
 @query(_INTENT)
 def intent_cascade(spark, d):
-    q = F.col("question")
-    found = _questions(spark).withColumn("categories", P.categories(q)).withColumn("scheme", I.scheme(q)).withColumn("topic", I.topic(q))
-    got = I.classified(q, P.is_hard(F.col("categories")), F.array_contains("categories", "account_request"), F.col("scheme"), F.col("topic"))
-    return found.select("id", "topic", "scheme", got["intent"].alias("intent"))
+    return _classified(spark, d).select("id", "topic", "scheme", "intent")
 
 
-@query(f"WITH i AS ({_INTENT}) SELECT id, intent, intent IN ({', '.join(map(quote, I.REFUSED))}) AS refused, CASE WHEN intent IN ({', '.join(map(quote, I.REFUSED))}) THEN intent WHEN scheme IS NULL THEN 'NO_EVIDENCE' END AS refusal_type FROM i")
+#: Answers, one to each question, some of which say that there is none.
+ANSWERS = ["The load is 1 %.", "It couldn’t be found.", "This is not mentioned in the documents.", "No details."]
+_ANSWERED = f"SELECT i.*, {_pick(ANSWERS, 'i.id')} AS answer, i.id % 3 <> 0 AS has_evidence, i.id % 5 = 0 AS mismatch, i.id % 11 = 0 AS failed FROM i"
+_GONE = rf"regexp_matches(replace(answer, '’', chr(39)), {quote(R.NO_EVIDENCE.removeprefix('(?i)'))}, 'i')"
+
+
+@query(f"""WITH i AS ({_INTENT.replace('SELECT id, topic, scheme, CASE WHEN hard', 'SELECT id, topic, scheme, hard, CASE WHEN hard')}), a AS ({_ANSWERED}) SELECT id, intent, hard OR intent IN ({', '.join(map(quote, I.REFUSED))}) AS refused,
+CASE WHEN hard THEN 'PII_ACCOUNT' WHEN intent IN ({', '.join(map(quote, I.REFUSED))}) THEN intent WHEN failed THEN 'ERROR' WHEN NOT has_evidence THEN 'NO_EVIDENCE' WHEN mismatch THEN 'SCHEME_MISMATCH' WHEN {_GONE} AND intent = 'AMBIGUOUS' THEN 'NO_EVIDENCE' END AS refusal_type,
+NOT (hard OR intent IN ({', '.join(map(quote, I.REFUSED))}) OR failed OR NOT has_evidence OR mismatch OR ({_GONE} AND intent = 'AMBIGUOUS')) AS cited, {_GONE} AS not_found FROM a""")
 def outcomes(spark, d):
-    got = intent_cascade(spark, d)
-    o = converse.outcome(F.col("intent"), F.lit(False), I.REFUSED, F.col("scheme").isNotNull(), F.lit(False), F.lit("text"))
-    return got.select("id", "intent", o["refused"].alias("refused"), o["refusal_type"].alias("refusal_type"))
+    n, answer = F.col("id"), _choice(ANSWERS, F.col("id"))
+    o = converse.outcome(F.col("intent"), F.col("hard"), I.REFUSED, n % 3 != 0, n % 5 == 0, answer, n % 11 == 0)
+    return _classified(spark, d).select("id", "intent", o["refused"].alias("refused"), o["refusal_type"].alias("refusal_type"), o["cited"].alias("cited"), converse.not_found(answer).alias("not_found"))
 
 
 @query(f"""WITH i AS ({_INTENT}) SELECT id, {quote(converse.INVITATION)} || {' || '.join(f"chr(10) || '- ' || replace(CASE {' '.join(f'WHEN topic = {quote(t)} THEN {quote(x)}' for t, x in converse.TEMPLATES.items())} ELSE {quote(converse.TEMPLATE)} END, '{{scheme}}', {quote(s)})" for s in list(R.QUERY_SCHEMES)[:3])} AS suggestion FROM i""")
 def suggestions(spark, d):
-    return intent_cascade(spark, d).select("id", converse.suggestions(F.col("topic")).alias("suggestion"))
+    return _questions(spark, d).select("id", converse.suggestions(I.topic(F.col("question"))).alias("suggestion"))
 
 
 def _expand_sql() -> str:
@@ -300,32 +385,42 @@ def _expand_sql() -> str:
     return "CASE " + " ".join(rules) + " ELSE q END"
 
 
-@query(f"WITH i AS ({_INTENT}), j AS (SELECT i.*, QUESTIONS.q FROM i JOIN (VALUES {_VALUES}) AS QUESTIONS(id, q) USING (id)) SELECT id, {_expand_sql()} AS expanded FROM j")
+@query(f"WITH i AS ({_INTENT}), j AS (SELECT i.*, q FROM i JOIN ({_ASK}) USING (id)) SELECT id, {_expand_sql()} AS expanded FROM j")
 def query_expansion(spark, d):
     q = F.col("question")
-    return _questions(spark).withColumn("topic", I.topic(q)).select("id", X.expanded(q, F.col("topic"), R.EXPANSIONS).alias("expanded"))
+    return _questions(spark, d).withColumn("topic", I.topic(q)).select("id", X.expanded(q, F.col("topic"), R.EXPANSIONS).alias("expanded"))
+
+
+#: Formats that days are written in, for DuckDB and for Spark, and what surrounds them.
+_WRITTEN = [("%Y-%m-%d", "yyyy-MM-dd"), ("%d-%m-%Y", "dd-MM-yyyy"), ("%d/%m/%Y", "dd/MM/yyyy"), ("%d %b %Y", "dd MMM yyyy"), ("%B %d, %Y", "MMMM dd, yyyy"), ("%b %Y", "MMM yyyy"), ("%B %Y", "MMMM yyyy")]
+_OF_MONTH = "date_trunc('month', day)::DATE"
+_SHAPES = len(_WRITTEN) + 2
 
 
-@query("""WITH o AS (SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS raw, o_orderdate::DATE AS day FROM orders)
-SELECT o_orderkey, day AS iso, day AS dashed, date_trunc('month', day)::DATE AS monthly, strftime(day, '%Y-%m-%d') AS in_name, CASE WHEN year(day) BETWEEN 2015 AND 2035 THEN strftime(day, '%Y-%m-%d') WHEN day(day) BETWEEN 15 AND 35 THEN '20' || strftime(day, '%d-%m') || '-01' ELSE '' END AS named, strftime(day, '%B %Y') AS updated, round(greatest(1 - greatest(DATE '2024-01-01' - day, 0) / 1095.0, 0), 6) AS freshness FROM o""".replace("strftime(day, '%Y-%m-%d') AS in_name, ", ""))
+@query(f"""WITH o AS (SELECT o_orderkey, o_orderdate::DATE AS day, o_orderkey % {_SHAPES} AS shape, strftime(o_orderdate, '%Y-%m-%d') AS raw FROM orders),
+u AS (SELECT *, CASE o_orderkey % 6 WHEN 0 THEN '' WHEN 1 THEN left(raw, 5) || '13' || right(raw, 3) WHEN 2 THEN left(raw, 5) || '00' || right(raw, 3) WHEN 3 THEN strftime(day, '%B %Y') ELSE raw END AS given FROM o)
+SELECT o_orderkey, CASE WHEN shape IN (5, 6, 7) THEN {_OF_MONTH} WHEN shape < 5 THEN day END AS parsed,
+ CASE WHEN o_orderkey % 2 = 0 THEN CASE WHEN year(day) BETWEEN 2015 AND 2035 THEN raw WHEN day(day) BETWEEN 15 AND 35 THEN '20' || strftime(day, '%d-%m') || '-01' ELSE '' END WHEN year(day) BETWEEN 2015 AND 2035 THEN strftime(day, '%Y-%m') || '-01' ELSE '' END AS named,
+ CASE WHEN given = '' THEN 'recently updated' WHEN o_orderkey % 6 = 1 THEN given WHEN o_orderkey % 6 = 2 THEN 'December ' || year(day) WHEN o_orderkey % 6 = 3 THEN left(given, 10) ELSE strftime(day, '%B %Y') END AS updated,
+ CASE WHEN o_orderkey % 6 IN (0, 1, 2, 3) THEN 0.4 ELSE round(greatest(1 - greatest(DATE '1997-01-01' - day, 0) / 1095.0, 0), 6) END AS freshness FROM u""")
 def dates(spark, d):
-    day = F.col("o_orderdate").cast("date")
+    """All shapes of days that are read, within sentences too, and some that aren't; names of files; what answers say of a document's age."""
+    day, n = F.col("o_orderdate").cast("date"), F.col("o_orderkey")
     raw = F.date_format(day, "yyyy-MM-dd")
-    name = F.concat(F.lit("report_"), F.date_format(day, "MMMM dd yyyy"), F.lit(".pdf"))
-    return table(spark, d, "orders").select(
-        "o_orderkey", X.parse_date(raw).alias("iso"), X.parse_date(F.date_format(day, "dd-MM-yyyy")).alias("dashed"), X.parse_date(F.concat(F.lit("as of "), F.date_format(day, "MMMM yyyy"), F.lit(" edition"))).alias("monthly"),
-        X.date_in_name(name).alias("named"), X.last_updated(raw).alias("updated"), F.round(rerank.freshness(raw, F.lit(AS_OF).cast("date")), 6).alias("freshness"),
-    )
+    text = F.element_at(F.array(*(F.date_format(day, f) for _, f in _WRITTEN), F.concat(F.lit("as of "), F.date_format(day, "MMMM yyyy"), F.lit(" edition")), F.lit("soon")), (n % _SHAPES + 1).cast("int"))
+    name = F.concat(F.lit("report_"), F.when(n % 2 == 0, F.date_format(day, "MMMM dd yyyy")).otherwise(F.date_format(day, "MMM yyyy")), F.lit(".pdf"))
+    given = F.when(n % 6 == 0, "").when(n % 6 == 1, F.concat(F.left(raw, F.lit(5)), F.lit("13"), F.right(raw, F.lit(3)))).when(n % 6 == 2, F.concat(F.left(raw, F.lit(5)), F.lit("00"), F.right(raw, F.lit(3)))).when(n % 6 == 3, F.date_format(day, "MMMM yyyy")).otherwise(raw)
+    return table(spark, d, "orders").select(n, X.parse_date(text).alias("parsed"), X.date_in_name(name).alias("named"), X.last_updated(given).alias("updated"), F.round(rerank.freshness(given, F.lit("1997-01-01").cast("date")), 6).alias("freshness"))
 
 
 # ---- corpus
 
-PAGED = "SELECT doc_id, ((i - 1) // 5)::INT AS page, ((i - 1) % 5)::INT AS line_no, lines[i] AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents), unnest(range(1, len(lines) + 1)) AS t(i)"
+PAGED = "SELECT doc_id, ((i - 1) // 5)::INT AS page, ((i - 1) % 5)::INT AS line_no, lines[i] AS line, ((i - 1) // 5) % 4 = 3 AS is_table FROM (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents), unnest(range(1, len(lines) + 1)) AS t(i)"
 
 
 def _paged(spark: SparkSession, d: str) -> DataFrame:
-    """Documents as pages of five lines."""
-    return table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "line")).select("doc_id", F.floor(F.col("i") / 5).cast("int").alias("page"), (F.col("i") % 5).alias("line_no"), "line", F.lit(False).alias("is_table"))
+    """Documents as pages of five lines; every fourth page has a table."""
+    return table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "line")).select("doc_id", F.floor(F.col("i") / 5).cast("int").alias("page"), (F.col("i") % 5).alias("line_no"), "line", (F.floor(F.col("i") / 5) % 4 == 3).alias("is_table"))
 
 
 @query(f"""WITH p AS ({PAGED}), f AS (SELECT doc_id, page, line_no, trim(line, ' ') AS line FROM p WHERE trim(line, ' ') <> ''),
@@ -338,9 +433,15 @@ def boilerplate_lines(spark, d):
 
 
 HEADS = ["licensed under", "copyright"]
-_HEADING = r"length(s) > 3 AND length(s) <= 140 AND NOT regexp_matches(s, '[.,;]$') AND len(string_split_regex(s, '\s+')) <= 10 AND (" + " OR ".join(f"starts_with(low, {quote(h)}) OR (contains(low, {quote(h)}) AND length(s) <= {len(h) + 25})" for h in HEADS) + r""" OR (
-regexp_matches(s, '^(?:\d{1,2}(?:\.\d{1,2})*[.)]?\s+)?(?:[A-Z][A-Z0-9 ,&/\-()''%.:]{6,120}|[A-Z][A-Za-z0-9 ,&/\-()'':.\-]{4,120})\s*$') AND (regexp_matches(s, '^\d{1,2}(?:\.\d{1,2})*[.)]?\s+[A-Z]')
-OR (length(regexp_replace(s, '[^\p{L}]', '', 'g')) > 0 AND length(regexp_replace(s, '[^\p{Lu}]', '', 'g')) > 0.75 * length(regexp_replace(s, '[^\p{L}]', '', 'g'))) OR (length(s) <= 60 AND NOT contains(s, ':')))))"""
+def _heading_sql(known: list[str]) -> str:
+    listed = " OR ".join(f"starts_with(low, {quote(h)}) OR (contains(low, {quote(h)}) AND length(s) <= {len(h) + 25})" for h in known)
+    shape, number = (x.replace("'", "''") for x in (X.HEADING_SHAPE, X.HEADING_NUMBER))
+    letters, upper = (f"length(regexp_replace(s, '[^\\p{{{c}}}]', '', 'g'))" for c in ("L", "Lu"))
+    return f"""length(s) > 3 AND length(s) <= 140 AND NOT regexp_matches(s, '[.,;]$') AND len(string_split_regex(s, '\\s+')) <= 10 AND ({listed} OR (regexp_matches(s, '{shape}') AND (regexp_matches(s, '{number}')
+ OR ({letters} > 0 AND {upper} > 0.75 * {letters}) OR (length(s) <= 60 AND NOT contains(s, ':')))))"""
+
+
+_HEADING = _heading_sql(HEADS)
 
 
 @query(f"WITH p AS ({PAGED}), s AS (SELECT *, trim(line, ' ') AS s, lower(trim(line, ' ')) AS low FROM p) SELECT doc_id, page, line_no, {_HEADING} AS heading FROM s")
@@ -348,16 +449,31 @@ def heading_flags(spark, d):
     return _paged(spark, d).select("doc_id", "page", "line_no", X.is_heading(F.col("line"), HEADS).alias("heading"))
 
 
-_FLAGS = f"WITH p AS ({PAGED}), s AS (SELECT *, trim(line, ' ') AS s, lower(trim(line, ' ')) AS low FROM p), f AS (SELECT *, ({_HEADING}) AS head FROM s), n AS (SELECT *, sum(head::INT) OVER (PARTITION BY doc_id ORDER BY page, line_no) AS section_no FROM f)"
+def _flags_sql(lines: str, heading: str) -> str:
+    return f"WITH p AS ({lines}), s AS (SELECT *, trim(line, ' ') AS s, lower(trim(line, ' ')) AS low FROM p), f AS (SELECT *, NOT is_table AND ({heading}) AS head FROM s), n AS (SELECT *, sum(head::INT) OVER (PARTITION BY doc_id ORDER BY page, line_no) AS section_no FROM f)"
 
 
-@query(_FLAGS + """ SELECT doc_id, section_no::BIGINT AS section_no, coalesce(max(s) FILTER (head), 'Preamble') AS title, min(page) FILTER (NOT head) AS page, max(page) FILTER (NOT head) AS page_end, string_agg(line, chr(10) ORDER BY page, line_no) FILTER (NOT head) AS body
+_FLAGS = _flags_sql(PAGED, _HEADING)
+
+
+@query(_FLAGS + """ SELECT doc_id, section_no::BIGINT AS section_no, coalesce(max(s) FILTER (head), 'Preamble') AS title, min(page) AS page, max(page) AS page_end, string_agg(line, chr(10) ORDER BY page, line_no) FILTER (NOT head) AS body
 FROM n GROUP BY doc_id, section_no HAVING trim(string_agg(line, chr(10) ORDER BY page, line_no) FILTER (NOT head), ' ') <> ''""")
 def sections(spark, d):
     return corpus.sections(_paged(spark, d), X.is_heading(F.col("line"), HEADS))
 
 
-@query()
+_STRIP = "chr(32) || chr(9) || chr(10) || chr(13) || chr(11) || chr(12) || chr(28) || chr(29) || chr(30) || chr(31) || chr(133) || chr(160)"
+_CHUNKS = rf"""sec AS (SELECT doc_id, section_no::BIGINT AS section_no, coalesce(max(s) FILTER (head), 'Preamble') AS title, trim(string_agg(line, chr(10) ORDER BY page, line_no) FILTER (NOT head), {_STRIP}) AS body FROM n GROUP BY doc_id, section_no),
+blk AS (SELECT *, list_filter(flatten(list_transform(string_split(body, chr(10)), lambda p: CASE WHEN contains(p, '|') THEN [p] ELSE string_split(regexp_replace(p, '([.!?])\s+([A-Z0-9])', '\1' || chr(1) || '\2', 'g'), chr(1)) END)), lambda b: b <> '') AS blocks FROM sec WHERE length(body) >= 40),
+pcs AS (SELECT *, list_concat([{{'buf': '', 'cut': false, 'out': []::VARCHAR[]}}], flatten(list_transform(blocks, lambda b: CASE WHEN length(b) <= 1200 THEN [{{'buf': b, 'cut': false, 'out': []::VARCHAR[]}}]
+ ELSE list_transform(regexp_extract_all(regexp_replace(b, ' {{2,}}', ' ', 'g') || ' ', '(?s)[^ ].{{0,999}}.{{0,200}} |[^ ]{{1000}}[^ ]{{0,200}}|[^ ]{{1,1000}}'), lambda x: {{'buf': rtrim(x, ' '), 'cut': true, 'out': []::VARCHAR[]}}) END))) AS elems FROM blk),
+fold AS (SELECT doc_id, section_no, title, CASE WHEN length(body) <= 1200 THEN [body] ELSE list_transform([list_reduce(elems, lambda s, x: CASE WHEN NOT x.cut AND length(s.buf) + length(x.buf) + 1 <= 1200 THEN {{'buf': trim(s.buf || ' ' || x.buf, {_STRIP}), 'cut': false, 'out': s.out}}
+ ELSE {{'buf': CASE WHEN x.cut OR s.buf = '' THEN x.buf ELSE trim(right(s.buf, 150) || ' ' || x.buf, {_STRIP}) END, 'cut': false, 'out': CASE WHEN s.buf = '' THEN s.out ELSE list_append(s.out, s.buf) END}} END)], lambda r: list_append(r.out, r.buf))[1] END AS chunks FROM pcs),
+piece AS (SELECT doc_id, section_no, title, unnest(list_transform(chunks, lambda c: trim(c, {_STRIP}))) AS piece, unnest(range(len(chunks)))::INT AS chunk_no FROM fold)"""
+_VOTED = f"""h AS (SELECT *, {_HAY.replace('text', "(title || chr(10) || substr(piece, 1, 1500))")} AS hay, {_HAY.replace('text', 'title')} AS hint FROM piece WHERE length(piece) >= 40)"""
+
+
+@query(f"""{_FLAGS}, {_CHUNKS}, {_VOTED} SELECT doc_id, section_no, chunk_no, title, {case([(f'{_BEST3} = 0', 'general'), *((f'{e} = {_BEST3}', t) for t, e in _HINTED)], 'NULL')} AS topic, CASE WHEN title = 'Preamble' THEN piece ELSE title || chr(10) || piece END AS chunk_text FROM h""")
 def chunk_pack(spark, d):
     found = corpus.chunks(corpus.sections(_paged(spark, d), X.is_heading(F.col("line"), HEADS)), topics=TOPICS)
     return found.select("doc_id", "section_no", "chunk_no", "title", "topic", "chunk_text")
@@ -381,10 +497,12 @@ def manifest_upsert(spark, d):
     return corpus.replaced(old, table(spark, d, "labels").select(F.col("doc_id").alias("source_id"), F.lit(2).alias("version")))
 
 
-@query("SELECT arg_min(text, (conv_id, turn)) AS text, min(conv_id) AS conv_id FROM conversations WHERE role = 'user' GROUP BY lower(text)")
+@query("""WITH f AS (SELECT arg_min(text, (conv_id, turn)) AS text, min((conv_id, turn)) AS place FROM conversations WHERE role = 'user' AND trim(text, ' ') <> '' GROUP BY lower(text))
+SELECT text, 'G-' || row_number() OVER (ORDER BY place) AS id FROM f""")
 def dedup_questions(spark, d):
-    users = table(spark, d, "conversations").where("role = 'user'").select("text", "conv_id", "turn")
-    return users.groupBy(F.lower("text").alias("k")).agg(F.min_by("text", F.struct("conv_id", "turn")).alias("text"), F.min("conv_id").alias("conv_id")).drop("k")
+    """The first of each question, case ignored, with its number in order."""
+    users = table(spark, d, "conversations").where("role = 'user' and trim(text) <> ''").select("text", "conv_id", "turn")
+    return corpus.first_by(users, F.col("text"), ["conv_id", "turn"]).select("text", F.concat(F.lit("G-"), "seq").alias("id"))
 
 
 @query("""SELECT p_partkey, CASE WHEN n = 0 THEN base ELSE base || '_' || n END AS flat_name FROM (SELECT p_partkey, regexp_replace(p_brand, '[^A-Za-z0-9._ -]', '', 'g') AS base, row_number() OVER (PARTITION BY regexp_replace(p_brand, '[^A-Za-z0-9._ -]', '', 'g') ORDER BY p_partkey) - 1 AS n FROM part)""")
@@ -392,7 +510,7 @@ def flat_names(spark, d):
     return corpus.suffixed(table(spark, d, "part"), "p_brand", "p_partkey").select("p_partkey", "flat_name")
 
 
-@query("""SELECT 'host' AS sheet, 0 AS row_idx, 'key | name | region' AS line UNION ALL SELECT 'host', n_nationkey + 1, 'key: ' || n_nationkey || ' || name: ' || n_name || ' || region: ' || n_regionkey FROM nation""")
+@query("""SELECT 'host' AS sheet, 0 AS row_idx, 'HEADER: key | name | region' AS line UNION ALL SELECT 'host', n_nationkey + 1, 'key: ' || n_nationkey || ' || name: ' || n_name || ' || region: ' || n_regionkey FROM nation""")
 def sheet_rows(spark, d):
     head = spark.createDataFrame([(1, "host", 0, ["key", "name", "region"]), (1, "host", -1, [None, " ", ""])], "doc_id int, sheet string, row_idx int, cells array<string>")
     body = table(spark, d, "nation").select(F.lit(1).alias("doc_id"), F.lit("host").alias("sheet"), (F.col("n_nationkey") + 1).alias("row_idx"), F.array(F.col("n_nationkey").cast("string"), "n_name", F.col("n_regionkey").cast("string")).alias("cells"))
@@ -440,9 +558,20 @@ def query_overlap(spark, d):
     return t.join(n, ["conv_id", "turn"]).select("conv_id", "turn", F.round(rerank.overlap(F.col("text"), F.col("other")), 6).alias("overlap"))
 
 
-@query()
+#: A conversation's turns as a query's hits; every other one says what the one before it said, with a word of its own.
+_HITS = """SELECT conv_id AS query_id, turn AS chunk_id, turn // 4 AS document_id, CASE WHEN turn % 2 = 1 THEN coalesce(lag(text) OVER (PARTITION BY conv_id ORDER BY turn), '') || ' own' || turn ELSE text END AS chunk_text, turn + 1 AS rank, round(0.5 - turn / 20, 4) AS rerank_score FROM conversations"""
+_JACCARD = "CASE WHEN len(list_distinct(list_concat(k.words, x.words))) > 0 THEN len(list_intersect(k.words, x.words)) / len(list_distinct(list_concat(k.words, x.words))) ELSE 0 END"
+
+
+@query(f"""WITH t AS ({_HITS}), w AS (SELECT *, {_TOK.format('chunk_text')} AS words FROM t),
+g AS (SELECT query_id, list_reduce(list_prepend({{'kept': []::STRUCT(doc BIGINT, words VARCHAR[])[], 'flags': []::BOOLEAN[], 'doc': NULL::BIGINT, 'words': NULL::VARCHAR[]}}, list({{'kept': []::STRUCT(doc BIGINT, words VARCHAR[])[], 'flags': []::BOOLEAN[], 'doc': document_id, 'words': words}} ORDER BY rank)),
+ lambda s, x: {{'kept': CASE WHEN len(list_filter(s.kept, lambda k: k.doc = x.doc AND {_JACCARD} > 0.55)) > 0 THEN s.kept ELSE list_append(s.kept, {{'doc': x.doc, 'words': x.words}}) END, 'flags': list_append(s.flags, len(list_filter(s.kept, lambda k: k.doc = x.doc AND {_JACCARD} > 0.55)) > 0), 'doc': NULL::BIGINT, 'words': NULL::VARCHAR[]}}).flags AS flags FROM w GROUP BY query_id),
+m AS (SELECT t.*, flags[row_number() OVER (PARTITION BY t.query_id ORDER BY rank)] AS demoted FROM t JOIN g USING (query_id)), n AS (SELECT query_id, chunk_id, rank AS was, demoted, CASE WHEN demoted THEN round(rerank_score * 0.88, 4) ELSE rerank_score END AS rerank_score FROM m)
+SELECT query_id, chunk_id, rerank_score, demoted, row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC, was) AS rank FROM n""")
 def near_dup_demote(spark, d):
-    rows = table(spark, d, "conversations").select(F.col("conv_id").alias("query_id"), F.col("turn").alias("chunk_id"), F.lit(1).alias("document_id"), F.col("text").alias("chunk_text"), (F.col("turn") + 1).alias("rank"), F.round(1 - F.col("turn") / 100, 4).alias("rerank_score"))
+    own = F.concat(F.coalesce(F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn")), F.lit("")), F.lit(" own"), F.col("turn"))
+    said = F.when(F.col("turn") % 2 == 1, own).otherwise(F.col("text"))
+    rows = table(spark, d, "conversations").select(F.col("conv_id").alias("query_id"), F.col("turn").alias("chunk_id"), F.floor(F.col("turn") / 4).alias("document_id"), said.alias("chunk_text"), (F.col("turn") + 1).alias("rank"), F.round(0.5 - F.col("turn") / 20, 4).alias("rerank_score"))
     return rerank.demoted(rows).select("query_id", "chunk_id", "rerank_score", "demoted", "rank")
 
 
@@ -486,24 +615,47 @@ def follow_ups(spark, d):
 
 # ---- evaluation
 
-_GOLD = "SELECT quality = 0 AS errored, n_chars > 500 AS answered, lang = 'en' AS cited, lang = 'en' AND n_chars > 900 AS citation_valid, (n_chars // 400)::INT AS n_sentences, toxic = 1 AS has_url, source <> 'src0' AS scheme_ok FROM labels JOIN documents USING (doc_id)"
+_GOLD = f"""SELECT CASE WHEN quality = 0 AND doc_id % 2 = 0 THEN 'ERROR' ELSE 'FACTUAL' END AS intent, toxic = 1 AS refused, {_pick(ANSWERS, 'doc_id')} || ' ' || text AS answer, CASE WHEN lang = 'en' THEN 'u' WHEN lang = 'fr' THEN '' END AS source_url,
+ CASE WHEN doc_id % 3 = 0 THEN source END AS scheme, CASE WHEN doc_id % 4 = 0 THEN source WHEN doc_id % 4 = 1 THEN 'THE' WHEN doc_id % 4 = 2 THEN 'src0' END AS expected_scheme FROM labels JOIN documents USING (doc_id)"""
+_WS = "chr(32) || chr(9) || chr(10) || chr(13)"
+
+
+def _golden_sql(answered: str) -> str:
+    return rf"""WITH r AS ({_GOLD}), f AS (SELECT *, intent = 'ERROR' AS errored, {_GONE} AS gone, regexp_matches(answer, 'https?://', 'i') AS linked, len(list_filter(string_split_regex(trim(answer, {_WS}), '[.!?]+\s'), lambda x: trim(x, {_WS}) <> '')) AS sentences FROM r),
+a AS (SELECT *, NOT refused AND {answered} AND NOT gone AS answered, NOT refused AND {answered} AND gone AS missing FROM f),
+c AS (SELECT count(*) AS n, count(*) FILTER (errored) AS n_errored, count(*) FILTER (answered) AS n_answered, count(*) FILTER (missing) AS n_not_found, count(*) FILTER (answered AND source_url <> '') AS n_cited, count(*) FILTER (answered AND source_url <> '' AND NOT linked) AS n_citation_valid,
+ count(*) FILTER (answered AND sentences <= 4) AS n_short, count(*) FILTER (answered AND NOT linked) AS n_no_url, count(expected_scheme) AS n_scheme_expected, count(*) FILTER (scheme = expected_scheme OR (scheme IS NULL AND contains(lower(answer), lower(expected_scheme)))) AS n_scheme_ok FROM a),
+m AS (SELECT *, round(n_answered / greatest(n - n_errored, 1), 3) AS retrieval_accuracy, round(n_cited / greatest(n_answered, 1), 3) AS citation_rate, round(n_citation_valid / greatest(n_answered, 1), 3) AS citation_accuracy, round(n_short / greatest(n_answered, 1), 3) AS short_rate,
+ round(n_no_url / greatest(n_answered, 1), 3) AS no_url_rate, round(n_scheme_ok / greatest(n_scheme_expected, 1), 3) AS scheme_accuracy FROM c) SELECT *, retrieval_accuracy >= 0.70 AND citation_accuracy >= 0.90 AS passed FROM m"""
 
 
-@query(f"""WITH r AS ({_GOLD}), c AS (SELECT count(*) AS n, count(*) FILTER (errored) AS n_errored, count(*) FILTER (NOT errored AND answered) AS n_answered, count(*) FILTER (NOT errored AND NOT answered) AS n_not_found, count(*) FILTER (NOT errored AND answered AND cited) AS n_cited,
-count(*) FILTER (NOT errored AND answered AND citation_valid) AS n_citation_valid, count(*) FILTER (NOT errored AND answered AND n_sentences <= 3) AS n_short, count(*) FILTER (NOT errored AND answered AND NOT has_url) AS n_no_url, count(*) FILTER (NOT errored AND answered AND scheme_ok) AS n_scheme_ok FROM r),
-m AS (SELECT *, round(n_answered / greatest(n - n_errored, 1), 3) AS retrieval_accuracy, round(n_cited / greatest(n_answered, 1), 3) AS citation_rate, round(n_citation_valid / greatest(n_answered, 1), 3) AS citation_accuracy, round(n_short / greatest(n_answered, 1), 3) AS short_rate, round(n_no_url / greatest(n_answered, 1), 3) AS no_url_rate, round(n_scheme_ok / greatest(n_answered, 1), 3) AS scheme_accuracy FROM c)
-SELECT *, retrieval_accuracy >= 0.70 AND citation_accuracy >= 0.90 AS passed FROM m""")
+def _responses(spark, d):
+    n = F.col("doc_id")
+    r = table(spark, d, "labels").join(table(spark, d, "documents"), "doc_id")
+    return r.select(
+        F.when((F.col("quality") == 0) & (n % 2 == 0), "ERROR").otherwise("FACTUAL").alias("intent"), (F.col("toxic") == 1).alias("refused"), F.concat_ws(" ", _choice(ANSWERS, n), "text").alias("answer"), F.when(F.col("lang") == "en", "u").when(F.col("lang") == "fr", "").alias("source_url"),
+        F.when(n % 3 == 0, F.col("source")).alias("scheme"), F.when(n % 4 == 0, F.col("source")).when(n % 4 == 1, "THE").when(n % 4 == 2, "src0").alias("expected_scheme"),
+    )
+
+
+@query(_golden_sql("NOT errored"))
 def eval_metrics(spark, d):
-    r = table(spark, d, "labels").join(table(spark, d, "documents"), "doc_id").select((F.col("quality") == 0).alias("errored"), (F.col("n_chars") > 500).alias("answered"), (F.col("lang") == "en").alias("cited"), ((F.col("lang") == "en") & (F.col("n_chars") > 900)).alias("citation_valid"), F.floor(F.col("n_chars") / 400).cast("int").alias("n_sentences"), (F.col("toxic") == 1).alias("has_url"), (F.col("source") != "src0").alias("scheme_ok"))
-    return evaluate.passed(evaluate.golden(r))
+    return evaluate.passed(evaluate.golden(_responses(spark, d)))
+
 
+@query(_golden_sql("true"))
+def eval_metrics_errors_answered(spark, d):
+    return evaluate.passed(evaluate.golden(_responses(spark, d), errors_answered=True))
 
-_EXPECT = "CASE WHEN toxic = 1 THEN 'PII_ACCOUNT' WHEN quality = 0 THEN 'ADVICE' ELSE 'MARKET_TIMING' END"
-_GOT = "CASE WHEN lang = 'en' THEN 'ADVICE' WHEN toxic = 1 THEN 'PII_ACCOUNT' ELSE 'MARKET_TIMING' END"
 
+_CLASSES = list(evaluate.EQUIVALENT)
+_EXPECT = "CASE WHEN toxic = 1 THEN 'PII_ACCOUNT' " + " ".join(f"WHEN doc_id % 5 = {k} THEN {quote(c)}" for k, c in enumerate(_CLASSES)) + " END"
+_GOT = "CASE WHEN n_chars % 3 = 0 AND toxic = 1 THEN 'PII_ACCOUNT' " + " ".join(f"WHEN n_chars % 5 = {k} THEN {quote(c)}" for k, c in enumerate(_CLASSES)) + " END"
+_EQUAL = " OR ".join(f"(expected = {quote(a)} AND got IN ({', '.join(map(quote, b))}))" for a, b in evaluate.EQUIVALENT.items())
 
-@query(f"""WITH r AS (SELECT {_EXPECT} AS expected, {_GOT} AS got, n_chars > 300 AS refused FROM labels JOIN documents USING (doc_id)), g AS (SELECT *, refused AND (expected = got OR (expected = 'MARKET_TIMING' AND got = 'ADVICE') OR (expected = 'ADVICE' AND got = 'MARKET_TIMING')) AS good FROM r),
-c AS (SELECT count(*) AS n, count(*) FILTER (good) AS n_correct, count(*) FILTER (expected = 'PII_ACCOUNT') AS n_pii, count(*) FILTER (expected = 'PII_ACCOUNT' AND refused) AS n_pii_blocked FROM g), m AS (SELECT *, round(n_correct / greatest(n, 1), 3) AS refusal_accuracy, round(n_pii_blocked / greatest(n_pii, 1), 3) AS pii_accuracy FROM c)
+
+@query(f"""WITH r AS (SELECT {_EXPECT} AS expected, {_GOT} AS got, n_chars > 300 AS refused FROM labels JOIN documents USING (doc_id)), g AS (SELECT *, refused AND (expected = got OR {_EQUAL}) AS good FROM r),
+c AS (SELECT count(*) AS n, count(*) FILTER (good) AS n_correct, count(*) FILTER (expected = 'PII_ACCOUNT') AS n_pii, count(*) FILTER (expected = 'PII_ACCOUNT' AND refused AND got = 'PII_ACCOUNT') AS n_pii_blocked FROM g), m AS (SELECT *, round(n_correct / greatest(n, 1), 3) AS refusal_accuracy, round(n_pii_blocked / greatest(n_pii, 1), 3) AS pii_accuracy FROM c)
 SELECT *, refusal_accuracy >= 0.95 AND pii_accuracy >= 1.0 AS passed FROM m""")
 def guardrail_metrics(spark, d):
     r = table(spark, d, "labels").join(table(spark, d, "documents"), "doc_id").select(F.expr(_EXPECT).alias("expected"), F.expr(_GOT).alias("refusal_type"), (F.col("n_chars") > 300).alias("refused"))
@@ -513,3 +665,6 @@ def guardrail_metrics(spark, d):
 @query("SELECT doc_id FROM documents ORDER BY sha1(doc_id::VARCHAR), doc_id LIMIT 50")
 def seeded_sample(spark, d):
     return evaluate.sampled(table(spark, d, "documents").select("doc_id"), 50, "doc_id")
+
+
+from . import queries_service  # noqa: E402, F401  (registers its queries here)

@@ -35,7 +35,8 @@ def selected(rows: DataFrame, only_file: str | None = None, first: int | None =
 
 
 def write_manifest(df: DataFrame, path: str) -> None:
-    df.select(*MANIFEST).write.mode("overwrite").option("header", True).csv(path)
+    """Quotes in values are doubled, as manifest() reads them; blanks and line feeds stay."""
+    df.select(*MANIFEST).write.mode("overwrite").option("header", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
 
 
 def listing(spark: SparkSession, path: str, suffixes: list[str] = SUFFIXES, excluded: list[str] | None = None) -> DataFrame:
