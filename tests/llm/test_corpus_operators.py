@@ -112,7 +112,7 @@ def test_line_dedup(spark):
     docs = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, source string, _gone int")
     out = line_dedup.deduplicated(docs, counts=True)
     got = sorted(((r["doc_id"], r["text"], r["n_lines"], r["n_removed"]) for r in out.collect()), key=str)
-    want = {5: "own line of the fifth document here", 2: rows[1][1], 3: "x", 4: "", 6: "", None: "z"}
+    want = {5: "own line of the fifth document here", 2: rows[1][1], 3: "x", 4: "", 6: "", None: "z"}  # "of few words" on three sites stays
     assert out.columns == [*docs.columns, "n_lines", "n_removed"]
     assert got == sorted(((i, want.get(i, t), 0 if t is None else t.count("\n") + 1, int(i in (5, 3, 4, 6, None))) for i, t, _ in rows), key=str)
     assert line_dedup.deduplicated(docs.limit(0)).count() == 0
@@ -128,7 +128,28 @@ def test_hll_band_decides_exactly(spark):
             sites.setdefault(k, set()).add(s)
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
     for least in (2, 4, 6):
-        assert line_dedup.boilerplate(line_dedup.keyed(docs), least).count() == sum(len(s) >= least for s in sites.values())
+        assert line_dedup.boilerplate(line_dedup.keyed(docs), sites=least).count() == sum(len(s) >= least for s in sites.values())
+
+
+def test_line_dedup_equals_brute_force(spark):
+    rng = random.Random(13)
+    passages = [" ".join(f"p{k}w{j}" for j in range(50 + k)) for k in range(6)]
+    usual = [f"usual line {k} of some words" for k in range(6)] + ["日本語の長い行" * 8]
+    short = ["Home", "All rights reserved.", "日本語の行", " \t ", "", "\t", "a  b\tc"]
+    rows = []
+    for i in range(260):
+        lines = [rng.choice([*passages, *usual, *short, *short, f"own words {rng.random()} of this very line", f"Own {rng.random()}"]) for _ in range(rng.randint(0, 7))]
+        lines = [x.upper() if rng.random() < 0.2 else f" {x} " if rng.random() < 0.2 else x for x in lines]
+        rows.append((rng.choice([None, *range(200)]), rng.choice([None, *["\n".join(lines)] * 12]), rng.choice([None, "s0", "s0", "s0", "s0", *(f"s{k}" for k in range(13))])))
+    rows += [rows[0]] * 3 + [(None, "\n".join([passages[0], "rest"]), "s1"), (None, "\n".join([passages[0], "other rest " * 40]), "s2"), (900, "\n" * 5000, "s3"), (901, "\n".join([usual[0]] * 3000), "s4")]
+    docs = spark.createDataFrame([(*r, k, "x") for k, r in enumerate(rows)], "doc_id long, text string, source string, n int, row string")
+    out = line_dedup.deduplicated(docs, counts=True)
+    assert out.columns == [*docs.columns, "n_lines", "n_removed"]
+    got = {r["n"]: (r["text"], r["n_lines"], r["n_removed"]) for r in out.collect()}
+    want = without_boilerplate(rows)
+    assert len(got) == len(rows) and sum(x[2] for x in want) > 300
+    for k, r in enumerate(rows):
+        assert got[k] == want[k], (r, got[k], want[k])
 
 
 def brute_components(fps):
@@ -239,6 +260,37 @@ def test_pipeline_runs_and_keeps_columns(spark, small):
     assert {r["doc_id"] for r in pieces.select("doc_id").collect()} == ids
 
 
+def without_boilerplate(rows):
+    """rows (doc_id, text, source) -> (text, lines, lines removed) of each."""
+    sites, owner = {}, {}
+
+    def key(line):
+        return lower(line.strip(" "))
+
+    def need(line):
+        words = len([w for w in re.split("[ \t]+", line) if w])
+        return None if not words else 2 if words >= 50 else 3 if words >= 5 or len(line.strip(" ")) >= 40 else 10
+
+    last = 1 << 63
+    for i, text, source in rows:
+        for line in (text or "").split("\n"):
+            if need(line):
+                sites.setdefault(key(line), set()).add(source)
+                owner[key(line)] = min(owner.get(key(line), last), last if i is None else i)
+    out = []
+    for i, text, _ in rows:
+        if text is None:
+            out.append((None, 0, 0))
+            continue
+        lines = text.split("\n")
+        going = [bool(need(x)) and len(sites[key(x)]) >= need(x) and owner[key(x)] != (last if i is None else i) for x in lines]
+        weak = [need(x) == 2 and len(sites[key(x)]) < 3 for x in lines]
+        major = 2 * sum(len(x) for x, g, w in zip(lines, going, weak, strict=True) if g and w) >= len(text)
+        kept = [x for x, g, w in zip(lines, going, weak, strict=True) if not g or w and major]
+        out.append(("\n".join(kept), len(lines), len(lines) - len(kept)))
+    return out
+
+
 def simple_fingerprint(text):
     import xxhash
 
@@ -285,16 +337,8 @@ def test_pipeline_equals_brute_force(spark, small):
     restorer = toxicity.Restorer(model[0])
     docs = {r["doc_id"]: (r["text"], r["source"]) for r in table.collect()}
     docs = {i: d for i, d in docs.items() if model[1].score(restorer.restore(d[0])[1]) < toxicity.THRESHOLD}
-    sites, owner = {}, {}
-
-    def key(line):
-        return lower(line.strip(" ")) if len([w for w in re.split("[ \t]+", line) if w]) >= 5 else None
-
-    for i, (text, source) in docs.items():
-        for k in {key(x) for x in text.split("\n")} - {None}:
-            sites.setdefault(k, set()).add(source)
-            owner[k] = min(owner.get(k, i), i)
-    texts = {i: "\n".join(x for x in t.split("\n") if key(x) is None or len(sites[key(x)]) < 3 or owner[key(x)] == i) for i, (t, _) in docs.items()}
+    texts = dict(enumerate(without_boilerplate([(i, *d) for i, d in docs.items()])))
+    texts = {i: texts[k][0] for k, i in enumerate(docs)}
     fps = {i: simple_fingerprint(t) for i, t in texts.items()}
     first = {}
     for group in brute_components(set(fps.values())):

@@ -194,8 +194,8 @@ def test_quality_measures_equal_brute_force(spark, odd):
     assert quality.Text(LONG).n_repeat_words == 60_000
     rules = quality.order(odd)
     assert set(rules) == set(quality.RULES)
-    a = clean(quality.judged(odd, rules, quality.MEASURES).drop("rejected_by").collect())
-    assert a == clean(quality.judged(odd, quality.RULES, quality.MEASURES).drop("rejected_by").collect()) and len(a) == len(ODD)
+    a = clean(quality.judged(odd, rules, quality.MEASURES, reasons=True).collect())
+    assert a == clean(quality.judged(odd, quality.RULES[::-1], quality.MEASURES, reasons=True).collect()) and len(a) == len(ODD)
     assert quality.filtered(odd, rules).columns == odd.columns
     assert quality.judged(odd.limit(0)).count() == 0 and quality.filtered(odd.limit(0)).count() == 0
 
