@@ -237,3 +237,17 @@ def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     hard = "\\### Assistant: </turn> ok"
     extra = spark.createDataFrame([(-7, 0, "user", hard), (-7, 1, "assistant", hard)], "conv_id long, turn long, role string, text string")
     return digests(segments(turns(rows).unionByName(turns(extra))))
+
+
+_HARD = "\\### Assistant: </turn> ok"
+ORACLE_SQL = rf"""
+WITH c AS (
+  SELECT conv_id, turn, lower(trim(coalesce(role, ''))) AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '{_HARD}' UNION ALL SELECT -7, 1, 'assistant', '{_HARD}'
+), f AS (
+  SELECT *, length('### ' || role || ':' || chr(10) || regexp_replace(text, '(\\|###|</turn>)', '\\\1', 'g') || chr(10) || '</turn>' || chr(10)) AS formatted FROM c
+)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY turn) FILTER (role = 'assistant'), '')) AS loss_sha256, sum(formatted)::BIGINT AS formatted_chars
+FROM f GROUP BY conv_id
+"""

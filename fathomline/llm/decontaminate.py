@@ -389,3 +389,25 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     hit = F.aggregate(F.zip_with("ends", "starts", lambda b, a: b - a), F.lit(0).cast("long"), lambda s, x: s + x)
     text = F.array_join(F.array_sort(F.transform("items", lambda i: i.cast("string"))), ",")
     return found.select("doc_id", "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(text, 256).alias("items_sha256")).withColumn("contaminated", F.col("n_hit") > 0)
+
+
+_WORDS_SQL = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+ORACLE_SQL = f"""
+WITH items AS (
+  SELECT item_id, {_WORDS_SQL} AS words FROM benchmark WHERE item_id IS NOT NULL
+), windows AS (
+  SELECT DISTINCT item_id, least({WINDOW}, len(words)) AS n, array_to_string(words[i:i + least({WINDOW}, len(words)) - 1], ' ') AS k FROM items, unnest(range(1, len(words) - least({WINDOW}, len(words)) + 2)) AS t(i) WHERE len(words) > 0
+), docs AS (
+  SELECT doc_id, {_WORDS_SQL} AS words FROM documents
+), places AS (
+  SELECT doc_id, i, n, array_to_string(words[i:i + n - 1], ' ') AS k FROM docs, (SELECT DISTINCT n FROM windows), unnest(range(1, len(words) - n + 2)) AS t(i)
+), met AS (
+  SELECT doc_id, i, n, item_id FROM places JOIN windows USING (n, k)
+), hit AS (
+  SELECT doc_id, count(DISTINCT i + o) AS n_hit FROM met, unnest(range(n)) AS t(o) GROUP BY doc_id
+), found AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM met) GROUP BY doc_id
+)
+SELECT doc_id, len(words) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM docs LEFT JOIN hit USING (doc_id) LEFT JOIN found USING (doc_id)
+"""

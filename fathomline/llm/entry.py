@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from .chat import ORACLE_SQL as CHAT_SQL
 from .chat import op2_chat
+from .decontaminate import ORACLE_SQL as DECONTAMINATION_SQL
 from .decontaminate import op5_decontamination
 from .language_id import op4_language
 from .line_dedup import ORACLE_SQL as LINE_DEDUP_SQL
 from .line_dedup import op6_line_dedup
 from .packing import op7_packing
 from .pii import op1_pii
+from .quality import ORACLE_SQL as QUALITY_SQL
 from .quality import op3_quality
 from .simhash import op9_simhash
 from .token_files import op10_token_files
@@ -27,5 +30,8 @@ QUERIES = {
     "op10_token_files": op10_token_files,
 }
 ORACLES: dict[str, str] = {
+    "op2_chat": CHAT_SQL,
+    "op3_quality": QUALITY_SQL,
+    "op5_decontamination": DECONTAMINATION_SQL,
     "op6_line_dedup": LINE_DEDUP_SQL,
 }

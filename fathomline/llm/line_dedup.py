@@ -129,8 +129,8 @@ WITH lines AS (
 ), kinds AS (
   SELECT *, CASE WHEN n_words >= {LONG_WORDS} THEN 'long' WHEN n_words >= {LEAST_WORDS} OR length(trim(line, ' ')) >= {LEAST_CHARS} AND n_words > 0 THEN 'usual' WHEN n_words > 0 THEN 'short' END AS kind FROM keyed
 ), boiler AS (
-  SELECT norm, kind, min(doc_id) AS owner, kind = 'long' AND count(DISTINCT source) < {SITES} AS weak FROM kinds WHERE kind IS NOT NULL GROUP BY norm, kind
-  HAVING count(DISTINCT source) >= CASE kind WHEN 'short' THEN {SHORT_SITES} WHEN 'long' THEN {LONG_SITES} ELSE {SITES} END
+  SELECT norm, kind, min(doc_id) AS owner, kind = 'long' AND count(DISTINCT coalesce('s' || source, '')) < {SITES} AS weak FROM kinds WHERE kind IS NOT NULL GROUP BY norm, kind
+  HAVING count(DISTINCT coalesce('s' || source, '')) >= CASE kind WHEN 'short' THEN {SHORT_SITES} WHEN 'long' THEN {LONG_SITES} ELSE {SITES} END
 ), met AS (
   SELECT kinds.*, owner IS NOT NULL AND owner <> doc_id AS going, coalesce(weak, false) AS weak FROM kinds LEFT JOIN boiler USING (norm, kind)
 ), shares AS (
@@ -140,5 +140,5 @@ WITH lines AS (
 )
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_removed,
   sha256(coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (NOT gone), '')) AS text_sha256
-FROM marked GROUP BY doc_id
+FROM marked GROUP BY doc_id UNION ALL SELECT doc_id, 0, 0, sha256('') FROM documents WHERE text IS NULL
 """

@@ -182,3 +182,25 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = judged(docs, order(docs), MEASURES)
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     return out.select("doc_id", *MEASURES, failed.alias("base_failed"), (~failed & F.col("kept")).alias("kept"))
+
+
+ORACLE_SQL = r"""
+WITH w AS (
+  SELECT doc_id, coalesce(text, '') AS text, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM documents
+), g AS (
+  SELECT doc_id, i, array_to_string(words[i:i + 4], ' ') AS k FROM w, unnest(range(1, len(words) - 3)) AS t(i)
+), twice AS (
+  SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, k) AS n FROM g) WHERE n > 1
+), covered AS (
+  SELECT doc_id, count(DISTINCT i + o) AS n_repeat_words FROM twice, unnest(range(5)) AS t(o) GROUP BY doc_id
+), m AS (
+  SELECT doc_id, len(words) AS n_words, coalesce(list_sum(list_transform(words, lambda x: length(x))), 0)::BIGINT AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols, len(lines) - len(list_distinct(lines)) AS n_dup_lines,
+    coalesce(n_repeat_words, 0) AS n_repeat_words, len(lines) AS n_lines, length(text) - length(replace(text, '|', '')) AS bars, length(text) - length(replace(text, '!', '')) AS shouts,
+    len(list_filter(range(2, len(words) + 1), lambda i: words[i] = words[i - 1])) AS stutter FROM w LEFT JOIN covered USING (doc_id)
+), f AS (
+  SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM m
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT (base_failed OR 10 * n_symbols > word_chars OR 20 * bars > 3 * n_words OR 2 * shouts > n_words
+  OR (n_dup_lines >= 3 AND 10 * n_dup_lines > 3 * n_lines) OR 4 * stutter > n_words OR NOT (word_chars BETWEEN 2 * n_words AND 15 * n_words)) AS kept FROM f
+"""

@@ -319,3 +319,18 @@ def test_odd_rows_pass_all_stages(spark, tables):
     assert [(i, t) for i, t in kept if i in (5, 6)] == [(5, rows[6][1])] and (4, rows[5][1]) in kept and (7, rows[9][1]) in kept and (None, rows[1][1]) in kept
     last = corpus_pipeline.STAGES[-1][1]
     assert {r["doc_id"] for r in last(spark, docs, d).select("doc_id").collect()} == ids and last(spark, docs.limit(0), d).count() == 0
+
+
+@pytest.mark.parametrize("name", sorted(entry.ORACLES))
+def test_sql_gives_the_same_rows(spark, tables, name):
+    import duckdb
+
+    d, _ = tables
+    c = duckdb.connect()
+    for t in ("documents", "benchmark", "labels", "conversations"):
+        c.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{d}/{t}.parquet/*.parquet')")
+    out = c.execute(entry.ORACLES[name])
+    names = [x[0] for x in out.description]
+    df = entry.QUERIES[name](spark, d)
+    assert sorted(names) == sorted(df.columns)
+    assert sorted(map(repr, out.fetchall())) == sorted(repr(tuple(r[n] for n in names)) for r in df.collect())
