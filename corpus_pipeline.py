@@ -6,7 +6,11 @@
 4. decontamination: words of benchmark passages go, or the document that consists of them by more than half.
 5. packing: sequences of 1024 tokens, a row for each piece, with its ids.
 
-All but the last return the columns of documents; where a text changes, n_chars follows it. A null text passes every stage and is packed as an empty one.
+All but the last return the columns of documents, and any others that there are, whatever their names; where a text changes, n_chars follows it.
+
+Nulls and edge cases: a null text passes every stage and is packed as an empty one; null and empty texts, and those of white space alone, are near-duplicates
+of each other, so one document of them stays; a null doc_id counts as larger than any other, and rows without one stay unless their text repeats; of rows
+that share a doc_id and are near-duplicates one stays, others each; very long texts pass whole; an empty table gives an empty one in every stage.
 """
 
 from __future__ import annotations
