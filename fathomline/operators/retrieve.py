@@ -126,14 +126,15 @@ class Search:
             best[b] = top
 
     def _top(self, scores: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Of each column the k best, ties by key; every row that ties with the last of them is looked at."""
+        """Of each column the k best, ties (to twelve digits) by key; every row that ties with the last of them is looked at."""
         if len(scores) > self.k:
-            cut = np.partition(scores, len(scores) - self.k, axis=0)[len(scores) - self.k]
+            cut = np.partition(scores, len(scores) - self.k, axis=0)[len(scores) - self.k] - 1e-12
             most = int((scores >= cut).sum(0).max()) if np.isfinite(cut).all() else int(((scores >= cut) & (scores > -np.inf)).sum(0).max())
             most = max(self.k, min(most, len(scores)))
             near = np.argpartition(-scores, most - 1, axis=0)[:most] if most < len(scores) else None
             if near is not None:
                 scores, keys = np.take_along_axis(scores, near, 0), np.take_along_axis(keys, near, 0)
+        scores = np.round(scores, 12)
         order = np.lexsort((keys, -scores), axis=0)[: self.k]
         return np.take_along_axis(scores, order, 0), np.take_along_axis(keys, order, 0)
 

@@ -330,12 +330,13 @@ def _question_votes() -> str:
     return case([(amount, "minimum_investment"), (f"{best} = 0", "-"), *((f"({e}) = {best}", t) for t, e in parts)], "NULL")
 
 
+_LISTED_BRAND = f" WHEN {_any('lq', BRAND_HINTS)} AND NOT soft THEN 'FACTUAL_UPI'"
 _INTENT = f"""WITH v AS ({_ASK}), l AS (SELECT id, q, {_categories_sql('q')} AS cats, lower(q) AS lq, ' ' || replace(lower(q), '-', ' ') || ' ' AS low, '  ' || regexp_replace(replace(lower(q), '-', ' '), '[^\\p{{L}}\\p{{N}}_]', '  ', 'g') || '  ' AS hay FROM v),
 t AS (SELECT *, nullif({_question_votes()}, '-') AS topic, {case([(_any('lq', a), s) for s, a in R.QUERY_SCHEMES.items()], 'NULL')} AS scheme,
  len(list_filter(cats, lambda x: x <> 'account_request')) > 0 AS hard, list_contains(cats, 'account_request') AS soft FROM l)
 SELECT id, topic, scheme, CASE WHEN hard THEN 'PII_ACCOUNT' WHEN {_rx(R.MARKET_TIMING)} THEN 'MARKET_TIMING' WHEN {_rx(R.COMPARISON)} THEN 'PERFORMANCE_COMPARISON' WHEN {_rx(R.PREDICTION)} THEN 'PERFORMANCE_PREDICTION'
  WHEN {_rx(R.ADVICE)} AND NOT {_rx(R.OPERATIONAL_TIMING)} THEN 'ADVICE' WHEN {_rx(R.OUT_OF_SCOPE)} AND scheme IS NULL AND NOT {_any('lq', R.OPERATIONAL_HINTS)} THEN 'OUT_OF_SCOPE' WHEN {_rx(R.HISTORICAL)} THEN 'HISTORICAL_PERFORMANCE'
- WHEN {_any('lq', BRAND_HINTS)} AND NOT soft THEN 'FACTUAL_UPI' WHEN {_any('lq', R.REGULATORY_HINTS)} AND scheme IS NULL THEN 'FACTUAL_REGULATORY' WHEN {_any('lq', R.OPERATIONAL_HINTS)} THEN 'FACTUAL_OPERATIONAL' WHEN soft THEN 'PII_ACCOUNT' WHEN scheme IS NOT NULL THEN 'FACTUAL_SCHEME'
+{_LISTED_BRAND} WHEN {_any('lq', R.REGULATORY_HINTS)} AND scheme IS NULL THEN 'FACTUAL_REGULATORY' WHEN {_any('lq', R.OPERATIONAL_HINTS)} THEN 'FACTUAL_OPERATIONAL' WHEN soft THEN 'PII_ACCOUNT' WHEN scheme IS NOT NULL THEN 'FACTUAL_SCHEME'
  WHEN topic IN ({', '.join(map(quote, R.SCHEME_TOPICS))}) THEN 'AMBIGUOUS' WHEN topic IS NOT NULL THEN 'FACTUAL_REGULATORY' ELSE 'AMBIGUOUS' END AS intent FROM t"""
 
 

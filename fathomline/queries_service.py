@@ -10,7 +10,7 @@ from .functions import rules as R
 from .functions import text as X
 from .operators import converse, evaluate, retrieve
 from .plans import lifecycle
-from .queries import _CHUNKS, _NORMAL, _choice, _flags_sql, _heading_sql, _pick, case, query, quote, table
+from .queries import _CHUNKS, _INTENT, _JACCARD, _LISTED_BRAND, _NORMAL, _SOURCE, _TOK, _categories_sql, _choice, _expand_sql, _flags_sql, _heading_sql, _listed, _pick, QUESTIONS, case, query, quote, table
 from .sources import files, store
 
 # ---- functions of texts
@@ -240,3 +240,48 @@ def citations(spark, d):
     said = F.when(turn % 5 != 0, F.when(turn % 3 == 0, "It couldn't be found").otherwise("1 %"))
     status = converse.smoke_status(F.col("role") == "system", F.col("role"), said, F.when(conv % 2 == 0, "u"))
     return table(spark, d, "conversations").select("conv_id", "turn", cited.alias("c"), status.alias("status")).select("conv_id", "turn", "c.*", "status")
+
+
+# ---- search, from questions to hits
+
+_CHUNK_SCHEMES, _CHUNK_TOPICS, _ORGS, _KINDS = list(R.QUERY_SCHEMES), ["sip", "exit_load", "benchmark", "lock_in", "purchase", "expense_ratio"], list(R.ORGANIZATION_RANK), ["SID", "FAQ_DATASET", "FORM"]
+_SEARCHED = rf"SELECT doc_id AS id, {_pick(QUESTIONS, 'doc_id // 100')} || ' ' || trim(regexp_replace(substr(text, 1, 120), '\s+', ' ', 'g'), ' ') AS q FROM documents WHERE doc_id % 100 = 0"
+_CLASSED = _INTENT.replace(_LISTED_BRAND, "").replace("SELECT id, topic, scheme, CASE WHEN hard", "SELECT id, q, cats, topic, scheme, CASE WHEN hard")
+_CLASSED = f"WITH v AS ({_SEARCHED}), l AS (" + _CLASSED.split("), l AS (", 1)[1]
+_BUCKETS = r"SELECT {0}, ('0x' || substr(md5(w), 1, 8))::UBIGINT % 384 AS bucket, count(*)::DOUBLE AS n FROM (SELECT {0}, unnest(list_filter(string_split_regex(lower({1}), '\s+'), lambda x: x <> '')) AS w FROM {2}) GROUP BY ALL"
+_HITS = f"""WITH i AS ({_CLASSED}), a AS (SELECT *, {_expand_sql()} AS expanded FROM i WHERE len(cats) = 0),
+c AS (SELECT doc_id, 'c' || doc_id AS chunk_id, doc_id // 4 AS doc, substr(text, 1, 1500) AS said, CASE WHEN doc_id % 6 < 5 THEN {_pick(_CHUNK_SCHEMES, 'doc_id % 6')} END AS c_scheme, {_pick(_CHUNK_TOPICS, 'doc_id')} AS c_topic, {_pick(_ORGS, 'doc_id')} AS org, {_pick(_KINDS, 'doc_id')} AS kind, CASE WHEN doc_id % 4 <> 0 THEN DATE '2023-12-01' - (doc_id % 900)::INT END AS day, doc_id % 7 AS page FROM documents),
+qb AS ({_BUCKETS.format('id', 'expanded', 'a')}), cb AS ({_BUCKETS.format('chunk_id', 'said', 'c')}), qn AS (SELECT id, sqrt(sum(n * n)) AS norm FROM qb GROUP BY 1), cn AS (SELECT chunk_id, sqrt(sum(n * n)) AS norm FROM cb GROUP BY 1),
+dots AS (SELECT id, chunk_id, sum(qb.n * cb.n) AS dot FROM qb JOIN cb USING (bucket) GROUP BY 1, 2), sims AS (SELECT a.id, cn.chunk_id, round(coalesce(dot, 0) / qn.norm / cn.norm, 12) AS sim FROM a JOIN qn USING (id) CROSS JOIN cn LEFT JOIN dots ON dots.id = a.id AND dots.chunk_id = cn.chunk_id),
+r AS (SELECT sims.*, a.q, a.scheme, a.topic, a.intent, c.* EXCLUDE (chunk_id), row_number() OVER (PARTITION BY sims.id ORDER BY sim DESC, chunk_id) AS place, CASE WHEN scheme = c_scheme THEN row_number() OVER (PARTITION BY sims.id, scheme = c_scheme ORDER BY sim DESC, chunk_id) END AS own_place FROM sims JOIN a USING (id) JOIN c USING (chunk_id)),
+p AS (SELECT *, CASE WHEN place <= 36 THEN 1 ELSE 2 END AS pass, {_TOK.format('q')} AS asked, {_TOK.format('said')} AS words FROM r WHERE (place <= 36 OR own_place <= 36) AND (scheme IS NULL OR c_scheme IS NULL OR scheme = c_scheme)),
+f AS (SELECT *, list_distinct(list_filter(flatten(list_transform(list_filter(asked, lambda x: NOT list_contains([{', '.join(map(quote, R.STOPWORDS))}], x)), lambda x: string_split(x, '-'))), lambda x: x <> '')) AS terms, {_SOURCE} AS src,
+ CASE WHEN topic = c_topic THEN 1.0 WHEN {_listed(R.RELATED_TOPICS, 'topic', 'c_topic')} THEN 0.8 ELSE 0.2 END AS ts, CASE WHEN scheme = c_scheme THEN 1.0 ELSE 0.3 END AS ss, CASE WHEN day IS NULL THEN 0.4 ELSE greatest(1 - greatest(DATE '2024-01-01' - day, 0) / 1095.0, 0) END AS fresh FROM p),
+s AS (SELECT *, round(0.55 * sim + 0.18 * ss + 0.14 * ts + 0.08 * least(src, 1.25) / 1.25 + 0.05 * fresh + 0.10 * CASE WHEN len(terms) > 0 THEN len(list_intersect(terms, words)) / len(terms) ELSE 0 END, 4) AS score FROM f),
+w AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, pass, sim DESC, chunk_id) AS was FROM s),
+g AS (SELECT id, list_reduce(list_prepend({{'kept': []::STRUCT(doc BIGINT, words VARCHAR[])[], 'flags': []::BOOLEAN[], 'doc': NULL::BIGINT, 'words': NULL::VARCHAR[]}}, list({{'kept': []::STRUCT(doc BIGINT, words VARCHAR[])[], 'flags': []::BOOLEAN[], 'doc': doc, 'words': words}} ORDER BY was)),
+ lambda s, x: {{'kept': CASE WHEN len(list_filter(s.kept, lambda k: k.doc = x.doc AND {_JACCARD} > 0.55)) > 0 THEN s.kept ELSE list_append(s.kept, {{'doc': x.doc, 'words': x.words}}) END, 'flags': list_append(s.flags, len(list_filter(s.kept, lambda k: k.doc = x.doc AND {_JACCARD} > 0.55)) > 0), 'doc': NULL::BIGINT, 'words': NULL::VARCHAR[]}}).flags AS flags FROM w GROUP BY id),
+m AS (SELECT w.*, CASE WHEN flags[was] THEN round(score * 0.88, 4) ELSE score END AS final FROM w JOIN g USING (id)), n AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY final DESC, was) AS rank FROM m)"""
+
+
+def _search(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Every hundredth document's start behind a question, against all documents as chunks."""
+    docs, n = table(spark, d, "documents"), F.col("doc_id")
+    day = F.when(n % 4 != 0, F.date_format(F.date_sub(F.lit("2023-12-01").cast("date"), (n % 900).cast("int")), "yyyy-MM-dd"))
+    chunks = docs.select(
+        F.concat(F.lit("c"), n).alias("chunk_id"), F.floor(n / 4).alias("document_id"), F.substring("text", 1, 1500).alias("chunk_text"), F.when(n % 6 < 5, _choice(_CHUNK_SCHEMES, n % 6)).alias("scheme"), _choice(_CHUNK_TOPICS, n).alias("topic"), (n % 7).alias("page_number"),
+        F.struct(_choice(_ORGS, n).alias("organization"), _choice(_KINDS, n).alias("document_type"), day.alias("document_date")).alias("metadata"), retrieve.hashed_embedding(F.substring("text", 1, 1500)).alias("embedding"),
+    )
+    asked = docs.where("doc_id % 100 = 0").select(n.alias("query_id"), F.concat_ws(" ", _choice(QUESTIONS, F.floor(n / 100)), X.squeeze(F.substring("text", 1, 120))).alias("question"))
+    return lifecycle.search(asked, chunks, F.lit("2024-01-01").cast("date"))
+
+
+@query(_HITS + " SELECT id AS query_id, rank, chunk_id, substr(said, 1, 300) AS preview, round(sim, 4) AS similarity, final AS rerank_score, c_scheme AS scheme, c_topic AS topic, page AS page_number FROM n WHERE rank <= 5")
+def search_hits(spark, d):
+    """From questions to hits: classified, expanded, embedded, two passes merged, scored, demoted, cut to five."""
+    return _search(spark, d)[0].withColumn("rank", F.col("rank").cast("long"))
+
+
+@query(f"WITH i AS ({_CLASSED}) SELECT id AS query_id, array_to_string(cats, ',') AS categories FROM i WHERE len(cats) > 0")
+def search_refused(spark, d):
+    return _search(spark, d)[1].select("query_id", F.array_join("categories", ",").alias("categories"))
