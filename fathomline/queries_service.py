@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -10,7 +12,7 @@ from .functions import rules as R
 from .functions import text as X
 from .operators import converse, evaluate, retrieve
 from .plans import lifecycle
-from .queries import _CHUNKS, _INTENT, _JACCARD, _LISTED_BRAND, _NORMAL, _SOURCE, _TOK, _categories_sql, _choice, _expand_sql, _flags_sql, _heading_sql, _listed, _pick, QUESTIONS, case, query, quote, table
+from .queries import _CHUNKS, _HAY, _INTENT, _JACCARD, _LISTED_BRAND, _NORMAL, _SOURCE, _TOK, _categories_sql, _choice, _expand_sql, _flags_sql, _heading_sql, _listed, _pick, _vote_sql, QUESTIONS, case, query, quote, table
 from .sources import files, store
 
 # ---- functions of texts
@@ -189,17 +191,17 @@ def topic_names(spark, d):
 
 _ONE_PAGE = f"SELECT doc_id, 1 AS page, (i - 1)::INT AS line_no, lines[i] AS line, false AS is_table FROM (SELECT doc_id, string_split({_NORMAL}, chr(10)) AS lines FROM documents WHERE doc_id % 10 NOT IN (3, 4)), unnest(range(1, len(lines) + 1)) AS t(i)"
 _LOADS = f"""{_flags_sql(_ONE_PAGE, _heading_sql(R.HEADINGS))}, {_CHUNKS}, k AS (SELECT doc_id, count(*) AS n FROM piece WHERE length(piece) >= 40 GROUP BY 1),
-j AS (SELECT 'f' || doc_id || '.txt' AS file_name, doc_id::VARCHAR AS source_id, CASE WHEN doc_id % 10 = 4 THEN 'failed' WHEN doc_id % 10 = 3 THEN 'missing' WHEN n IS NULL THEN 'empty' ELSE 'ok' END AS status, coalesce(n, 0) AS n_chunks FROM documents LEFT JOIN k USING (doc_id))"""
+j AS (SELECT CASE WHEN doc_id % 10 = 5 THEN 'Riskometer ' ELSE '' END || 'f' || doc_id || '.txt' AS file_name, doc_id::VARCHAR AS source_id, CASE WHEN doc_id % 10 = 4 THEN 'failed' WHEN doc_id % 10 = 3 THEN 'missing' WHEN n IS NULL THEN 'empty' ELSE 'ok' END AS status, coalesce(n, 0) AS n_chunks FROM documents LEFT JOIN k USING (doc_id))"""
 
 
-def _ingested(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents")
-    name = F.concat(F.lit("f"), "doc_id", F.lit(".txt")).alias("file_name")
-    none = [F.lit("").alias(c) for c in ("title", "scheme", "organization", "document_type", "document_date", "effective_date", "source_url")]
-    manifest = docs.select(F.col("doc_id").alias("row_idx"), name, *none, F.col("doc_id").cast("string").alias("source_id"))
+def _ingested(spark: SparkSession, d: str, path: str | None = None) -> DataFrame:
+    docs, n = table(spark, d, "documents"), F.col("doc_id")
+    name = F.concat(F.when(n % 10 == 5, "Riskometer ").otherwise(""), F.lit("f"), n, F.lit(".txt")).alias("file_name")
+    none = [F.lit("").alias(c) for c in ("title", "organization", "document_date", "effective_date", "source_url")]
+    manifest = docs.select(n.alias("row_idx"), name, *none, F.when(n % 10 == 7, "Own Fund").otherwise("").alias("scheme"), F.when(n % 10 == 6, "ter_data").otherwise("SID").alias("document_type"), n.cast("string").alias("source_id"))
     pages = docs.where("doc_id % 10 not in (3, 4)").select(name, F.lit(1).alias("page"), "text", F.lit(False).alias("is_table"))
     rejected = docs.where("doc_id % 10 = 4").select(name, F.lit("unsupported: .txt").alias("reason"))
-    return lifecycle.ingest(spark, manifest, pages, rejected, store.scratch(spark, "store"))
+    return lifecycle.ingest(spark, manifest, pages, rejected, path or store.scratch(spark, "store"))
 
 
 @query(_LOADS + " SELECT * FROM j")
@@ -213,6 +215,42 @@ def ingestion_summary(spark, d):
     return lifecycle.ingestion_summary(_ingested(spark, d))
 
 
+def _shaped(word: str) -> str:
+    """A keyword as the text that votes are counted in has it: two blanks for each character that belongs to no word."""
+    return re.sub(r"\W", "  ", word.strip().replace("-", " "))
+
+
+_SHAPED = {t: [_shaped(w) for w in words] for t, words in R.CHUNK_TOPICS.items()}
+_SCORES = [(t, f"({e}) * CASE WHEN {' OR '.join(f'contains(hint, {quote(f" {w} ")})' for w in _SHAPED[t])} THEN 3 ELSE 1 END") for t, e in _vote_sql(_SHAPED, "hay")]
+_MOST = f"greatest({', '.join(f'({e})' for _, e in _SCORES)})"
+_PLAIN = "replace(lower(title || chr(10) || substr(piece, 1, 1500)), '-', ' ')"
+_AMOUNT = f"contains({_PLAIN}, 'minimum application amount') OR (contains({_PLAIN}, 'minimum amount') AND contains(hay, ' sip '))"
+_TEXT = "CASE WHEN title = 'Preamble' THEN piece ELSE title || chr(10) || piece END"
+
+
+@query(f"""{_flags_sql(_ONE_PAGE, _heading_sql(R.HEADINGS))}, {_CHUNKS}, h AS (SELECT *, {_HAY.replace('text', "(title || chr(10) || substr(piece, 1, 1500))")} AS hay, {_HAY.replace('text', 'title')} AS hint FROM piece WHERE length(piece) >= 40)
+SELECT doc_id::VARCHAR AS source_id, doc_id || '-' || section_no || '-' || chunk_no AS chunk_id, sha256({_TEXT}) AS text_sha256, substr(title, 1, 200) AS section, CASE WHEN doc_id % 10 = 5 THEN 'riskometer' WHEN doc_id % 10 = 6 THEN 'expense_ratio' WHEN {_AMOUNT} THEN 'minimum_investment' ELSE {case([(f'{_MOST} = 0', 'general'), *((f'{e} = {_MOST}', t) for t, e in _SCORES)], 'NULL')} END AS topic,
+CASE WHEN doc_id % 10 = 7 THEN 'Own Fund' ELSE {case([(' OR '.join(f'contains(lower({_TEXT}), {quote(a)})' for a in names), n) for n, names in R.DOCUMENT_SCHEMES.items()], 'NULL')} END AS scheme, 1 AS page_number FROM h""")
+def ingested_chunks(spark, d):
+    """What a load leaves in the store: texts, sections, topics and schemes of chunks, with what the file forces, and a vector for each."""
+    path = store.scratch(spark, "store")
+    _ingested(spark, d, path)
+    _, chunks = store.current(spark, path)
+    return chunks.where(F.size("embedding") == 384).select("source_id", "chunk_id", F.sha2("chunk_text", 256).alias("text_sha256"), "section", "topic", "scheme", "page_number")
+
+
+@query("""SELECT 'k' || doc_id % 3 AS folder, 'txt' AS suffix, 'document' AS label, sha256(string_agg(replace(text, chr(10), ' ') || chr(10), '' ORDER BY doc_id)) AS text_sha256 FROM documents GROUP BY doc_id % 3""")
+def text_files(spark, d):
+    """Documents written as three text files, found in their folders and read as a page each."""
+    path = store.scratch(spark, "texts")
+    docs = table(spark, d, "documents")
+    for k in range(3):
+        docs.where(F.col("doc_id") % 3 == k).orderBy("doc_id").select(F.replace("text", F.lit("\n"), F.lit(" ")).alias("value")).coalesce(1).write.text(f"{path}/k{k}")
+    pages, _ = files.extracted(spark, path)
+    found = files.listing(spark, path, excluded=["none.txt"]).select("path", "suffix")
+    return pages.join(found, "path").select(F.element_at(F.split("path", "/"), -2).alias("folder"), "suffix", "label", F.sha2("text", 256).alias("text_sha256"))
+
+
 @query("WITH s AS (SELECT doc_id FROM documents ORDER BY sha1(doc_id::VARCHAR), doc_id LIMIT 50) SELECT doc_id, sha256(text) AS text_sha256, lang FROM documents WHERE doc_id IN (SELECT doc_id FROM s)")
 def json_results(spark, d):
     """A sample written as one JSON document with its count and read back."""
