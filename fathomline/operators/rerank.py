@@ -41,12 +41,14 @@ def score(similarity: Column, scheme: Column, q_scheme: Column, topic: Column, q
     return F.round(total, 4)
 
 
-def demoted(ranked: DataFrame, query_key: str = "query_id", key: str = "chunk_id", document: str = "document_id", text: str = "chunk_text", score_: str = "rerank_score", near: float = NEAR, factor: float = FACTOR) -> DataFrame:
+def demoted(ranked: DataFrame, query_key: str = "query_id", document: str = "document_id", text: str = "chunk_text", score_: str = "rerank_score", near: float = NEAR, factor: float = FACTOR) -> DataFrame:
     """Walks each query's rows by rank; one whose words are near those of a kept earlier row of its document has its score cut and is not kept.
 
-    A query's rows are those of an overfetch (a few hundred at most), so they fold within one row of the JVM.
+    A query's rows are those of an overfetch (a few hundred at most), so they fold within one row of the JVM, which carries them whole: ranked is read once.
     """
-    items = ranked.groupBy(query_key).agg(F.array_sort(F.collect_list(F.struct(F.col("rank"), F.col(key).alias("key"), F.col(document).alias("doc"), tokens(F.col(text)).alias("words")))).alias("items"))
+    row = F.struct(*(F.col(f"`{c}`") for c in ranked.columns))
+    every = F.collect_list(F.struct(F.col("rank"), F.col(document).alias("doc"), tokens(F.col(text)).alias("words"), row.alias("row")))
+    items = ranked.groupBy(query_key).agg(F.array_sort(every, lambda a, b: F.when(a["rank"] < b["rank"], -1).when(a["rank"] > b["rank"], 1).otherwise(0)).alias("items"))
     kind = "array<struct<doc:{0},words:array<string>>>".format(dict(ranked.dtypes)[document])
     start = F.struct(F.array().cast(kind).alias("kept"), F.array().cast("array<boolean>").alias("flags"))
 
@@ -55,8 +57,8 @@ def demoted(ranked: DataFrame, query_key: str = "query_id", key: str = "chunk_id
         kept = F.when(dup, s["kept"]).otherwise(F.concat(s["kept"], F.array(F.struct(x["doc"].alias("doc"), x["words"].alias("words")))))
         return F.struct(kept.alias("kept"), F.concat(s["flags"], F.array(dup)).alias("flags"))
 
-    flags = items.select(query_key, F.explode(F.arrays_zip(F.transform("items", lambda x: x["key"]).alias("key"), F.aggregate("items", start, step, lambda s: s["flags"]).alias("dup"))).alias("f"))
-    joined = ranked.join(flags.select(query_key, F.col("f.key").alias(key), F.col("f.dup").alias("demoted")), [query_key, key])
+    flags = items.select("items", F.aggregate("items", start, step, lambda s: s["flags"]).alias("dups")).select(F.explode(F.arrays_zip("items", "dups")).alias("f"))
+    joined = flags.select("f.items.row.*", F.col("f.dups").alias("demoted"))
     new = F.when(F.col("demoted"), F.round(F.col(score_) * factor, 4)).otherwise(F.col(score_))
     w = Window.partitionBy(query_key).orderBy(F.col(score_).desc(), "_was")
     return joined.withColumn(score_, new).withColumnRenamed("rank", "_was").withColumn("rank", F.row_number().over(w)).drop("_was")

@@ -12,6 +12,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.store import stored
+
 #: Queries of one matrix product, and of one pass over the rows: the latter's vectors are all that a search sends to every task.
 BLOCK, PASS = 1000, 16_000
 
@@ -153,8 +155,9 @@ def in_scope(scheme: Column, query_scheme: Column) -> Column:
 def two_pass(chunks: DataFrame, queries: DataFrame, k: int, scheme: str = "scheme", query_key: str = "query_id", key: str = "chunk_id") -> DataFrame:
     """chunks (key, scheme, embedding, ...) and queries (query_key, qvec, q_<scheme>, ...) -> merged hits with the columns of both (but the vectors), in scope.
 
-    The first pass takes the k nearest of all, the second as many of the query's own scheme.
+    The first pass takes the k nearest of all, the second as many of the query's own scheme. The queries are written once, as both passes and a join read them.
     """
+    queries = stored(queries, "queries")
     wish = f"q_{scheme}"
     first = knn_batch(chunks, queries.select(query_key, "qvec"), k, key=key, query_key=query_key)
     own = knn_batch(chunks, queries.where(F.col(wish).isNotNull()).select(query_key, "qvec", wish), k, (scheme,), key=key, query_key=query_key)

@@ -107,12 +107,12 @@ def answer_turns(turns: DataFrame, chunks: DataFrame, as_of: Column, answerer=No
     answerer: context and question columns -> answer column, or struct(answer, error) as of converse.generated; by default the first evidence's text. A turn
     whose answerer failed has refusal_type ERROR, no answer and doesn't refresh its session.
     """
-    got = converse.carried(classified(turns), wants=F.col("intent") == "AMBIGUOUS")
+    got = stored(converse.carried(classified(turns), wants=F.col("intent") == "AMBIGUOUS"), "turns")
     mine = F.col("hard") | F.col("intent").isin(refused)
     live = got.where(~mine)
     q = squeeze(F.col("question"))
     queries = live.select("query_id", q.alias("question"), scoped(q, F.col("scheme_used")).alias("retrieval_text"), "intent", F.col("scheme_used").alias("q_scheme"), F.col("topic").alias("q_topic"))
-    hits = ranked(queries, chunks, as_of, embed=embed)
+    hits = stored(ranked(queries, chunks, as_of, embed=embed), "hits")  # read by the gate and the evidence
     gate = converse.gated(hits)
     found = converse.evidence(hits)
     context = converse.contexts(found.withColumn("title", F.col("section")))

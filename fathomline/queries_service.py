@@ -7,12 +7,13 @@ import re
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .functions import intent as I
 from .functions import personal as P
 from .functions import rules as R
 from .functions import text as X
 from .operators import converse, evaluate, retrieve
 from .plans import lifecycle
-from .queries import _CHUNKS, _HAY, _INTENT, _JACCARD, _LISTED_BRAND, _NORMAL, _SOURCE, _TOK, _categories_sql, _choice, _expand_sql, _flags_sql, _heading_sql, _listed, _pick, _vote_sql, QUESTIONS, case, query, quote, table
+from .queries import _CHUNKS, _GONE, _HAY, _INTENT, _JACCARD, _LISTED_BRAND, _NORMAL, _SOURCE, _TOK, _categories_sql, _choice, _expand_sql, _flags_sql, _heading_sql, _listed, _pick, _vote_sql, QUESTIONS, case, query, quote, table
 from .sources import files, store
 
 # ---- functions of texts
@@ -287,12 +288,13 @@ _SEARCHED = rf"SELECT doc_id AS id, {_pick(QUESTIONS, 'doc_id // 100')} || ' ' |
 _CLASSED = _INTENT.replace(_LISTED_BRAND, "").replace("SELECT id, topic, scheme, CASE WHEN hard", "SELECT id, q, cats, topic, scheme, CASE WHEN hard")
 _CLASSED = f"WITH v AS ({_SEARCHED}), l AS (" + _CLASSED.split("), l AS (", 1)[1]
 _BUCKETS = r"SELECT {0}, ('0x' || substr(md5(w), 1, 8))::UBIGINT % 384 AS bucket, count(*)::DOUBLE AS n FROM (SELECT {0}, unnest(list_filter(string_split_regex(lower({1}), '\s+'), lambda x: x <> '')) AS w FROM {2}) GROUP BY ALL"
-_HITS = f"""WITH i AS ({_CLASSED}), a AS (SELECT *, {_expand_sql()} AS expanded FROM i WHERE len(cats) = 0),
-c AS (SELECT doc_id, 'c' || doc_id AS chunk_id, doc_id // 4 AS doc, substr(text, 1, 1500) AS said, CASE WHEN doc_id % 6 < 5 THEN {_pick(_CHUNK_SCHEMES, 'doc_id % 6')} END AS c_scheme, {_pick(_CHUNK_TOPICS, 'doc_id')} AS c_topic, {_pick(_ORGS, 'doc_id')} AS org, {_pick(_KINDS, 'doc_id')} AS kind, CASE WHEN doc_id % 4 <> 0 THEN DATE '2023-12-01' - (doc_id % 900)::INT END AS day, doc_id % 7 AS page FROM documents),
+def _ranked_sql(n: int) -> str:
+    """From `a` (id, q, scheme, topic, intent, expanded) to `n`: each question's hits with their final score and rank."""
+    return f"""c AS (SELECT doc_id, 'c' || doc_id AS chunk_id, 't' || doc_id AS doc_title, doc_id // 4 AS doc, substr(text, 1, 1500) AS said, CASE WHEN doc_id % 6 < 5 THEN {_pick(_CHUNK_SCHEMES, 'doc_id % 6')} END AS c_scheme, {_pick(_CHUNK_TOPICS, 'doc_id')} AS c_topic, {_pick(_ORGS, 'doc_id')} AS org, {_pick(_KINDS, 'doc_id')} AS kind, CASE WHEN doc_id % 4 <> 0 THEN DATE '2023-12-01' - (doc_id % 900)::INT END AS day, doc_id % 7 AS page FROM documents),
 qb AS ({_BUCKETS.format('id', 'expanded', 'a')}), cb AS ({_BUCKETS.format('chunk_id', 'said', 'c')}), qn AS (SELECT id, sqrt(sum(n * n)) AS norm FROM qb GROUP BY 1), cn AS (SELECT chunk_id, sqrt(sum(n * n)) AS norm FROM cb GROUP BY 1),
 dots AS (SELECT id, chunk_id, sum(qb.n * cb.n) AS dot FROM qb JOIN cb USING (bucket) GROUP BY 1, 2), sims AS (SELECT a.id, cn.chunk_id, round(coalesce(dot, 0) / qn.norm / cn.norm, 12) AS sim FROM a JOIN qn USING (id) CROSS JOIN cn LEFT JOIN dots ON dots.id = a.id AND dots.chunk_id = cn.chunk_id),
 r AS (SELECT sims.*, a.q, a.scheme, a.topic, a.intent, c.* EXCLUDE (chunk_id), row_number() OVER (PARTITION BY sims.id ORDER BY sim DESC, chunk_id) AS place, CASE WHEN scheme = c_scheme THEN row_number() OVER (PARTITION BY sims.id, scheme = c_scheme ORDER BY sim DESC, chunk_id) END AS own_place FROM sims JOIN a USING (id) JOIN c USING (chunk_id)),
-p AS (SELECT *, CASE WHEN place <= 36 THEN 1 ELSE 2 END AS pass, {_TOK.format('q')} AS asked, {_TOK.format('said')} AS words FROM r WHERE (place <= 36 OR own_place <= 36) AND (scheme IS NULL OR c_scheme IS NULL OR scheme = c_scheme)),
+p AS (SELECT *, CASE WHEN place <= {n} THEN 1 ELSE 2 END AS pass, {_TOK.format('q')} AS asked, {_TOK.format('said')} AS words FROM r WHERE (place <= {n} OR own_place <= {n}) AND (scheme IS NULL OR c_scheme IS NULL OR scheme = c_scheme)),
 f AS (SELECT *, list_distinct(list_filter(flatten(list_transform(list_filter(asked, lambda x: NOT list_contains([{', '.join(map(quote, R.STOPWORDS))}], x)), lambda x: string_split(x, '-'))), lambda x: x <> '')) AS terms, {_SOURCE} AS src,
  CASE WHEN topic = c_topic THEN 1.0 WHEN {_listed(R.RELATED_TOPICS, 'topic', 'c_topic')} THEN 0.8 ELSE 0.2 END AS ts, CASE WHEN scheme = c_scheme THEN 1.0 ELSE 0.3 END AS ss, CASE WHEN day IS NULL THEN 0.4 ELSE greatest(1 - greatest(DATE '2024-01-01' - day, 0) / 1095.0, 0) END AS fresh FROM p),
 s AS (SELECT *, round(0.55 * sim + 0.18 * ss + 0.14 * ts + 0.08 * least(src, 1.25) / 1.25 + 0.05 * fresh + 0.10 * CASE WHEN len(terms) > 0 THEN len(list_intersect(terms, words)) / len(terms) ELSE 0 END, 4) AS score FROM f),
@@ -302,16 +304,27 @@ g AS (SELECT id, list_reduce(list_prepend({{'kept': []::STRUCT(doc BIGINT, words
 m AS (SELECT w.*, CASE WHEN flags[was] THEN round(score * 0.88, 4) ELSE score END AS final FROM w JOIN g USING (id)), n AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY final DESC, was) AS rank FROM m)"""
 
 
-def _search(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """Every hundredth document's start behind a question, against all documents as chunks."""
-    docs, n = table(spark, d, "documents"), F.col("doc_id")
+_HITS = f"WITH i AS ({_CLASSED}), a AS (SELECT *, {_expand_sql()} AS expanded FROM i WHERE len(cats) = 0), {_ranked_sql(36)}"
+
+
+def _corpus(docs: DataFrame) -> DataFrame:
+    """All documents as chunks, with schemes, topics, sources and dates by their ids, in a table as a load leaves them."""
+    n = F.col("doc_id")
     day = F.when(n % 4 != 0, F.date_format(F.date_sub(F.lit("2023-12-01").cast("date"), (n % 900).cast("int")), "yyyy-MM-dd"))
-    chunks = docs.select(
+    rows = docs.select(
         F.concat(F.lit("c"), n).alias("chunk_id"), F.floor(n / 4).alias("document_id"), F.substring("text", 1, 1500).alias("chunk_text"), F.when(n % 6 < 5, _choice(_CHUNK_SCHEMES, n % 6)).alias("scheme"), _choice(_CHUNK_TOPICS, n).alias("topic"), (n % 7).alias("page_number"),
-        F.struct(_choice(_ORGS, n).alias("organization"), _choice(_KINDS, n).alias("document_type"), day.alias("document_date")).alias("metadata"), retrieve.hashed_embedding(F.substring("text", 1, 1500)).alias("embedding"),
+        F.lit("section").alias("section"), F.concat(F.lit("s"), n).alias("source_id"),
+        F.struct(_choice(_ORGS, n).alias("organization"), _choice(_KINDS, n).alias("document_type"), day.alias("document_date"), F.concat(F.lit("http://"), n).alias("source_url"), F.concat(F.lit("t"), n).alias("document_title")).alias("metadata"),
+        retrieve.hashed_embedding(F.substring("text", 1, 1500)).alias("embedding"),
     )
+    return store.stored(rows, "corpus")
+
+
+def _search(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Every hundredth document's start behind a question, against all documents as chunks."""
+    docs, n = table(spark, d, "documents"), F.col("doc_id")
     asked = docs.where("doc_id % 100 = 0").select(n.alias("query_id"), F.concat_ws(" ", _choice(QUESTIONS, F.floor(n / 100)), X.squeeze(F.substring("text", 1, 120))).alias("question"))
-    return lifecycle.search(asked, chunks, F.lit("2024-01-01").cast("date"))
+    return lifecycle.search(asked, _corpus(docs), F.lit("2024-01-01").cast("date"))
 
 
 @query(_HITS + " SELECT id AS query_id, rank, chunk_id, substr(said, 1, 300) AS preview, round(sim, 4) AS similarity, final AS rerank_score, c_scheme AS scheme, c_topic AS topic, page AS page_number FROM n WHERE rank <= 5")
@@ -323,3 +336,29 @@ def search_hits(spark, d):
 @query(f"WITH i AS ({_CLASSED}) SELECT id AS query_id, array_to_string(cats, ',') AS categories FROM i WHERE len(cats) > 0")
 def search_refused(spark, d):
     return _search(spark, d)[1].select("query_id", F.array_join("categories", ",").alias("categories"))
+
+
+_TURNS = rf"SELECT conv_id * 1000 + turn AS id, {_pick(QUESTIONS, 'conv_id + turn')} || ' ' || trim(regexp_replace(substr(text, 1, 120), '\s+', ' ', 'g'), ' ') AS q FROM conversations WHERE role = 'user'"
+_ASKED = _INTENT.replace(_LISTED_BRAND, "").replace("SELECT id, topic, scheme, CASE WHEN hard", "SELECT id, q, hard, topic, scheme, CASE WHEN hard")
+_ASKED = f"WITH v AS ({_TURNS}), l AS (" + _ASKED.split("), l AS (", 1)[1]
+_REFUSED = f"(hard OR intent IN ({', '.join(map(quote, I.REFUSED))}))"
+_CLEAN = r"trim(regexp_replace(regexp_replace({0}, 'https?://\S+', '', 'gi'), '\s{{2,}}', ' ', 'g'), ' ')"
+
+
+@query(f"""WITH i AS ({_ASKED}), t AS (SELECT * REPLACE (CASE WHEN intent = 'HISTORICAL_PERFORMANCE' THEN coalesce(topic, 'performance_reported') ELSE topic END AS topic), coalesce(scheme, CASE WHEN intent = 'AMBIGUOUS' THEN last_value(CASE WHEN id % 1000 % 3 <> 0 THEN scheme END IGNORE NULLS) OVER (PARTITION BY id // 1000 ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) END) AS used FROM i),
+b AS (SELECT id, q AS own, used AS scheme, topic, intent, CASE WHEN used IS NULL OR contains(lower(q), lower(used)) THEN q ELSE q || ' ' || used END AS q FROM t WHERE NOT {_REFUSED}), a AS (SELECT * EXCLUDE (q, own), own AS q, {_expand_sql()} AS expanded FROM b), {_ranked_sql(48)},
+e AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY scheme IS NOT NULL AND c_scheme IS NULL, rank) AS nth FROM n WHERE rank <= 4), o AS (SELECT id, doc_id, {_CLEAN.format('said')} AS answer, page, day, doc_title FROM e WHERE nth = 1),
+y AS (SELECT id, max(sim) FILTER (rank = 1) >= 0.35 AS ok FROM n GROUP BY 1),
+z AS (SELECT t.id, t.q, hard, intent, used, topic, {_REFUSED} AS refused, coalesce(ok, false) AS ok, o.* EXCLUDE (id), {_GONE} AS gone FROM t LEFT JOIN y USING (id) LEFT JOIN o USING (id)),
+k AS (SELECT *, NOT refused AND ok AND doc_id IS NOT NULL AND NOT (coalesce(gone, false) AND intent = 'AMBIGUOUS') AS cited FROM z)
+SELECT id AS query_id, substr(sha256(lower(trim(q, ' '))), 1, 16) AS question_hash, intent, used AS scheme, topic, refused, CASE WHEN hard THEN 'PII_ACCOUNT' WHEN refused THEN intent WHEN NOT ok THEN 'NO_EVIDENCE' WHEN doc_id IS NULL THEN 'SCHEME_MISMATCH' WHEN NOT cited THEN 'NO_EVIDENCE' END AS refusal_type,
+CASE WHEN NOT refused AND ok THEN sha256(answer) END AS answer_sha256, CASE WHEN cited THEN doc_title END AS title, CASE WHEN cited THEN 'http://' || doc_id END AS url, CASE WHEN cited THEN page END AS page, CASE WHEN cited THEN 's' || doc_id END AS source_id,
+CASE WHEN cited THEN CASE WHEN day IS NULL THEN 'recently updated' ELSE strftime(day, '%B %Y') END END AS last_updated, refused OR cited AS remembered FROM k""")
+def answered_turns(spark, d):
+    """Sessions of questions from classification to cited answers: carried schemes, refusals, search, gate, evidence, outcome."""
+    turn, conv = F.col("turn"), F.col("conv_id")
+    asked = table(spark, d, "conversations").where("role = 'user'").select(
+        (conv * 1000 + turn).alias("query_id"), conv.alias("session_id"), turn, F.concat_ws(" ", _choice(QUESTIONS, conv + turn), X.squeeze(F.substring("text", 1, 120))).alias("question"), (turn % 3 != 0).alias("remembered")
+    )
+    out = lifecycle.answer_turns(asked, _corpus(table(spark, d, "documents")), F.lit("2024-01-01").cast("date"))
+    return out.select("query_id", "question_hash", "intent", "scheme", "topic", "refused", "refusal_type", F.sha2("answer", 256).alias("answer_sha256"), "citation.title", "citation.url", "citation.page", "citation.source_id", "last_updated", "remembered")
