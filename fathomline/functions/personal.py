@@ -12,8 +12,8 @@ AADHAAR_WORD = r"(?i)\baadhaar|aadhar\b"
 OTP = r"(?i)\b(otp|one[\s-]?time\s*password|verification\s*code)\b"
 EMAIL = r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b"
 PHONE = r"(?:\+?91[\s-]?)?\b[6-9]\d{2}[\s-]?\d{3}[\s-]?\d{4}\b|\b0[6-9]\d{2}[\s-]?\d{3}[\s-]?\d{4}\b"
-BANK_ACCOUNT = r"(?i)\b(?:account|acct|a/c|bank)\b[\w\s]{0,15}?(?:is|:|-|#)?[\s.:-]{0,4}(\d{9,18})\b"
-FOLIO = r"(?i)\b(?:folio|follio)\b(?:[\s:.-]{0,3}(?:no|number|num|#|is)\b)*[\s:.-]{0,3}(?=[A-Za-z0-9/\-]*\d)([A-Za-z0-9][A-Za-z0-9/\-]{5,20})\b"
+BANK_ACCOUNT = r"(?i)\b(?:account|acct|a\/c|bank)\b[\w\s]{0,15}?(?:is|:|-|#)?[\s.:-]{0,4}(\d{9,18})\b"
+FOLIO = r"(?i)\b(?:folio|follio)\b(?:[\s:.:-]{0,3}(?:no|number|num|#|is)\b)*[\s:.:-]{0,3}(?=[A-Za-z0-9/\-]*\d)([A-Za-z0-9][A-Za-z0-9/\-]{5,20})\b"
 CARD = r"\b(?:\d{4}[\s-]?){3}\d{1,7}\b"
 CREDENTIAL = r"(?i)\b(password|passcode|username|login id|user id|pin)\b[\s:=]+\S+"
 ACCOUNT_PHRASES = ["my balance", "my holdings", "my portfolio", "my account", "my statement", "show my", "check my", "my folio", "my pan", "my investment status", "order status for my", "units held by me", "my nav", "account number", "fund balance", "show me my", "tell me my"]
