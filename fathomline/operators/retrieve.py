@@ -22,10 +22,9 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
-def unit(v: Column) -> Column:
-    """The vector over its length; null for a null, empty or zero one."""
-    norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
-    return F.when(norm > 0, F.transform(v, lambda x: x.cast("double") / norm))
+def length(v: Column) -> Column:
+    """Null for a null, empty or zero vector."""
+    return F.nullif(F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))), F.lit(0.0))
 
 
 def knn(chunks: DataFrame, query: list[float], k: int = 8, filters: dict | None = None, min_similarity: float = 0.0, vector: str = "embedding", key: str = "chunk_id") -> DataFrame:
@@ -37,7 +36,7 @@ def knn(chunks: DataFrame, query: list[float], k: int = 8, filters: dict | None
     if not norm:
         return chunks.limit(0).withColumn("similarity", F.lit(0.0)).drop(vector)
     q = F.array(*(F.lit(float(x) / norm) for x in query))
-    scored = chunks.where(F.size(vector) == len(query)).withColumn("similarity", dot(unit(F.col(vector)), q)).drop(vector)
+    scored = chunks.where(F.size(vector) == len(query)).withColumn("similarity", dot(F.col(vector), q) / length(F.col(vector))).drop(vector)
     kept = scored.where(F.col("similarity").isNotNull() & ~F.isnan("similarity") & (F.col("similarity") >= min_similarity))
     return kept.orderBy(F.col("similarity").desc(), key).limit(max(k or 1, 1))
 
