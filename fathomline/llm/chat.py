@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_schema, prepare, table
+from .common import arrow_schema, by_batch, prepare, table
 
 # Names that roles go by.
 ROLES = {"human": "user", "prompter": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant", "chatbot": "assistant"}
@@ -188,8 +188,29 @@ def parsed(formatted: str) -> list[tuple[str, str]]:
     return out
 
 
+def read_back(formatted: DataFrame) -> DataFrame:
+    """Segments -> conv_id, turn, role, text, loss (what the mask covers, unescaped; null where it is the text, or where no loss is taken), masked, chars: parsed where they lie."""
+    schema = "conv_id long, turn long, role string, text string, loss string, masked boolean, chars long"
+
+    def make():
+        def work(batch: pa.RecordBatch) -> dict:
+            out: dict[str, list] = {name: [] for name in ("conv_id", "turn", "role", "text", "loss", "masked", "chars")}
+            for key, turn, segment, start, end in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                loss = None if start is None else unescaped(segment[start:end])
+                for k, (role, text) in enumerate(parsed(segment)):
+                    first = k == 0
+                    row = (key, turn, role, text, loss if first and loss != text else None, first and start is not None, len(segment) if first else 0)
+                    for column, value in zip(out.values(), row, strict=True):
+                        column.append(value)
+            return out
+
+        return work
+
+    return by_batch(formatted.select(formatted["conv_id"].cast("long"), formatted["turn"].cast("long"), "formatted", "loss_from", "loss_to"), schema, make)
+
+
 def digests(formatted: DataFrame) -> DataFrame:
-    """Segments -> what reading them back gives for each conversation."""
+    """Segments -> what reading them back gives for each conversation. The task that a long conversation comes to only hashes: parsing is done before."""
     prepare(formatted.sparkSession)
     ddl = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
     schema = arrow_schema(ddl)
@@ -206,17 +227,16 @@ def digests(formatted: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
         for batch in batches:
-            for key, text, a, b in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for key, role, text, loss, masked, chars in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if not began or key != now:
                     if began:
                         close()
                     began, now, state = True, key, [0, hashlib.sha256(), 0, hashlib.sha256(), 0]
-                for role, said in parsed(text):
-                    state[0] += 1
-                    state[1].update(f"{role}\n{said}\n".encode("utf-8", "surrogatepass"))
-                state[4] += len(text)
-                if a is not None:
-                    said = unescaped(text[a:b])
+                state[0] += 1
+                state[1].update(f"{role}\n{text}\n".encode("utf-8", "surrogatepass"))
+                state[4] += chars
+                if masked:
+                    said = text if loss is None else loss
                     state[2] += len(said)
                     state[3].update(said.encode("utf-8", "surrogatepass"))
             if len(done) >= 1000:
@@ -226,9 +246,8 @@ def digests(formatted: DataFrame) -> DataFrame:
         if done:
             yield rows()
 
-    # formatted texts of equal numbers differ by role, then text, as the turns do
-    dealt = formatted.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "formatted")
-    return dealt.select("conv_id", "formatted", "loss_from", "loss_to").mapInArrow(run, ddl)
+    dealt = read_back(formatted).repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
+    return dealt.select("conv_id", "role", "text", "loss", "masked", "chars").mapInArrow(run, ddl)
 
 
 def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
