@@ -31,14 +31,17 @@ def rule_categories(c: Column, rules: dict[str, str]) -> Column:
 
 
 def categories(c: Column) -> Column:
-    """What a question gives away, in fixed order. Twelve digits are an identity number unless they belong to a card's."""
-    bare = F.regexp_replace(c, "[A-Za-z]", "")
-    request = c.rlike(ACCOUNT_NOUN)
-    for p in ACCOUNT_PHRASES:
-        request = request | F.lower(c).contains(p)
-    identity = c.rlike(AADHAAR_WORD) | (bare.rlike(AADHAAR) & ~c.rlike(CARD))
-    found = [("pan", c.rlike(PAN)), ("aadhaar", identity), ("otp", c.rlike(OTP)), ("email", c.rlike(EMAIL)), ("phone", c.rlike(PHONE)), ("bank_account", c.rlike(BANK_ACCOUNT)), ("folio", c.rlike(FOLIO)), ("credential", c.rlike(CREDENTIAL)), ("account_request", request)]
-    return F.array_compact(F.array(*(F.when(hit, name) for name, hit in found)))
+    """What a question gives away, in fixed order. Twelve digits are an identity number unless they belong to a card's. The text is evaluated once a row."""
+
+    def found(x: Column) -> Column:
+        t = x["text"]
+        request = F.regexp_like(t, F.lit(ACCOUNT_NOUN)) | F.exists(F.array(*map(F.lit, ACCOUNT_PHRASES)), lambda p: x["low"].contains(p))
+        identity = F.regexp_like(t, F.lit(AADHAAR_WORD)) | (F.regexp_like(x["bare"], F.lit(AADHAAR)) & ~F.regexp_like(t, F.lit(CARD)))
+        rules = [("pan", PAN), ("aadhaar", identity), ("otp", OTP), ("email", EMAIL), ("phone", PHONE), ("bank_account", BANK_ACCOUNT), ("folio", FOLIO), ("credential", CREDENTIAL), ("account_request", request)]
+        return F.array_compact(F.array(*(F.when(F.regexp_like(t, F.lit(rule)) if isinstance(rule, str) else rule, name) for name, rule in rules)))
+
+    once = F.array(F.struct(c.alias("text"), F.lower(c).alias("low"), F.regexp_replace(c, "[A-Za-z]", "").alias("bare")))
+    return F.transform(once, found)[0]
 
 
 def client_blocked(c: Column, rules: dict[str, str] = CLIENT) -> Column:
