@@ -284,7 +284,7 @@ def citations(spark, d):
 # ---- search, from questions to hits
 
 _CHUNK_SCHEMES, _CHUNK_TOPICS, _ORGS, _KINDS = list(R.QUERY_SCHEMES), ["sip", "exit_load", "benchmark", "lock_in", "purchase", "expense_ratio"], list(R.ORGANIZATION_RANK), ["SID", "FAQ_DATASET", "FORM"]
-_SEARCHED = rf"SELECT doc_id AS id, {_pick(QUESTIONS, 'doc_id // 100')} || ' ' || trim(regexp_replace(substr(text, 1, 120), '\s+', ' ', 'g'), ' ') AS q FROM documents WHERE doc_id % 100 = 0"
+_SEARCHED = rf"SELECT doc_id AS id, {_pick(QUESTIONS, 'doc_id // 100')} || ' ' || CASE WHEN doc_id % 300 = 100 THEN 'my mail is a.b@c.co ' ELSE '' END || trim(regexp_replace(substr(text, 1, 120), '\s+', ' ', 'g'), ' ') AS q FROM documents WHERE doc_id % 100 = 0"
 _CLASSED = _INTENT.replace(_LISTED_BRAND, "").replace("SELECT id, topic, scheme, CASE WHEN hard", "SELECT id, q, cats, topic, scheme, CASE WHEN hard")
 _CLASSED = f"WITH v AS ({_SEARCHED}), l AS (" + _CLASSED.split("), l AS (", 1)[1]
 _BUCKETS = r"SELECT {0}, ('0x' || substr(md5(w), 1, 8))::UBIGINT % 384 AS bucket, count(*)::DOUBLE AS n FROM (SELECT {0}, unnest(list_filter(string_split_regex(lower({1}), '\s+'), lambda x: x <> '')) AS w FROM {2}) GROUP BY ALL"
@@ -321,9 +321,9 @@ def _corpus(docs: DataFrame) -> DataFrame:
 
 
 def _search(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """Every hundredth document's start behind a question, against all documents as chunks."""
+    """Every hundredth document's start behind a question, some with an address, against all documents as chunks."""
     docs, n = table(spark, d, "documents"), F.col("doc_id")
-    asked = docs.where("doc_id % 100 = 0").select(n.alias("query_id"), F.concat_ws(" ", _choice(QUESTIONS, F.floor(n / 100)), X.squeeze(F.substring("text", 1, 120))).alias("question"))
+    asked = docs.where("doc_id % 100 = 0").select(n.alias("query_id"), F.concat(_choice(QUESTIONS, F.floor(n / 100)), F.lit(" "), F.when(n % 300 == 100, "my mail is a.b@c.co ").otherwise(""), X.squeeze(F.substring("text", 1, 120))).alias("question"))
     return lifecycle.search(asked, _corpus(docs), F.lit("2024-01-01").cast("date"))
 
 
