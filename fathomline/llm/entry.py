@@ -13,6 +13,7 @@ from .line_dedup import ORACLE_SQL as LINE_DEDUP_SQL
 from .line_dedup import op6_line_dedup
 from .merkle import ORACLE_SQL as MERKLE_SQL
 from .merkle import op12_merkle
+from .minhash import op13_minhash
 from .packing import op7_packing
 from .pii import op1_pii
 from .quality import ORACLE_SQL as QUALITY_SQL
@@ -34,6 +35,7 @@ QUERIES = {
     "op10_token_files": op10_token_files,
     "op11_hard_negatives": op11_hard_negatives,
     "op12_merkle": op12_merkle,
+    "op13_minhash": op13_minhash,
 }
 ORACLES: dict[str, str] = {
     "op2_chat": CHAT_SQL,
