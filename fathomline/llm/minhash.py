@@ -142,7 +142,7 @@ def frequencies(nodes: DataFrame) -> np.ndarray:
 
 def postings(nodes: DataFrame) -> DataFrame:
     """nodes (node, n, values, bytes) -> key, node, body, often: a row for each of the PREFIX rarest pairs, with the set's size and the bytes, and whether its list may be long."""
-    shared = nodes.sparkSession.sparkContext.broadcast(frequencies(nodes))
+    shared, most = nodes.sparkSession.sparkContext.broadcast(frequencies(nodes)), POSTED
 
     def make():
         often = shared.value
@@ -152,7 +152,7 @@ def postings(nodes: DataFrame) -> DataFrame:
             values, bytes_ = _fixed(batch.column(2), 8 * INDEXED).view(np.uint64), _fixed(batch.column(3), SIGNED)
             order = np.lexsort((values, often[_classes(values)]), axis=1)[:, :PREFIX]
             body = np.concatenate([n.astype("<u4").view(np.uint8).reshape(-1, 4), bytes_], 1)
-            return {"key": np.take_along_axis(values, order, 1).ravel().view(np.int64), "node": np.repeat(node, PREFIX), "body": _cells(np.repeat(body, PREFIX, 0)), "often": pa.array(np.take_along_axis(often[_classes(values)], order, 1).ravel() > POSTED)}
+            return {"key": np.take_along_axis(values, order, 1).ravel().view(np.int64), "node": np.repeat(node, PREFIX), "body": _cells(np.repeat(body, PREFIX, 0)), "often": pa.array(np.take_along_axis(often[_classes(values)], order, 1).ravel() > most)}
 
         return work
 
