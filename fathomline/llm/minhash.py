@@ -212,7 +212,8 @@ def _bodies(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """key, node, body (the full set) of the rows of docs that wanted (key, node, doc_id, seen) names."""
     names = wanted.select("key", "node", F.col("doc_id").alias("_doc"), F.col("seen").alias("_seen"))
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_of(docs).alias("text"))
-    met = rows.join(names, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.xxhash64("text") == F.col("_seen")))
+    # merged at every size: where a few names were sent to all tasks instead, the shuffle of texts would begin with the table's growth
+    met = rows.join(names.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.xxhash64("text") == F.col("_seen")))
 
     def make():
         hashes = _Hashes()
