@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rules as R
 from ..functions.text import straight_quotes, without_urls
+from ..sources.shared import ship
 
 TTL_S, THRESHOLD, EVIDENCE, COOLDOWN, PER_MINUTE = 1800, 0.35, 4, 5, 30
 
@@ -106,6 +107,7 @@ def generated(context: Column, question: Column, call: Callable[[str, str, str],
     Models are tried in order. A RateLimited is tried again up to so many times after the wait it asks for, clamped to longest_wait; any other exception
     ends that row with the exception's name in error, and no answer: failures are rows, not failed jobs.
     """
+    ship()
 
     @F.pandas_udf("answer string, model string, error string")
     def ask(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rules as R
 from ..functions.text import is_heading, is_noise, strip
-from ..sources.store import stored
+from ..sources.shared import stored
 
 TARGET, OVERLAP, LEAST, PREAMBLE = 1200, 150, 40, "Preamble"
 #: Pages a document needs before its running lines are looked for, and the share of its pages they must be on.

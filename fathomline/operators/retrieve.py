@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 from hashlib import md5
 
@@ -9,13 +10,18 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.store import stored
+from ..sources.shared import ship, stored
 
 #: Queries of one matrix product, and of one pass over the rows: the latter's vectors are all that a search sends to every task.
 BLOCK, PASS = 1000, 16_000
+#: Tasks of a search for each core of the cluster, however many pieces the rows lie in; and tasks whose hits are merged at once.
+WAVES, FAN = 4, 64
+#: Values of a filter that the scan is asked for by name; more are looked up by a join.
+NAMED = 1000
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -38,33 +44,100 @@ def knn(chunks: DataFrame, query: list[float], k: int = 8, filters: dict | None
     q = F.array(*(F.lit(float(x) / norm) for x in query))
     scored = chunks.where(F.size(vector) == len(query)).withColumn("similarity", dot(F.col(vector), q) / length(F.col(vector))).drop(vector)
     kept = scored.where(F.col("similarity").isNotNull() & ~F.isnan("similarity") & (F.col("similarity") >= min_similarity))
-    return kept.orderBy(F.col("similarity").desc(), key).limit(max(k or 1, 1))
+    return kept.orderBy(F.round("similarity", 12).desc(), key).limit(at_least_one(k))
 
 
-def knn_batch(chunks: DataFrame, queries: DataFrame, k: int = 8, filters: tuple[str, ...] = (), min_similarity: float = 0.0, vector: str = "embedding", key: str = "chunk_id", query_key: str = "query_id") -> DataFrame:
-    """The k nearest rows of each query (query_key, qvec and a column q_<name> for each filter; null there: no filter), with rank; ties by key.
+def at_least_one(k: int | None) -> int:
+    return max(k or 1, 1)
+
+
+def knn_batch(chunks: DataFrame, queries: DataFrame, k: int = 8, filters: tuple[str, ...] = (), min_similarity: float = 0.0, vector: str = "embedding", key: str = "chunk_id", query_key: str = "query_id", depth: int | None = None) -> DataFrame:
+    """The k nearest rows of each query (query_key, qvec and a column q_<name> for each filter; null there: no filter), with rank; ties (to twelve digits) by key.
+
+    k below 1 counts as 1. Null keys are hits like others, the last of equals.
 
     A pass reads the rows once and holds up to PASS queries in every task: a matrix product for each block of them, the k best of each query kept in
-    arrays. So what is shuffled is k rows for each task and query. More queries than PASS, told off by a hash, take more passes.
+    arrays. More queries than PASS, told off by a hash, take more passes. Where all queries of a pass have a filter, only rows with values that
+    occur among them are read: of rows laid out by that column (see laid_out) only those files.
+
+    Tasks are WAVES for each core at most, so that what they hand on doesn't grow with the rows, and their hits are merged in levels of FAN: depth of them,
+    by default as many as the tasks need.
     """
-    spark = chunks.sparkSession
+    spark, k = chunks.sparkSession, at_least_one(k)
+    ship(spark)
     types = dict(chunks.dtypes) | {query_key: dict(queries.dtypes)[query_key]}
-    scan = chunks.where(F.col(vector).isNotNull()).select(key, F.col(vector).cast("array<double>").alias(vector), *(F.col(f).cast("string").alias(f"f_{f}") for f in filters))
+    tasks = WAVES * spark.sparkContext.defaultParallelism
+    kept = chunks.where(F.col(vector).isNotNull())
     asked = queries.select(query_key, F.col("qvec").cast("array<double>").alias("qvec"), *(F.col(f"q_{f}").cast("string").alias(f"q_{f}") for f in filters))
-    schema = f"{query_key} {types[query_key]}, {key} {types[key]}, similarity double"
+    schema = f"`{query_key}` {types[query_key]}, `{key}` {types[key]}, similarity double, _task int"
     parts, found = max(1, -(-queries.count() // PASS)), None
     for part in range(parts):
         rows = (asked if parts == 1 else asked.where(F.pmod(F.xxhash64(query_key), F.lit(parts)) == part)).toArrow()  # at most about PASS
         search = Search(rows, k, min_similarity, len(filters))
         if not search.names:
             continue
+        scan = _wanted(kept, filters, rows).select(key, F.col(vector).cast("array<double>").alias(vector), *(F.col(f).cast("string").alias(f"f_{f}") for f in filters)).coalesce(tasks)
         shared = spark.sparkContext.broadcast(search)
-        hits = scan.mapInArrow(lambda batches, shared=shared, schema=schema: shared.value.nearest(batches, schema.replace(",", "").split()[::2]), schema)
+        hits = scan.mapInArrow(lambda batches, shared=shared: shared.value.nearest(batches, [query_key, key, "similarity", "_task"]), schema)
         found = hits if found is None else found.unionAll(hits)
     if found is None:
-        return spark.createDataFrame([], schema + ", rank int")
-    rank = F.row_number().over(Window.partitionBy(query_key).orderBy(F.col("similarity").desc(), key))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k)
+        return spark.createDataFrame([], f"`{query_key}` {types[query_key]}, `{key}` {types[key]}, similarity double, rank int")
+    levels = depth or max(1, math.ceil(math.log(tasks, FAN)))
+    for level in range(levels - 1, -1, -1):
+        # groups of tasks that become fewer by FAN, at last one
+        group = [F.pmod("_task", F.lit(FAN**level)).alias("_group")] if level else []
+        own = Window.partitionBy(query_key, *group).orderBy(F.col("similarity").desc(), F.col(key).asc_nulls_last())
+        found = found.withColumn("rank", F.row_number().over(own)).where(F.col("rank") <= k)
+    return found.drop("_task")
+
+
+def _wanted(rows: DataFrame, filters: tuple[str, ...], asked: pa.Table) -> DataFrame:
+    """rows without those that no query of `asked` can want, by conditions that a scan can be pruned with."""
+    for at, name in enumerate(filters, 2):
+        values = set(asked.column(at).to_pylist())
+        if None in values or not values:
+            continue
+        if len(values) <= NAMED:
+            rows = rows.where(F.col(name).cast("string").isin(sorted(values)) if dict(rows.dtypes)[name] != "string" else F.col(name).isin(sorted(values)))
+        else:
+            have = rows.sparkSession.createDataFrame([(v,) for v in values], "_value string")
+            rows = rows.join(have, F.col(name).cast("string") == F.col("_value"), "left_semi")
+    return rows
+
+
+def laid_out(chunks: DataFrame, path: str, by: str = "scheme") -> DataFrame:
+    """Writes chunks to path in a folder for each value of `by`, and reads them back: a search that filters by it opens the folders of its values alone.
+
+    Rows are dealt by the value; a value with very many rows is dealt to as many tasks, and files, as they need.
+    """
+    schema = chunks.schema
+    chunks.hint("rebalance", by).write.partitionBy(by).parquet(path)
+    return chunks.sparkSession.read.schema(schema).parquet(path).select(*schema.names)
+
+
+def _sortable(keys: pa.Array) -> np.ndarray:
+    """Keys as an array that sorts as they do, nulls last: numbers and strings as they are, others as tuples (of structs, by their fields)."""
+    if not keys.null_count and (pa.types.is_integer(keys.type) or pa.types.is_floating(keys.type) or pa.types.is_string(keys.type)):
+        return np.array(keys.to_pylist())
+    return _tuples(keys.to_pylist())
+
+
+def _tuples(values: list) -> np.ndarray:
+    out = np.empty(len(values), object)
+    for i, x in enumerate(values):
+        out[i] = (x is None, tuple(x.items()) if isinstance(x, dict) else 0 if x is None else x)
+    return out
+
+
+def _unsorted(keys: np.ndarray, kind: pa.DataType) -> pa.Array:
+    values = keys.tolist()
+    return pa.array([None if none else dict(x) if pa.types.is_struct(kind) else x for none, x in values] if keys.dtype == object else values, kind)
+
+
+def _joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    if (a.dtype == object) != (b.dtype == object):
+        a, b = (x if x.dtype == object else _tuples(x.ravel().tolist()).reshape(x.shape) for x in (a, b))
+    return np.concatenate([a, b])
 
 
 class Search:
@@ -98,7 +171,8 @@ class Search:
             values.append(scores[rank, q])
         if who and sum(map(len, who)):
             names = self.keys.combine_chunks().take(pa.array(np.concatenate(who)))
-            yield pa.RecordBatch.from_arrays([names, pa.array(np.concatenate(ids).tolist(), kind), pa.array(np.concatenate(values))], names=columns)
+            task = pa.array(np.full(len(names), TaskContext.get().partitionId(), np.int32))
+            yield pa.RecordBatch.from_arrays([names, _unsorted(np.concatenate(ids), kind), pa.array(np.concatenate(values)), task], names=columns)
 
     def _add(self, batch: pa.RecordBatch, best: dict) -> None:
         size = pc.list_value_length(batch.column(1)).to_numpy(zero_copy_only=False)
@@ -119,11 +193,10 @@ class Search:
                 place = {v: i for i, v in enumerate(values.tolist())}
                 mine = np.array([place.get(v, -2) for v in have])
                 s[(codes >= 0) & (mine[:, None] != codes)] = -np.inf
-            keys = np.array(part.column(0).to_pylist())
+            keys = _sortable(part.column(0))
             top = self._top(s, np.broadcast_to(keys[:, None], s.shape))
             if b in best:
-                both = [np.concatenate([a.astype(c.dtype) if a.dtype.itemsize < c.dtype.itemsize else a, c]) for a, c in zip(best[b], top, strict=True)]
-                top = self._top(*both)
+                top = self._top(*(_joined(*x) for x in zip(best[b], top, strict=True)))
             best[b] = top
 
     def _top(self, scores: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -174,6 +247,7 @@ _models: dict[str, Callable] = {}
 
 def embedding(text: Column, factory: Callable[[], Callable[[list[str]], np.ndarray]], dim: int = 384, batch: int = 32, name: str = "model") -> Column:
     """Vectors by a model, `batch` texts at a time. factory() gives the model, once for each worker process and name; a vector of another size is an error."""
+    ship()
 
     @F.pandas_udf("array<double>")
     def embed(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:

@@ -11,7 +11,8 @@ from ..functions import rules as R
 from ..functions.text import expanded, last_updated, normalize, parse_date, preview, question_hash, scoped, source_id, squeeze
 from ..operators import converse, corpus, rerank, retrieve
 from ..sources import files
-from ..sources.store import load, stored
+from ..sources.shared import stored
+from ..sources.store import load
 
 
 def build_chunks(pages: DataFrame, manifest: DataFrame, embed=retrieve.hashed_embedding, schemes: dict = R.DOCUMENT_SCHEMES, topics: dict = R.CHUNK_TOPICS, target: int = corpus.TARGET, overlap: int = corpus.OVERLAP, disclosure: dict[str, str] = R.ROW_DISCLOSURE) -> DataFrame:

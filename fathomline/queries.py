@@ -17,6 +17,7 @@ from .functions import rules as R
 from .functions import text as X
 from .operators import converse, corpus, evaluate, rerank, retrieve
 from .sources import files
+from .sources.shared import scratch
 
 TOPICS = {"english": ["the", "that", "with"], "french": ["de", "la", "les"], "german": ["der", "die", "und"], "license": ["license", "licensed"]}
 SCHEMES = {"Alpha": ["licensed", "copyright"], "Beta": ["the "], "Gamma": ["de la", "des "], "Delta": ["und "]}
@@ -105,6 +106,22 @@ def two_pass_merge(spark, d):
     return retrieve.two_pass(v, q, retrieve.overfetch(6)).select("query_id", "chunk_id", F.round("similarity", 6).alias("similarity"), "pass")
 
 
+@query(ORACLES["two_pass_merge"])
+def two_pass_laid_out(spark, d):
+    """The same over rows laid out in a folder for each scheme, of which the second pass opens those that occur among the queries."""
+    v, q = _schemed(spark, d)
+    rows = retrieve.laid_out(v, scratch(spark, "by-scheme"))
+    return retrieve.two_pass(rows, q, retrieve.overfetch(6)).select("query_id", "chunk_id", F.round("similarity", 6).alias("similarity"), "pass")
+
+
+@query(f"WITH u AS ({UNITS}), s AS (SELECT b.vec_id AS query_id, a.vec_id AS chunk_id, list_cosine_similarity(a.e, b.e) AS sim FROM u a, u b WHERE b.vec_id % 100 = 0) SELECT query_id, arg_max(chunk_id, (sim, -chunk_id)) AS chunk_id, k FROM s, (VALUES (0), (-1), (NULL)) AS t(k) GROUP BY query_id, k")
+def knn_least(spark, d):
+    """k of 0, below, or none gives one row for each query."""
+    v = _vectors(spark, d)
+    found = [retrieve.knn_batch(v, _queries(v).select("query_id", "qvec"), k).select("query_id", "chunk_id", F.lit(k).cast("int").alias("k")) for k in (0, -1, None)]
+    return found[0].unionAll(found[1]).unionAll(found[2])
+
+
 def _schemed(spark, d):
     v = _vectors(spark, d)
     q = _queries(v).select("query_id", "qvec", F.when(F.col("query_id") % 300 != 0, F.concat(F.lit("s"), "q_label")).alias("q_scheme"))

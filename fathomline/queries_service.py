@@ -13,7 +13,7 @@ from .functions import rules as R
 from .functions import text as X
 from .operators import converse, evaluate, retrieve
 from .plans import lifecycle
-from .queries import _CHUNKS, _GONE, _HAY, _INTENT, _JACCARD, _LISTED_BRAND, _NORMAL, _SOURCE, _TOK, _categories_sql, _choice, _expand_sql, _flags_sql, _heading_sql, _listed, _pick, _vote_sql, QUESTIONS, case, query, quote, table
+from .queries import _CHUNKS, _GONE, _HAY, _INTENT, _JACCARD, _LISTED_BRAND, _NORMAL, _SOURCE, _TOK, _categories_sql, _choice, _expand_sql, _flags_sql, _heading_sql, _listed, _pick, _vote_sql, ORACLES, QUESTIONS, case, query, quote, table
 from .sources import files, store
 
 # ---- functions of texts
@@ -160,34 +160,92 @@ def expense_reports(spark, d):
 # ---- the store
 
 
-def _loaded(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """All documents, then those with labels again with another scheme, as two loads of a store."""
-    path = store.scratch(spark, "store")
+def _loads(spark: SparkSession, d: str) -> list[tuple[DataFrame, DataFrame]]:
+    """All documents with a chunk each, and those with labels again with another scheme: documents and chunks of two loads."""
     docs = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("source_id"), F.concat(F.lit("t"), "doc_id").alias("title"), F.when(F.col("doc_id") % 3 != 0, F.col("source")).alias("scheme"), F.lit("o").alias("organization"), F.lit("SID").alias("document_type"), F.lit("").alias("document_date"), F.lit("").alias("effective_date"), F.lit("").alias("source_url"), F.concat(F.lit("f"), "doc_id").alias("file_name"))
-    store.load(docs, docs.select("source_id", F.lit("first").alias("chunk_text")), path)
     again = docs.join(table(spark, d, "labels").select(F.col("doc_id").cast("string").alias("source_id")), "source_id", "left_semi").withColumn("scheme", F.lit("again"))
-    store.load(again, again.select("source_id", F.lit("second").alias("chunk_text")), path)
-    return store.current(spark, path)
+    return [(df, df.select("source_id", F.lit(said).alias("chunk_text"))) for df, said in ((docs, "first"), (again, "second"))]
+
+
+def _loaded(spark: SparkSession, d: str) -> str:
+    """The path of a store after both loads."""
+    path = store.scratch(spark, "store")
+    for docs, chunks in _loads(spark, d):
+        store.load(docs, chunks, path)
+    return path
+
+
+def _whole(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
+    docs, chunks = store.current(spark, path, version)
+    return docs.select("source_id", "title", "scheme").join(chunks, "source_id")
 
 
 _LABELLED = "doc_id IN (SELECT doc_id FROM labels)"
+_LATEST = f"SELECT doc_id::VARCHAR AS source_id, 't' || doc_id AS title, CASE WHEN {_LABELLED} THEN 'again' WHEN doc_id % 3 <> 0 THEN source END AS scheme, CASE WHEN {_LABELLED} THEN 'second' ELSE 'first' END AS chunk_text FROM documents"
+_FIRST = "SELECT doc_id::VARCHAR AS source_id, 't' || doc_id AS title, CASE WHEN doc_id % 3 <> 0 THEN source END AS scheme, 'first' AS chunk_text FROM documents"
 
 
-@query(f"SELECT doc_id::VARCHAR AS source_id, 't' || doc_id AS title, CASE WHEN {_LABELLED} THEN 'again' WHEN doc_id % 3 <> 0 THEN source END AS scheme, CASE WHEN {_LABELLED} THEN 'second' ELSE 'first' END AS chunk_text FROM documents")
+@query(_LATEST)
 def store_loads(spark, d):
     """Documents and chunks after two loads: a source's rows are those of its latest."""
-    docs, chunks = _loaded(spark, d)
-    return store.listed(docs).select("source_id", "title", "scheme").join(chunks, "source_id")
+    return _whole(spark, _loaded(spark, d))
+
+
+@query(_LATEST)
+def store_recovered(spark, d):
+    """The same where the second load failed at first, in its documents and in its chunks; then compacted, and what failed or was replaced deleted."""
+    path, (first, second) = store.scratch(spark, "store"), _loads(spark, d)
+    store.load(*first, path)
+    broken = F.when(F.length("source_id") > 0, F.raise_error(F.lit("lost")).cast("string"))
+    for docs, chunks in ((second[0].withColumn("title", broken), second[1]), (second[0], second[1].withColumn("chunk_text", broken))):
+        try:
+            store.load(docs, chunks, path)
+        except Exception as x:
+            if "lost" not in str(x):
+                raise
+    store.load(*second, path)
+    store.compact(spark, path)
+    store.vacuum(spark, path)
+    return _whole(spark, path)
+
+
+@query(_FIRST)
+def store_interleaved(spark, d):
+    """Two writers: the one that began first commits last, so its load is the later one."""
+    path, (first, second) = store.scratch(spark, "store"), _loads(spark, d)
+    parts = [store.written(*x, path) for x in (first, second)]
+    for part in reversed(parts):
+        store.commit(spark, path, part)
+    return _whole(spark, path)
+
+
+@query(f"SELECT *, 0 AS version FROM ({_FIRST}) UNION ALL SELECT *, 1 FROM ({_LATEST})")
+def store_versions(spark, d):
+    """The store as each of its loads left it, read after the second was compacted."""
+    path = _loaded(spark, d)
+    store.compact(spark, path)
+    return _whole(spark, path, 0).withColumn("version", F.lit(0)).unionAll(_whole(spark, path, 1).withColumn("version", F.lit(1)))
+
+
+@query("SELECT CASE WHEN doc_id % 3 = 0 THEN 0 ELSE 1 END AS none_first, doc_id::VARCHAR AS source_id, 't' || doc_id AS title FROM documents")
+def store_listed(spark, d):
+    """The list of a store's documents, whole."""
+    docs, _ = store.current(spark, _first_only(spark, d))
+    return store.listed(docs).select(F.when(F.col("scheme").isNull(), 0).otherwise(1).alias("none_first"), "source_id", "title")
+
+
+def _first_only(spark: SparkSession, d: str) -> str:
+    path = store.scratch(spark, "store")
+    store.load(*_loads(spark, d)[0], path)
+    return path
 
 
-@query(f"SELECT doc_id::VARCHAR AS source_id, 't' || doc_id AS title, CASE WHEN {_LABELLED} THEN 'again' WHEN doc_id % 3 <> 0 THEN source END AS scheme FROM documents WHERE doc_id = 7")
+@query(f"SELECT source_id, title, scheme FROM ({_LATEST}) WHERE source_id = '7'")
 def source_lookup(spark, d):
-    return store.source(_loaded(spark, d)[0], "7").select("source_id", "title", "scheme")
-
-
-@query(f"SELECT * FROM (VALUES {', '.join(f'({quote(t)})' for t in R.QUERY_TOPICS)}) AS t(name)")
-def topic_names(spark, d):
-    return store.names(spark, R.QUERY_TOPICS)
+    """One source of a compacted store: one bucket of its documents is opened."""
+    path = _loaded(spark, d)
+    store.compact(spark, path)
+    return store.source(store.current(spark, path)[0], "7").select("source_id", "title", "scheme")
 
 
 _ONE_PAGE = f"SELECT doc_id, 1 AS page, (i - 1)::INT AS line_no, lines[i] AS line, false AS is_table FROM (SELECT doc_id, string_split({_NORMAL}, chr(10)) AS lines FROM documents WHERE doc_id % 10 NOT IN (3, 4)), unnest(range(1, len(lines) + 1)) AS t(i)"
@@ -240,13 +298,20 @@ def ingested_chunks(spark, d):
     return chunks.where(F.size("embedding") == 384).select("source_id", "chunk_id", F.sha2("chunk_text", 256).alias("text_sha256"), "section", "topic", "scheme", "page_number")
 
 
-@query("""SELECT 'k' || doc_id % 3 AS folder, 'txt' AS suffix, 'document' AS label, sha256(string_agg(replace(text, chr(10), ' ') || chr(10), '' ORDER BY doc_id)) AS text_sha256 FROM documents GROUP BY doc_id % 3""")
+@query(f"SELECT DISTINCT topic AS name FROM ({ORACLES['ingested_chunks']})")
+def topic_names(spark, d):
+    """The topics that occur among the chunks that a load leaves."""
+    path = store.scratch(spark, "store")
+    _ingested(spark, d, path)
+    return store.topics(store.current(spark, path)[1])
+
+
+@query("""SELECT 'k=' || doc_id // 50 AS folder, 'txt' AS suffix, 'document' AS label, sha256(string_agg(replace(text, chr(10), ' ') || chr(10), '' ORDER BY doc_id)) AS text_sha256 FROM documents GROUP BY doc_id // 50""")
 def text_files(spark, d):
-    """Documents written as three text files, found in their folders and read as a page each."""
+    """Documents written as text files of fifty, in as many folders, found there and read as a page each."""
     path = store.scratch(spark, "texts")
-    docs = table(spark, d, "documents")
-    for k in range(3):
-        docs.where(F.col("doc_id") % 3 == k).orderBy("doc_id").select(F.replace("text", F.lit("\n"), F.lit(" ")).alias("value")).coalesce(1).write.text(f"{path}/k{k}")
+    docs = table(spark, d, "documents").select(F.expr("doc_id div 50").alias("k"), "doc_id", F.replace("text", F.lit("\n"), F.lit(" ")).alias("value"))
+    docs.repartition("k").sortWithinPartitions("k", "doc_id").drop("doc_id").write.partitionBy("k").text(path)
     pages, _ = files.extracted(spark, path)
     found = files.listing(spark, path, excluded=["none.txt"]).select("path", "suffix")
     return pages.join(found, "path").select(F.element_at(F.split("path", "/"), -2).alias("folder"), "suffix", "label", F.sha2("text", 256).alias("text_sha256"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.rules import first_alias
 from ..functions.text import html_to_text, strip
+from .shared import ship
 
 MANIFEST = ["file_name", "title", "scheme", "organization", "document_type", "document_date", "effective_date", "source_url", "source_id"]
 SUFFIXES = ["pdf", "xlsx", "xls", "txt", "md", "csv"]
@@ -53,6 +54,7 @@ def extracted(spark: SparkSession, path: str, extractors: dict[str, Callable] |
     workbook parsers are such functions; the engine has none of its own). Old workbooks that are no ZIP container are rejected.
     """
     extractors = extractors or {}
+    ship(spark)
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).withColumn("suffix", F.lower(F.regexp_extract("path", r"\.([^./]*)$", 1)))
     unzipped = (F.col("suffix") == "xls") & (F.substring("content", 1, 2) != F.lit(b"PK"))
     known = ["txt", "md", *extractors]

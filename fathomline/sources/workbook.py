@@ -12,6 +12,8 @@ from xml.etree import ElementTree
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .shared import ship
+
 _MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 _LINK = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
 
@@ -56,6 +58,7 @@ def rows(content: bytes) -> Iterator[tuple[int, str, int, list[str]]]:
 
 def workbook_rows(spark: SparkSession, path: str) -> DataFrame:
     """doc_id (the path), sheet_no, sheet, row_idx, cells of the .xlsx, .xlsm and zipped .xls files below path; one file is read by one task."""
+    ship(spark)
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
     books = files.where(F.lower("path").rlike(r"\.xls[xm]?$") & (F.substring("content", 1, 2) == F.lit(b"PK"))).select("path", "content")
 
