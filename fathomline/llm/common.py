@@ -2,37 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-import zipfile
 from collections.abc import Callable, Iterator
-from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import shared_dir, ship, stored, table  # noqa: F401  (the operators take them from here)
+
 #: Rows and bytes of one Arrow batch; both bound a Python worker's memory.
 BATCH_ROWS = 1000
 BATCH_BYTES = 8 << 20
 
 
-_shipped: set[str] = set()
-
-
-def ship(spark: SparkSession) -> None:
-    """Sends the package to the executors, once for each application: their workers needn't share the driver's search path."""
-    sc, root = spark.sparkContext, Path(__file__).resolve().parents[1]
-    if sc.applicationId in _shipped or not root.is_dir():
-        return
-    target = Path(tempfile.mkdtemp(prefix="fathomline-")) / f"{root.name}.zip"
-    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
-        for p in sorted(root.rglob("*.py")):
-            z.write(p, p.relative_to(root.parent))
-    sc.addPyFile(str(target))
-    _shipped.add(sc.applicationId)
-
-
 def prepare(spark: SparkSession) -> SparkSession:
     """Ships the package and bounds Arrow batches by rows and bytes, unless the session already has smaller bounds."""
     ship(spark)
@@ -46,30 +28,6 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a local one only where the setting is absent and Spark runs in this machine."""
-    sc = spark.sparkContext
-    base = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if not base:
-        if not sc.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        base = tempfile.mkdtemp(prefix="fathomline-")
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(base)
-    return sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as Parquet into the shared folder and reads it back: lineage ends there, so a lost executor costs no recomputation.
-
-    Tables lie below <shared>/tables/<application id>; whoever runs the session may delete that folder when it has ended.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tables/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def cut_lineage(df: DataFrame) -> DataFrame:
     """checkpoint() into the shared folder."""
     shared_dir(df.sparkSession)
@@ -81,10 +39,6 @@ def text_of(df: DataFrame, column: str = "text") -> Column:
     return F.coalesce(df[column].cast("string"), F.lit(""))
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def free_name(df: DataFrame, wish: str) -> str:
     """A column name that df doesn't have."""
     have = {c.lower() for c in df.columns}
