@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -111,3 +112,23 @@ def arrow_schema(ddl: str) -> pa.Schema:
         name, kind = part.strip().split(None, 1)
         fields.append(pa.field(name.strip("`"), _arrow_type(kind)))
     return pa.schema(fields)
+
+
+def fixed(column: pa.Array, width: int) -> np.ndarray:
+    """A binary column of values of `width` bytes as rows of them."""
+    n = len(column)
+    ends = np.frombuffer(column.buffers()[1], np.int32, n + 1, 4 * column.offset)
+    return np.frombuffer(column.buffers()[2], np.uint8, ends[-1] - ends[0], ends[0]).reshape(n, width)
+
+
+def cells(x: np.ndarray) -> pa.Array:
+    """Rows of numbers as a binary column."""
+    x = np.ascontiguousarray(x)
+    n, width = len(x), x.shape[1] * x.itemsize
+    return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer((np.arange(n + 1) * width).astype(np.int32)), pa.py_buffer(x.tobytes())])
+
+
+def hashed(x: np.ndarray) -> np.ndarray:
+    """Unsigned 64-bit numbers, mixed one to one."""
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+    return x ^ (x >> np.uint64(29))

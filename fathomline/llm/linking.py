@@ -4,12 +4,13 @@ A group is cut into blocks of bounded rows and bytes by a hash. Within a block l
 yet reached, so a block of copies takes one comparison a member, and what is emitted is a spanning forest. Of a group of several blocks, the members that
 reached most others (its hubs) then visit all its blocks, and what they join is one component, as a rule nearly all of a group of copies. At last every
 member outside its group's largest component visits all blocks. So each pair of members has met, but for those within one component, and work is in
-proportion to the group's size times the blocks that those outside fill.
+proportion to the group's size times the blocks that those outside fill. Where that is far more than the group, and linked pairs share finer keys, the group
+is cut by these instead.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +21,8 @@ from .common import arrow_schema, prepare, stored
 from .components import components
 
 HUBS = 32
+#: Visits of outsiders, for each member of their group, beyond which the group is cut by finer keys.
+DEAR = 6
 
 
 class Kind:
@@ -163,10 +166,10 @@ def _rooted(members: DataFrame, edges: DataFrame) -> DataFrame:
     return members.join(star, F.col("node") == F.col("_node"), "left").withColumn("root", F.coalesce("_root", "node")).drop("_node", "_root")
 
 
-def linked(members: DataFrame, kind: type[Kind], rows: int, most: int) -> DataFrame:
+def linked(members: DataFrame, kind: type[Kind], rows: int, most: int, finer: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """members (key long, node long, body binary) -> edges (a, b) that join what links within groups join. Blocks hold about `rows` members and `most` bytes.
 
-    Repeated rows count once. A column often tells, if there is one, which groups may have more members than a block. members is read up to three times:
+    finer: members -> members under new keys, of which every linked pair of a group shares one, and which must become smaller each time. Repeated rows count once. A column often tells, if there is one, which groups may have more members than a block. members is read up to three times:
     store it, if it is dear.
     """
     prepare(members.sparkSession)
@@ -188,5 +191,12 @@ def linked(members: DataFrame, kind: type[Kind], rows: int, most: int) -> DataFr
     edges = edges.unionAll(stored(_visited(rooted, visitors, kind), "links"))
     rooted = stored(_rooted(groups, edges), "groups")
     main = rooted.groupBy("key", "root").count().groupBy("key").agg(F.max_by("root", F.struct("count", "root")).alias("_main"))
-    outside = rooted.join(main, "key").where("root <> _main").withColumn("block", everywhere)
+    outside = rooted.join(main, "key").where("root <> _main")
+    if finer is not None:
+        visits = outside.groupBy("key").agg((F.count("*") * F.first("n")).alias("_visits")).join(rooted.groupBy("key").agg(F.count("*").alias("_size")), "key")
+        dear = stored(visits.where(F.col("_visits") > DEAR * F.col("_size")).select("key"), "dear-groups")
+        if not dear.isEmpty():
+            edges = edges.unionAll(linked(stored(finer(rooted.join(dear, "key", "left_semi")), "finer-groups"), kind, rows, most, finer))
+            outside = outside.join(dear, "key", "left_anti")
+    outside = outside.withColumn("block", everywhere)
     return edges.unionAll(stored(_visited(rooted, outside, kind), "links"))

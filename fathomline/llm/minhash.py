@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import by_batch, stored, table, text_of
+from .common import by_batch, cells, fixed, hashed, stored, table, text_of
 from .components import components
 from .linking import Kind, linked
 
@@ -54,11 +54,6 @@ class _Hashes(dict):
         return h
 
 
-def _mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
-    return x ^ (x >> np.uint64(29))
-
-
 def shingles(text: str, hashes: dict, size: int = SHINGLE) -> np.ndarray:
     """The set of a text's shingles as sorted 64-bit hashes; words are told by ASCII white space, A-Z count as a-z."""
     words = text.encode("utf-8", "surrogatepass").lower().split()
@@ -68,8 +63,8 @@ def shingles(text: str, hashes: dict, size: int = SHINGLE) -> np.ndarray:
     n = min(size, len(h))
     total = np.full(len(h) - n + 1, np.uint64(n), np.uint64)
     for k in range(n):
-        total += _mixed(h[k : len(h) - n + 1 + k]) * _WORDS[k]
-    return np.unique(_mixed(total))
+        total += hashed(h[k : len(h) - n + 1 + k]) * _WORDS[k]
+    return np.unique(hashed(total))
 
 
 def signature(x: np.ndarray) -> np.ndarray:
@@ -81,20 +76,6 @@ def signature(x: np.ndarray) -> np.ndarray:
     return least
 
 
-def _fixed(column: pa.Array, width: int) -> np.ndarray:
-    """A column of values of `width` bytes as rows of them."""
-    n = len(column)
-    ends = np.frombuffer(column.buffers()[1], np.int32, n + 1, 4 * column.offset)
-    return np.frombuffer(column.buffers()[2], np.uint8, ends[-1] - ends[0], ends[0]).reshape(n, width)
-
-
-def _cells(x: np.ndarray) -> pa.Array:
-    """Rows of bytes as a binary column."""
-    x = np.ascontiguousarray(x)
-    n, width = len(x), x.shape[1] * x.itemsize
-    return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer((np.arange(n + 1) * width).astype(np.int32)), pa.py_buffer(x.tobytes())])
-
-
 def signed(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text) -> doc_id, seen (a hash of the text), n (the set's size), h1 and h2 (128 bits that name the set), values (INDEXED), bytes (SIGNED)."""
     ddl = "doc_id long, seen long, n long, h1 long, h2 long, values binary, bytes binary"
@@ -113,7 +94,7 @@ def signed(docs: DataFrame) -> DataFrame:
                 if len(x):
                     values[k] = signature(x)
             n, h1, h2 = names.view(np.int64).T
-            return {"doc_id": batch.column(0), "seen": batch.column(1), "n": n, "h1": h1, "h2": h2, "values": _cells(values[:, :INDEXED]), "bytes": _cells((values >> np.uint64(24)).astype(np.uint8))}
+            return {"doc_id": batch.column(0), "seen": batch.column(1), "n": n, "h1": h1, "h2": h2, "values": cells(values[:, :INDEXED]), "bytes": cells((values >> np.uint64(24)).astype(np.uint8))}
 
         return work
 
@@ -130,7 +111,7 @@ def frequencies(nodes: DataFrame) -> np.ndarray:
     def run(batches):
         counts = np.zeros(CLASSES, np.int64)
         for batch in batches:
-            counts += np.bincount(_classes(_fixed(batch.column(0), 8 * INDEXED).view(np.uint64)).ravel(), minlength=CLASSES)
+            counts += np.bincount(_classes(fixed(batch.column(0), 8 * INDEXED).view(np.uint64)).ravel(), minlength=CLASSES)
         at = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[at])], names=["class", "n"])
 
@@ -149,10 +130,10 @@ def postings(nodes: DataFrame) -> DataFrame:
 
         def work(batch: pa.RecordBatch) -> dict:
             node, n = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            values, bytes_ = _fixed(batch.column(2), 8 * INDEXED).view(np.uint64), _fixed(batch.column(3), SIGNED)
+            values, bytes_ = fixed(batch.column(2), 8 * INDEXED).view(np.uint64), fixed(batch.column(3), SIGNED)
             order = np.lexsort((values, often[_classes(values)]), axis=1)[:, :PREFIX]
             body = np.concatenate([n.astype("<u4").view(np.uint8).reshape(-1, 4), bytes_], 1)
-            return {"key": np.take_along_axis(values, order, 1).ravel().view(np.int64), "node": np.repeat(node, PREFIX), "body": _cells(np.repeat(body, PREFIX, 0)), "often": pa.array(np.take_along_axis(often[_classes(values)], order, 1).ravel() > most)}
+            return {"key": np.take_along_axis(values, order, 1).ravel().view(np.int64), "node": np.repeat(node, PREFIX), "body": cells(np.repeat(body, PREFIX, 0)), "often": pa.array(np.take_along_axis(often[_classes(values)], order, 1).ravel() > most)}
 
         return work
 
@@ -164,7 +145,7 @@ class Sketches(Kind):
 
     @staticmethod
     def load(column):
-        return _fixed(column, 4 + SIGNED)
+        return fixed(column, 4 + SIGNED)
 
     @staticmethod
     def _agree(left, right):

@@ -5,9 +5,10 @@ minimum. The index's posting lists are keyed by a choice of 4 positions with the
 exactly if their tally of shared positional bytes reaches the minimum; a pair that shares more meets more often, and counts in the first of its lists
 only. Pairs that pass the tally are verified by their Hamming distance.
 
-Equal fingerprints are one node. A list emits a spanning forest of its links, not its pairs, which keeps every component. Lists beyond BLOCK nodes
-are split into blocks, and pairs of blocks are dealt to tasks of their own, so no list of any size is held in one task or left out: the task that
-a long list comes to only cuts it up, 16 bytes for each node, and compares nothing.
+Equal fingerprints are one node. A list emits a spanning forest of its links, not its pairs, which keeps every component. The task that a list beyond
+BLOCK nodes comes to only passes it on, 16 bytes for each node, and compares nothing. Such lists are joined as groups of many blocks (see linking):
+of near copies, a few nodes reach nearly all. A list whose nodes aren't linked would meet in all pairs of blocks; it is cut into finer lists by the
+bits that it doesn't share instead, again and again while it is long, so each of its nodes costs a few rows more and none is left out.
 
 Nulls and edge cases: a null or empty text, or one of white space alone, has fingerprint zero and is linked like any other; repeated rows are one
 node; a null doc_id never is a component's id unless all of its doc_ids are null; an empty table gives no rows.
@@ -24,8 +25,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, by_batch, free_name, prepare, stored, table, text_of
+from .common import arrow_schema, by_batch, cells, fixed, free_name, hashed, prepare, stored, table, text_of
 from .components import components
+from .linking import Kind, linked
 
 BITS = 4
 MATCHES = 8 - BITS
@@ -96,21 +98,18 @@ def postings(nodes: DataFrame) -> DataFrame:
     return by_batch(nodes.select("fp"), "key long, fp long", make)
 
 
-def forest(own: np.ndarray, others: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Edges that join all nodes of a list (or of two blocks, between which alone links count) that chains of links within BITS join.
+def forest(own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges that join all nodes of a list that chains of links within BITS join.
 
     Breadth first: each node is compared with those not yet reached, so what is compared shrinks as links are found.
     """
-    nodes = (own if others is None else np.concatenate([own, others])).view(np.uint64)  # bitwise_count takes the absolute value of signed ones
-    side = None if others is None else np.arange(len(nodes)) >= len(own)
+    nodes = own.view(np.uint64)  # bitwise_count takes the absolute value of signed ones
     left, queue, a, b = np.arange(len(nodes)), [], [], []
     while len(left) or queue:
         if not queue:
             queue, left = [left[0]], left[1:]
         u = queue.pop()
         near = np.bitwise_count(nodes[left] ^ nodes[u]) <= BITS
-        if side is not None:
-            near &= side[left] != side[u]
         if near.any():
             found = left[near]
             left = left[~near]
@@ -128,24 +127,79 @@ def _verified(key: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return (FIRST[shared] == key >> 32) & (np.bitwise_count(diff.view(np.uint64)) <= BITS)
 
 
+class Fingerprints(Kind):
+    """Bodies are a fingerprint and the bits that its list shares, 8 bytes each; linked within BITS."""
+
+    @staticmethod
+    def load(column):
+        return fixed(column, 16)[:, :8].copy().view("<u8")[:, 0]
+
+    def near(self, body, among):
+        return np.bitwise_count(self.bodies[among] ^ body) <= BITS
+
+
+def finer(members: DataFrame) -> DataFrame:
+    """Members of lists (key, node, body) in lists of which every linked pair shares one.
+
+    The bits that a list doesn't share are cut into BITS + 1 parts. Two fingerprints that differ in at most BITS bits are equal in one of these: a new list is
+    of an old one, a part and its value, and shares that part's bits, too. Of distinct fingerprints a list that shares 52 bits holds 4096 at most, so
+    cutting ends.
+    """
+
+    def make():
+        def work(batch: pa.RecordBatch) -> dict:
+            key, node = (batch.column(k).to_numpy().view(np.uint64) for k in (0, 1))
+            own = fixed(batch.column(2), 16).copy().view("<u8")
+            shared, at, parts = own[:, 1], np.arange(len(key)), []
+            # the number of each bit among those that aren't shared, and how many these are
+            bits = np.arange(64, dtype=np.uint64)
+            free = (shared[:, None] >> bits & np.uint64(1)) == 0
+            place, total = np.cumsum(free, 1) - 1, free.sum(1)
+            for part in range(BITS + 1):
+                inside = free & (place * (BITS + 1) // np.maximum(total, 1)[:, None] == part)
+                mask = (inside.astype(np.uint64) << bits).sum(1, dtype=np.uint64)
+                parts.append((hashed(hashed(key ^ np.uint64(part + 1)) ^ (own[:, 0] & mask)), at, shared | mask))
+            keys, at, masks = (np.concatenate(x) for x in zip(*parts, strict=True))
+            return {"key": keys.view(np.int64), "node": node[at].view(np.int64), "body": cells(np.stack([own[at, 0], masks], 1))}
+
+        return work
+
+    return by_batch(members.select("key", "node", "body"), "key long, node long, body binary", make)
+
+
+def _listed(long: DataFrame) -> DataFrame:
+    """Members (key, node, body) of posting lists (key, fp)."""
+
+    def make():
+        masks = np.array([sum(0xFF << (8 * p) for p in choice) for choice in CHOICES], np.uint64)
+
+        def work(batch: pa.RecordBatch) -> dict:
+            key, fp = (batch.column(k).to_numpy() for k in (0, 1))
+            return {"key": key, "node": fp, "body": cells(np.stack([fp.view(np.uint64), masks[key >> 32]], 1))}
+
+        return work
+
+    return by_batch(long.select("key", "fp"), "key long, node long, body binary", make)
+
+
 def links(nodes: DataFrame) -> DataFrame:
     """nodes (fp, distinct) -> edges (a, b), signed fingerprints: a spanning forest of each posting list."""
     prepare(nodes.sparkSession)
-    ddl = "a long, b long, key long, block long"
+    ddl, most = "a long, b long, key long", BLOCK
     schema = arrow_schema(ddl)
 
-    def rows(a, b, key=None, block=None) -> pa.RecordBatch:
+    def rows(a, b, key=None) -> pa.RecordBatch:
         n = len(a)
         none = pa.nulls(n, pa.int64())
-        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), none if b is None else pa.array(b, pa.int64()), none if key is None else pa.array(np.full(n, key), pa.int64()), none if block is None else pa.array(block, pa.int64())], schema=schema)
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), none if b is None else pa.array(b, pa.int64()), none if key is None else pa.array(np.full(n, key), pa.int64())], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, rest, done = None, np.zeros(0, np.int64), 0  # of the list that a batch's end cut: its key, nodes held, nodes sent on as blocks
+        last, rest, long = None, np.zeros(0, np.int64), False  # of the list that a batch's end cut: its key, nodes held, whether nodes were sent on
 
-        def closed(key: int, fp: np.ndarray, sent: int) -> Iterator[pa.RecordBatch]:
+        def closed(key: int, fp: np.ndarray, sent: bool) -> Iterator[pa.RecordBatch]:
             if sent:
                 if len(fp):
-                    yield rows(fp, None, key, sent // BLOCK + np.arange(len(fp)) // BLOCK)
+                    yield rows(fp, None, key)
             elif len(fp) > 1:
                 a, b = forest(fp)
                 if len(a):
@@ -158,8 +212,8 @@ def links(nodes: DataFrame) -> DataFrame:
                     n = int(np.searchsorted(key, last, "right"))
                     rest, key, fp = np.concatenate([rest, fp[:n]]), key[n:], fp[n:]
                 if len(key):
-                    yield from closed(last, rest, done)
-                    last, rest, done = None, rest[:0], 0
+                    yield from closed(last, rest, long)
+                    last, rest, long = None, rest[:0], False
             if len(key):
                 at = int(np.searchsorted(key, key[-1], "left"))
                 last, rest, key, fp = int(key[-1]), fp[at:], key[:at], fp[:at]
@@ -170,44 +224,18 @@ def links(nodes: DataFrame) -> DataFrame:
                 if good.any():
                     yield rows(fp[two[good]], fp[two[good] + 1])
                 for s, n in zip(starts[sizes > 2], sizes[sizes > 2], strict=True):
-                    yield from closed(int(key[s]), fp[s : s + n], 0)
-            while len(rest) > BLOCK:
-                yield rows(rest[:BLOCK], None, last, np.full(BLOCK, done // BLOCK))
-                rest, done = rest[BLOCK:], done + BLOCK
+                    yield from closed(int(key[s]), fp[s : s + n], False)
+            if len(rest) > most or long and len(rest):
+                yield rows(rest, None, last)
+                rest, long = rest[:0], True
         if last is not None:
-            yield from closed(last, rest, done)
+            yield from closed(last, rest, long)
 
     found = stored(postings(nodes).repartition("key").sortWithinPartitions("key", "fp").mapInArrow(run, ddl), "links")
-    blocks = found.where("key is not null").select("key", "block", F.col("a").alias("fp"))
-    edges = found.where("key is null").select("a", "b")
-    if blocks.isEmpty():
+    edges, long = found.where("key is null").select("a", "b"), found.where("key is not null").select("key", F.col("a").alias("fp"))
+    if long.isEmpty():
         return edges
-
-    def between(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict = {}
-        now = None
-
-        def closed() -> Iterator[pa.RecordBatch]:
-            parts = [np.array(held[k], np.int64) for k in sorted(held)]
-            a, b = forest(parts[0]) if now[1] == now[2] else forest(*parts) if len(parts) == 2 else ([], [])
-            if len(a):
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-
-        for batch in batches:
-            for key, i, j, block, fp in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if (key, i, j) != now:
-                    if now:
-                        yield from closed()
-                    now, held = (key, i, j), {}
-                held.setdefault(block, []).append(fp)
-        if now:
-            yield from closed()
-
-    count = blocks.groupBy("key").agg((F.max("block") + 1).alias("n"))
-    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("other")
-    pairs = blocks.join(count, "key").select("key", "block", "fp", other).select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "fp")
-    split = pairs.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "block").mapInArrow(between, "a long, b long")
-    return edges.unionAll(split)
+    return edges.unionAll(linked(stored(_listed(long), "long-lists"), Fingerprints, BLOCK, 64 << 20, finer))
 
 
 def grouped(docs: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ states of the lanes: a checkpoint from which the block is decoded without any ot
 of a Parquet table (columns of SEGMENT), so Spark commits them atomically and any store that Spark reads will do; they decode in parallel.
 
 Nulls and edge cases: a null text is the empty text, whose only id is the end id; a null doc_id sorts first; repeated rows are coded as often as
-they occur (equal doc_ids in order of their ids); an empty table gives an empty table of segments; extra columns are left out.
+they occur (equal doc_ids by their texts' first 64 characters, then a hash); an empty table gives an empty table of segments; extra columns are left out.
 """
 
 from __future__ import annotations
@@ -149,7 +149,8 @@ def decode_segment(symbols: bytes, frequencies: bytes, blocks: list[bytes], chec
 def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0) -> None:
     """Encodes docs (doc_id, text) in ascending doc_id order into the Parquet table at path.
 
-    Rows are dealt by ranges of doc_id, so each task holds a run of documents; within a task memory is bounded by one segment and one document.
+    Rows are dealt by ranges of doc_id, the text's start and hash, and the row's place in docs, so each task holds a run of documents and no doc_id, nor a
+    repeated row, is too frequent for it; within a task memory is bounded by one segment and one document.
     """
     prepare(docs.sparkSession)
     schema = arrow_schema(SEGMENT)
@@ -186,7 +187,10 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
             yield flush()
 
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_of(docs).alias("text"))
-    rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(run, SEGMENT).write.parquet(path)
+    order = ["doc_id", "_start", "_hash"]
+    keyed = rows.withColumns({"_start": F.substring("text", 1, 64), "_hash": F.xxhash64("text"), "_row": F.monotonically_increasing_id()})  # equal rows needn't lie in one range
+    dealt = keyed.repartitionByRange(*order, "_row").sortWithinPartitions(*order)
+    dealt.select("doc_id", "text").mapInArrow(run, SEGMENT).write.parquet(path)
 
 
 def read_token_files(spark: SparkSession, path: str, digest: bool = False) -> DataFrame:

@@ -252,3 +252,81 @@ def test_links_of_a_chain_and_a_star(spark):
     assert all(near(sets[e.a], sets[e.b]) for e in edges.collect())
     assert not near(star[1].tolist(), star[2].tolist()) or not near(star[1].tolist(), star[9].tolist())
     assert {r.node: r.root for r in components(edges).collect()} == {1000 * g + k: 1000 * g for g in (1, 2) for k in range(1, 61 if g == 2 else 60)}
+
+
+# ---- long lists of operator 9, hot ids of operator 10
+
+
+@pytest.mark.parametrize("spread", [0, 40])
+def test_long_lists_cost_rows_in_proportion(spark, monkeypatch, spread):
+    """20,000 fingerprints of which all share four bytes: near copies of one, or unlinked ones; blocks of 256."""
+    from pyspark.sql import DataFrame
+
+    from fathomline.llm import simhash
+    from fathomline.llm.components import components
+
+    monkeypatch.setattr(simhash, "BLOCK", 256)
+    r = random.Random(6)
+    values = set()
+    while len(values) < 20_000:
+        v = 0x12345678
+        for b in r.sample(range(32, 64), 3) if not spread else [k for k in range(32, 64) if r.random() < 0.5]:
+            v ^= 1 << b
+        values.add(v)
+        if not spread and len(values) > 4500:  # 32 over 3 is 4960
+            break
+    made = []
+    real = linking.stored
+
+    def stored(df: DataFrame, name: str):
+        out = real(df, name)
+        made.append((name, out.count()))
+        return out
+
+    monkeypatch.setattr(linking, "stored", stored)
+    nodes = spark.createDataFrame([(int(np.uint64(v).astype(np.int64)),) for v in sorted(values)], "fp long").repartition(4)
+    monkeypatch.setattr(simhash, "CHOICES", simhash.CHOICES[:1])  # the list of the four bytes that they share
+    monkeypatch.setattr(simhash, "postings", lambda n: n.select(F.lit(0).cast("long").alias("key"), "fp"))
+    edges = simhash.links(nodes)
+    found = {x.node: x.root for x in components(edges).collect()}
+    x = np.array(sorted(values), np.uint64)
+    roots = np.arange(len(x))
+
+    def find(k):
+        while roots[k] != k:
+            roots[k] = roots[roots[k]]
+            k = roots[k]
+        return k
+
+    for k, v in enumerate(x):
+        if spread:
+            near = np.flatnonzero(np.bitwise_count(x[k + 1 :] ^ v) <= 4) + k + 1
+            for j in near:
+                roots[find(int(j))] = find(k)
+    want = {}
+    for k, v in enumerate(x):
+        want.setdefault(find(k), []).append(int(np.int64(v)))
+    if not spread:
+        assert len(set(found.values())) == 1 and len(found) == len(values) - 1
+    else:
+        assert {a: b for a, b in found.items() if a != b} == {v: min(g) for g in want.values() for v in g if v != min(g)}
+    assert max(n for name, n in made if name in ("links", "groups", "finer-groups")) <= 12 * len(values), made
+
+
+def test_one_doc_id_fills_many_ranges(spark, tmp_path):
+    import public_tokenizers
+
+    from fathomline.llm import token_files
+
+    bpe = public_tokenizers.path("byte_bpe_50k.json")
+    rows = spark.range(3000).select(F.lit(7).cast("long").alias("doc_id"), F.concat(F.lit("same start of a text that is longer than sixty-four characters are, and "), F.when(F.col("id") < 1500, 0).otherwise(F.col("id"))).alias("text"))
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        token_files.write_token_files(rows.repartition(3), str(tmp_path / "t"), bpe)
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+    parts = {r["part"]: r["n"] for r in spark.read.parquet(str(tmp_path / "t")).groupBy("part").agg(F.sum(F.size("doc_ids")).alias("n")).collect()}
+    assert len(parts) == 4 and max(parts.values()) < 1500 and sum(parts.values()) == 3000
+    got = sorted((r["start"], r["n_tokens"]) for r in token_files.read_token_files(spark, str(tmp_path / "t")).collect())
+    assert [a for a, _ in got] == list(itertools.accumulate([n for _, n in got[:-1]], initial=0))
