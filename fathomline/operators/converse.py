@@ -165,8 +165,10 @@ def follow_ups(answers: DataFrame, clicks: DataFrame, offers: DataFrame, session
     answers: session_id, turn, scheme, topic, is_error; clicks: session_id, turn, question.
     """
     now = answers.where("not is_error").groupBy(session).agg(F.max_by(F.struct("scheme", "topic"), "turn").alias("now")).select(session, "now.scheme", F.col("now.topic").alias("_topic"))
-    since = clicks.alias("c").join(answers.where("not is_error").alias("a"), (F.col(f"c.{session}") == F.col(f"a.{session}")) & (F.col("a.turn") >= F.col("c.turn")), "left")
-    hidden = since.groupBy(F.col(f"c.{session}").alias(session), F.col("c.question").alias("question"), F.col("c.turn").alias("turn")).agg(F.count("a.turn").alias("n")).where(F.col("n") < cooldown).select(session, "question").distinct()
+    # clicks and answers of a session in one order, answers behind the clicks of their turn: a click's answers are those from it to the end
+    both = answers.where("not is_error").select(session, "turn", F.lit(None).cast("string").alias("question"), F.lit(1).alias("_answer")).unionByName(clicks.select(session, "turn", "question", F.lit(0).alias("_answer")))
+    onward = Window.partitionBy(session).orderBy("turn", "_answer").rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    hidden = both.withColumn("_n", F.sum("_answer").over(onward)).where((F.col("_answer") == 0) & (F.col("_n") < cooldown)).select(session, "question").distinct()
     open_ = now.join(offers, "scheme").where(~F.col("topic").eqNullSafe(F.col("_topic"))).join(hidden, [session, "question"], "left_anti")
     return open_.withColumn("place", F.row_number().over(Window.partitionBy(session).orderBy("position"))).where(F.col("place") <= n).drop("_topic")
 

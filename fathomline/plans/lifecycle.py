@@ -101,14 +101,42 @@ def search(queries: DataFrame, chunks: DataFrame, as_of: Column, k: int = 5, emb
     return hits.select("query_id", "rank", "chunk_id", preview(F.col("chunk_text")).alias("preview"), F.round("similarity", 4).alias("similarity"), "rerank_score", "scheme", "topic", "page_number"), refused
 
 
-def answer_turns(turns: DataFrame, chunks: DataFrame, as_of: Column, answerer=None, embed=retrieve.hashed_embedding, refused: list[str] = I.REFUSED) -> DataFrame:
-    """turns (query_id, session_id, turn, question, remembered) -> a response for each.
+def answer_turns(turns: DataFrame, chunks: DataFrame, as_of: Column, answerer=None, embed=retrieve.hashed_embedding, refused: list[str] = I.REFUSED, ts: str | None = None, ttl: int = converse.TTL_S) -> DataFrame:
+    """turns (query_id, session_id, turn, question) -> a response for each, with whether it refreshed its session's memory.
+
+    What a turn without a scheme of its own takes over depends on which turns before it refreshed the memory, and that on their answers. So turns are answered
+    in rounds: those whose scheme is the same whether all unanswered turns of their session refresh the memory or none does. First these are the turns with a
+    scheme, or no use for one, or none before them; then what hangs on those. Without a time that is all, as a turn that takes a scheme over leaves
+    the memory what it was; with one (ts, ttl seconds) it may live longer by it, and a session may take more rounds, one turn of it in each at least.
+    Each round is a search of its own turns, and its responses are written before the next. A column `remembered` of turns isn't looked at.
 
-    remembered says which turns refreshed their session (with full fidelity that depends on the answers themselves: see streaming.session).
     answerer: context and question columns -> answer column, or struct(answer, error) as of converse.generated; by default the first evidence's text. A turn
     whose answerer failed has refusal_type ERROR, no answer and doesn't refresh its session.
     """
-    got = stored(converse.carried(classified(turns), wants=F.col("intent") == "AMBIGUOUS"), "turns")
+    asked = stored(classified(turns.drop("remembered")).withColumn("_wants", F.col("intent").isin(CARRYING)), "turns")
+    columns = [c for c in asked.columns if c != "_wants"]
+    done: DataFrame | None = None
+    while True:
+        known = asked.withColumn("_r", F.lit(None).cast("boolean")) if done is None else asked.join(done.select("query_id", F.col("remembered").alias("_r")), "query_id", "left")
+        both = known.withColumns({"_least": F.coalesce("_r", F.lit(False)), "_most": F.coalesce("_r", F.lit(True))})
+        wants = F.col("_wants")
+        for name in ("_least", "_most"):
+            both = converse.carried(both, ts=ts, ttl=ttl, remembered=name, wants=wants).withColumnRenamed("scheme_used", f"{name}_used")
+        ready = both.where(F.col("_r").isNull() & F.col("_least_used").eqNullSafe(F.col("_most_used"))).select(*columns, F.col("_least_used").alias("scheme_used"))
+        ready = stored(ready, "ready")
+        if ready.isEmpty():
+            break
+        now = stored(_answered(ready, chunks, as_of, answerer, embed, refused), "answered")
+        done = now if done is None else done.unionAll(now)
+    return done if done is not None else _answered(ready, chunks, as_of, answerer, embed, refused)
+
+
+#: Intents that take the scheme of the session's memory.
+CARRYING = ["FACTUAL_SCHEME", "AMBIGUOUS"]
+
+
+def _answered(got: DataFrame, chunks: DataFrame, as_of: Column, answerer, embed, refused: list[str]) -> DataFrame:
+    """Classified turns with scheme_used -> their responses."""
     mine = F.col("hard") | F.col("intent").isin(refused)
     live = got.where(~mine)
     q = squeeze(F.col("question"))

@@ -18,6 +18,7 @@ from .functions import text as X
 from .operators import converse, corpus, evaluate, rerank, retrieve
 from .sources import files
 from .sources.shared import scratch
+from .streaming import session
 
 TOPICS = {"english": ["the", "that", "with"], "french": ["de", "la", "les"], "german": ["der", "die", "und"], "license": ["license", "licensed"]}
 SCHEMES = {"Alpha": ["licensed", "copyright"], "Beta": ["the "], "Gamma": ["de la", "des "], "Delta": ["und "]}
@@ -330,7 +331,7 @@ def _rx(pattern: str) -> str:
 
 
 #: A question of the list, what a user gives away, and the turn's own text, for every user turn.
-_ASK = f"SELECT conv_id * 1000 + turn AS id, {_pick(QUESTIONS, 'conv_id + turn')} || ' ' || {_pick(['', '', '', *GIVEN], 'conv_id * 7 + turn')} || ' ' || substr(text, 1, 200) AS q FROM conversations WHERE role = 'user'"
+_ASK = f"SELECT conv_id * 1000 + turn AS id, {_pick(QUESTIONS, 'conv_id + turn')} || ' ' || {_pick(['', '', '', *GIVEN], 'conv_id * 7 + turn')} || ' ' || text AS q FROM conversations WHERE role = 'user'"
 
 
 BRAND_HINTS = ["upi", "folio number?"]
@@ -360,7 +361,7 @@ SELECT id, topic, scheme, CASE WHEN hard THEN 'PII_ACCOUNT' WHEN {_rx(R.MARKET_T
 def _questions(spark: SparkSession, d: str) -> DataFrame:
     turns, n = table(spark, d, "conversations").where("role = 'user'"), F.col("conv_id") + F.col("turn")
     given = _choice(["", "", "", *GIVEN], F.col("conv_id") * 7 + F.col("turn"))
-    return turns.select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.concat(_choice(QUESTIONS, n), F.lit(" "), given, F.lit(" "), F.substring("text", 1, 200)).alias("question"))
+    return turns.select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.concat(_choice(QUESTIONS, n), F.lit(" "), given, F.lit(" "), F.col("text")).alias("question"))
 
 
 def _classified(spark: SparkSession, d: str) -> DataFrame:
@@ -618,17 +619,49 @@ def rate_limit(spark, d):
     return converse.admitted(table(spark, d, "events"), "event_type", "ts", "event_id", 2).select("event_id", "admitted")
 
 
-@query("""WITH a AS (SELECT conv_id, turn, CASE WHEN length(text) > 300 THEN 'long' ELSE 'short' END AS topic FROM conversations WHERE role = 'assistant'), c AS (SELECT conv_id, turn, 'q' || (length(text) % 5) AS question FROM conversations WHERE role = 'user'),
-o(position, topic, question) AS (VALUES (1, 'long', 'q0'), (2, 'short', 'q1'), (3, 'other', 'q2'), (4, 'long', 'q3'), (5, 'other', 'q4')), n AS (SELECT conv_id, arg_max(topic, turn) AS topic FROM a GROUP BY 1),
-h AS (SELECT DISTINCT conv_id, question FROM (SELECT c.conv_id, c.question, c.turn, count(a.turn) AS n FROM c LEFT JOIN a ON a.conv_id = c.conv_id AND a.turn >= c.turn GROUP BY ALL) WHERE n < 5),
-r AS (SELECT n.conv_id, o.question, row_number() OVER (PARTITION BY n.conv_id ORDER BY position) AS place FROM n, o WHERE o.topic <> n.topic AND NOT EXISTS (SELECT 1 FROM h WHERE h.conv_id = n.conv_id AND h.question = o.question))
+@query(ORACLES["session_ttl"])
+def session_ttl_stream(spark, d):
+    """The same by a stream of events that arrive in three parts, none in the order of time."""
+    e = table(spark, d, "events").select(F.col("user_id").cast("string").alias("session_id"), F.col("event_id").alias("turn"), F.col("ts").cast("timestamp").alias("ts"), F.when(F.col("value") > 50, F.col("event_type")).alias("scheme"), (F.col("event_type") != "view").alias("remembered"))
+    out = _streamed(e, "turn", lambda s: session.remembered_in_order(s, 86400, "60 days"))
+    return out.select(F.col("turn").alias("event_id"), "scheme_used")
+
+
+@query(ORACLES["rate_limit"])
+def rate_limit_stream(spark, d):
+    e = table(spark, d, "events").select(F.col("event_type").alias("client"), F.col("event_id").alias("request"), F.col("ts").cast("timestamp").alias("ts"))
+    out = _streamed(e, "request", lambda s: session.admitted_stream(s, 2, "60 days"))
+    return out.select(F.col("request").alias("event_id"), "admitted")
+
+
+def _streamed(rows: DataFrame, key: str, operator) -> DataFrame:
+    """What a stream operator makes of rows, dealt to three batches by key, and of a last row in a far future that moves the watermark past them (and is left out)."""
+    spark, source, target = rows.sparkSession, scratch(rows.sparkSession, "arrivals"), scratch(rows.sparkSession, "stream")
+    for k in range(3):
+        rows.where(F.pmod(F.xxhash64(key), F.lit(3)) == k).write.mode("append").parquet(source)
+    files = len(spark.read.schema(rows.schema).parquet(source).inputFiles())
+    end = rows.limit(1).withColumns({"ts": F.lit("2100-01-01").cast("timestamp"), key: F.lit(-1).cast("long")})
+    end.write.mode("append").parquet(source)
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", max(1, files // 3)).parquet(source)
+    running = operator(stream).writeStream.format("parquet").option("path", target).option("checkpointLocation", f"{target}-log").trigger(availableNow=True).start()
+    running.awaitTermination()
+    return spark.read.parquet(target).where(F.col(key) >= 0)
+
+
+@query("""WITH a AS (SELECT conv_id, turn, 's' || length(text) % 2 AS scheme, CASE WHEN length(text) > 300 THEN 'long' ELSE 'short' END AS topic FROM conversations WHERE role = 'assistant' AND length(text) % 7 <> 0), c AS (SELECT conv_id, turn + s.late AS turn, 'q' || ((length(text) + s.late) % 5) AS question FROM conversations, (VALUES (0), (1), (0)) AS s(late) WHERE role = 'user'),
+o(scheme, position, topic, question) AS (SELECT * FROM (VALUES ('s0'), ('s1')) AS t(scheme), (VALUES (1, 'long', 'q0'), (2, 'short', 'q1'), (3, 'other', 'q2'), (4, 'long', 'q3'), (5, 'other', 'q4')) AS u(position, topic, question) WHERE scheme = 's0' OR position <> 3), n AS (SELECT conv_id, arg_max(scheme, turn) AS scheme, arg_max(topic, turn) AS topic FROM a GROUP BY 1),
+h AS (SELECT DISTINCT conv_id, question FROM (SELECT c.conv_id, c.question, c.turn, (SELECT count(*) FROM a WHERE a.conv_id = c.conv_id AND a.turn >= c.turn) AS n FROM c) WHERE n < 3),
+r AS (SELECT n.conv_id, o.question, row_number() OVER (PARTITION BY n.conv_id ORDER BY position) AS place FROM n JOIN o USING (scheme) WHERE o.topic <> n.topic AND NOT EXISTS (SELECT 1 FROM h WHERE h.conv_id = n.conv_id AND h.question = o.question))
 SELECT * FROM r WHERE place <= 3""")
 def follow_ups(spark, d):
-    c = table(spark, d, "conversations").withColumn("session_id", F.col("conv_id"))
-    answers = c.where("role = 'assistant'").select("session_id", "turn", F.lit("s").alias("scheme"), F.when(F.length("text") > 300, "long").otherwise("short").alias("topic"), F.lit(False).alias("is_error"))
-    clicks = c.where("role = 'user'").select("session_id", "turn", F.concat(F.lit("q"), (F.length("text") % 5).cast("string")).alias("question"))
-    offers = spark.createDataFrame([("s", 1, "long", "q0"), ("s", 2, "short", "q1"), ("s", 3, "other", "q2"), ("s", 4, "long", "q3"), ("s", 5, "other", "q4")], "scheme string, position int, topic string, question string")
-    return converse.follow_ups(answers, clicks, offers).select(F.col("session_id").alias("conv_id"), "question", F.col("place").cast("long").alias("place"))
+    """Two schemes, answers that failed, and questions clicked again."""
+    c, n = table(spark, d, "conversations").withColumn("session_id", F.col("conv_id")), F.length("text")
+    answers = c.where("role = 'assistant'").select("session_id", "turn", F.concat(F.lit("s"), n % 2).alias("scheme"), F.when(n > 300, "long").otherwise("short").alias("topic"), (n % 7 == 0).alias("is_error"))
+    late = F.explode(F.array(F.lit(0), F.lit(1), F.lit(0))).alias("late")
+    clicks = c.where("role = 'user'").select("session_id", "turn", "text", late).select("session_id", (F.col("turn") + F.col("late")).alias("turn"), F.concat(F.lit("q"), (F.length("text") + F.col("late")) % 5).alias("question"))
+    topics = [(1, "long", "q0"), (2, "short", "q1"), (3, "other", "q2"), (4, "long", "q3"), (5, "other", "q4")]
+    offers = spark.createDataFrame([(s, *t) for s in ("s0", "s1") for t in topics if s == "s0" or t[0] != 3], "scheme string, position int, topic string, question string")
+    return converse.follow_ups(answers, clicks, offers, cooldown=3).select(F.col("session_id").alias("conv_id"), "question", F.col("place").cast("long").alias("place"))
 
 
 # ---- evaluation

@@ -30,15 +30,15 @@ _FILE = "replace(source, 'src', 'The_File-') || '.v1.pdf'"
 
 
 @query(rf"""SELECT doc_id, sha256(trim(regexp_replace(text, '\s+', ' ', 'g'), ' ')) AS squeezed, CASE WHEN contains(lower(text), 'licensed') THEN text ELSE text || ' Licensed' END = scoped AS scoped_ok, stem, sha256(trim(regexp_replace(regexp_replace(said, 'https?://\S+', '', 'gi'), '\s{{2,}}', ' ', 'g'), ' ')) AS without_urls, quotes
-FROM (SELECT *, CASE WHEN contains(lower(text), 'licensed') THEN text ELSE text || ' Licensed' END AS scoped, replace(replace(regexp_replace({_FILE}, '\.[^.]*$', ''), '_', ' '), '-', ' ') || ' SID' AS stem, 'see HTTP://a.b/' || source || '  and ' || substr(text, 1, 200) AS said, translate(left(replace(text, ' ', '’'), 40), '‘’“”', '''''""') AS quotes FROM documents)""")
+FROM (SELECT *, CASE WHEN contains(lower(text), 'licensed') THEN text ELSE text || ' Licensed' END AS scoped, replace(replace(regexp_replace({_FILE}, '\.[^.]*$', ''), '_', ' '), '-', ' ') || ' SID' AS stem, 'see HTTP://a.b/' || source || '  and ' || text AS said, sha256(translate(replace(text, ' ', '’'), '‘’“”', '''''""')) AS quotes FROM documents)""")
 def text_tidy(spark, d):
     """White space, a question's scheme, a title from a file name, answers without addresses, straight quotes."""
     docs = table(spark, d, "documents")
     text = F.col("text")
-    said = F.concat(F.lit("see HTTP://a.b/"), "source", F.lit("  and "), F.substring("text", 1, 200))
+    said = F.concat(F.lit("see HTTP://a.b/"), "source", F.lit("  and "), text)
     name = F.concat(F.replace("source", F.lit("src"), F.lit("The_File-")), F.lit(".v1.pdf"))
     scoped = F.when(F.lower(text).contains("licensed"), text).otherwise(F.concat(text, F.lit(" Licensed")))
-    return docs.select("doc_id", F.sha2(X.squeeze(text), 256).alias("squeezed"), (X.scoped(text, F.lit("Licensed")) == scoped).alias("scoped_ok"), X.stem_title(name, F.lit("SID")).alias("stem"), F.sha2(X.without_urls(said), 256).alias("without_urls"), X.straight_quotes(F.left(F.replace(text, F.lit(" "), F.lit("’")), F.lit(40))).alias("quotes"))
+    return docs.select("doc_id", F.sha2(X.squeeze(text), 256).alias("squeezed"), (X.scoped(text, F.lit("Licensed")) == scoped).alias("scoped_ok"), X.stem_title(name, F.lit("SID")).alias("stem"), F.sha2(X.without_urls(said), 256).alias("without_urls"), F.sha2(X.straight_quotes(F.replace(text, F.lit(" "), F.lit("’"))), 256).alias("quotes"))
 
 
 @query(rf"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents), m AS (SELECT doc_id, n, CASE WHEN n % 7 = 0 THEN 'Page ' || n WHEN n % 7 = 1 THEN ' - ' || n || ' - ' ELSE line END AS line FROM l)
@@ -349,13 +349,13 @@ def citations(spark, d):
 # ---- search, from questions to hits
 
 _CHUNK_SCHEMES, _CHUNK_TOPICS, _ORGS, _KINDS = list(R.QUERY_SCHEMES), ["sip", "exit_load", "benchmark", "lock_in", "purchase", "expense_ratio"], list(R.ORGANIZATION_RANK), ["SID", "FAQ_DATASET", "FORM"]
-_SEARCHED = rf"SELECT doc_id AS id, {_pick(QUESTIONS, 'doc_id // 100')} || ' ' || CASE WHEN doc_id % 300 = 100 THEN 'my mail is a.b@c.co ' ELSE '' END || trim(regexp_replace(substr(text, 1, 120), '\s+', ' ', 'g'), ' ') AS q FROM documents WHERE doc_id % 100 = 0"
+_SEARCHED = rf"SELECT doc_id AS id, {_pick(QUESTIONS, 'doc_id // 100')} || ' ' || CASE WHEN doc_id % 300 = 100 THEN 'my mail is a.b@c.co ' ELSE '' END || trim(regexp_replace(text, '\s+', ' ', 'g'), ' ') AS q FROM documents WHERE doc_id % 100 = 0"
 _CLASSED = _INTENT.replace(_LISTED_BRAND, "").replace("SELECT id, topic, scheme, CASE WHEN hard", "SELECT id, q, cats, topic, scheme, CASE WHEN hard")
 _CLASSED = f"WITH v AS ({_SEARCHED}), l AS (" + _CLASSED.split("), l AS (", 1)[1]
 _BUCKETS = r"SELECT {0}, ('0x' || substr(md5(w), 1, 8))::UBIGINT % 384 AS bucket, count(*)::DOUBLE AS n FROM (SELECT {0}, unnest(list_filter(string_split_regex(lower({1}), '\s+'), lambda x: x <> '')) AS w FROM {2}) GROUP BY ALL"
 def _ranked_sql(n: int) -> str:
     """From `a` (id, q, scheme, topic, intent, expanded) to `n`: each question's hits with their final score and rank."""
-    return f"""c AS (SELECT doc_id, 'c' || doc_id AS chunk_id, 't' || doc_id AS doc_title, doc_id // 4 AS doc, substr(text, 1, 1500) AS said, CASE WHEN doc_id % 6 < 5 THEN {_pick(_CHUNK_SCHEMES, 'doc_id % 6')} END AS c_scheme, {_pick(_CHUNK_TOPICS, 'doc_id')} AS c_topic, {_pick(_ORGS, 'doc_id')} AS org, {_pick(_KINDS, 'doc_id')} AS kind, CASE WHEN doc_id % 4 <> 0 THEN DATE '2023-12-01' - (doc_id % 900)::INT END AS day, doc_id % 7 AS page FROM documents),
+    return f"""c AS (SELECT doc_id, 'c' || doc_id AS chunk_id, 't' || doc_id AS doc_title, doc_id // 4 AS doc, text AS said, CASE WHEN doc_id % 6 < 5 THEN {_pick(_CHUNK_SCHEMES, 'doc_id % 6')} END AS c_scheme, {_pick(_CHUNK_TOPICS, 'doc_id')} AS c_topic, {_pick(_ORGS, 'doc_id')} AS org, {_pick(_KINDS, 'doc_id')} AS kind, CASE WHEN doc_id % 4 <> 0 THEN DATE '2023-12-01' - (doc_id % 900)::INT END AS day, doc_id % 7 AS page FROM documents),
 qb AS ({_BUCKETS.format('id', 'expanded', 'a')}), cb AS ({_BUCKETS.format('chunk_id', 'said', 'c')}), qn AS (SELECT id, sqrt(sum(n * n)) AS norm FROM qb GROUP BY 1), cn AS (SELECT chunk_id, sqrt(sum(n * n)) AS norm FROM cb GROUP BY 1),
 dots AS (SELECT id, chunk_id, sum(qb.n * cb.n) AS dot FROM qb JOIN cb USING (bucket) GROUP BY 1, 2), sims AS (SELECT a.id, cn.chunk_id, round(coalesce(dot, 0) / qn.norm / cn.norm, 12) AS sim FROM a JOIN qn USING (id) CROSS JOIN cn LEFT JOIN dots ON dots.id = a.id AND dots.chunk_id = cn.chunk_id),
 r AS (SELECT sims.*, a.q, a.scheme, a.topic, a.intent, c.* EXCLUDE (chunk_id), row_number() OVER (PARTITION BY sims.id ORDER BY sim DESC, chunk_id) AS place, CASE WHEN scheme = c_scheme THEN row_number() OVER (PARTITION BY sims.id, scheme = c_scheme ORDER BY sim DESC, chunk_id) END AS own_place FROM sims JOIN a USING (id) JOIN c USING (chunk_id)),
@@ -377,18 +377,18 @@ def _corpus(docs: DataFrame) -> DataFrame:
     n = F.col("doc_id")
     day = F.when(n % 4 != 0, F.date_format(F.date_sub(F.lit("2023-12-01").cast("date"), (n % 900).cast("int")), "yyyy-MM-dd"))
     rows = docs.select(
-        F.concat(F.lit("c"), n).alias("chunk_id"), F.floor(n / 4).alias("document_id"), F.substring("text", 1, 1500).alias("chunk_text"), F.when(n % 6 < 5, _choice(_CHUNK_SCHEMES, n % 6)).alias("scheme"), _choice(_CHUNK_TOPICS, n).alias("topic"), (n % 7).alias("page_number"),
+        F.concat(F.lit("c"), n).alias("chunk_id"), F.floor(n / 4).alias("document_id"), F.col("text").alias("chunk_text"), F.when(n % 6 < 5, _choice(_CHUNK_SCHEMES, n % 6)).alias("scheme"), _choice(_CHUNK_TOPICS, n).alias("topic"), (n % 7).alias("page_number"),
         F.lit("section").alias("section"), F.concat(F.lit("s"), n).alias("source_id"),
         F.struct(_choice(_ORGS, n).alias("organization"), _choice(_KINDS, n).alias("document_type"), day.alias("document_date"), F.concat(F.lit("http://"), n).alias("source_url"), F.concat(F.lit("t"), n).alias("document_title")).alias("metadata"),
-        retrieve.hashed_embedding(F.substring("text", 1, 1500)).alias("embedding"),
+        retrieve.hashed_embedding(F.col("text")).alias("embedding"),
     )
     return store.stored(rows, "corpus")
 
 
 def _search(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """Every hundredth document's start behind a question, some with an address, against all documents as chunks."""
+    """Every hundredth document behind a question, some with an address, against all documents as chunks of their whole texts."""
     docs, n = table(spark, d, "documents"), F.col("doc_id")
-    asked = docs.where("doc_id % 100 = 0").select(n.alias("query_id"), F.concat(_choice(QUESTIONS, F.floor(n / 100)), F.lit(" "), F.when(n % 300 == 100, "my mail is a.b@c.co ").otherwise(""), X.squeeze(F.substring("text", 1, 120))).alias("question"))
+    asked = docs.where("doc_id % 100 = 0").select(n.alias("query_id"), F.concat(_choice(QUESTIONS, F.floor(n / 100)), F.lit(" "), F.when(n % 300 == 100, "my mail is a.b@c.co ").otherwise(""), X.squeeze(F.col("text"))).alias("question"))
     return lifecycle.search(asked, _corpus(docs), F.lit("2024-01-01").cast("date"))
 
 
@@ -403,27 +403,32 @@ def search_refused(spark, d):
     return _search(spark, d)[1].select("query_id", F.array_join("categories", ",").alias("categories"))
 
 
-_TURNS = rf"SELECT conv_id * 1000 + turn AS id, {_pick(QUESTIONS, 'conv_id + turn')} || ' ' || trim(regexp_replace(substr(text, 1, 120), '\s+', ' ', 'g'), ' ') AS q FROM conversations WHERE role = 'user'"
+_TURNS = rf"SELECT conv_id * 1000 + turn AS id, {_pick(QUESTIONS, 'conv_id + turn')} || ' ' || trim(regexp_replace(text, '\s+', ' ', 'g'), ' ') AS q FROM conversations WHERE role = 'user'"
 _ASKED = _INTENT.replace(_LISTED_BRAND, "").replace("SELECT id, topic, scheme, CASE WHEN hard", "SELECT id, q, hard, topic, scheme, CASE WHEN hard")
 _ASKED = f"WITH v AS ({_TURNS}), l AS (" + _ASKED.split("), l AS (", 1)[1]
 _REFUSED = f"(hard OR intent IN ({', '.join(map(quote, I.REFUSED))}))"
 _CLEAN = r"trim(regexp_replace(regexp_replace({0}, 'https?://\S+', '', 'gi'), '\s{{2,}}', ' ', 'g'), ' ')"
 
 
-@query(f"""WITH i AS ({_ASKED}), t AS (SELECT * REPLACE (CASE WHEN intent = 'HISTORICAL_PERFORMANCE' THEN coalesce(topic, 'performance_reported') ELSE topic END AS topic), coalesce(scheme, CASE WHEN intent = 'AMBIGUOUS' THEN last_value(CASE WHEN id % 1000 % 3 <> 0 THEN scheme END IGNORE NULLS) OVER (PARTITION BY id // 1000 ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) END) AS used FROM i),
+_DEPENDS = "intent IN ('FACTUAL_SCHEME', 'AMBIGUOUS') AND scheme IS NULL"
+
+
+# a turn without a scheme is answered for each that its session named before, and for none; which of these counts follows from what was remembered
+@query(f"""WITH i AS ({_ASKED}), x AS (SELECT * REPLACE (CASE WHEN intent = 'HISTORICAL_PERFORMANCE' THEN coalesce(topic, 'performance_reported') ELSE topic END AS topic), {_DEPENDS} AS depends FROM i),
+v AS (SELECT id, NULL::VARCHAR AS used FROM x WHERE depends UNION SELECT a.id, b.scheme FROM x a JOIN x b ON a.depends AND b.id // 1000 = a.id // 1000 AND b.id < a.id AND b.scheme IS NOT NULL UNION SELECT id, scheme FROM x WHERE NOT depends),
+t AS (SELECT x.* REPLACE (x.id * 100 + row_number() OVER (PARTITION BY x.id ORDER BY used NULLS FIRST) AS id), used FROM x JOIN v USING (id)),
 b AS (SELECT id, q AS own, used AS scheme, topic, intent, CASE WHEN used IS NULL OR contains(lower(q), lower(used)) THEN q ELSE q || ' ' || used END AS q FROM t WHERE NOT {_REFUSED}), a AS (SELECT * EXCLUDE (q, own), own AS q, {_expand_sql()} AS expanded FROM b), {_ranked_sql(48)},
 e AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY scheme IS NOT NULL AND c_scheme IS NULL, rank) AS nth FROM n WHERE rank <= 4), o AS (SELECT id, doc_id, {_CLEAN.format('said')} AS answer, page, day, doc_title FROM e WHERE nth = 1),
 y AS (SELECT id, max(sim) FILTER (rank = 1) >= 0.35 AS ok FROM n GROUP BY 1),
-z AS (SELECT t.id, t.q, hard, intent, used, topic, {_REFUSED} AS refused, coalesce(ok, false) AS ok, o.* EXCLUDE (id), {_GONE} AS gone FROM t LEFT JOIN y USING (id) LEFT JOIN o USING (id)),
-k AS (SELECT *, NOT refused AND ok AND doc_id IS NOT NULL AND NOT (coalesce(gone, false) AND intent = 'AMBIGUOUS') AS cited FROM z)
-SELECT id AS query_id, substr(sha256(lower(trim(q, ' '))), 1, 16) AS question_hash, intent, used AS scheme, topic, refused, CASE WHEN hard THEN 'PII_ACCOUNT' WHEN refused THEN intent WHEN NOT ok THEN 'NO_EVIDENCE' WHEN doc_id IS NULL THEN 'SCHEME_MISMATCH' WHEN NOT cited THEN 'NO_EVIDENCE' END AS refusal_type,
+z AS (SELECT t.id, t.q, hard, intent, depends, used, topic, {_REFUSED} AS refused, coalesce(ok, false) AS ok, o.* EXCLUDE (id), {_GONE} AS gone FROM t LEFT JOIN y USING (id) LEFT JOIN o USING (id)),
+k AS (SELECT *, NOT refused AND ok AND doc_id IS NOT NULL AND NOT (coalesce(gone, false) AND intent = 'AMBIGUOUS') AS cited FROM z),
+mem AS (SELECT a.id, arg_max(b.used, b.id) AS held FROM k a JOIN k b ON a.depends AND NOT b.depends AND b.id // 100000 = a.id // 100000 AND b.id < a.id AND (b.refused OR b.cited) AND b.used IS NOT NULL GROUP BY a.id)
+SELECT id // 100 AS query_id, substr(sha256(lower(trim(q, ' '))), 1, 16) AS question_hash, intent, used AS scheme, topic, refused, CASE WHEN hard THEN 'PII_ACCOUNT' WHEN refused THEN intent WHEN NOT ok THEN 'NO_EVIDENCE' WHEN doc_id IS NULL THEN 'SCHEME_MISMATCH' WHEN NOT cited THEN 'NO_EVIDENCE' END AS refusal_type,
 CASE WHEN NOT refused AND ok THEN sha256(answer) END AS answer_sha256, CASE WHEN cited THEN doc_title END AS title, CASE WHEN cited THEN 'http://' || doc_id END AS url, CASE WHEN cited THEN page END AS page, CASE WHEN cited THEN 's' || doc_id END AS source_id,
-CASE WHEN cited THEN CASE WHEN day IS NULL THEN 'recently updated' ELSE strftime(day, '%B %Y') END END AS last_updated, refused OR cited AS remembered FROM k""")
+CASE WHEN cited THEN CASE WHEN day IS NULL THEN 'recently updated' ELSE strftime(day, '%B %Y') END END AS last_updated, refused OR cited AS remembered FROM k LEFT JOIN mem USING (id) WHERE NOT depends OR used IS NOT DISTINCT FROM held""")
 def answered_turns(spark, d):
-    """Sessions of questions from classification to cited answers: carried schemes, refusals, search, gate, evidence, outcome."""
+    """Sessions of whole user turns from classification to cited answers: schemes carried from turns that were answered or refused, search, gate, evidence, outcome."""
     turn, conv = F.col("turn"), F.col("conv_id")
-    asked = table(spark, d, "conversations").where("role = 'user'").select(
-        (conv * 1000 + turn).alias("query_id"), conv.alias("session_id"), turn, F.concat_ws(" ", _choice(QUESTIONS, conv + turn), X.squeeze(F.substring("text", 1, 120))).alias("question"), (turn % 3 != 0).alias("remembered")
-    )
+    asked = table(spark, d, "conversations").where("role = 'user'").select((conv * 1000 + turn).alias("query_id"), conv.alias("session_id"), turn, F.concat_ws(" ", _choice(QUESTIONS, conv + turn), X.squeeze(F.col("text"))).alias("question"))
     out = lifecycle.answer_turns(asked, _corpus(table(spark, d, "documents")), F.lit("2024-01-01").cast("date"))
     return out.select("query_id", "question_hash", "intent", "scheme", "topic", "refused", "refusal_type", F.sha2("answer", 256).alias("answer_sha256"), "citation.title", "citation.url", "citation.page", "citation.source_id", "last_updated", "remembered")

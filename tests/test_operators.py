@@ -243,6 +243,46 @@ def test_titles_and_urls(spark):
     assert sorted(r["source_url"] for r in files.with_urls(docs, lookup, {"o": "uo", "t": "ut"}).collect()) == ["", "uo", "us", "ut"]
 
 
+def test_turns_follow_their_answers(spark):
+    """Against each session answered turn by turn: refusals and answers refresh the memory, turns without evidence don't, and it ends with its time."""
+    import random
+
+    r = random.Random(3)
+    page = "Exit Load\nThe exit load of the flexi cap fund is one percent within one year of allotment of units.\nBenchmark\nThe benchmark of the flexi cap fund is the broad market index of five hundred stocks."
+    pages = spark.createDataFrame([(1, 1, page, False), (2, 1, page.replace("flexi cap", "small cap"), False)], "doc_id int, page int, text string, is_table boolean")
+    manifest = spark.createDataFrame([(k, f"{k}.pdf", "", "House", "SID", "2023-12-01", f"http://u{k}", "") for k in (1, 2)], "doc_id int, file_name string, scheme string, organization string, document_type string, document_date string, source_url string, source_id string")
+    chunks = lifecycle.build_chunks(pages, manifest)
+    chunks.write.mode("overwrite").saveAsTable("turn_chunks")
+    chunks = spark.table("turn_chunks")
+    said = ["What is the exit load of the flexi cap fund", "What is the benchmark of the small cap fund", "What is the exit load", "What is the benchmark", "Should I invest in the small cap fund", "Should I invest", "of the flexi cap fund " + " ".join(f"w{k}" for k in range(90)), "hello there xyzzy"]
+    rows = [(100 * s + k, f"s{s}", k, r.choice(said), datetime.datetime(2024, 1, 1) + datetime.timedelta(seconds=k * r.choice([5, 9]) * 100)) for s in range(14) for k in range(7)]
+    rows = [(*x[:4], x[4] + datetime.timedelta(seconds=x[2])) for x in rows]
+    turns_ = spark.createDataFrame(rows, "query_id long, session_id string, turn long, question string, ts timestamp")
+    schemes = ["HDFC FlexiCap Fund", "HDFC Small Cap Fund", None]
+    variants = spark.createDataFrame([(10 * k + j, q, s) for k, q in enumerate(said) for j, s in enumerate(schemes)], "query_id long, question string, scheme_used string").withColumns({"session_id": F.lit("v"), "turn": F.lit(0)})
+    got = lifecycle.classified(variants.drop("scheme_used")).join(variants.select("query_id", "scheme_used"), "query_id")
+    named = {x["question"]: (x["scheme"], x["intent"]) for x in got.collect()}
+    assert {s for s, _ in named.values()} == set(schemes)
+    answers = {x["query_id"]: x for x in lifecycle._answered(got, chunks, as_of(), None, retrieve.hashed_embedding, lifecycle.I.REFUSED).collect()}
+    for ts, ttl in ((None, None), ("ts", 1000)):
+        want, cold = {}, 0
+        for s in range(14):
+            scheme, last = None, None
+            for q, _, k, question, when in sorted((x for x in rows if x[1] == f"s{s}"), key=lambda x: (x[4] if ts else 0, x[2])):
+                if ts and last is not None and (when - last).total_seconds() > ttl:
+                    scheme, last = None, None
+                own, intent = named[question]
+                used = own or (scheme if intent in lifecycle.CARRYING else None)
+                a = answers[10 * said.index(question) + schemes.index(used)]
+                want[q] = (used, a["refused"], a["refusal_type"], a["remembered"], a["answer"])
+                cold += bool(own) and not a["remembered"]
+                if a["remembered"]:
+                    scheme, last = used or scheme, when
+        found = lifecycle.answer_turns(turns_, chunks, as_of(), ts=ts, **({"ttl": ttl} if ttl else {})).collect()
+        assert {x["query_id"]: (x["scheme"], x["refused"], x["refusal_type"], x["remembered"], x["answer"]) for x in found} == want
+        assert cold and {x[2] for x in want.values()} >= {None, "NO_EVIDENCE", "ADVICE"} or ts
+
+
 def test_lifecycle(spark):
     pages = spark.createDataFrame([(1, 1, "Exit Load\nThe exit load of the flexi cap fund is one percent within one year of allotment of units.\nBenchmark\nThe benchmark of the flexi cap fund is the broad market index of five hundred stocks.", False)], "doc_id int, page int, text string, is_table boolean")
     manifest = spark.createDataFrame([(1, "sid.pdf", "HDFC FlexiCap Fund", "HDFC Mutual Fund", "SID", "2023-12-01", "http://u", "")], "doc_id int, file_name string, scheme string, organization string, document_type string, document_date string, source_url string, source_id string")
