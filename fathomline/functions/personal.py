@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .rules import contains_any
+
 # Patterns in the order in which categories are reported, and phrases of account requests.
 PAN = r"\b[A-Z]{5}[0-9]{4}[A-Z]\b"
 AADHAAR = r"\b\d{4}[\s-]?\d{4}[\s-]?\d{4}\b"
@@ -31,16 +33,25 @@ def rule_categories(c: Column, rules: dict[str, str]) -> Column:
 
 
 def categories(c: Column) -> Column:
-    """What a question gives away, in fixed order. Twelve digits are an identity number unless they belong to a card's. The text is evaluated once a row."""
+    """What a question gives away, in fixed order. Twelve digits are an identity number unless they belong to a card's. The text is evaluated once a row.
 
-    def found(x: Column) -> Column:
-        t = x["text"]
-        request = F.regexp_like(t, F.lit(ACCOUNT_NOUN)) | F.exists(F.array(*map(F.lit, ACCOUNT_PHRASES)), lambda p: x["low"].contains(p))
-        identity = F.regexp_like(t, F.lit(AADHAAR_WORD)) | (F.regexp_like(x["bare"], F.lit(AADHAAR)) & ~F.regexp_like(t, F.lit(CARD)))
-        rules = [("pan", PAN), ("aadhaar", identity), ("otp", OTP), ("email", EMAIL), ("phone", PHONE), ("bank_account", BANK_ACCOUNT), ("folio", FOLIO), ("credential", CREDENTIAL), ("account_request", request)]
-        return F.array_compact(F.array(*(F.when(F.regexp_like(t, F.lit(rule)) if isinstance(rule, str) else rule, name) for name, rule in rules)))
+    An expression runs only over texts with something that it can't match without: a plain search, or one joint test of digits, comes before it.
+    """
 
-    once = F.array(F.struct(c.alias("text"), F.lower(c).alias("low"), F.regexp_replace(c, "[A-Za-z]", "").alias("bare")))
+    def found(x: Column) -> Column:
+        t, low, digits = x["text"], x["low"], x["digits"]
+        has = lambda *words: contains_any(low, list(words))
+        like = lambda hint, pattern: hint & F.regexp_like(t, F.lit(pattern))
+        request = F.exists(F.array(*map(F.lit, ACCOUNT_PHRASES)), lambda p: low.contains(p)) | like(has("balance", "holdings", "portfolio", "statement", "folio", "account", "investments", "units"), ACCOUNT_NOUN)
+        twelve = x["many"] & F.regexp_like(F.regexp_replace(t, "[A-Za-z]", ""), F.lit(AADHAAR)) & ~F.regexp_like(t, F.lit(CARD))
+        rules = [
+            ("pan", like(digits, PAN)), ("aadhaar", like(has("aadhaar", "aadhar"), AADHAAR_WORD) | twelve), ("otp", like(has("otp", "password", "verification"), OTP)), ("email", like(t.contains("@"), EMAIL)), ("phone", like(digits, PHONE)),
+            ("bank_account", like(digits & has("account", "acct", "a/c", "bank"), BANK_ACCOUNT)), ("folio", like(has("folio", "follio"), FOLIO)), ("credential", like(has("password", "passcode", "username", "login id", "user id", "pin"), CREDENTIAL)), ("account_request", request),
+        ]
+        return F.array_compact(F.array(*(F.when(rule, name) for name, rule in rules)))
+
+    # four digits in a row, and twelve digits in all: letters may stand between the latter
+    once = F.array(F.struct(c.alias("text"), F.lower(c).alias("low"), F.regexp_like(c, F.lit("[0-9]{4}")).alias("digits"), F.regexp_like(c, F.lit("[0-9](?:[^0-9]*+[0-9]){11}")).alias("many")))
     return F.transform(once, found)[0]
 
 
