@@ -32,12 +32,12 @@ def squeeze(c: Column) -> Column:
 
 def normalize(c: Column) -> Column:
     """Line ends, hard blanks, control characters and private glyphs made plain; blanks squeezed in lines, two line feeds at most in a row."""
-    c = F.regexp_replace(F.replace(c, F.lit(" "), F.lit(" ")), "\r\n?", "\n")
-    c = F.regexp_replace(c, "[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f]", " ")
-    c = F.translate(c, "".join(GLYPHS), "".join(GLYPHS.values()))
-    c = F.regexp_replace(c, "[ \t]{2,}|\t", " ")
-    c = F.regexp_replace(F.regexp_replace(c, " \n ?|\n ", "\n"), "\n{3,}", "\n\n")
-    return F.regexp_replace(F.regexp_replace(c, "^[ \n]+", ""), "[ \n]+$", "")
+    nbsp, control = F.lit("\u00a0"), "\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f"
+    c = F.translate(F.replace(c, nbsp, F.lit(" ")), "".join(GLYPHS), "".join(GLYPHS.values()))
+    c = F.regexp_replace(c, "\r\n?", "\n")
+    c = F.regexp_replace(c, f"[ \\t{control}]{{2,}}+|[\\t{control}]", " ")
+    c = F.regexp_replace(c, " \n ?|\n ", "\n")
+    return F.btrim(F.regexp_replace(c, "\n{3,}", "\n\n"), F.lit(" \n"))
 
 
 _ENTITY = r"&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,30});"
@@ -147,8 +147,11 @@ def is_noise(line: Column, patterns: list[str] = NOISE_LINES) -> Column:
 
 
 def is_heading(line: Column, known: list[str] = HEADINGS) -> Column:
-    s = F.trim(line)
-    low, n = F.lower(s), F.length(s)
+    return _heading(F.trim(line), F.lower(F.trim(line)), known)
+
+
+def _heading(s: Column, low: Column, known: list[str]) -> Column:
+    n = F.length(s)
     shaped, numbered = s.rlike(HEADING_SHAPE), s.rlike(HEADING_NUMBER)
     letters = F.length(F.regexp_replace(s, r"[^\p{L}]", ""))
     upper = F.length(F.regexp_replace(s, r"[^\p{Lu}]", ""))
@@ -160,6 +163,12 @@ def is_heading(line: Column, known: list[str] = HEADINGS) -> Column:
     return (n > 3) & (n <= 140) & ~s.rlike(r"[.,;]$") & (words <= 10) & (listed | (shaped & (numbered | loud | ((n <= 60) & ~s.contains(":")))))
 
 
+def marked_lines(lines: Column, headings: list[str] = HEADINGS) -> Column:
+    """An array of lines as structs of line_no, line, trimmed and heading; each line is trimmed once."""
+    plain = F.transform(lines, lambda x, i: F.struct(i.alias("line_no"), x.alias("line"), F.trim(x).alias("trimmed")))
+    return F.transform(plain, lambda x: F.struct(x["line_no"].alias("line_no"), x["line"].alias("line"), x["trimmed"].alias("trimmed"), ((F.length(x["trimmed"]) <= 140) & _heading(x["trimmed"], F.lower(x["trimmed"]), headings)).alias("heading")))
+
+
 def tokens(c: Column) -> Column:
     """Distinct lower-case words of more than two characters."""
     return F.array_distinct(F.filter(F.split(F.lower(c), r"(?U)\s+"), lambda t: F.length(t) > 2))

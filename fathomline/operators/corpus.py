@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import rules as R
-from ..functions.text import is_heading, is_noise, strip
+from ..functions.text import is_heading, is_noise, marked_lines, strip
 from ..sources.shared import stored
 
 TARGET, OVERLAP, LEAST, PREAMBLE = 1200, 150, 40, "Preamble"
@@ -59,6 +59,61 @@ def sections(lines: DataFrame, heading: Column | None = None) -> DataFrame:
     return out.where(strip(F.col("body")) != "")
 
 
+def page_lines(pages: DataFrame, text: Column, headings: list[str] = R.HEADINGS) -> DataFrame:
+    """pages (doc_id, page, text, is_table; one row a page), and text as it is to be read -> doc_id, page, is_table, lines (marked), top and bottom (lines that may be running ones), written once.
+
+    Everything about a line is found here, in one pass over the texts and without a row for each line.
+    """
+    once = lambda x, f: F.transform(F.array(x), f)[0]  # noqa: E731  what x is evaluated to is used more than once
+    fit = lambda part: F.filter(F.transform(part, lambda x: x["trimmed"]), lambda t: F.length(t).between(11, 119))
+    ends = lambda filled: F.struct(fit(F.slice(filled, F.lit(1), F.least(F.size(filled), F.lit(2)))).alias("top"), fit(F.slice(filled, F.greatest(F.size(filled) - 1, F.lit(1)), F.lit(2))).alias("bottom"))
+    every = once(marked_lines(F.split(text, "\n"), headings), lambda lines: F.struct(lines.alias("lines"), once(F.filter(lines, lambda x: x["trimmed"] != ""), ends).alias("ends")))
+    found = pages.where(F.col("text").isNotNull()).select("doc_id", "page", "is_table", every.alias("x"))
+    return stored(found.select("doc_id", "page", "is_table", "x.lines", "x.ends.top", "x.ends.bottom"), "page-lines")
+
+
+def running_lines(pages: DataFrame) -> DataFrame:
+    """pages of page_lines() -> doc_id, pages, running: of each document the number of its pages, and its running lines (see boilerplate) if it has any."""
+    sides = pages.select("doc_id", F.explode(F.concat(*(F.transform(c, _sided(c)) for c in ("top", "bottom")))).alias("x"))
+    counts = sides.groupBy("doc_id", "x.line", "x.side").count()
+    number = pages.groupBy("doc_id").agg(F.countDistinct("page").alias("pages"))
+    need = F.greatest(F.lit(3), F.floor(SHARE * F.col("pages")))
+    found = counts.join(number.where(F.col("pages") >= LEAST_PAGES), "doc_id").where(F.col("count") >= need).groupBy("doc_id").agg(F.collect_set("line").alias("running"))
+    return number.join(found, "doc_id", "left")
+
+
+def _sided(side: str):
+    return lambda t: F.struct(t.alias("line"), F.lit(side).alias("side"))
+
+
+def page_sections(pages: DataFrame, rowed: Column | None = None, token: str = "", noise: list[str] = R.NOISE_LINES) -> DataFrame:
+    """pages of page_lines(), cleaned and cut as cleaned_lines() and sections() do -> doc_id, section_no, title, page, page_end, body (its lines).
+
+    rowed: documents whose lines with the token are sections of their own, numbered below zero by page and line, if there are any. The pages are
+    dealt by document once; numbers of headings are summed over pages, not lines, and only pieces of sections become rows.
+    """
+    met = pages.join(running_lines(pages), "doc_id")
+    kept = F.filter("lines", lambda x: ~F.coalesce(F.array_contains("running", x["trimmed"]), F.lit(False)) & ((F.col("pages") < LEAST_PAGES) | ~is_noise(x["line"], noise)))
+    rows = F.filter("_kept", lambda x: x["line"].contains(token)) if rowed is not None else F.expr("cast(null as array<struct<line_no: int, line: string>>)")
+    own = Window.partitionBy("doc_id")
+    cleaned = met.withColumn("_kept", kept).drop("lines").withColumn("_rows", F.when(rowed if rowed is not None else F.lit(False), rows))
+    cleaned = cleaned.withColumn("_by_row", F.max(F.coalesce(F.size("_rows") > 0, F.lit(False))).over(own))
+    heads = F.when(~F.col("is_table"), F.filter(F.sequence(F.lit(1), F.size("_kept")), lambda i: F.element_at("_kept", i)["heading"])).otherwise(F.array().cast("array<int>"))
+    cut = cleaned.where((F.size("_kept") > 0) & (~F.col("_by_row") | (F.size("_rows") > 0))).withColumn("_heads", heads)
+    before = F.coalesce(F.sum(F.size("_heads")).over(own.orderBy("page").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts, ends = F.concat(F.array(F.lit(0)), F.col("_heads")), F.concat(F.col("_heads"), F.array(F.size("_kept") + 1))
+    lines = lambda a, b: F.transform(F.slice("_kept", a + 1, b - a - 1), lambda x: F.coalesce(x["line"], F.lit("")))
+    piece = F.zip_with(starts, ends, lambda a, b: F.struct(a.alias("at"), F.when(a > 0, F.get("_kept", a - 1)["trimmed"]).alias("title"), lines(a, b).alias("lines")))
+    numbered = F.transform(piece, lambda x, k: F.struct((F.col("_before") + k).cast("long").alias("section_no"), x["title"].alias("title"), x["lines"].alias("lines")))
+    usual = F.filter(numbered, lambda x: x["title"].isNotNull() | (F.size(x["lines"]) > 0))
+    single = F.transform("_rows", lambda x: F.struct((-1 - (F.col("page").cast("long") * 10_000 + x["line_no"])).alias("section_no"), F.lit(None).cast("string").alias("title"), F.array(x["line"]).alias("lines")))
+    pieces = cut.withColumn("_before", before).select("doc_id", "page", F.explode(F.when(F.col("_by_row"), single).otherwise(usual)).alias("x"))
+    grouped = pieces.groupBy("doc_id", "x.section_no").agg(F.max("x.title").alias("title"), F.min("page").alias("page"), F.max("page").alias("page_end"), F.array_sort(F.collect_list(F.struct("page", "x.lines"))).alias("_lines"))
+    body = F.array_join(F.flatten(F.transform("_lines", lambda x: x["lines"])), "\n")
+    out = grouped.select("doc_id", "section_no", F.coalesce("title", F.lit(PREAMBLE)).alias("title"), "page", "page_end", body.alias("body"))
+    return out.where(strip(F.col("body")) != "")
+
+
 def blocks(text: Column) -> Column:
     """Sentences, and lines with a bar whole."""
     split = F.transform(F.split(text, "\n"), lambda p: F.when(p.contains("|"), F.array(p)).otherwise(F.split(p, r"(?<=[.!?])\s+(?=[A-Z0-9])")))

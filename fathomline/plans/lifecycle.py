@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import intent as I
 from ..functions import personal as P
 from ..functions import rules as R
-from ..functions.text import expanded, last_updated, normalize, parse_date, preview, question_hash, scoped, source_id, squeeze
+from ..functions.text import expanded, last_updated, normalize, parse_date, preview, question_hash, scoped, source_id, squeeze, strip
 from ..operators import converse, corpus, rerank, retrieve
 from ..sources import files
 from ..sources.shared import stored
@@ -20,12 +20,20 @@ def build_chunks(pages: DataFrame, manifest: DataFrame, embed=retrieve.hashed_em
 
     A document whose file is named after the disclosure has one chunk for each of its rows, if there are any.
     """
-    lines = corpus.cleaned_lines(pages.select("doc_id", "page", "is_table", F.posexplode(F.split(normalize(F.col("text")), "\n")).alias("line_no", "line")))
-    named = manifest.where(F.lower("file_name").contains(disclosure["file"])).select("doc_id")
-    by_row = corpus.row_chunks(lines.join(named, "doc_id", "left_semi"), disclosure["token"], disclosure["header"], disclosure["title"], disclosure["topic"])
-    usual = corpus.chunks(corpus.sections(lines), target, overlap, topics).join(by_row.select("doc_id").distinct(), "doc_id", "left_anti")
+    lines = corpus.page_lines(pages.select("doc_id", "page", "is_table", "text"), normalize(F.col("text")))
     title = F.nullif(F.col("title"), F.lit("")) if "title" in manifest.columns else F.lit(None).cast("string")
-    joined = usual.unionByName(by_row).join(manifest.withColumn("_title", F.coalesce(title, "file_name")).drop("title"), "doc_id")
+    named = manifest.select("doc_id", F.lower("file_name").contains(disclosure["file"]).alias("_named"))
+    marked = lines.join(named.groupBy("doc_id").agg(F.max("_named").alias("_named")), "doc_id")
+    found = corpus.page_sections(marked, F.col("_named"), disclosure["token"])
+    by_row = F.col("section_no") < 0
+    piece, whole = strip(F.col("_piece")), strip(F.col("body"))
+    pieces = F.when(by_row, F.array(F.concat_ws("\n", F.lit(disclosure["header"]), whole))).when(F.length(whole) >= corpus.LEAST, corpus.packed_chunks(F.col("body"), target, overlap))
+    cut = found.select("*", F.posexplode(pieces).alias("_no", "_piece")).where(F.length(piece) >= F.when(by_row, 30).otherwise(corpus.LEAST))
+    text = F.when(by_row | (F.col("title") == corpus.PREAMBLE), F.when(by_row, F.col("_piece")).otherwise(piece)).otherwise(F.concat_ws("\n", "title", piece))
+    topic = F.when(by_row, F.lit(disclosure["topic"])).otherwise(corpus.chunk_topic(piece, F.col("title"), topics))
+    number = F.when(by_row, -1 - F.col("section_no")).otherwise(F.col("_no")).cast("int")
+    numbered = cut.select("doc_id", F.when(by_row, 0).otherwise(F.col("section_no")).cast("long").alias("section_no"), F.when(by_row, F.lit(disclosure["title"])).otherwise(F.col("title")).alias("title"), "page", "page_end", number.alias("chunk_no"), topic.alias("topic"), text.alias("chunk_text"))
+    joined = numbered.join(manifest.withColumn("_title", F.coalesce(title, "file_name")).drop("title"), "doc_id")
     own = F.coalesce(F.nullif(F.col("scheme"), F.lit("")), R.first_alias(F.col("chunk_text"), schemes))
     forced = F.when(F.lower("file_name").contains(disclosure["file"]), disclosure["topic"]).when(F.upper("document_type") == "TER_DATA", "expense_ratio").otherwise(F.col("topic"))
     safe = F.replace("chunk_text", F.lit("\x00"), F.lit(""))

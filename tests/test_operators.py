@@ -302,3 +302,41 @@ def test_entry_lists_queries():
     import __spark_entry__ as entry
 
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_pages_give_the_sections_of_their_lines(spark):
+    """page_sections against cleaned_lines and sections: running lines, noise, tables, headings, empty pages, sections over pages."""
+    import random
+
+
+    r = random.Random(11)
+    words = "the load of units within one year Page 3 | - is paid ABOUT IT".split()
+    heads = ["Exit Load", "RISK FACTORS AND MORE", "2.3 Exit load", "Benchmark", "  Exit Load  "]
+
+    def line():
+        kind = r.random()
+        return r.choice(heads) if kind < 0.15 else r.choice(["", " ", "12", "Page 4", "- 7 -"]) if kind < 0.35 else " ".join(r.choice(words) for _ in range(r.randrange(1, 14))) + r.choice(["", ".", ","])
+
+    rows = []
+    for doc in range(40):
+        top, bottom = f"Running header of document {doc % 7}", f"running foot line {doc}"
+        for page in range(r.choice([1, 2, 4, 5, 8, 12])):
+            body = [line() for _ in range(r.randrange(12))]
+            body = ([top] if r.random() < 0.6 else []) + body + ([bottom] if r.random() < 0.5 else [])
+            rows.append((doc, page, "\n".join(body), r.random() < 0.1))
+    rows += [(99, 1, None, False), (98, 1, "", False), (97, 1, "\n\n", True), (96, 2, "Exit Load", False), (96, 3, "follows on another page", True)]
+    pages = spark.createDataFrame(rows, "doc_id int, page int, text string, is_table boolean").repartition(5)
+    lines = pages.select("doc_id", "page", "is_table", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    columns = ["doc_id", "section_no", "title", "page", "page_end", "body"]
+    want = sorted(map(tuple, corpus.sections(corpus.cleaned_lines(lines)).select(*columns).collect()))
+    got = corpus.page_sections(corpus.page_lines(pages, F.col("text")))
+    assert sorted(map(tuple, got.select(*columns).collect())) == want and len(want) > 100
+    known = sorted(map(tuple, corpus.boilerplate(lines).collect()))
+    found = corpus.running_lines(corpus.page_lines(pages, F.col("text"))).select("doc_id", F.explode("running").alias("line"))
+    assert sorted(map(tuple, found.collect())) == known and known
+    # documents whose lines with a token are sections of their own, where there are any
+    by_row = corpus.page_sections(corpus.page_lines(pages, F.col("text")), F.col("doc_id") % 2 == 0, "units")
+    rowed = {x["doc_id"] for x in corpus.cleaned_lines(lines).where("doc_id % 2 = 0 and contains(line, 'units')").select("doc_id").collect()}
+    single = sorted((x["doc_id"], x["page"], -1 - x["section_no"], x["body"]) for x in by_row.where("section_no < 0").collect())
+    assert single == sorted((x["doc_id"], x["page"], x["page"] * 10_000 + x["line_no"], x["line"]) for x in corpus.cleaned_lines(lines).where("doc_id % 2 = 0 and contains(line, 'units')").collect()) and rowed
+    assert sorted(map(tuple, by_row.where("section_no >= 0").select(*columns).collect())) == [w for w in want if w[0] not in rowed]
