@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -101,22 +103,78 @@ def smoke_status(refused: Column, refusal_type: Column, answer: Column, url: Col
     )
 
 
-def generated(context: Column, question: Column, call: Callable[[str, str, str], str], models: list[str], attempts: int = 3, longest_wait: float = 20.0) -> Column:
-    """struct(answer, model, error) by an outside generator, call(model, context, question), in Arrow batches.
+def generated(context: Column, question: Column, call: Callable[[str, str, str], str], models: list[str], attempts: int = 3, longest_wait: float = 20.0, at_once: int = 8) -> Column:
+    """struct(answer, model, error) by an outside generator, call(model, context, question), in Arrow batches, so many rows of a task at once, each in a thread.
 
     Models are tried in order. A RateLimited is tried again up to so many times after the wait it asks for, clamped to longest_wait; any other exception
-    ends that row with the exception's name in error, and no answer: failures are rows, not failed jobs.
+    ends that row with the exception's name in error, and no answer: failures are rows, not failed jobs. For many rows see generated_in_rounds.
     """
     ship()
 
     @F.pandas_udf("answer string, model string, error string")
     def ask(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        for contexts_, questions in parts:
-            yield pd.DataFrame([_asked(call, models, c, q, attempts, longest_wait) for c, q in zip(contexts_, questions, strict=True)], columns=["answer", "model", "error"])
+        with ThreadPoolExecutor(at_once) as pool:
+            for contexts_, questions in parts:
+                found = pool.map(lambda c, q: _asked(call, models, c, q, attempts, longest_wait), contexts_, questions)
+                yield pd.DataFrame(list(found), columns=["answer", "model", "error"])
 
     return ask(context, question)
 
 
+def generated_in_rounds(rows: DataFrame, key: str, call: Callable[[str, str, str], str], models: list[str], path: str, attempts: int = 3, longest_wait: float = 20.0, at_once: int = 8, rounds: int | None = None) -> DataFrame:
+    """rows (key, context, question) -> key, answer, model, error, by the generator of generated(), asked in rounds whose results are kept at path.
+
+    A round asks each row that is still open once: with the first model, or, where that was limited `attempts` times, the next. What it answers, or what
+    fails otherwise than by a limit, is done; its rows are written before the next round, so no loss and no new start asks them again: a call with the path of an
+    earlier one goes on where that ended. No task waits; between rounds the driver waits as long as was asked for, at most longest_wait. rounds: how
+    many to make at most (by default all that may be needed); rows that are open then, or have no model left, have the error RateLimited.
+    """
+    spark = rows.sparkSession
+    ship(spark)
+    out = f"{key} {dict(rows.dtypes)[key]}, answer string, model string, error string, wait double, tries int"
+
+    def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def one(k, context, question, tries) -> tuple:
+            model = models[tries // attempts]
+            try:
+                return k, call(model, context, question), model, None, None, tries + 1
+            except RateLimited as x:
+                return k, None, model, "RateLimited", max(float(x.wait), 0.0), tries + 1
+            except Exception as x:
+                return k, None, model, type(x).__name__, None, tries + 1
+
+        with ThreadPoolExecutor(at_once) as pool:
+            for pdf in batches:
+                yield pd.DataFrame(list(pool.map(one, pdf[key], pdf["context"], pdf["question"], pdf["_tries"])), columns=[key, "answer", "model", "error", "wait", "tries"])
+
+    most, made = attempts * len(models), 0
+    kept = rows.select(key, "context", "question")
+
+    def state() -> DataFrame:
+        """The last that is known of each row that was asked."""
+        try:
+            said = spark.read.schema(out).parquet(path)
+        except AnalysisException as x:
+            if x.getCondition() != "PATH_NOT_FOUND":
+                raise
+            said = spark.createDataFrame([], out)
+        return said.groupBy(key).agg(F.max_by(F.struct("answer", "model", "error", "wait", "tries"), "tries").alias("s")).select(key, "s.*")
+
+    while rounds is None or made < rounds:
+        known = state()
+        limited = (F.col("error") == "RateLimited") & (F.col("tries") < most)
+        open_ = kept.join(known.select(key, "error", "wait", "tries"), key, "left").where(F.col("tries").isNull() | limited)
+        count, wait = open_.agg(F.count("*"), F.max("wait")).first()
+        if not count:
+            break
+        if wait:
+            time.sleep(min(wait, longest_wait))
+        open_.select(key, "context", "question", F.coalesce("tries", F.lit(0)).alias("_tries")).mapInPandas(ask, out).write.mode("append").parquet(path)
+        made += 1
+    done = state().select(key, "answer", F.when(F.col("answer").isNotNull() | (F.col("error") != "RateLimited"), F.col("model")).alias("model"), "error")
+    return kept.select(key).join(done, key, "left").withColumn("error", F.when(F.col("answer").isNull(), F.coalesce("error", F.lit("RateLimited"))))
+
+
 class RateLimited(Exception):
     """Raised by a generator that wants to be asked again after `wait` seconds."""
 

@@ -510,6 +510,16 @@ def newest_wins(spark, d):
     return files.newest_report(rows, "1-URGENT")
 
 
+@query("""WITH r AS (SELECT o_orderkey AS row_idx, o_orderpriority AS document_type, 'report ' || strftime(o_orderdate, '%d-%m-%Y') || '.xlsx' AS file_name, o_orderstatus AS title, o_orderdate::DATE AS day, CASE WHEN o_orderkey % 2 = 0 THEN o_orderdate::DATE::VARCHAR ELSE '' END AS document_date, 'u' AS source_url, 'o' AS organization FROM orders)
+SELECT row_idx, title, document_date, source_url, organization FROM r WHERE document_type <> '1-URGENT' UNION ALL (SELECT row_idx, 'House 1-URGENT Report ' || document_date || ' (1-URGENT)', day::VARCHAR, 'new', 'House' FROM r WHERE document_type = '1-URGENT' ORDER BY day DESC, row_idx LIMIT 1)""")
+def newest_patched(spark, d):
+    """The newest report takes a patch, a title and the date of its name."""
+    n = F.col("o_orderkey")
+    day = F.when(n % 2 == 0, F.date_format("o_orderdate", "yyyy-MM-dd")).otherwise("").alias("document_date")
+    rows = table(spark, d, "orders").select(n.alias("row_idx"), F.col("o_orderpriority").alias("document_type"), F.concat(F.lit("report "), F.date_format("o_orderdate", "dd-MM-yyyy"), F.lit(".xlsx")).alias("file_name"), F.col("o_orderstatus").alias("title"), day, F.lit("u").alias("source_url"), F.lit("o").alias("organization"))
+    return files.newest_report(rows, "1-URGENT", {"organization": "House", "source_url": "new"}).drop("document_type", "file_name")
+
+
 @query("SELECT doc_id AS source_id, 1 AS version, lang FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) UNION ALL SELECT doc_id, 2, NULL FROM labels")
 def manifest_upsert(spark, d):
     old = table(spark, d, "documents").select(F.col("doc_id").alias("source_id"), F.lit(1).alias("version"), "lang")
@@ -554,6 +564,36 @@ def words_outside_tables(spark, d):
     return files.outside_tables(words, boxes).select("doc_id", "line")
 
 
+_WORDS = "SELECT doc_id, (i - 1) // 60 AS page, w[i] AS word, ((i - 1) % 8) * 70.0 AS x0, ((i - 1) % 60 // 8) * 12.0 + doc_id % 5 AS top FROM (SELECT doc_id, string_split(replace(text, chr(10), ' '), ' ') AS w FROM documents), unnest(range(1, len(w) + 1)) AS t(i)"
+_BOXES = "(0, 20.0, 90.0, 30.0), (100.0, 20.0, 300.0, 60.5), (345.0, 0.0, 420.0, 30.0), (-1000.0, 81.0, 5000.0, 84.0)"
+
+
+@query(f"""WITH w AS ({_WORDS}), left_ AS (SELECT * FROM w WHERE (doc_id + page) % 3 = 0 OR NOT EXISTS (SELECT 1 FROM (VALUES {_BOXES}) AS b(x0, top, x1, bottom) WHERE w.x0 + 25 BETWEEN b.x0 AND b.x1 AND w.top + 4.5 BETWEEN b.top AND b.bottom))
+SELECT doc_id, page, round_even(top / 3, 0)::BIGINT AS line_no, sha256(string_agg(word, ' ' ORDER BY x0, word)) AS line_sha256 FROM left_ GROUP BY ALL""")
+def words_outside_boxes(spark, d):
+    """Documents set as pages of lines of words, most pages with four boxes, which places across and down decide."""
+    docs = table(spark, d, "documents").select("doc_id", F.posexplode(F.split(F.replace("text", F.lit("\n"), F.lit(" ")), " ")).alias("i", "text"))
+    x0, top, page = (F.col("i") % 8) * 70.0, F.floor(F.col("i") % 60 / 8) * 12.0 + F.col("doc_id") % 5, F.floor(F.col("i") / 60)
+    words = docs.select("doc_id", page.alias("page"), "text", x0.alias("x0"), (x0 + 50).alias("x1"), top.alias("top"), (top + 9).alias("bottom"))
+    boxes = F.explode(F.expr(f"array({_BOXES.replace('(', 'struct(')})")).alias("b")
+    some = words.select("doc_id", "page").distinct().where("(doc_id + page) % 3 <> 0").select("doc_id", "page", boxes)
+    found = files.outside_tables(words, some.select("doc_id", "page", *(F.col(f"b.col{k}").cast("double").alias(c) for k, c in enumerate(("x0", "top", "x1", "bottom"), 1))))
+    return found.select("doc_id", "page", "line_no", F.sha2("line", 256).alias("line_sha256"))
+
+
+@query("""WITH l AS (SELECT doc_id, lang, source, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents),
+r AS (SELECT doc_id, i + 1 AS n, 'Row ' || i || ' | ' || trim(line, ' ') AS bar, CASE WHEN trim(line, ' ') <> '' THEN 'Row ' || i || ' of ' || source || ': ' || trim(line, ' ') END AS fact FROM l UNION ALL SELECT doc_id, 1, 'Fund Name | ' || source, 'Fund Name of ' || source || ': ' || source FROM documents UNION ALL SELECT doc_id, 0, 'Scheme Summary Document', NULL FROM documents WHERE doc_id % 2 = 0)
+SELECT doc_id, true AS is_table, sha256(any_value(lang) || chr(10) || chr(10) || string_agg(bar, chr(10) ORDER BY n) || CASE WHEN doc_id % 2 = 0 THEN chr(10) || chr(10) || 'Scheme Summary Document - ' || any_value(source) || chr(10) || string_agg(fact, chr(10) ORDER BY n) ELSE '' END) AS text_sha256 FROM r JOIN documents USING (doc_id) GROUP BY doc_id""")
+def table_pages(spark, d):
+    """Documents as tables of their lines under a title, half of them summaries, with what stands outside."""
+    docs = table(spark, d, "documents")
+    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "line")).select("doc_id", (F.col("i") + 2).alias("row_no"), F.array(F.concat(F.lit("Row "), F.col("i") + 1), "line").alias("cells"))
+    heads = docs.where("doc_id % 2 = 0").select("doc_id", F.lit(0).alias("row_no"), F.array(F.lit("Scheme Summary Document")).alias("cells")).unionByName(docs.select("doc_id", F.lit(1).alias("row_no"), F.array(F.lit("Fund Name"), "source").alias("cells")))
+    cells = lines.unionByName(heads).withColumns({"page": F.lit(1), "table_no": F.lit(0)})
+    plain = docs.select("doc_id", F.lit(1).alias("page"), F.concat(F.lit(" "), "lang").alias("text"))
+    return files.table_pages(plain, cells).select("doc_id", "is_table", F.sha2("text", 256).alias("text_sha256"))
+
+
 # ---- token sets and demotion
 
 _TOK = r"list_distinct(list_filter(string_split_regex(lower({0}), '\s+'), lambda t: length(t) > 2))"

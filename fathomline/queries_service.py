@@ -253,14 +253,33 @@ _LOADS = f"""{_flags_sql(_ONE_PAGE, _heading_sql(R.HEADINGS))}, {_CHUNKS}, k AS
 j AS (SELECT CASE WHEN doc_id % 10 = 5 THEN 'Riskometer ' ELSE '' END || 'f' || doc_id || '.txt' AS file_name, doc_id::VARCHAR AS source_id, CASE WHEN doc_id % 10 = 4 THEN 'failed' WHEN doc_id % 10 = 3 THEN 'missing' WHEN n IS NULL THEN 'empty' ELSE 'ok' END AS status, coalesce(n, 0) AS n_chunks FROM documents LEFT JOIN k USING (doc_id))"""
 
 
-def _ingested(spark: SparkSession, d: str, path: str | None = None) -> DataFrame:
+def _ingested(spark: SparkSession, d: str, path: str | None = None, **options) -> DataFrame:
     docs, n = table(spark, d, "documents"), F.col("doc_id")
     name = F.concat(F.when(n % 10 == 5, "Riskometer ").otherwise(""), F.lit("f"), n, F.lit(".txt")).alias("file_name")
     none = [F.lit("").alias(c) for c in ("title", "organization", "document_date", "effective_date", "source_url")]
     manifest = docs.select(n.alias("row_idx"), name, *none, F.when(n % 10 == 7, "Own Fund").otherwise("").alias("scheme"), F.when(n % 10 == 6, "ter_data").otherwise("SID").alias("document_type"), n.cast("string").alias("source_id"))
     pages = docs.where("doc_id % 10 not in (3, 4)").select(name, F.lit(1).alias("page"), "text", F.lit(False).alias("is_table"))
     rejected = docs.where("doc_id % 10 = 4").select(name, F.lit("unsupported: .txt").alias("reason"))
-    return lifecycle.ingest(spark, manifest, pages, rejected, path or store.scratch(spark, "store"))
+    return lifecycle.ingest(spark, manifest, pages, rejected, path or store.scratch(spark, "store"), **options)
+
+
+@query(_LOADS + " SELECT *, 'one' AS part FROM j WHERE file_name = 'f12.txt' UNION ALL SELECT *, 'first' FROM j WHERE source_id::BIGINT IN (SELECT doc_id FROM documents ORDER BY doc_id LIMIT 30)")
+def ingestion_parts(spark, d):
+    """One file of the manifest, and its first thirty rows, each loaded into a store of its own."""
+    one, first = _ingested(spark, d, only_file="f12.txt"), _ingested(spark, d, first=30)
+    return one.withColumn("part", F.lit("one")).unionByName(first.withColumn("part", F.lit("first")))
+
+
+_ROWED = {**R.ROW_DISCLOSURE, "token": "the "}
+
+
+@query(f"""WITH p AS ({_ONE_PAGE}), r AS (SELECT doc_id, 10000 + line_no AS n, {quote(_ROWED['header'])} || chr(10) || trim(line, ' ') AS chunk_text FROM p WHERE doc_id % 10 = 5 AND contains(line, 'the ') AND trim(line, ' ') <> '')
+SELECT doc_id::VARCHAR AS source_id, doc_id || '-0-' || n AS chunk_id, sha256(chunk_text) AS text_sha256, {quote(_ROWED['title'])} AS section, {quote(_ROWED['topic'])} AS topic FROM r""")
+def ingested_rows(spark, d):
+    """Disclosures in the store: a chunk for each of their rows that has the token."""
+    path = store.scratch(spark, "store")
+    _ingested(spark, d, path, disclosure=_ROWED)
+    return store.current(spark, path)[1].where(F.col("section") == _ROWED["title"]).select("source_id", "chunk_id", F.sha2("chunk_text", 256).alias("text_sha256"), "section", "topic")
 
 
 @query(_LOADS + " SELECT * FROM j")

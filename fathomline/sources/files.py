@@ -75,13 +75,36 @@ def extracted(spark: SparkSession, path: str, extractors: dict[str, Callable] |
     return pages, judged.where(F.col("reason").isNotNull()).select("path", "reason")
 
 
+#: Side of the smallest grid cell that boxes and words are met by, and the levels of cells, each twice as wide as those before.
+CELL, LEVELS = 32.0, 24
+
+
 def outside_tables(words: DataFrame, boxes: DataFrame) -> DataFrame:
-    """words (doc_id, page, text, x0, x1, top, bottom) whose centre lies in no box (doc_id, page, x0, top, x1, bottom) -> doc_id, page, line_no, line."""
-    w, b = words.alias("w"), boxes.alias("b")
-    x, y = (F.col("w.x0") + F.col("w.x1")) / 2, (F.col("w.top") + F.col("w.bottom")) / 2
-    inside = (F.col("w.doc_id") == F.col("b.doc_id")) & (F.col("w.page") == F.col("b.page")) & x.between(F.col("b.x0"), F.col("b.x1")) & y.between(F.col("b.top"), F.col("b.bottom"))
-    left = w.join(b, inside, "left_anti")
-    return left.groupBy("doc_id", "page", F.round(F.col("top") / 3).cast("long").alias("line_no")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x0", "text"))), lambda t: t["text"]), " ").alias("line"))
+    """words (doc_id, page, text, x0, x1, top, bottom) whose centre lies in no box (doc_id, page, x0, top, x1, bottom) -> doc_id, page, line_no, line.
+
+    A box lies in the cells of a grid whose cells are as wide as it or wider, four at most; a word in one cell of each width that a box has. So words
+    meet the boxes near them by the key of a cell, however many a page has. Words whose tops round to the same third of a point are a line.
+    """
+    places = ["doc_id", "page", "x0", "x1", "top", "bottom"]
+    extent = F.greatest(F.col("x1") - F.col("x0"), F.col("bottom") - F.col("top"), F.lit(CELL))
+    level = F.least(F.ceil(F.log2(extent / CELL)), F.lit(LEVELS)).cast("int")
+    size = lambda n: F.lit(CELL) * F.pow(F.lit(2.0), n)
+    cells = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / size(F.col("level"))), F.floor(F.col(b) / size(F.col("level")))))
+    leveled = boxes.where("x0 <= x1 and top <= bottom").select("doc_id", "page", *(F.col(c).alias(f"b_{c}") for c in ("x0", "x1", "top", "bottom")), level.alias("level"))
+    gridded = leveled.withColumn("cx", cells("b_x0", "b_x1")).withColumn("cy", cells("b_top", "b_bottom"))
+    x, y = (F.col("x0") + F.col("x1")) / 2, (F.col("top") + F.col("bottom")) / 2
+    used = leveled.groupBy("doc_id", "page").agg(F.collect_set("level").alias("levels"))  # LEVELS + 1 at most
+    spots = words.select(*places).distinct().join(used, ["doc_id", "page"]).select(*places, F.explode("levels").alias("level"))
+    keyed = spots.withColumns({"cx": F.floor(x / size(F.col("level"))), "cy": F.floor(y / size(F.col("level")))})
+    keys = ["doc_id", "page", "level", "cx", "cy"]
+    k, g = keyed.alias("k"), gridded.alias("g")
+    same = F.lit(True)
+    for c in keys:
+        same = same & (F.col(f"k.{c}") == F.col(f"g.{c}"))
+    kx, ky = (F.col("k.x0") + F.col("k.x1")) / 2, (F.col("k.top") + F.col("k.bottom")) / 2
+    inside = k.join(g, same & kx.between(F.col("g.b_x0"), F.col("g.b_x1")) & ky.between(F.col("g.b_top"), F.col("g.b_bottom")), "left_semi").select(*places).distinct()
+    left = words.join(inside, places, "left_anti")
+    return left.groupBy("doc_id", "page", F.bround(F.col("top") / 3).cast("long").alias("line_no")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x0", "text"))), lambda t: t["text"]), " ").alias("line"))
 
 
 def _plain(cells: Column) -> Column:

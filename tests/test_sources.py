@@ -167,3 +167,68 @@ def test_search_of_strings_ties_and_passes(spark, monkeypatch, block, most):
     for r in retrieve.knn_batch(df, q, 6, ("scheme",)).orderBy("query_id", "rank").collect():
         got.setdefault(r["query_id"], []).append(-round(r["similarity"], 9) or 0.0)
     assert {k: [v or 0.0 for v in w] for k, w in want.items() if w} == got
+
+
+def test_generators_ask_at_once(spark):
+    def counting():
+        going = []
+
+        def call(model, context, question):
+            import time
+
+            going.append(question)
+            seen = len(going)
+            time.sleep(0.05)
+            going.pop()
+            return str(seen)
+
+        return call
+
+    df = spark.range(40).coalesce(1).select(F.lit("c").alias("c"), F.col("id").cast("string").alias("q"))
+    most = [max(int(r[0]["answer"]) for r in df.select(converse.generated(F.col("c"), F.col("q"), counting(), ["m"], at_once=n)).collect()) for n in (1, 6)]
+    assert most[0] == 1 and 3 <= most[1] <= 6
+
+
+def test_rounds_ask_open_rows_alone(spark, tmp_path):
+    asked = tmp_path / "asked"
+    asked.mkdir()
+
+    def call(model, context, question):
+        import os
+        import uuid
+
+        before = len([f for f in os.listdir(asked) if f.startswith(f"{question}-")])
+        (asked / f"{question}-{model}-{uuid.uuid4().hex}").write_text("")
+        n = int(question)
+        if n % 5 == 4:
+            raise ValueError("x")
+        if n % 5 == 3 or before < n % 5:  # of 3 every question is limited
+            raise converse.RateLimited(0.01)
+        return f"{model} {context} {question}"
+
+    rows = spark.range(20).select("id", F.lit("c").alias("context"), F.col("id").cast("string").alias("question"), F.lit(1).alias("extra"))
+    path = str(tmp_path / "said")
+    one = {r["id"]: r for r in converse.generated_in_rounds(rows, "id", call, ["a", "b"], path, attempts=2, rounds=1).collect()}
+    assert [one[k]["error"] for k in range(5)] == [None, "RateLimited", "RateLimited", "RateLimited", "ValueError"] and one[0]["answer"] == "a c 0"
+    every = {r["id"]: tuple(r)[1:] for r in converse.generated_in_rounds(rows, "id", call, ["a", "b"], path, attempts=2).collect()}
+    assert every[0] == ("a c 0", "a", None) and every[6] == ("a c 6", "a", None) and every[7] == ("b c 7", "b", None) and every[8] == (None, None, "RateLimited") and every[9] == (None, "a", "ValueError")
+    counts = [len(list(asked.glob(f"{k}-*"))) for k in range(20)]
+    assert counts == [{0: 1, 1: 2, 2: 3, 3: 4, 4: 1}[k % 5] for k in range(20)]
+    assert converse.generated_in_rounds(rows.limit(0), "id", call, ["a"], str(tmp_path / "none")).count() == 0
+
+
+def test_words_and_thousands_of_boxes(spark):
+    import random
+
+    r = random.Random(9)
+    size = lambda: r.choice([0, 1, 5, 20, 31, 33, 70, 400, 3000])
+    boxes = [(d, p, x, y, x + size(), y + size()) for d in range(2) for p in range(2) for _ in range(700) for x, y in [(r.randrange(-200, 6000) + 0.0, r.randrange(-200, 6000) + 0.0)]]
+    boxes = [(d, p, *map(float, (x, t, x1 if r.random() < 0.97 else x + 2, b))) for d, p, x, t, x1, b in boxes] + [(0, 0, 50.0, 50.0, 40.0, 60.0), (0, 0, 1e12, 0.0, 1e12, 1e13)]
+    words = [(d, p, f"w{k}", x, x + 10, y, y + 6) for d in range(3) for p in range(2) for k in range(400) for x, y in [(r.randrange(-300, 7000) + 0.5, float(r.randrange(-300, 7000)))]] + [(0, 0, "null", None, 3.0, 1.5, 2.0), (0, 0, "half", 6500.0, 6510.0, 4.5, 5.0)]
+    out = [w for w in words if w[3] is None or not any(b[:2] == w[:2] and b[2] <= (w[3] + w[4]) / 2 <= b[4] and b[3] <= (w[5] + w[6]) / 2 <= b[5] for b in boxes)]
+    lines = {}
+    for w in out:
+        lines.setdefault((w[0], w[1], round(w[5] / 3)), []).append((w[3] is not None, w[3] or 0, w[2]))
+    want = sorted((*k, " ".join(x[2] for x in sorted(v))) for k, v in lines.items())
+    got = files.outside_tables(spark.createDataFrame(words, "doc_id int, page int, text string, x0 double, x1 double, top double, bottom double"), spark.createDataFrame(boxes, "doc_id int, page int, x0 double, top double, x1 double, bottom double"))
+    assert sorted(map(tuple, got.collect())) == want and 100 < len(out) < len(words) - 100
