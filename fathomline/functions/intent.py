@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import rules as R
+from .keywords import elected
 
 REFUSED = ["PII_ACCOUNT", "MARKET_TIMING", "PERFORMANCE_COMPARISON", "PERFORMANCE_PREDICTION", "ADVICE", "OUT_OF_SCOPE"]
 
@@ -14,7 +15,7 @@ def topic(question: Column, topics: dict[str, list[str]] = R.QUERY_TOPICS) -> Co
     """Minimum-amount questions first, then the vote; hyphens count as blanks on both sides."""
     low = F.concat(F.lit(" "), F.replace(F.lower(question), F.lit("-"), F.lit(" ")), F.lit(" "))
     amount = low.contains("minimum") & R.contains_any(low, [" lump sum ", "purchase amount", "application amount", "investment amount"])
-    return F.when(amount & F.lit("minimum_investment" in topics), "minimum_investment").otherwise(R.elected(low, topics))
+    return F.when(amount & F.lit("minimum_investment" in topics), "minimum_investment").otherwise(elected(low, topics))
 
 
 def scheme(question: Column, schemes: dict[str, list[str]] = R.QUERY_SCHEMES) -> Column:

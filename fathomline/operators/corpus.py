@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import rules as R
+from ..functions.keywords import elected
 from ..functions.text import is_heading, is_noise, marked_lines, strip
 from ..sources.shared import stored
 
@@ -154,7 +155,7 @@ def chunk_topic(text: Column, title: Column, topics: dict[str, list[str]] = R.CH
     plain = F.replace(F.lower(F.concat_ws("\n", title, F.substring(text, 1, 1500))), F.lit("-"), F.lit(" "))
     hint = F.replace(F.lower(title), F.lit("-"), F.lit(" "))
     override = plain.contains("minimum application amount") | (plain.contains("minimum amount") & plain.rlike(R.bounded("sip")))
-    return F.when(override & F.lit("minimum_investment" in topics), "minimum_investment").otherwise(R.elected(plain, topics, default, hint))
+    return F.when(override & F.lit("minimum_investment" in topics), "minimum_investment").otherwise(elected(plain, topics, default, hint))
 
 
 def chunks(sectioned: DataFrame, target: int = TARGET, overlap: int = OVERLAP, topics: dict[str, list[str]] = R.CHUNK_TOPICS) -> DataFrame:

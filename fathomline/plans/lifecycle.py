@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import intent as I
 from ..functions import personal as P
 from ..functions import rules as R
+from ..functions.keywords import first_alias
 from ..functions.text import expanded, last_updated, normalize, parse_date, preview, question_hash, scoped, source_id, squeeze, strip
 from ..operators import converse, corpus, rerank, retrieve
 from ..sources import files
@@ -34,7 +35,7 @@ def build_chunks(pages: DataFrame, manifest: DataFrame, embed=retrieve.hashed_em
     number = F.when(by_row, -1 - F.col("section_no")).otherwise(F.col("_no")).cast("int")
     numbered = cut.select("doc_id", F.when(by_row, 0).otherwise(F.col("section_no")).cast("long").alias("section_no"), F.when(by_row, F.lit(disclosure["title"])).otherwise(F.col("title")).alias("title"), "page", "page_end", number.alias("chunk_no"), topic.alias("topic"), text.alias("chunk_text"))
     joined = numbered.join(manifest.withColumn("_title", F.coalesce(title, "file_name")).drop("title"), "doc_id")
-    own = F.coalesce(F.nullif(F.col("scheme"), F.lit("")), R.first_alias(F.col("chunk_text"), schemes))
+    own = F.coalesce(F.nullif(F.col("scheme"), F.lit("")), first_alias(F.col("chunk_text"), schemes))
     forced = F.when(F.lower("file_name").contains(disclosure["file"]), disclosure["topic"]).when(F.upper("document_type") == "TER_DATA", "expense_ratio").otherwise(F.col("topic"))
     safe = F.replace("chunk_text", F.lit("\x00"), F.lit(""))
     source = own_id()

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import intent as I
+from .functions import keywords
 from .functions import personal as P
 from .functions import rules as R
 from .functions import text as X
@@ -302,6 +303,13 @@ _BEST = f"greatest({', '.join(f'({e})' for _, e in _VOTES)})"
 
 @query(f"WITH h AS (SELECT doc_id, {_HAY} AS hay FROM documents) SELECT doc_id, {case([(f'{_BEST} = 0', 'general'), *((f'({e}) = {_BEST}', t) for t, e in _VOTES)], 'NULL')} AS topic FROM h")
 def topic_votes(spark, d):
+    low = F.replace(F.lower("text"), F.lit("-"), F.lit(" "))
+    return table(spark, d, "documents").select("doc_id", keywords.elected(low, TOPICS, "general").alias("topic"))
+
+
+@query(ORACLES["topic_votes"])
+def topic_votes_by_word(spark, d):
+    """The same by built-in functions, one word after another."""
     low = F.replace(F.lower("text"), F.lit("-"), F.lit(" "))
     return table(spark, d, "documents").select("doc_id", R.elected(low, TOPICS, "general").alias("topic"))
 
@@ -319,7 +327,7 @@ def chunk_topics(spark, d):
 
 @query(f"SELECT doc_id, {case([(' OR '.join(f'contains(lower(text), {quote(a)})' for a in names), s) for s, names in SCHEMES.items()], 'NULL')} AS scheme, {case([(f'contains(lower(text), {quote(n)})', t) for n, t in TYPES], quote('OTHER'))} AS document_type FROM documents")
 def entity_detection(spark, d):
-    return table(spark, d, "documents").select("doc_id", R.first_alias(F.col("text"), SCHEMES).alias("scheme"), R.first_needle(F.col("text"), TYPES, "OTHER").alias("document_type"))
+    return table(spark, d, "documents").select("doc_id", keywords.first_alias(F.col("text"), SCHEMES).alias("scheme"), R.first_needle(F.col("text"), TYPES, "OTHER").alias("document_type"))
 
 
 def _any(column: str, needles: list[str]) -> str:

@@ -74,3 +74,24 @@ def test_small_functions(spark):
 @pytest.mark.parametrize("word", ["a+b", "p&l", "today's"])
 def test_bounded_quotes(spark, word):
     assert over(spark, lambda c: c.rlike(rules.bounded(word)), [f"x {word} y", f"x{word}y"]) == [True, False]
+
+
+def test_keywords_equal_their_search_one_by_one(spark):
+    """The automaton against the built-in functions, on texts full of near hits, overlaps, other scripts and odd words."""
+    import random
+
+    from fathomline.functions import keywords
+    from fathomline.functions import rules as r_
+
+    r = random.Random(12)
+    rules = {"a": ["sip", "a a", "exit load", "ñu"], "b": ["sip", "load", "c++", "x"], "c": ["exit-load fee", "日本", "no.", "٣"], "d": [" lump sum ", "e"]}
+    pieces = ["sip", "SIP", "a", " ", " ", "a a a", "exit load", "exit-load", "exit load fee", "load_", "loads", "c++", "c+", "x", "ñu", "é", "日本", "日", "no.", "٣", "1", "_", "-", "\n", "lump sum", "e", "😀", "ß"]
+    texts = ["".join(r.choice(pieces) + r.choice(["", " ", "."]) for _ in range(r.randrange(14))) for _ in range(600)] + [None, "", " "]
+    df = spark.createDataFrame([(k, t, r.choice(texts)) for k, t in enumerate(texts)], "id long, t string, h string")
+    low, hint = F.lower("t"), F.lower("h")
+    got = df.select("id", keywords.elected(low, rules, "none", hint).alias("a"), keywords.elected(low, rules).alias("b"), keywords.first_alias(F.col("t"), rules, "z").alias("c"))
+    want = df.select("id", F.when(F.col("t").isNull(), "none").otherwise(r_.elected(low, rules, "none", F.coalesce(hint, F.lit("")))).alias("a"), r_.elected(low, rules).alias("b"), r_.first_alias(F.col("t"), rules, "z").alias("c"))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    assert {x["a"] for x in got.collect()} >= {"a", "b", "c", "d", "none"}
+    one = df.limit(1)
+    assert one.select(keywords.elected(F.col("t"), {}, "q"), keywords.first_alias(F.col("t"), {"n": [""]}, "q")).first()[:] == ("q", "n")
