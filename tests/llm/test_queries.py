@@ -32,7 +32,7 @@ def tables(spark, small, tmp_path_factory):
     d = str(tmp_path_factory.mktemp("sf"))
     docs = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text", "lang", "source", "n_chars")
     docs.unionByName(spark.createDataFrame([(*r, 0) for r in EXTRA], DOCS)).repartition(3).write.parquet(f"{d}/documents.parquet")
-    for t in ("benchmark", "labels", "conversations"):
+    for t in ("benchmark", "labels", "conversations", "embeddings"):
         spark.read.parquet(f"{small}/{t}.parquet").write.parquet(f"{d}/{t}.parquet")
     rows = {r["doc_id"]: r for r in spark.read.parquet(f"{d}/documents.parquet").collect()}
     assert len(rows) == docs.count() + len(EXTRA)
@@ -327,7 +327,7 @@ def test_sql_gives_the_same_rows(spark, tables, name):
 
     d, _ = tables
     c = duckdb.connect()
-    for t in ("documents", "benchmark", "labels", "conversations"):
+    for t in ("documents", "benchmark", "labels", "conversations", "embeddings"):
         c.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{d}/{t}.parquet/*.parquet')")
     out = c.execute(entry.ORACLES[name])
     names = [x[0] for x in out.description]
