@@ -139,13 +139,13 @@ def summary_tables(spark, d):
     return files.summary_facts(rows).select("doc_id", "row_no", "fact")
 
 
-@query("""WITH r AS (SELECT o_custkey % 20 AS doc_id, o_orderpriority AS scheme, o_orderdate::DATE AS day, o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN strftime(o_orderdate, '%d-%m-%Y') WHEN 1 THEN strftime(o_orderdate, '%d/%m/%Y') ELSE strftime(o_orderdate, '%d %b %Y') END AS raw, (o_orderkey % 97)::VARCHAR AS a, (o_orderkey % 89)::VARCHAR AS b FROM orders WHERE o_orderkey % 10 <> 7),
+@query("""WITH r AS (SELECT o_custkey AS doc_id, o_orderpriority AS scheme, o_orderdate::DATE AS day, o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN strftime(o_orderdate, '%d-%m-%Y') WHEN 1 THEN strftime(o_orderdate, '%d/%m/%Y') ELSE strftime(o_orderdate, '%d %b %Y') END AS raw, (o_orderkey % 97)::VARCHAR AS a, (o_orderkey % 89)::VARCHAR AS b FROM orders WHERE o_orderkey % 10 <> 7),
 x AS (SELECT doc_id, scheme, arg_max({'raw': raw, 'a': a, 'b': b}, (day, -o_orderkey)) AS x, max(day) AS date FROM r GROUP BY 1, 2),
 l AS (SELECT *, 'Scheme Name: ' || scheme || ' || Date: ' || x.raw || ' || Regular Plan - Base Expense Ratio: ' || x.a || ' || Regular Plan - Total TER: 1' || x.a || ' || Direct Plan - Base Expense Ratio: ' || x.b || CASE WHEN doc_id % 2 = 0 THEN ' || Direct Plan - Total TER: 2' || x.b ELSE '' END AS row FROM x)
 SELECT doc_id, scheme, date, 'Total Expense Ratio (TER) Report - ' || scheme || chr(10) || 'The Total Expense Ratio (TER) of ' || scheme || ' as of ' || x.raw || ' is 1' || x.a || '% for Regular Plan' || CASE WHEN doc_id % 2 = 0 THEN ' and 2' || x.b || '% for Direct Plan' ELSE '' END || '.' || chr(10) || row AS text FROM l""")
 def expense_reports(spark, d):
-    """Orders as dated expense rows of twenty workbooks: merged titles, blank rows, days in three formats and some that can't be read."""
-    o, n, doc = table(spark, d, "orders"), F.col("o_orderkey"), F.col("o_custkey") % 20
+    """Orders as dated expense rows of a workbook for each customer: merged titles, blank rows, days in three formats and some that can't be read."""
+    o, n, doc = table(spark, d, "orders"), F.col("o_orderkey"), F.col("o_custkey")
     raw = F.when(n % 10 == 7, "soon").when(n % 3 == 0, F.date_format("o_orderdate", "dd-MM-yyyy")).when(n % 3 == 1, F.date_format("o_orderdate", "dd/MM/yyyy")).otherwise(F.date_format("o_orderdate", "dd MMM yyyy"))
     a, b = (n % 97).cast("string"), (n % 89).cast("string")
     total = F.when(doc % 2 == 0, F.concat(F.lit("2"), b)).otherwise(" ")
@@ -365,6 +365,39 @@ def citations(spark, d):
     return table(spark, d, "conversations").select("conv_id", "turn", cited.alias("c"), status.alias("status")).select("conv_id", "turn", "c.*", "status")
 
 
+def _parrot(model: str, context: str, question: str) -> str:
+    """A generator that is limited at times, fails at times, and else repeats what it was given."""
+    turn = int(question.split(" ")[0])
+    if model == "busy" or turn % 5 == 4:
+        raise converse.RateLimited(0)
+    if turn % 5 == 3:
+        raise ValueError(question)
+    return f"{model}: {question} / {context[::-1]}"
+
+
+_PARROT = """SELECT conv_id, turn, CASE WHEN turn % 5 < 3 THEN sha256('m: ' || turn || ' ' || role || ' / ' || reverse(text)) END AS answer_sha256, CASE WHEN turn % 5 < 3 THEN 'm' {0} END AS model, CASE turn % 5 WHEN 3 THEN {1} WHEN 4 THEN 'RateLimited' END AS error FROM conversations"""
+
+
+def _spoken(spark, d) -> DataFrame:
+    return table(spark, d, "conversations").select("conv_id", "turn", (F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.col("text").alias("context"), F.concat_ws(" ", F.col("turn").cast("string"), "role").alias("question"))
+
+
+@query(_PARROT.format("WHEN turn % 5 = 3 THEN 'm'", "'ValueError'"))
+def generated_answers(spark, d):
+    """Every turn answered by a generator with two models, of which the first is always busy."""
+    said = converse.generated(F.col("context"), F.col("question"), _parrot, ["busy", "m"], attempts=2)
+    return _spoken(spark, d).withColumn("x", said).select("conv_id", "turn", F.sha2("x.answer", 256).alias("answer_sha256"), "x.model", "x.error")
+
+
+@query(_PARROT.format("WHEN turn % 5 = 3 THEN 'm'", "'ValueError'"))
+def generated_rounds(spark, d):
+    """The same in rounds, broken off after the first and gone on with."""
+    rows, path = _spoken(spark, d), store.scratch(spark, "said")
+    converse.generated_in_rounds(rows, "id", _parrot, ["busy", "m"], path, attempts=2, rounds=1)
+    found = converse.generated_in_rounds(rows, "id", _parrot, ["busy", "m"], path, attempts=2)
+    return rows.select("conv_id", "turn", "id").join(found, "id").select("conv_id", "turn", F.sha2("answer", 256).alias("answer_sha256"), "model", "error")
+
+
 # ---- search, from questions to hits
 
 _CHUNK_SCHEMES, _CHUNK_TOPICS, _ORGS, _KINDS = list(R.QUERY_SCHEMES), ["sip", "exit_load", "benchmark", "lock_in", "purchase", "expense_ratio"], list(R.ORGANIZATION_RANK), ["SID", "FAQ_DATASET", "FORM"]

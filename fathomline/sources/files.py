@@ -77,14 +77,28 @@ def extracted(spark: SparkSession, path: str, extractors: dict[str, Callable] |
 
 #: Side of the smallest grid cell that boxes and words are met by, and the levels of cells, each twice as wide as those before.
 CELL, LEVELS = 32.0, 24
+#: Boxes of a page that its words are held against one by one; pages with more of them have a grid.
+FEW = 32
 
 
 def outside_tables(words: DataFrame, boxes: DataFrame) -> DataFrame:
     """words (doc_id, page, text, x0, x1, top, bottom) whose centre lies in no box (doc_id, page, x0, top, x1, bottom) -> doc_id, page, line_no, line.
 
-    A box lies in the cells of a grid whose cells are as wide as it or wider, four at most; a word in one cell of each width that a box has. So words
-    meet the boxes near them by the key of a cell, however many a page has. Words whose tops round to the same third of a point are a line.
+    The words of a page with FEW boxes or less are held against a list of these. On other pages a box lies in the cells of a grid whose cells are as wide as
+    it or wider, four at most, and a word in one cell of each width that a box has: so words meet the boxes near them by the key of a cell, however
+    many a page has. Words whose tops round to the same third of a point are a line.
     """
+    x, y = (F.col("x0") + F.col("x1")) / 2, (F.col("top") + F.col("bottom")) / 2
+    counted = boxes.join(boxes.groupBy("doc_id", "page").agg(F.count("*").alias("_n")), ["doc_id", "page"])
+    listed = counted.where(F.col("_n") <= FEW).groupBy("doc_id", "page").agg(F.collect_list(F.struct("x0", "top", "x1", "bottom")).alias("_boxes"))
+    hit = F.exists("_boxes", lambda b: F.coalesce(x.between(b["x0"], b["x1"]) & y.between(b["top"], b["bottom"]), F.lit(False)))
+    left = words.join(listed, ["doc_id", "page"], "left").where(F.col("_boxes").isNull() | ~hit).drop("_boxes")
+    left = left.join(_in_grid(words, counted.where(F.col("_n") > FEW)), ["doc_id", "page", "x0", "x1", "top", "bottom"], "left_anti")
+    return left.groupBy("doc_id", "page", F.bround(F.col("top") / 3).cast("long").alias("line_no")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x0", "text"))), lambda t: t["text"]), " ").alias("line"))
+
+
+def _in_grid(words: DataFrame, boxes: DataFrame) -> DataFrame:
+    """The places of words whose centre lies in a box."""
     places = ["doc_id", "page", "x0", "x1", "top", "bottom"]
     extent = F.greatest(F.col("x1") - F.col("x0"), F.col("bottom") - F.col("top"), F.lit(CELL))
     level = F.least(F.ceil(F.log2(extent / CELL)), F.lit(LEVELS)).cast("int")
@@ -94,7 +108,7 @@ def outside_tables(words: DataFrame, boxes: DataFrame) -> DataFrame:
     gridded = leveled.withColumn("cx", cells("b_x0", "b_x1")).withColumn("cy", cells("b_top", "b_bottom"))
     x, y = (F.col("x0") + F.col("x1")) / 2, (F.col("top") + F.col("bottom")) / 2
     used = leveled.groupBy("doc_id", "page").agg(F.collect_set("level").alias("levels"))  # LEVELS + 1 at most
-    spots = words.select(*places).distinct().join(used, ["doc_id", "page"]).select(*places, F.explode("levels").alias("level"))
+    spots = words.select(*places).join(used, ["doc_id", "page"]).select(*places, F.explode("levels").alias("level"))
     keyed = spots.withColumns({"cx": F.floor(x / size(F.col("level"))), "cy": F.floor(y / size(F.col("level")))})
     keys = ["doc_id", "page", "level", "cx", "cy"]
     k, g = keyed.alias("k"), gridded.alias("g")
@@ -102,9 +116,7 @@ def outside_tables(words: DataFrame, boxes: DataFrame) -> DataFrame:
     for c in keys:
         same = same & (F.col(f"k.{c}") == F.col(f"g.{c}"))
     kx, ky = (F.col("k.x0") + F.col("k.x1")) / 2, (F.col("k.top") + F.col("k.bottom")) / 2
-    inside = k.join(g, same & kx.between(F.col("g.b_x0"), F.col("g.b_x1")) & ky.between(F.col("g.b_top"), F.col("g.b_bottom")), "left_semi").select(*places).distinct()
-    left = words.join(inside, places, "left_anti")
-    return left.groupBy("doc_id", "page", F.bround(F.col("top") / 3).cast("long").alias("line_no")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x0", "text"))), lambda t: t["text"]), " ").alias("line"))
+    return k.join(g, same & kx.between(F.col("g.b_x0"), F.col("g.b_x1")) & ky.between(F.col("g.b_top"), F.col("g.b_bottom")), "left_semi").select(*places).distinct()
 
 
 def _plain(cells: Column) -> Column:
