@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -57,6 +59,8 @@ PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProv
 def _by_state(rows: DataFrame, processor: StatefulProcessor, out: str, *keys: str) -> DataFrame:
     spark = rows.sparkSession
     ship(spark)
+    # the process at the driver that prepares such a stream reads no shipped package: what it needs of this module goes along with the processor
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)  # timers and lists need a store with column families
     return rows.groupBy(*keys).transformWithStateInPandas(statefulProcessor=processor, outputStructType=out, outputMode="Append", timeMode="EventTime")
 

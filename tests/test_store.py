@@ -164,17 +164,18 @@ sys.path.insert(0, {root!r})
 from pyspark.sql import SparkSession
 spark = SparkSession.builder.master("local[2]").config("spark.sql.shuffle.partitions", "2").config("spark.ui.enabled", "false").config("spark.checkpoint.dir", {shared!r}).getOrCreate()
 from fathomline.queries import QUERIES
-for name in ("knn_batch_topk", "two_pass_merge", "embeddings_hashed", "search_hits"):
+for name in {names!r}:
     print(name, len(QUERIES[name](spark, {small!r}).collect()))
 """
 
 
 def test_workers_need_no_search_path(small, tmp_path):
     """The driver alone knows where the package lies, and it runs in another folder."""
+    names = ["knn_batch_topk", "two_pass_merge", "embeddings_hashed", "search_hits", "topic_votes", "generated_answers", "rate_limit_stream"]
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
-    out = subprocess.run([sys.executable, "-c", _ALONE.format(root=ROOT, shared=f"file://{tmp_path}/shared", small=small)], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
+    out = subprocess.run([sys.executable, "-c", _ALONE.format(root=ROOT, shared=f"file://{tmp_path}/shared", small=small, names=names)], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
     assert out.returncode == 0, out.stderr[-2000:]
-    assert [line.split()[0] for line in out.stdout.splitlines() if line.split()[1:] and int(line.split()[1]) > 0] == ["knn_batch_topk", "two_pass_merge", "embeddings_hashed", "search_hits"]
+    assert [line.split()[0] for line in out.stdout.splitlines() if line.split()[1:] and int(line.split()[1]) > 0] == names
 
 
 def test_clean_drops_tables(spark):
