@@ -405,6 +405,17 @@ _SEARCHED = rf"SELECT doc_id AS id, {_pick(QUESTIONS, 'doc_id // 100')} || ' ' |
 _CLASSED = _INTENT.replace(_LISTED_BRAND, "").replace("SELECT id, topic, scheme, CASE WHEN hard", "SELECT id, q, cats, topic, scheme, CASE WHEN hard")
 _CLASSED = f"WITH v AS ({_SEARCHED}), l AS (" + _CLASSED.split("), l AS (", 1)[1]
 _BUCKETS = r"SELECT {0}, ('0x' || substr(md5(w), 1, 8))::UBIGINT % 384 AS bucket, count(*)::DOUBLE AS n FROM (SELECT {0}, unnest(list_filter(string_split_regex(lower({1}), '\s+'), lambda x: x <> '')) AS w FROM {2}) GROUP BY ALL"
+
+@query(f"""{_flags_sql(_ONE_PAGE, _heading_sql(R.HEADINGS))}, {_CHUNKS}, t AS (SELECT doc_id || '-' || section_no || '-' || chunk_no AS chunk_id, {_TEXT} AS said FROM piece WHERE length(piece) >= 40), b AS ({_BUCKETS.format('chunk_id', 'said', 't')})
+SELECT chunk_id, round(sum((bucket + 1) * n) / sqrt(sum(n * n)), 6) AS weighted, count(*) AS places FROM b GROUP BY 1""")
+def ingested_vectors(spark, d):
+    """The values of the vectors that a load leaves: of each chunk their sum, weighted by place, and how many aren't zero."""
+    path = store.scratch(spark, "store")
+    _ingested(spark, d, path)
+    weighted = F.aggregate(F.transform("embedding", lambda x, i: x * (i + 1)), F.lit(0.0), lambda s, x: s + x)
+    return store.current(spark, path)[1].select("chunk_id", F.round(weighted, 6).alias("weighted"), F.size(F.filter("embedding", lambda x: x > 0)).cast("long").alias("places"))
+
+
 def _ranked_sql(n: int) -> str:
     """From `a` (id, q, scheme, topic, intent, expanded) to `n`: each question's hits with their final score and rank."""
     return f"""c AS (SELECT doc_id, 'c' || doc_id AS chunk_id, 't' || doc_id AS doc_title, doc_id // 4 AS doc, text AS said, CASE WHEN doc_id % 6 < 5 THEN {_pick(_CHUNK_SCHEMES, 'doc_id % 6')} END AS c_scheme, {_pick(_CHUNK_TOPICS, 'doc_id')} AS c_topic, {_pick(_ORGS, 'doc_id')} AS org, {_pick(_KINDS, 'doc_id')} AS kind, CASE WHEN doc_id % 4 <> 0 THEN DATE '2023-12-01' - (doc_id % 900)::INT END AS day, doc_id % 7 AS page FROM documents),
